@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import quality_rules
+from graphloom.llm import mil_classifier, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_quality_rules": quality_rules.query}
+    return {
+        "op4_mil_classifier": mil_classifier.query,
+        "op9_quality_rules": quality_rules.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
