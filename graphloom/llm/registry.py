@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, mil_classifier, quality_rules
+from graphloom.llm import bpe, mil_classifier, quality_rules, token_records
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_records": token_records.query,
         "op4_mil_classifier": mil_classifier.query,
         "op9_quality_rules": quality_rules.query,
         "op10_bpe": bpe.query,
