@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, mil_classifier, quality_rules, token_records
+from graphloom.llm import bpe, chat_format, mil_classifier, quality_rules, token_records, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_records": token_records.query,
         "op4_mil_classifier": mil_classifier.query,
+        "op6_topk_search": topk_search.query,
+        "op8_chat_format": chat_format.query,
         "op9_quality_rules": quality_rules.query,
         "op10_bpe": bpe.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk_search": topk_search.SQL, "op8_chat_format": chat_format.SQL}
