@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import quality_rules
+from graphloom.llm import bpe, mil_classifier, quality_rules, source_mix
 from graphloom.llm.common import cut, table
 
 STAGES = [
     ("quality rules", quality_rules.stage),
+    ("quality classifier", mil_classifier.stage),
+    ("source mix", source_mix.stage),
+    ("BPE", bpe.stage),
 ]
 
 #: The stages learn models and hash with seeds; SQL can't express them.
