@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, mil_classifier, quality_rules, source_mix
+from graphloom.llm import bpe, mil_classifier, near_dedup, quality_rules, source_mix
 from graphloom.llm.common import cut, table
 
 STAGES = [
     ("quality rules", quality_rules.stage),
     ("quality classifier", mil_classifier.stage),
+    ("near duplicates", near_dedup.stage),
     ("source mix", source_mix.stage),
     ("BPE", bpe.stage),
 ]

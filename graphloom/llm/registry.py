@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, chat_format, mil_classifier, quality_rules, source_mix, token_records, topk_search
+from graphloom.llm import bpe, chat_format, mil_classifier, near_dedup, quality_rules, source_mix, token_records, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_dedup": near_dedup.query,
         "op2_token_records": token_records.query,
         "op3_source_mix": source_mix.query,
         "op4_mil_classifier": mil_classifier.query,
