@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, chat_format, mil_classifier, near_dedup, quality_rules, source_mix, token_records, topk_search
+from graphloom.llm import bpe, chat_format, license_scan, mil_classifier, near_dedup, quality_rules, source_mix, token_records, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_records": token_records.query,
         "op3_source_mix": source_mix.query,
         "op4_mil_classifier": mil_classifier.query,
+        "op5_license_scan": license_scan.query,
         "op6_topk_search": topk_search.query,
         "op8_chat_format": chat_format.query,
         "op9_quality_rules": quality_rules.query,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk_search": topk_search.SQL, "op8_chat_format": chat_format.SQL}
+    return {"op5_license_scan": license_scan.sql(), "op6_topk_search": topk_search.SQL, "op8_chat_format": chat_format.SQL}
