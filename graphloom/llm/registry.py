@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, chat_format, license_scan, mil_classifier, near_dedup, quality_rules, source_mix, token_records, topk_search
+from graphloom.llm import bpe, chat_format, license_scan, lm_scoring, mil_classifier, near_dedup, quality_rules, source_mix, token_records, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mil_classifier": mil_classifier.query,
         "op5_license_scan": license_scan.query,
         "op6_topk_search": topk_search.query,
+        "op7_lm_scoring": lm_scoring.query,
         "op8_chat_format": chat_format.query,
         "op9_quality_rules": quality_rules.query,
         "op10_bpe": bpe.query,
