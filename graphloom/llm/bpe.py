@@ -12,9 +12,11 @@ splits them; columns besides doc_id and text are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import buffers, slices, table
 
-#: Words that a task's cache holds before it starts anew.
-CACHE_WORDS = 300_000
+#: Words, and pieces of words, that a worker's cache holds before it lets the half least used go.
+CACHE_WORDS, CACHE_PIECES = 250_000, 400_000
 _NONE = np.int64(1) << 40
 
 
@@ -41,12 +43,17 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
+def hash_of(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 class Vocabulary:
     """Tables of a tokenizer file: byte symbols, sorted pair keys with rank and result, token strings."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            text = f.read()
+        spec, self.name = json.loads(text), hash_of(text)
         model, split = spec["model"], spec["pre_tokenizer"]["pretokenizers"][0]
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
         if model["type"] != "BPE" or not model["end_of_word_suffix"] or kinds != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed":
@@ -132,38 +139,35 @@ class Vocabulary:
         place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[place] == key) & (piece[where] == piece[after]) & (after > where), place, -1)
 
-    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words without white space of ASCII, and how many each has."""
-        pieces: list[bytes] = []
-        owner: list[int] = []
-        fixed: dict[int, int] = {}  # pieces that are special tokens
-        find = self.pieces_of
-        for k, raw in enumerate(words):
-            if raw.isascii() and b"<|" not in raw:
-                found = find(raw.decode().lower())
+    def split(self, word: bytes) -> list[bytes]:
+        """The pieces of a word, lowered; a special token is marked by the byte 0xFF, which UTF-8 never has."""
+        if word.isascii() and b"<|" not in word:
+            return [x.encode() for x in self.pieces_of(word.decode().lower())]
+        out: list[bytes] = []
+        text = word.decode("utf-8", "replace")
+        for part in self.special_of.split(text) if self.special_of else [text]:
+            if part in self.special:
+                out.append(b"\xff" + part.encode())
             else:
-                found = []
-                text = raw.decode("utf-8", "replace")
-                for part in self.special_of.split(text) if self.special_of else [text]:
-                    if part in self.special:
-                        fixed[len(pieces) + len(found)] = self.special[part]
-                        found.append("\0")
-                    else:
-                        # per character: no rule for a sigma at a word's end
-                        found += find(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
-            pieces += [x.encode() for x in found]
-            owner += [k] * len(found)
+                # per character: no rule for a sigma at a word's end
+                out += [x.encode() for x in self.pieces_of(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())]
+        return out
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after another, and how many each has."""
         if not pieces:
-            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
-        sizes = np.array([len(x) for x in pieces])
-        data = np.frombuffer(b"".join(pieces), np.uint8)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        fixed = {k: self.special[x[1:].decode()] for k, x in enumerate(pieces) if x[:1] == b"\xff"}
+        plain = [b"\0" if k in fixed else x for k, x in enumerate(pieces)] if fixed else pieces
+        sizes = np.array([len(x) for x in plain])
+        data = np.frombuffer(b"".join(plain), np.uint8)
         symbols = self.inner[data]
         last = np.cumsum(sizes) - 1
         symbols[last] = self.final[data[last]]
         if fixed:
             symbols[last[list(fixed)]] = list(fixed.values())
         ids, piece = self.merge(symbols, np.repeat(np.arange(len(pieces)), sizes))
-        return ids, np.bincount(np.array(owner)[piece], minlength=len(words))
+        return ids, np.bincount(piece, minlength=len(pieces))
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The text of each row's ids: their strings joined by one space."""
@@ -173,50 +177,89 @@ class Vocabulary:
         return [data[a : b - 1] if b > a else b"" for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
 
-class CachedEncoder:
-    """Encodes texts word by word (no token spans ASCII white space); each distinct word is encoded once while the cache holds."""
+class Store:
+    """Ids of byte strings by slot. When full it keeps the half most used."""
 
-    def __init__(self, encode_words, most: int = CACHE_WORDS):
-        self.encode_words, self.most = encode_words, most
-        self.clear()
+    def __init__(self, most: int):
+        self.most, self.slot = most, {}
+        self.ids, self.starts, self.counts, self.uses = np.zeros(1 << 16, np.int32), *(np.zeros(1 << 14, np.int64) for _ in range(3))
+        self.used = 0
 
-    def clear(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.ids, self.starts, self.counts = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Ids of the keys that slot got since the last call."""
+        n = len(self.slot)
+        old = n - len(counts)
+        room = lambda a, m: a if m <= len(a) else np.concatenate([a, np.zeros(max(m, 2 * len(a)) - len(a), a.dtype)])
+        self.ids = room(self.ids, self.used + len(ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts, self.counts, self.uses = (room(x, n) for x in (self.starts, self.counts, self.uses))
+        self.counts[old:n] = counts
+        self.starts[old:n] = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+
+    def take(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = self.counts[slots]
+        self.uses[: len(self.slot)] += np.bincount(slots, minlength=len(self.slot))
+        return self.ids[gather(self.starts[slots], counts)], counts
+
+    def shrink(self) -> None:
+        if len(self.slot) <= self.most:
+            return
+        uses = self.uses[: len(self.slot)]
+        kept = np.sort(np.argsort(-uses, kind="stable")[: self.most // 2])
+        keys = list(self.slot)
+        ids, counts = self.ids[gather(self.starts[kept], self.counts[kept])], self.counts[kept]
+        self.slot = {keys[k]: i for i, k in enumerate(kept.tolist())}
         self.used = 0
+        self.add(ids, counts)
+        self.uses[: len(kept)] = uses[kept] // 2
+
+
+class CachedEncoder:
+    """Encodes texts by their words (no token spans ASCII white space) and words by their pieces; each is looked up first."""
 
-    @staticmethod
-    def _room(a: np.ndarray, n: int) -> np.ndarray:
-        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+    def __init__(self, split, encode_pieces, most: int = CACHE_WORDS, most_pieces: int = CACHE_PIECES):
+        self.split, self.encode_pieces, self.words, self.pieces = split, encode_pieces, Store(most), Store(most_pieces)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the number of ids before each (one more entry than texts)."""
-        if len(self.slot) > self.most:
-            self.clear()
-        slot, old = self.slot, len(self.slot)
+        self.words.shrink()
+        slot, old = self.words.slot, len(self.words.slot)
         slots, words_before = [], [0]
         for text in texts:
-            words = text.split()
-            slots += [slot.setdefault(w, len(slot)) for w in words]
+            slots += [slot.setdefault(w, len(slot)) for w in text.split()]
             words_before.append(len(slots))
         if len(slot) > old:
-            new = _tail(slot, len(slot) - old)
-            ids, counts = self.encode_words(new)
-            self.ids = self._room(self.ids, self.used + len(ids))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.starts, self.counts = self._room(self.starts, len(slot)), self._room(self.counts, len(slot))
-            self.counts[old : len(slot)] = counts
-            self.starts[old : len(slot)] = self.used + np.cumsum(counts) - counts
-            self.used += len(ids)
-        own = np.array(slots, np.int64)
-        counts = self.counts[own]
-        return self.ids[gather(self.starts[own], counts)], np.concatenate([[0], np.cumsum(counts)])[words_before]
+            self._learn(_tail(slot, len(slot) - old))
+        ids, counts = self.words.take(np.array(slots, np.int64))
+        return ids, np.concatenate([[0], np.cumsum(counts)])[words_before]
+
+    def _learn(self, words: list[bytes]) -> None:
+        self.pieces.shrink()
+        slot, old = self.pieces.slot, len(self.pieces.slot)
+        own, before = [], [0]
+        for word in words:
+            own += [slot.setdefault(x, len(slot)) for x in self.split(word)]
+            before.append(len(own))
+        if len(slot) > old:
+            self.pieces.add(*self.encode_pieces(_tail(slot, len(slot) - old)))
+        ids, counts = self.pieces.take(np.array(own, np.int64))
+        self.words.add(ids, np.diff(np.concatenate([[0], np.cumsum(counts)])[before]))
+
+
+#: Encoders that a worker process keeps from task to task, by a name and the tokenizer they belong to.
+_KEPT: dict[tuple, CachedEncoder] = {}
+
+
+def kept_encoder(key: tuple, make) -> CachedEncoder:
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def _tail(slot: dict, n: int) -> list:
     """The last n keys, in order of insertion."""
-    from itertools import islice
-
     return list(islice(reversed(slot), n))[::-1]
 
 
@@ -232,7 +275,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         own = vocabulary.value
-        encoder = CachedEncoder(own.encode_words)
+        encoder = kept_encoder(("numpy", own.name), lambda: CachedEncoder(own.split, own.encode_pieces))
         for batch in slices(batches):
             ids, ends = encoder.encode(texts_of(batch.column("text")))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))

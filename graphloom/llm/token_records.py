@@ -15,6 +15,7 @@ text's hash; an empty table gives no frames and no rows; columns besides doc_id
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.bpe import CachedEncoder, default_path, texts_of
+from graphloom.llm.bpe import CachedEncoder, default_path, hash_of, kept_encoder, texts_of
 from graphloom.llm.common import scratch_path, slices, table
 
 END_ID = 2
@@ -56,23 +57,36 @@ def parse(data, at: int) -> tuple[int | None, np.ndarray, int]:
     return None if null else doc_id, np.frombuffer(payload, f"<u{width}", n, _HEAD.size), at + 12 + size + 5
 
 
-def library_words(spec: str, sentinel: str = "<|endoftext|>"):
-    """The tokenizers library over many words at once: ids of all, and how many each has. A special token stands between words."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_str(spec)
-    stop = own.token_to_id(sentinel)
-
-    def run(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        out, counts = [], np.zeros(len(words), np.int64)
-        for at in range(0, len(words), 2048):
-            part = [w.decode("utf-8", "replace") for w in words[at : at + 2048]]
-            odd = {k: own.encode(w, add_special_tokens=False).ids for k, w in enumerate(part) if "<|" in w}
-            ids = np.array(own.encode(sentinel.join("" if k in odd else w for k, w in enumerate(part)), add_special_tokens=False).ids, np.int64)
-            ends = np.append(np.flatnonzero(ids == stop), len(ids))
+class Library:
+    """The tokenizers library over many pieces at once, with a special token between them."""
+
+    def __init__(self, spec: str, sentinel: str = "<|endoftext|>"):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
+        from tokenizers import Tokenizer
+
+        self.own, self.sentinel = Tokenizer.from_str(spec), sentinel
+        self.stop = self.own.token_to_id(sentinel)
+        self.find = regex.compile(json.loads(spec)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        #: Words of these letters are split here as the library splits them; others go to it whole.
+        self.plain = regex.compile("[\x21-\x7e\xc0-\xff]+").fullmatch
+
+    def split(self, word: bytes) -> list[bytes]:
+        text = word.decode("utf-8", "replace")
+        if b"<|" in word or not self.plain(text):
+            return [word]
+        return [x.encode() for x in self.find(text.lower())]
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        out, counts = [], np.zeros(len(pieces), np.int64)
+        for at in range(0, len(pieces), 2048):
+            part = [w.decode("utf-8", "replace") for w in pieces[at : at + 2048]]
+            odd = {k: self.own.encode(w, add_special_tokens=False).ids for k, w in enumerate(part) if "<|" in w}
+            joined = self.sentinel.join("" if k in odd else w for k, w in enumerate(part))
+            ids = np.array(self.own.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.append(np.flatnonzero(ids == self.stop), len(ids))
             starts = np.concatenate([[0], ends[:-1] + 1])
             counts[at : at + len(part)] = ends - starts
             if odd:
@@ -80,10 +94,13 @@ def library_words(spec: str, sentinel: str = "<|endoftext|>"):
                     out.append(np.array(odd[k], np.int64) if k in odd else ids[starts[k] : ends[k]])
                     counts[at + k] = len(out[-1])
             else:
-                out.append(ids[ids != stop])
+                out.append(ids[ids != self.stop])
         return np.concatenate(out) if out else np.zeros(0, np.int64), counts
 
-    return run
+
+def library_encoder(spec: str) -> CachedEncoder:
+    own = Library(spec)
+    return CachedEncoder(own.split, own.encode_pieces)
 
 
 def _shards(docs: DataFrame) -> int:
@@ -100,10 +117,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
         spec = spark.sparkContext.broadcast(f.read())
 
     def run(batches):
-        import json
-
         width = 2 if max(json.loads(spec.value)["model"]["vocab"].values()) < 60_000 else 4
-        encoder = CachedEncoder(library_words(spec.value))
+        encoder = kept_encoder(("library", hash_of(spec.value)), lambda: library_encoder(spec.value))
         for batch in slices(batches):
             ids, ends = encoder.encode(texts_of(batch.column("text")))
             ends = ends.tolist()
