@@ -1,9 +1,589 @@
-"""Every registered query of the code-graph engine and its SQL."""
+"""Every registered query of the code-graph engine and its SQL: operators of the library over the adapters of the test tables."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from graphloom.functions import registry, text, versions
+from graphloom.operators import deps, detection, findings, graph, quality, report, rules
+from graphloom.sources import rule_files
+from graphloom.sources.testdata import frame, with_adapters
+from graphloom.streaming import polling
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a function of a table reader as a query, with the SQL of its result."""
+
+    def add(make):
+        key = name or make.__name__.strip("_")
+        _QUERIES[key] = lambda spark, sf_dir: make(lambda t: frame(spark, sf_dir, t))
+        if sql:
+            _SQL[key] = with_adapters(sql)
+        return make
+
+    return add
+
+
+REACH = "r(n) AS (SELECT module_id FROM {module} WHERE is_entry UNION SELECT e.dst FROM r JOIN {edge} e ON r.n = e.src)"
+CONFIG = "regexp_matches(regexp_extract(path, '[^/]*$'), '(package\\.json|tsconfig\\.json|jsconfig\\.json|\\.eslintrc|\\.prettierrc|next\\.config|vite\\.config|rollup\\.config)')"
+SAFETY = f"CASE WHEN is_entry THEN 'Unsafe' WHEN {CONFIG} THEN 'Unsafe' WHEN dyn THEN 'ReviewCarefully' WHEN has_side_effects THEN 'ReviewCarefully' ELSE 'SafeToDelete' END AS verdict, CASE WHEN is_entry THEN 'Entry point' WHEN {CONFIG} THEN 'Configuration file' WHEN dyn THEN 'Dynamically imported' WHEN has_side_effects THEN 'Module has side effects' ELSE '' END AS reason"
+DYN = "module_id IN (SELECT resolved_to FROM {import} WHERE kind = 'Dynamic') AS dyn"
+CLOSURE = "c(s, d) AS (SELECT src, dst FROM {ring} WHERE src <> dst UNION SELECT c.s, e.dst FROM c JOIN {ring} e ON c.d = e.src), k AS (SELECT a.s AS module_id, least(a.s, min(a.d)) AS scc_id FROM c a JOIN c b ON a.s = b.d AND a.d = b.s WHERE a.s <> a.d GROUP BY a.s)"
+
+
+def _unreachable(t) -> DataFrame:
+    return graph.unreachable_modules(t("module"), t("edge"))
+
+
+@query(f"WITH RECURSIVE {REACH} SELECT path, size, verdict, reason FROM (SELECT path, size, {SAFETY} FROM (SELECT *, {DYN} FROM {{module}}) m WHERE module_id NOT IN (SELECT n FROM r) AND NOT starts_with(path, 'virtual:'))")
+def unreachable_modules(t):
+    return graph.with_safety(_unreachable(t), t("import")).select("path", "size", "verdict", "reason")
+
+
+@query(f"SELECT path, verdict, reason FROM (SELECT path, {SAFETY} FROM (SELECT *, {DYN} FROM {{module}}) m)")
+def safety_assessment(t):
+    return graph.with_safety(t("module"), t("import")).select("path", "verdict", "reason")
+
+
+@query(f"WITH RECURSIVE {REACH}, u AS (SELECT * FROM {{module}} WHERE module_id NOT IN (SELECT n FROM r) AND NOT starts_with(path, 'virtual:')) SELECT count(*) AS modules, CAST(sum(size) AS BIGINT) AS total_bytes, CAST(sum(CASE WHEN has_side_effects THEN 0 ELSE size END) AS BIGINT) AS safe_bytes FROM u")
+def bundle_impact(t):
+    return graph.bundle_impact(_unreachable(t))
+
+
+@query("SELECT path, CAST(0 AS BIGINT) AS size FROM {module} m WHERE NOT EXISTS (SELECT 1 FROM {edge} e WHERE e.src = m.module_id OR e.dst = m.module_id) AND NOT is_entry")
+def unreachable_files(t):
+    from graphloom.sources.files import unreachable_files as files
+
+    known = t("edge").select(F.col("src").alias("module_id")).union(t("edge").select("dst")).union(t("module").where("is_entry").select("module_id"))
+    return files(t("module"), t("module").join(known.distinct(), "module_id"))
+
+
+@query("SELECT m.path, count(x.target) AS n_targets, coalesce(string_agg(x.target, ',' ORDER BY x.target), '') AS targets FROM {module} m LEFT JOIN (SELECT i.module_id, coalesce(b.path, i.source) AS target FROM {import} i LEFT JOIN {module} b ON b.module_id = i.resolved_to) x ON x.module_id = m.module_id AND NOT starts_with(x.target, 'virtual:') WHERE NOT starts_with(m.path, 'virtual:') GROUP BY m.path")
+def module_dependencies(t):
+    return graph.module_dependencies(t("module"), t("import"))
+
+
+RESOLVED = "SELECT a.path AS from_path, b.path AS to_path, b.size AS to_size, i.* FROM {import} i JOIN {module} a ON a.module_id = i.module_id JOIN {module} b ON b.module_id = i.resolved_to WHERE NOT starts_with(a.path, 'virtual:') AND NOT starts_with(b.path, 'virtual:')"
+
+
+@query(f"SELECT from_path, to_path, kind, source FROM ({RESOLVED})")
+def import_resolution_join(t):
+    return graph.resolved_imports(t("module"), t("import")).select("from_path", "to_path", "kind", "source")
+
+
+@query(f"SELECT from_path, to_path, to_size, NOT is_external AS creates_chunk FROM ({RESOLVED}) WHERE kind = 'Dynamic'")
+def dynamic_imports(t):
+    return graph.dynamic_imports(t("module"), t("import"))
+
+
+@query("SELECT path FROM {module} WHERE module_id IN (SELECT resolved_to FROM {import} WHERE kind = 'Dynamic')")
+def dynamic_targets_semi(t):
+    return t("module").join(graph.dynamic_targets(t("import")), "module_id", "left_semi").select("path")
+
+
+@query(f"SELECT from_path, count(*) AS n, CAST(sum(to_size) AS BIGINT) AS lazy_bytes, string_agg(to_path, ',' ORDER BY to_path) AS targets FROM ({RESOLVED}) WHERE kind = 'Dynamic' GROUP BY from_path")
+def dynamic_by_parent(t):
+    return graph.dynamic_by_parent(graph.dynamic_imports(t("module"), t("import")))
+
+
+@query(f"SELECT CAST(sum(to_size) AS BIGINT) AS lazy_bytes FROM ({RESOLVED}) WHERE kind = 'Dynamic'")
+def lazy_loading_potential(t):
+    return graph.dynamic_imports(t("module"), t("import")).agg(F.sum("to_size").alias("lazy_bytes"))
+
+
+SPEC = "SELECT m.path, s.source, s.name, s.line FROM {specifier} s JOIN {module} m ON m.module_id = s.module_id WHERE NOT starts_with(m.path, 'virtual:') AND "
+for _which, _test in (("side_effect", "specifier = 'None' AND kind = 'Static'"), ("namespace", "specifier = 'Namespace'"), ("type_only", "kind = 'TypeOnly'")):
+    query(SPEC + _test, f"{_which}_imports")(lambda t, w=_which: graph.specifier_imports(t("module"), t("specifier"), w))
+
+
+@query(
+    """WITH RECURSIVE o(module_id, origin, hop) AS (SELECT module_id, origin, 1 FROM {reexport} UNION ALL SELECT o.module_id, x.origin, hop + 1 FROM o JOIN {reexport} x ON x.module_id = o.origin WHERE hop < 4),
+    u AS (SELECT resolved_to AS module_id, specifier, name FROM {specifier} WHERE kind <> 'Dynamic' UNION SELECT o.origin, s.specifier, s.name FROM {specifier} s JOIN o ON o.module_id = s.resolved_to WHERE s.kind <> 'Dynamic' AND s.name <> 'default')
+    SELECT e.module_id, m.path, e.name, e.kind, e.is_type_only FROM {export} e JOIN {module} m ON m.module_id = e.module_id WHERE NOT m.is_entry AND NOT starts_with(m.path, 'virtual:')
+    AND NOT EXISTS (SELECT 1 FROM u WHERE u.module_id = e.module_id AND (u.specifier = 'Namespace' OR u.specifier IN ('Named', 'Default') AND u.name = e.name))"""
+)
+def unused_exports(t):
+    return graph.unused_exports(t("module"), t("export"), t("specifier"), t("reexport"))
+
+
+@query("SELECT count(*) FILTER (WHERE NOT is_type_only) AS runtime, count(*) FILTER (WHERE is_type_only) AS type_only FROM {export}")
+def exports_type_split(t):
+    return graph.export_split(t("export"))
+
+
+@query(f"WITH RECURSIVE {CLOSURE} SELECT module_id, scc_id FROM k")
+def cycles(t):
+    return graph.components(t("ring"))
+
+
+@query(
+    f"""WITH RECURSIVE {REACH}, {CLOSURE} SELECT scc_id, count(*) AS length, CAST(sum(size) AS BIGINT) AS total_size, bool_and(NOT is_entry AND NOT starts_with(path, 'virtual:') AND k.module_id NOT IN (SELECT n FROM r)) AS all_unreachable,
+    string_agg(regexp_extract(path, '[^/]*$'), ' -> ' ORDER BY k.module_id) AS members FROM k JOIN {{module}} m ON m.module_id = k.module_id GROUP BY scc_id"""
+)
+def cycle_sizes(t):
+    return graph.cycle_summary(graph.components(t("ring")), t("module"), _unreachable(t))
+
+
+@query(
+    """WITH RECURSIVE p(node, path, depth) AS (SELECT module_id, [module_id], 0 FROM {module} WHERE is_entry UNION ALL SELECT e.dst, list_append(p.path, e.dst), depth + 1 FROM p JOIN {edge} e ON e.src = p.node WHERE depth < 9 AND NOT list_contains(p.path, e.dst))
+    SELECT node AS module_id, depth, array_to_string(path, '>') AS chain FROM p WHERE depth > 5"""
+)
+def dependency_chains(t):
+    return graph.chains(t("module").where("is_entry").select("module_id"), t("edge"))
+
+
+@query(f"WITH RECURSIVE {REACH} SELECT m.module_id, m.path, i.importers FROM {{module}} m JOIN (SELECT dst, count(*) AS importers, bool_or(src IN (SELECT n FROM r)) AS live FROM {{edge}} GROUP BY dst) i ON i.dst = m.module_id WHERE NOT m.is_entry AND NOT i.live AND NOT starts_with(m.path, 'virtual:')")
+def dead_modules(t):
+    return graph.dead_modules(t("module"), t("edge"))
+
+
+# --- symbols and quality -----------------------------------------------------------------------
+
+KIND = "CASE WHEN raw_kind IN ('Function', 'Variable', 'Class', 'Parameter', 'TypeAlias', 'Interface', 'Enum') THEN raw_kind ELSE 'Variable' END"
+SYM = f"SELECT s.*, m.path, {KIND} AS kind FROM {{symbol}} s JOIN {{module}} m ON m.module_id = s.module_id"
+
+
+def _symbols(t) -> DataFrame:
+    return t("symbol").join(t("module").select("module_id", "path"), "module_id").withColumn("kind", quality.symbol_kind(F.col("raw_kind")))
+
+
+@query(f"SELECT path, symbol_id, name, kind, line FROM ({SYM}) WHERE NOT is_used AND NOT is_exported AND NOT starts_with(name, '_') AND NOT starts_with(path, 'virtual:')")
+def unused_symbols(t):
+    return quality.unused_symbols(_symbols(t))
+
+
+@query(f"SELECT kind, count(*) AS total, count(*) FILTER (WHERE NOT is_used) AS unused FROM ({SYM}) GROUP BY kind")
+def symbol_stats(t):
+    return quality.symbol_stats(_symbols(t))
+
+
+MEMBER = "CASE member_kind WHEN 'ClassMethod' THEN 'Method' WHEN 'ClassProperty' THEN 'Property' WHEN 'ClassGetter' THEN 'Getter' WHEN 'ClassSetter' THEN 'Setter' WHEN 'ClassConstructor' THEN 'Constructor' ELSE 'Method' END AS member"
+
+
+@query(f"SELECT path, owner, name, {MEMBER}, visibility FROM ({SYM}) WHERE NOT is_used AND NOT starts_with(name, '_') AND NOT starts_with(path, 'virtual:')")
+def unused_class_members(t):
+    return quality.unused_members(_symbols(t))
+
+
+@query(f"SELECT {MEMBER}, count(*) AS unused, count(*) FILTER (WHERE visibility = 'private') AS private, count(DISTINCT owner) AS classes FROM ({SYM}) WHERE NOT is_used GROUP BY 1")
+def class_member_stats(t):
+    return quality.member_stats(_symbols(t))
+
+
+ENUM = "CASE WHEN regexp_matches(enum_value, '^-?[0-9]+(\\.[0-9]+)?$') THEN 'Number' WHEN regexp_matches(enum_value, '^\"[^\"]*\"$') THEN 'String' ELSE 'Computed' END"
+
+
+@query(f"SELECT path, owner, name, {ENUM} AS value_kind, CASE {ENUM} WHEN 'Number' THEN enum_value WHEN 'String' THEN trim(enum_value, '\"') END AS value FROM ({SYM}) WHERE NOT is_used AND NOT starts_with(name, '_') AND NOT starts_with(path, 'virtual:')")
+def unused_enum_members(t):
+    return quality.unused_enum_members(_symbols(t))
+
+
+@query(f"SELECT count(DISTINCT (module_id, owner)) AS total_enums, count(*) AS total_members, count(*) FILTER (WHERE NOT starts_with(name, '_') AND NOT starts_with(path, 'virtual:')) AS unused_members FROM ({SYM}) WHERE NOT is_used")
+def enum_stats(t):
+    return quality.enum_stats(_symbols(t))
+
+
+SMELL = {n: f"SELECT path, symbol_id, name, line, '{n}' AS smell, {m} AS value, {d} AS threshold, '{k} ''' || name || ''' {s.split('%d')[0]}' || CAST({m} AS VARCHAR) || '{s.split('%d')[1]} (recommended: {d})' AS message, '{a}' AS advice, 'Warning' AS severity FROM ({SYM}) WHERE kind = '{k}' AND {m} > {d} AND NOT starts_with(path, 'virtual:')" for n, k, m, d, _, s, a in quality.SMELLS}
+for _name in SMELL:
+    query(SMELL[_name], f"smells_{_name}")(lambda t, n=_name: quality.smells(_symbols(t)).where(F.col("smell") == n))
+_ALL = " UNION ALL ".join(SMELL.values())
+
+
+@query(f"SELECT 'smell' AS dimension, smell AS value, count(*) AS n FROM ({_ALL}) GROUP BY smell UNION ALL SELECT 'severity', severity, count(*) FROM ({_ALL}) GROUP BY severity")
+def smell_stats(t):
+    return quality.smell_stats(quality.smells(_symbols(t)))
+
+
+# --- findings ----------------------------------------------------------------------------------
+
+CATEGORY = "CASE WHEN type = 'unused_export' AND is_type_only THEN 'types' WHEN type = 'unused_export' THEN 'exports' WHEN type IN ('unreachable_file', 'unreachable_module') THEN 'files' WHEN type = 'circular_dependency' THEN 'circular' WHEN type = 'unused_npm_dependency' THEN 'dependencies' WHEN type = 'code_smell' THEN 'quality' WHEN type IN ('dynamic_import', 'type_only_import') THEN 'imports' ELSE 'framework' END"
+IGNORES = ["**/*.test.tsx", "lib/**", "app/d3/*", "", "**/m1*.js"]
+_order = [*reversed(findings.DEFAULT_IGNORES), *(p for p in IGNORES if p)]
+_values = ", ".join(f"({k}, '{p}', '{text.glob_to_regex(p)}')" for k, p in enumerate(_order))
+MATCHED = f"SELECT f.*, g.pattern AS matched_pattern FROM {{finding}} f LEFT JOIN (SELECT finding_id, arg_min(pattern, idx) AS pattern FROM {{finding}} x JOIN (VALUES {_values}) p(idx, pattern, regex) ON regexp_matches(x.path, p.regex) GROUP BY finding_id) g ON g.finding_id = f.finding_id"
+
+
+@query(f"SELECT finding_id, type, {CATEGORY} AS category FROM {{finding}}")
+def finding_category(t):
+    return findings.with_category(t("finding")).select("finding_id", "type", "category")
+
+
+_POSITION = ", ".join(f"({k}, '{n}')" for k, n in enumerate(findings.CATEGORIES))
+
+
+@query(f"SELECT position, name, coalesce(n, 0) AS n FROM (VALUES {_POSITION}) c(position, name) LEFT JOIN (SELECT {CATEGORY} AS category, count(*) AS n FROM {{finding}} GROUP BY 1) f ON f.category = c.name")
+def category_counts(t):
+    return findings.category_counts(t("finding"))
+
+
+_COUNTED = ("unused_export", "unreachable_module", "unreachable_file", "circular_dependency", "dynamic_import", "code_smell", "framework_export", "unused_npm_dependency", "type_only_import")
+
+
+@query(
+    f"""SELECT {', '.join(f"count(*) FILTER (WHERE type = '{x}') AS {x}" for x in _COUNTED)}, count(*) AS findings, (SELECT count(*) FROM {{module}}) AS modules, (SELECT count(*) FROM {{module}} WHERE NOT starts_with(path, 'virtual:')) AS real_modules,
+    (SELECT count(*) FROM {{import}}) AS dependencies, (SELECT count(DISTINCT source) FROM {{import}} WHERE is_external) AS external FROM {{finding}}"""
+)
+def statistics_row(t):
+    return findings.statistics(t("finding"), t("module"), t("import"))
+
+
+@query(f"SELECT finding_id, path, matched_pattern IS NULL AS kept FROM ({MATCHED})")
+def ignore_split(t):
+    return findings.split_ignored(t("finding"), IGNORES).select("finding_id", "path", F.col("matched_pattern").isNull().alias("kept"))
+
+
+@query(f"SELECT finding_id, matched_pattern FROM ({MATCHED}) WHERE matched_pattern IS NOT NULL")
+def ignore_first_match(t):
+    return findings.split_ignored(t("finding"), IGNORES).where("matched_pattern is not null").select("finding_id", "matched_pattern")
+
+
+@query(f"SELECT {', '.join(f"count(*) FILTER (WHERE type = '{x}') AS {x}" for x in findings.BREAKDOWN)} FROM ({MATCHED}) WHERE matched_pattern IS NOT NULL")
+def ignored_breakdown(t):
+    return findings.ignored_breakdown(findings.split_ignored(t("finding"), IGNORES).where("matched_pattern is not null"))
+
+
+_FOUR = ("unused_export", "unreachable_module", "framework_export", "circular_dependency")
+
+
+@query(f"SELECT {', '.join(f"count(*) FILTER (WHERE type = '{x}' AND matched_pattern IS NULL) AS {x}, count(*) FILTER (WHERE type = '{x}') AS stale_{x}" for x in _FOUR)} FROM ({MATCHED})")
+def recalculated_statistics(t):
+    return findings.recalculated(t("finding"), IGNORES)
+
+
+@query(f"SELECT finding_id, category FROM (SELECT finding_id, {CATEGORY} AS category FROM {{finding}}) WHERE category IN ('files', 'types')")
+def category_retention(t):
+    return findings.retain(t("finding"), ["files", "types"]).select("finding_id", "category")
+
+
+@query("SELECT DISTINCT name, CASE WHEN name IN ('symbols', 'types', 'imports', 'quality') THEN 'granted' ELSE 'refused' END AS outcome, CASE WHEN name IN ('symbols', 'types', 'imports', 'quality') THEN NULL WHEN name = 'framework' THEN 'requires package.json' ELSE 'requires full graph' END AS reason FROM (SELECT CASE event_type WHEN 'click' THEN 'files' WHEN 'error' THEN 'quality' WHEN 'view' THEN 'symbols' ELSE 'framework' END AS name FROM events)")
+def capability_partition(t):
+    asked = t("events").select(F.when(F.col("event_type") == "click", "files").when(F.col("event_type") == "error", "quality").when(F.col("event_type") == "view", "symbols").otherwise("framework").alias("name"))
+    return findings.partition_categories(asked.union(asked.sparkSession.createDataFrame([("nonsense",)], "name string")), findings.capabilities(asked.sparkSession, "files"))
+
+
+@query("SELECT finding_id, type FROM {finding} WHERE type = 'code_smell' UNION ALL SELECT finding_id, type FROM {finding} WHERE type = 'unreachable_file'")
+def findings_union(t):
+    f = t("finding")
+    return findings.union_findings([f.where("type = 'code_smell'").select("finding_id", "type"), f.where("type = 'unreachable_file'").select("type", "finding_id")])
+
+
+@query("SELECT has_side_effects, CAST(rank AS INTEGER) AS rank, path, CASE WHEN size >= 1048576 THEN printf('%.2f MB', size / 1048576.0) WHEN size >= 1024 THEN printf('%.1f KB', size / 1024.0) ELSE CAST(size AS VARCHAR) || ' bytes' END AS shown, greatest(n - 10, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY has_side_effects ORDER BY size DESC, path) AS rank, count(*) OVER (PARTITION BY has_side_effects) AS n FROM {module}) WHERE rank <= 10")
+def topk_per_group(t):
+    return findings.files_section(t("module"))
+
+
+@query("WITH f AS (SELECT m.path, e.name FROM {export} e JOIN {module} m ON m.module_id = e.module_id WHERE NOT is_type_only ORDER BY m.path, e.name LIMIT 50) SELECT path, string_agg(name, ', ' ORDER BY name) AS names, count(*) AS n FROM f GROUP BY path ORDER BY path LIMIT 10")
+def exports_section(t):
+    return findings.exports_section(t("export").join(t("module").select("module_id", "path"), "module_id"))
+
+
+_JSON = "SELECT finding_id, chr(123) || '\"category\":\"' || " + CATEGORY + " || '\",\"finding_id\":' || finding_id || ',\"is_type_only\":' || CAST(is_type_only AS VARCHAR) || ',\"module_id\":' || module_id || CASE WHEN path IS NULL THEN '' ELSE ',\"path\":\"' || path || '\"' END || ',\"size\":' || size || ',\"type\":\"' || type || '\"' || chr(125) AS json FROM {finding}"
+
+
+@query(_JSON)
+def json_report(t):
+    return findings.json_rows(t("finding"))
+
+
+# --- rules and detection -----------------------------------------------------------------------
+
+
+def _rule_rows(t) -> DataFrame:
+    return rules.rule_rows(t("module"), t("export"), t("specifier"))
+
+
+_IMPORTS = "EXISTS (SELECT 1 FROM {specifier} s WHERE s.module_id = e.module_id AND "
+#: One rule for each kind of condition: match table and the same condition in SQL over e (export with path).
+CONDITIONS: dict[str, tuple[dict, str]] = {
+    "import_from": ({"import_from": ["react", "pkg1/x"]}, f"{_IMPORTS} s.source IN ('react', 'pkg1/x'))"),
+    "import_from_pattern": ({"import_from_pattern": "^@scope/"}, f"{_IMPORTS} regexp_matches(s.source, '^@scope/'))"),
+    "import_specifiers": ({"import_from": "react", "import_specifiers": ["default"]}, f"{_IMPORTS} s.source = 'react' AND s.specifier IN ('Named', 'Default') AND s.name = 'default')"),
+    "import_default": ({"import_from": "react", "import_default": True}, f"{_IMPORTS} s.source = 'react' AND s.specifier = 'Default')"),
+    "import_namespace": ({"import_from_pattern": "^pkg", "import_namespace": True}, f"{_IMPORTS} regexp_matches(s.source, '^pkg') AND s.specifier = 'Namespace')"),
+    "export_name": ({"export_name": ["GET", "default"]}, "e.name IN ('GET', 'default')"),
+    "export_pattern": ({"export_pattern": "^use[A-Z][a-z]+"}, "regexp_matches(e.name, '^use[A-Z][a-z]+')"),
+    "export_type": ({"export_type": "const"}, "NOT e.is_type_only AND e.name <> '' AND (NOT regexp_matches(e.name, '^[A-Z]') OR regexp_matches(e.name, '^[A-Z_]+$') AND contains(e.name, '_'))"),
+    "export_type_class": ({"export_type": "class"}, "NOT e.is_type_only AND regexp_matches(e.name, '^[A-Z]')"),
+    "path_starts_with": ({"path_starts_with": ["pages/", "app/d1"]}, "(starts_with(e.path, 'pages/') OR starts_with(e.path, 'app/d1'))"),
+    "path_ends_with": ({"path_ends_with": [".tsx", ".vue"]}, "(ends_with(e.path, '.tsx') OR ends_with(e.path, '.vue'))"),
+    "path_pattern": ({"path_pattern": "/(pages|app)/d[2-4]/.*[.]tsx?$"}, "regexp_matches('/' || e.path, '/(pages|app)/d[2-4]/.*[.]tsx?$')"),
+    "not_import_from": ({"not_import_from": "react"}, f"NOT {_IMPORTS} s.source = 'react')"),
+    "not_export_name": ({"not_export_name": ["default"]}, "e.name <> 'default'"),
+    "not_export_pattern": ({"not_export_pattern": "^(use|helper)"}, "NOT regexp_matches(e.name, '^(use|helper)')"),
+    "not_path_pattern": ({"not_path_pattern": "[.]test[.]"}, "NOT regexp_matches('/' || e.path, '[.]test[.]')"),
+    "usage_count": ({"min_usage_count": 2, "max_usage_count": 4}, "coalesce(e.usage_count BETWEEN 2 AND 4, FALSE)"),
+}
+EXPORTS = "SELECT x.*, m.path FROM {export} x JOIN {module} m ON m.module_id = x.module_id"
+for _key, (_match, _where) in CONDITIONS.items():
+    query(f"SELECT module_id, path, name FROM ({EXPORTS}) e WHERE {_where}", f"rule_{_key}")(lambda t, m=_match, k=_key: _rule_rows(t).where(rules.Rule(k, m).predicate()).select("module_id", "path", "name"))
+
+
+@query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND length(text) <= 10485760 AND regexp_matches(text, 'licensed under|@public')")
+def rule_content_pattern(t):
+    rows = t("documents").select("doc_id", F.col("text").alias("content"))
+    return rows.where(rules.Rule("content", {"content_pattern": "licensed under|@public"}).predicate()).select("doc_id")
+
+
+ORDERED = ("export_name", "path_ends_with", "export_pattern", "path_starts_with", "usage_count")
+_cases = " UNION ALL ".join(f"SELECT module_id, path, name, {k} AS rule_idx, '{n}' AS rule, {'TRUE' if n.startswith('path') else 'FALSE'} AS file_only FROM ({EXPORTS}) e WHERE {CONDITIONS[n][1]}" for k, n in enumerate(ORDERED))
+MATCHES = f"SELECT * FROM (SELECT *, min(CASE WHEN file_only THEN rule_idx END) OVER (PARTITION BY module_id) AS ff FROM ({_cases})) WHERE ff IS NULL OR rule_idx <= ff"
+
+
+def _matches(t) -> DataFrame:
+    return rules.evaluate(_rule_rows(t), [rules.Rule(n, CONDITIONS[n][0]) for n in ORDERED])
+
+
+@query(f"SELECT module_id, name, CAST(rule_idx AS INTEGER) AS rule_idx, rule FROM ({MATCHES})")
+def rule_first_match(t):
+    return _matches(t).select("module_id", "name", "rule_idx", "rule")
+
+
+@query(f"SELECT module_id, path, name, arg_min(rule, rule_idx) AS rule, count(*) AS rules FROM ({MATCHES}) GROUP BY ALL")
+def framework_used_exports(t):
+    return rules.marked_used(_matches(t))
+
+
+@query(f"SELECT CAST(rule_idx AS INTEGER) AS rule_idx, rule, count(*) FILTER (WHERE NOT file_only) AS marked, count(*) FILTER (WHERE file_only) AS skipped FROM ({MATCHES}) GROUP BY ALL")
+def rule_statistics(t):
+    return rules.rule_stats(_matches(t))
+
+
+EVIDENCE = """SELECT framework, type, pattern, weight FROM (
+    SELECT source AS v, 'import' AS type FROM {import} UNION ALL SELECT path, 'file_path' FROM {module} UNION ALL SELECT path, 'file_extension' FROM {module}) x JOIN (VALUES
+    ('React', 'import', '^react$', 1.0, '^react$'), ('React', 'import', '^react-dom$', 0.8, '^react-dom$'), ('Next.js', 'import', '^next$', 1.0, '^next$'), ('Next.js', 'import', '^next/', 0.9, '^next/'),
+    ('Next.js', 'file_path', '**/app/**', 0.7, '^(.*/)?app/.*$'), ('Next.js', 'file_path', '**/pages/**', 0.7, '^(.*/)?pages/.*$'), ('Next.js', 'file_path', 'middleware.{ts,js}', 0.8, '^(.*/)?middleware\\.(ts|js)$'),
+    ('Vue', 'import', '^vue$', 1.0, '^vue$'), ('Vue', 'import', '^@vue/', 0.9, '^@vue/'), ('Vue', 'file_extension', '.vue', 0.8, '\\.vue$'), ('Vue', 'file_path', 'nuxt.config.{ts,js}', 0.9, '^(.*/)?nuxt\\.config\\.(ts|js)$'),
+    ('Svelte', 'import', '^svelte$', 1.0, '^svelte$'), ('Svelte', 'file_extension', '.svelte', 0.8, '\\.svelte$')) d(framework, type, pattern, weight, regex) USING (type) WHERE regexp_matches(v, regex)"""
+EVIDENCE = EVIDENCE.replace("{ts,js}", "' || chr(123) || 'ts,js' || chr(125) || '")
+CONFIDENCE = f"SELECT framework, round(least(1.0, CAST(sum(weight) AS DOUBLE)), 6) AS confidence, count(*) AS hits, string_agg(DISTINCT type || ':' || pattern, ', ' ORDER BY type || ':' || pattern) AS evidence FROM ({EVIDENCE}) GROUP BY framework"
+
+
+def _evidence(t) -> DataFrame:
+    files = rule_files.builtin()
+    by_import = detection.evidence(t("import"), "source", ("import",), files)
+    return detection.confidence(by_import.union(detection.evidence(t("module"), "path", ("file_path", "file_extension"), files)))
+
+
+@query(CONFIDENCE)
+def framework_confidence(t):
+    return _evidence(t)
+
+
+@query(f"SELECT framework FROM ({CONFIDENCE}) c WHERE NOT (framework = 'React' AND EXISTS (SELECT 1 FROM ({CONFIDENCE}) n WHERE n.framework = 'Next.js'))")
+def framework_suppression(t):
+    return detection.suppress(_evidence(t), rule_files.builtin()).select("framework")
+
+
+@query(f"SELECT framework, priority, CAST(row_number() OVER (ORDER BY priority DESC, confidence DESC, framework) AS INTEGER) AS rank FROM (SELECT *, CASE framework WHEN 'Next.js' THEN 100 ELSE 50 END AS priority FROM ({CONFIDENCE}))")
+def framework_rank(t):
+    return detection.ranked(_evidence(t), rule_files.builtin()).select("framework", "priority", "rank")
+
+
+@query(
+    """SELECT e.module_id, e.name, CASE WHEN EXISTS (SELECT 1 FROM {specifier} s WHERE s.module_id = e.module_id AND s.source = 'react') THEN 'React'
+    WHEN regexp_matches(e.path, '^(.*/)?(app|pages)/.*$') THEN 'Next.js' WHEN ends_with(e.path, '.vue') THEN 'Vue' ELSE 'Unknown' END AS framework FROM (SELECT x.*, m.path FROM {export} x JOIN {module} m ON m.module_id = x.module_id) e"""
+)
+def export_framework(t):
+    return detection.export_framework(_rule_rows(t), rule_files.builtin()).select("module_id", "name", "framework")
+
+
+# --- dependencies ------------------------------------------------------------------------------
+
+PACKAGE = "CASE WHEN starts_with(source, '@') THEN array_to_string(list_slice(string_split(source, '/'), 1, 2), '/') ELSE string_split(source, '/')[1] END"
+USED = f"SELECT DISTINCT {PACKAGE} AS package FROM {{import}} WHERE is_external"
+
+
+@query(f"SELECT package, dep_type FROM {{dependency}} WHERE dep_type <> 'Peer' AND package NOT IN ({USED})")
+def unused_packages(t):
+    return deps.unused_packages(t("dependency"), t("import"))
+
+
+@query(f"SELECT coalesce(dep_type, 'total') AS dep_type, count(*) AS declared, count(u.package) AS used, count(*) - count(u.package) AS unused, round(count(u.package) * 100.0 / count(*), 4) AS percent FROM (SELECT d.dep_type, u.package FROM {{dependency}} d LEFT JOIN ({USED}) u ON u.package = d.package) u GROUP BY ROLLUP (dep_type)")
+def dependency_coverage(t):
+    return deps.coverage(t("dependency"), t("import"))
+
+
+def _triple(x: str, k: int) -> str:
+    return f"TRY_CAST(nullif(regexp_extract({x}, '^([0-9]+)\\.([0-9]+)\\.([0-9]+)(-([0-9A-Za-z.-]+))?$', {k}), '') AS BIGINT)"
+
+
+STRIPPED = "regexp_replace(version_req, '^(\\^|~|>=)', '')"
+PARTS = f"SELECT d.dep_no, d.package, d.dep_type, d.version_req, l.version AS latest, {', '.join(f'{_triple(STRIPPED, k)} AS c{k}, {_triple('l.version', k)} AS l{k}' for k in (1, 2, 3))}, contains(l.version, '-') AS pre, {', '.join(f'{_triple("regexp_replace(trim(version_req), '^(\\^|~|>=|=)[ ]*', '')", k)} AS b{k}' for k in (1, 2, 3))} FROM {{dependency}} d JOIN {{latest}} l ON l.dep_no = d.dep_no WHERE NOT d.workspace"
+UPDATES = f"""SELECT dep_no, package, dep_type, version_req, latest, CASE WHEN c1 IS NULL OR NOT ((l1, l2, l3) > (c1, c2, c3)) THEN 'None' WHEN l1 > c1 THEN 'Major' WHEN l2 > c2 THEN 'Minor' WHEN l3 > c3 THEN 'Patch' ELSE 'None' END AS update_type,
+    CASE WHEN pre THEN FALSE WHEN starts_with(version_req, '^') THEN (l1, l2, l3) >= (b1, b2, b3) AND CASE WHEN b1 > 0 THEN l1 = b1 WHEN b2 > 0 THEN l1 = 0 AND l2 = b2 ELSE (l1, l2, l3) = (b1, b2, b3) END
+    WHEN starts_with(version_req, '~') THEN (l1, l2, l3) >= (b1, b2, b3) AND l1 = b1 AND l2 = b2 WHEN starts_with(version_req, '>=') THEN (l1, l2, l3) >= (b1, b2, b3) ELSE (l1, l2, l3) = (b1, b2, b3) END AS satisfied FROM ({PARTS})"""
+
+
+@query(UPDATES)
+def update_recommendations(t):
+    return deps.updates(t("dependency"), t("latest"))
+
+
+@query(f"SELECT dep_no, update_type FROM ({UPDATES}) WHERE update_type IN ('Minor', 'Patch')")
+def safe_updates(t):
+    return deps.safe_updates(deps.updates(t("dependency"), t("latest"))).select("dep_no", "update_type")
+
+
+@query(f"SELECT dep_no, CASE WHEN c1 IS NULL THEN 'None' WHEN l1 > c1 THEN 'Major' WHEN l2 > c2 THEN 'Minor' WHEN l3 > c3 THEN 'Patch' ELSE 'None' END AS update_type FROM ({PARTS})")
+def version_update_type(t):
+    return deps.updates(t("dependency"), t("latest"), compat=True).select("dep_no", "update_type")
+
+
+@query(f"SELECT dep_no, satisfied FROM ({UPDATES})")
+def version_satisfies(t):
+    return deps.updates(t("dependency"), t("latest")).select("dep_no", "satisfied")
+
+
+@query(f"SELECT dep_no, version, CAST(dense_rank() OVER (ORDER BY {_triple('version', 1)}, {_triple('version', 2)}, {_triple('version', 3)}, NOT contains(version, '-'), regexp_extract(version, '-(.*)$', 1)) AS INTEGER) AS rank FROM {{latest}}")
+def version_order(t):
+    return deps.version_order(t("latest"), "dep_no", "version")
+
+
+@query("SELECT package, dep_type, version_req AS old_req, CASE WHEN dep_no % 5 = 0 THEN '9.0.0' ELSE version_req END AS new_req, dep_no % 5 = 0 AS changed FROM {dependency} WHERE NOT starts_with(package, '@')")
+def manifest_update(t):
+    own = t("dependency").where("not startswith(package, '@')")
+    return deps.apply_updates(own, own.where("dep_no % 5 = 0").select("package", "dep_type", F.lit("9.0.0").alias("new_req")))
+
+
+@query("WITH f AS (SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS folder FROM {module} WHERE module_id % 3 = 0 AND len(string_split(path, '/')) = 3 UNION SELECT 'src') SELECT m.path, coalesce((SELECT folder FROM f WHERE folder = regexp_replace(m.path, '/[^/]*$', '') AND contains(m.path, '/')), CASE WHEN starts_with(m.path, 'src/') THEN 'src' END) AS manifest_folder FROM {module} m")
+def nearest_manifest(t):
+    folders = t("module").where("module_id % 3 = 0 and size(split(path, '/')) = 3").select(F.substring_index("path", "/", 2).alias("folder")).distinct()
+    return deps.nearest_manifest(t("module").select("path"), folders.union(folders.sparkSession.createDataFrame([("src",)], "folder string")))
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN FALSE WHEN c_nationkey % 2 = 0 THEN c_mktsegment IN ('MACHINERY', 'HOUSEHOLD') ELSE TRUE END AS enabled FROM customer")
+def member_enabled(t):
+    allow = F.when(F.col("c_nationkey") % 2 == 0, F.array(F.lit("MACHINERY"), F.lit("HOUSEHOLD"))).otherwise(F.array().cast("array<string>"))
+    return t("customer").select("c_custkey", deps.member_enabled(F.col("c_mktsegment"), allow, F.array(F.lit("BUILDING"))).alias("enabled"))
+
+
+# --- scalar functions --------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, CASE WHEN n >= 1048576 THEN printf('%.2f MB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.1f KB', n / 1024.0) ELSE CAST(n AS VARCHAR) || ' bytes' END AS shown FROM (SELECT p_partkey, p_partkey * p_partkey * 3 AS n FROM part)")
+def format_bytes(t):
+    return t("part").select("p_partkey", text.format_bytes(F.col("p_partkey") * F.col("p_partkey") * 3).alias("shown"))
+
+
+@query("SELECT item_id, sha256(text) AS sha256_hex FROM benchmark")
+def checksum(t):
+    return t("benchmark").select("item_id", registry.sha256_hex(F.col("text")).alias("sha256_hex"))
+
+
+URLS = "CASE page_id % 5 WHEN 0 THEN 'https://github.com/own' || page_id || '/repo' WHEN 1 THEN 'git+https://github.com/own' || page_id || '/repo.git' WHEN 2 THEN 'git@github.com:own' || page_id || '/repo.git' WHEN 3 THEN url ELSE ' https://github.com/o/r' || page_id || '.git ' END"
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 5 IN (0, 1, 2) THEN 'own' || page_id WHEN page_id % 5 = 4 THEN 'o' END AS owner, CASE WHEN page_id % 5 IN (0, 1, 2) THEN 'repo' WHEN page_id % 5 = 4 THEN 'r' || page_id END AS repo, CASE WHEN page_id % 5 IN (0, 1, 2) THEN 'https://github.com/own' || page_id || '/repo' WHEN page_id % 5 = 4 THEN 'https://github.com/o/r' || page_id END AS canonical FROM pages")
+def repository_parse(t):
+    rows = t("pages").select("page_id", F.expr(URLS).alias("address"))
+    return rows.withColumns(registry.repository(F.col("address"))).drop("address")
+
+
+LINES = "CASE event_id % 7 WHEN 0 THEN '## [' || (event_id % 5) || '.2.3] - 2024-01-15' WHEN 1 THEN '## ' || (event_id % 5) || '.0.1 (2024-02-01)' WHEN 2 THEN '# v1.' || (event_id % 5) || '.3 / 2024-01-15' WHEN 3 THEN '## [1.2.' || (event_id % 5) || ']' WHEN 4 THEN 'text ' || event_id WHEN 5 THEN '### Fixed' ELSE '## 1.2.' || (event_id % 5) || '-rc.1' END"
+
+
+@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN (event_id % 5) || '.2.3' WHEN 1 THEN (event_id % 5) || '.0.1' WHEN 2 THEN '1.' || (event_id % 5) || '.3' WHEN 3 THEN '1.2.' || (event_id % 5) WHEN 6 THEN '1.2.' || (event_id % 5) || '-rc.1' END AS version, CASE event_id % 7 WHEN 0 THEN '2024-01-15' WHEN 1 THEN '2024-02-01' WHEN 2 THEN '2024-01-15' END AS date FROM events")
+def heading_parse(t):
+    return t("events").select("event_id", F.expr(LINES).alias("line")).withColumns(registry.heading(F.col("line"))).drop("line")
+
+
+CHANGELOG = "SELECT user_id, string_agg(line, chr(10) ORDER BY event_id) AS body FROM (SELECT user_id, event_id, " + LINES + " AS line FROM events) GROUP BY user_id"
+
+
+@query(
+    """WITH l AS (SELECT user_id, event_id, """ + LINES + """ AS line, event_id % 7 IN (0, 1, 2, 3, 6) AS head FROM events),
+    n AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS entry_no FROM l)
+    SELECT user_id, CAST(entry_no AS BIGINT) AS entry_no, CAST(count(*) FILTER (WHERE NOT head) AS BIGINT) AS lines, coalesce(string_agg(line, chr(10) ORDER BY event_id) FILTER (WHERE NOT head), '') AS body FROM n GROUP BY user_id, entry_no"""
+)
+def changelog_segments(t):
+    lines = t("events").select("user_id", F.struct("event_id", F.expr(LINES).alias("line")).alias("l"))
+    logs = lines.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x.line), "\n").alias("body"))
+    out = registry.segments(logs, "user_id", "body")
+    return out.select("user_id", "entry_no", F.when(F.col("body") == "", 0).otherwise(F.size(F.split("body", "\n"))).cast("long").alias("lines"), "body")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '**/' || p_name WHEN 1 THEN '**/x' || p_partkey WHEN 2 THEN '' ELSE '**/a/b' || p_partkey END AS glob FROM part")
+def gitignore_to_glob(t):
+    line = F.expr("CASE p_partkey % 4 WHEN 0 THEN p_name || '/' WHEN 1 THEN '/x' || p_partkey WHEN 2 THEN '!' || p_name ELSE ' a/b' || p_partkey || '// ' END")
+    return t("part").select("p_partkey", text.gitignore_column(line).alias("glob"))
+
+
+@query("SELECT p_partkey, regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9-]', '-', 'g') AS slug FROM part")
+def project_slug(t):
+    return t("part").select("p_partkey", text.slug(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"))
+
+
+@query("SELECT event_id, 'node_modules/p' || event_id AS key, 'p' || event_id AS name, '1.0.' || (event_id % 9) AS version FROM events WHERE event_id % 3 <> 0")
+def lockfile_npm(t):
+    from graphloom.sources.lockfiles import npm_lock
+
+    entry = F.concat(F.lit('"'), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("x/p"), F.col("event_id"))).otherwise(F.concat(F.lit("node_modules/p"), F.col("event_id"))), F.lit('":{"version":"1.0.'), F.col("event_id") % 9, F.lit('"}'))
+    files = t("events").select(F.concat(F.lit("lock"), F.col("user_id")).alias("path"), entry.alias("e")).groupBy("path").agg(F.concat(F.lit('{"packages":{"":{"version":"0"},'), F.array_join(F.collect_list("e"), ","), F.lit("}}")).alias("content"))
+    return npm_lock(files).select(F.substring("name", 2, 20).cast("long").alias("event_id"), F.concat(F.lit("node_modules/"), F.col("name")).alias("key"), "name", "version")
+
+
+# --- reports -----------------------------------------------------------------------------------
+
+
+@query("SELECT count(*) FILTER (WHERE a AND b) AS common, count(*) FILTER (WHERE NOT b) AS only_a, count(*) FILTER (WHERE NOT a) AS only_b, round(count(*) FILTER (WHERE a AND b) * 100.0 / greatest(count(*) FILTER (WHERE a), count(*) FILTER (WHERE b)), 4) AS agreement FROM (SELECT path, bool_or(type = 'unused_export') AS a, bool_or(type = 'code_smell') AS b FROM {finding} WHERE type IN ('unused_export', 'code_smell') GROUP BY path)")
+def overlap(t):
+    f = t("finding")
+    return report.overlap(f.where("type = 'unused_export'"), f.where("type = 'code_smell'"), ["path"])
+
+
+@query(
+    """WITH f AS (SELECT DISTINCT lower(path) AS path, CAST(module_id AS VARCHAR) AS name FROM {finding} WHERE type = 'unused_export'), t AS (SELECT lower(path) AS path, CAST(module_id AS VARCHAR) AS name, module_id % 2 = 0 AS unused FROM {module} WHERE module_id % 5 <> 0),
+    c AS (SELECT count(*) FILTER (WHERE f.path IS NOT NULL AND unused) AS tp, count(*) FILTER (WHERE f.path IS NOT NULL AND NOT unused) AS fp, count(*) FILTER (WHERE f.path IS NULL AND unused) AS fn FROM f FULL JOIN t ON f.path = t.path AND f.name = t.name)
+    SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM c"""
+)
+def accuracy(t):
+    found = t("finding").where("type = 'unused_export'").select(F.upper("path").alias("path"), F.col("module_id").cast("string").alias("name"))
+    truth = t("module").where("module_id % 5 <> 0").select("path", F.col("module_id").cast("string").alias("name"), (F.col("module_id") % 2 == 0).alias("is_unused"))
+    return report.accuracy(found, truth)
+
+
+BENCH = "SELECT tool, count(*) AS runs, min(micros) AS least, max(micros) AS most, round(avg(micros), 4) AS mean, max(CASE WHEN k = n // 2 + 1 THEN micros END) AS median, round(stddev_pop(micros), 4) AS deviation, round(count(*) FILTER (WHERE success) * 100.0 / count(*), 4) AS success_rate FROM (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY micros, run_no) AS k, count(*) OVER (PARTITION BY tool) AS n FROM {run}) GROUP BY tool"
+
+
+@query(BENCH)
+def bench_stats(t):
+    return report.bench_stats(t("run"))
+
+
+@query(f"SELECT tool, (SELECT arg_min(tool, mean) FROM ({BENCH})) AS best, round((mean - (SELECT min(mean) FROM ({BENCH}))) * 100.0 / (SELECT min(mean) FROM ({BENCH})), 4) AS slower_percent FROM ({BENCH})")
+def bench_ranking(t):
+    return report.fastest(report.bench_stats(t("run")))
+
+
+@query("SELECT tool, CAST(rank AS INTEGER) AS rank, run_no, micros, previous, CASE WHEN previous > 0 THEN round((micros - previous) * 100.0 / previous, 4) END AS change_percent FROM (SELECT *, row_number() OVER w AS rank, lead(micros) OVER w AS previous FROM {run} WINDOW w AS (PARTITION BY tool ORDER BY ts DESC, run_no DESC)) WHERE rank <= 10")
+def run_trend(t):
+    return report.trend(t("run"))
+
+
+@query("SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_checked FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 60 MINUTE <= TIMESTAMP '2024-01-31 00:00:00'")
+def due_projects(t):
+    return polling.due_projects(t("events"), "2024-01-31 00:00:00")
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(t):
+    return polling.event_windows(t("events")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
+@query("WITH s AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM n GROUP BY user_id, k")
+def event_sessions(t):
+    return polling.sessions(t("events")).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)

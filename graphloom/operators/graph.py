@@ -18,7 +18,7 @@ from graphloom.storage import cut
 LOCAL_EDGES = 200_000
 
 #: Fragments that make a file name a configuration file's.
-CONFIG_FRAGMENTS = ("next.config", "vite.config", "webpack.config", "rollup.config", "jest.config", "vitest.config", "tailwind.config", "postcss.config")
+CONFIG_FRAGMENTS = ("package.json", "tsconfig.json", "jsconfig.json", ".eslintrc", ".prettierrc", "next.config", "vite.config", "rollup.config")
 
 
 def not_virtual(path: Column) -> Column:  # D20
@@ -81,11 +81,10 @@ def unreachable_modules(modules: DataFrame, edges: DataFrame) -> DataFrame:  # G
 
 def safety(is_dynamic_target: Column) -> dict[str, Column]:  # G17
     """verdict and reason, the first that holds: entry, configuration file, dynamic target, side effects, else safe."""
-    case = F.when(F.col("is_entry"), F.struct(F.lit("Unsafe").alias("verdict"), F.lit("Entry point").alias("reason")))
-    case = case.when(is_config(F.col("path")), F.struct(F.lit("Unsafe"), F.lit("Configuration file")))
-    case = case.when(is_dynamic_target, F.struct(F.lit("ReviewCarefully"), F.lit("Dynamically imported")))
-    case = case.when(F.col("has_side_effects"), F.struct(F.lit("ReviewCarefully"), F.lit("Module has side effects")))
-    case = case.otherwise(F.struct(F.lit("SafeToDelete"), F.lit("")))
+    said = lambda verdict, reason: F.struct(F.lit(verdict).alias("verdict"), F.lit(reason).alias("reason"))
+    case = F.when(F.col("is_entry"), said("Unsafe", "Entry point")).when(is_config(F.col("path")), said("Unsafe", "Configuration file"))
+    case = case.when(is_dynamic_target, said("ReviewCarefully", "Dynamically imported")).when(F.col("has_side_effects"), said("ReviewCarefully", "Module has side effects"))
+    case = case.otherwise(said("SafeToDelete", ""))
     return {"verdict": case["verdict"], "reason": case["reason"]}
 
 

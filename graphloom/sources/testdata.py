@@ -13,7 +13,7 @@ ADAPTERS = {
     "module": """
         SELECT p_partkey AS module_id,
                CASE WHEN p_partkey % 61 = 7 THEN 'virtual:m' || CAST(p_partkey AS STRING)
-                    WHEN p_partkey % 53 = 9 THEN 'conf/m' || CAST(p_partkey AS STRING) || '/webpack.config.js'
+                    WHEN p_partkey % 53 = 9 THEN 'conf/m' || CAST(p_partkey AS STRING) || '/next.config.js'
                     ELSE CASE p_partkey % 5 WHEN 0 THEN 'src' WHEN 1 THEN 'pages' WHEN 2 THEN 'app' WHEN 3 THEN 'lib' ELSE 'dist' END
                          || '/d' || CAST(p_partkey % 7 AS STRING) || '/m' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 23 = 5 THEN '.test' ELSE '' END
                          || CASE p_partkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' WHEN 2 THEN '.js' ELSE '.vue' END END AS path,
