@@ -101,7 +101,8 @@ def in_range_udf():
     """in_range over Arrow batches, for ranges that satisfies() can't read."""
     import pandas as pd
 
-    def run(version: pd.Series, req: pd.Series) -> pd.Series:
+    def run(version, req):
         return pd.Series([in_range(a, b) if a is not None and b is not None else None for a, b in zip(version, req, strict=True)], dtype="object")
 
+    run.__annotations__ = {"version": pd.Series, "req": pd.Series, "return": pd.Series}  # as objects: annotations are strings in this module
     return F.pandas_udf(run, "boolean")

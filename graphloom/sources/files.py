@@ -24,7 +24,7 @@ def check_root(root: str) -> str:  # A2, A7
 
 
 def discover(spark: SparkSession, root: str, ignores: list[str] | None = None) -> DataFrame:  # A1, A3, A4
-    """(path, length, content) of source files below root: known extensions, at most 10 MiB, no hidden parts, paths relative to root."""
+    """(path, length, content) of source files below root: known extensions, at most 10 MiB, no hidden parts, paths relative to root. The reader skips files of no bytes."""
     from graphloom.functions.text import glob_to_regex
 
     root = check_root(root)
