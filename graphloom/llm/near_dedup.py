@@ -6,9 +6,9 @@
    family of copies from pushing its own members apart. 48 consistent weighted samples make a signature, 12 bands of 4 the buckets.
 3. Exact copies are one text from here on. In each bucket every text is compared with the one of the least doc_id (a star, so no bucket
    emits its pairs), by the weighted Jaccard similarity of the whole texts; links of 0.8 or more join texts into classes.
-4. Buckets that still hold several classes are looked at again: texts outside the centre's class probe the others by their signatures, in
-   chunks, and are compared with the members that most probes resemble; at last every pair across classes whose
-   signatures agree in 27 of 48 places (0.8 would give 38.4 +- 2.8) is compared. So no link that shares a bucket is dropped.
+4. Buckets of three texts or more that still hold several classes are looked at again: the texts outside the centre's class are compared
+   exactly with all others of the bucket, in blocks of bounded size by products of their shingle matrices, which give as
+   many links as join classes and no pairs. So no link between texts that share a bucket is lost.
 
 Defined cases: a text of one to four words is one shingle; texts without words, null among them, are classes of exact copies only (null
 equals empty); a null doc_id never names a class unless all its ids are null; repeated rows give a row each; an empty table gives no rows;
@@ -36,8 +36,8 @@ BUCKETS, CHUNK = 1 << 20, 1 << 12
 DAMPING = 0.25
 #: Entries of the tables of random variables for each sample.
 DRAWS = 1 << 15
-#: Signature places that agree before a pair of different classes is compared; members of a chunk in the second look.
-AGREE, MEMBERS = 27, 4096
+#: Texts on either side of a block in the second look.
+MEMBERS = 512
 _SHIFT, _LOW = np.uint64(50), np.uint64((1 << 50) - 1)
 _TABLES: dict[int, tuple] = {}
 
@@ -143,24 +143,23 @@ def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray) -> tupl
 
 
 def sign(docs: DataFrame, weights) -> DataFrame:
-    """doc_id, text_id (MD5 of the whole text), bands array<long> and signature binary (both null without words) of every row."""
+    """doc_id, text_id (MD5 of the whole text) and bands array<long> (null without words) of every row."""
 
     def run(batches):
         for batch in pieces(batches):
             row, shingle, count, rows = shingles(batch.column("text"))
             bands: list = [None] * rows
-            marks: list = [None] * rows
             if len(row):
                 own, sig = signatures(row, shingle, count * weights.value[bucket_of(shingle)])
                 band = np.zeros((len(own), BANDS), np.uint64)
                 for k in range(SAMPLES):
                     band[:, k // ROWS] = mix(band[:, k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + sig[:, k] + np.uint64(k))
-                for i, b, s in zip(own.tolist(), band.view(np.int64).tolist(), sig, strict=True):
-                    bands[i], marks[i] = b, s.tobytes()
+                for i, b in zip(own.tolist(), band.view(np.int64).tolist(), strict=True):
+                    bands[i] = b
             ids = [hashlib.md5(t).digest() for t in texts_of(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "text_id", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_id", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, text_id binary, bands array<long>, signature binary")
+    return docs.mapInArrow(run, "doc_id long, text_id binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
@@ -182,45 +181,73 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataF
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def second_look(members: DataFrame, thorough: bool) -> DataFrame:
-    """Pairs (a, b) across classes in one bucket whose signatures agree: of members (bucket, text_id, label, centre, n, signature).
-
-    Probes are the texts outside the centre's class; they meet every chunk of the bucket. Unless `thorough`, each probe gets, three times
-    over, the member that resembles most of the probes not yet served; else all that it resembles.
+def _occurrences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row and column of every occurrence of a shingle, the columns' buckets, and each row's occurrences in order: a shingle that stands k times in a text has k columns."""
+    row, shingle, count, _ = shingles(pa.array(texts, pa.large_string()))
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    row, shingle = np.repeat(row, count), np.repeat(shingle, count)
+    _, first, column = np.unique(mix(shingle + mix(nth.astype(np.uint64) + np.uint64(1))), return_index=True, return_inverse=True)
+    return row, column, bucket_of(shingle[first]), np.bincount(row, minlength=len(texts))
+
+
+def exact_similarities(texts: list[str], asking: np.ndarray, asked: np.ndarray, weights: np.ndarray, width: int = 2048) -> np.ndarray:
+    """Weighted Jaccard similarity of the rows `asking` with the rows `asked`, by products of column blocks; columns of a single row only count in the totals."""
+    row, column, buckets, _ = _occurrences(texts)
+    weight = weights[buckets].astype(np.float64)
+    total = np.bincount(row, weight[column], minlength=len(texts))
+    shared = np.flatnonzero(np.bincount(column, minlength=len(weight)) > 1)
+    place = np.full(len(weight), -1)
+    place[shared] = np.arange(len(shared))
+    kept = place[column] >= 0
+    row, column = row[kept], place[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(asking), len(asked)))
+    for at in range(0, len(shared), width):
+        a, b = np.searchsorted(column, [at, at + width])
+        block = np.zeros((len(texts), min(width, len(shared) - at)))
+        block[row[a:b], column[a:b] - at] = 1
+        common += (block[asking] * weight[shared[at : at + width]]) @ block[asked].T
+    return common / np.maximum(total[asking][:, None] + total[asked][None] - common, 1e-12)
+
+
+def second_look(members: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
+    """Links (a, b) across classes within a bucket: of members (bucket, text_id, label, centre, centre_text, n).
+
+    Probes are the texts outside the centre's class, targets all but the centre, which the star has compared. Both are dealt to blocks of
+    at most about MEMBERS by MEMBERS texts, each compared exactly in one task; a block gives no more links than join its classes.
     """
-    chunks = F.ceil(F.col("n") / MEMBERS).cast("int")
-    targets = members.withColumn("chunk", F.pmod(F.xxhash64("text_id"), chunks).cast("int")).withColumn("probe", F.lit(False))
-    probes = members.where("label <> centre").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("probe", F.lit(True))
+    parts = F.ceil(F.col("n") / MEMBERS).cast("int")
+    own = members.where("text_id <> centre_text").withColumn("part", F.pmod(F.xxhash64("text_id"), parts).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), parts - 1))
+    targets = own.withColumn("other", every).select("bucket", F.col("part").alias("target_part"), F.col("other").alias("probe_part"), "text_id", "label", F.lit(False).alias("probe"))
+    probes = own.where("label <> centre").withColumn("other", every).select("bucket", F.col("other").alias("target_part"), F.col("part").alias("probe_part"), "text_id", "label", F.lit(True).alias("probe"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("text_id")
-        asks, own = pdf[pdf["probe"]], pdf[~pdf["probe"]]
-        out: set[tuple[bytes, bytes]] = set()
-        if len(asks) and len(own):
-            names = {x: i for i, x in enumerate(pd.unique(pdf["label"]))}
-            label = np.array([names[x] for x in own["label"]])
-            marks = np.array([np.frombuffer(x, np.uint32).astype(np.uint8) for x in own["signature"]])
-            alike = np.zeros((len(asks), len(own)), bool)
-            for k, (sig, lab) in enumerate(zip(asks["signature"], asks["label"], strict=True)):
-                alike[k] = ((marks == np.frombuffer(sig, np.uint32).astype(np.uint8)).sum(1) >= AGREE) & (label != names[lab])
-            ask_ids, own_ids = asks["text_id"].tolist(), own["text_id"].tolist()
-            if thorough:
-                chosen = zip(*np.nonzero(alike), strict=True)
-            else:
-                chosen, free = [], alike.copy()
-                for _ in range(3):
-                    open_ = free.any(1)
-                    while open_.any():
-                        hub = int(np.argmax(free[open_].sum(0)))
-                        served = np.flatnonzero(open_ & free[:, hub])
-                        chosen += [(k, hub) for k in served]
-                        free[served, hub] = False
-                        open_[served] = False
-            for k, j in chosen:
-                out.add(tuple(sorted((ask_ids[k], own_ids[j]))))
+        pdf = pdf.sort_values(["text_id", "probe"])
+        ids, text = pdf["text_id"].tolist(), pdf["text"].tolist()
+        asking, asked = np.flatnonzero(pdf["probe"]), np.flatnonzero(~pdf["probe"])
+        out: list[tuple[bytes, bytes]] = []
+        if len(asking) and len(asked):
+            names, label = np.unique([x.hex() for x in pdf["label"]], return_inverse=True)
+            joined = list(range(len(names)))
+
+            def root(x: int) -> int:
+                while joined[x] != x:
+                    joined[x] = joined[joined[x]]
+                    x = joined[x]
+                return x
+
+            near = (exact_similarities(text, asking, asked, weights.value) >= least) & (label[asking][:, None] != label[asked][None])
+            for i, j in zip(*np.nonzero(near), strict=True):
+                x, y = root(label[asking[i]]), root(label[asked[j]])
+                if x != y:
+                    joined[x] = y
+                    out.append(tuple(sorted((ids[asking[i]], ids[asked[j]]))))
         return pd.DataFrame({"a": [x for x, _ in out], "b": [x for _, x in out]})
 
-    return targets.unionByName(probes).groupBy("bucket", "chunk").applyInPandas(run, "a binary, b binary").distinct()
+    both = targets.unionByName(probes).join(texts, "text_id")
+    return both.groupBy("bucket", "target_part", "probe_part").applyInPandas(run, "a binary, b binary").distinct()
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -229,8 +256,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     weights = spark.sparkContext.broadcast(bucket_weights(*document_frequencies(docs)))  # 4 MB at every size
     signed = cut(sign(docs, weights), "signed")
-    each = signed.groupBy("text_id").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("bands", "signature")).alias("s"))
-    distinct = cut(each.select("text_id", "doc_id", "s.bands", "s.signature"), "texts")
+    each = signed.groupBy("text_id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    distinct = cut(each, "texts")
     placed = distinct.where("bands is not null").select("text_id", "doc_id", F.explode("bands").alias("bucket"))
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text_id"))
     centres = placed.groupBy("bucket").agg(F.min(rank).alias("least"), F.count("*").alias("n")).where("n > 1").select("bucket", "n", F.col("least.text_id").alias("centre_text"))
@@ -240,17 +267,14 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     whole = docs.select(F.unhex(F.md5("text")).alias("text_id"), "text")
     texts = cut(whole.join(needed, "text_id").groupBy("text_id").agg(F.first("text").alias("text")), "needed")
 
-    links = cut(verified(pairs, texts, weights, least), "links")
+    links = cut(verified(pairs, texts, weights, least), "links")  # of the star
     labels = components(links)
-    for thorough in (False, True):
-        own = shared.join(labels.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
-        mixed = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("text_id") == F.col("centre_text"), F.col("label"))).alias("centre")).where("low <> high").select("bucket", "centre")
-        members = own.join(mixed, "bucket").join(distinct.select("text_id", "signature"), "text_id").select("bucket", "text_id", "label", "centre", "n", "signature")
-        more = cut(second_look(members, thorough), "second")
-        found = cut(verified(more, texts, weights, least), "links")
-        if found.limit(1).count():
-            links = links.union(found)
-            labels = components(links)
+    # a bucket of two has been compared; one of a single class has nothing left to join
+    own = shared.where("n > 2").join(labels.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
+    mixed = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("text_id") == F.col("centre_text"), F.col("label"))).alias("centre")).where("low <> high").select("bucket", "centre")
+    found = cut(second_look(own.join(mixed, "bucket"), texts, weights, least), "links")
+    if found.limit(1).count():
+        labels = components(links.union(found))
     named = distinct.select("text_id", "doc_id").join(labels.withColumnRenamed("node", "text_id"), "text_id")
     stand = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("text_id"))).alias("m"))
     joined = named.select("text_id", "label").join(stand, "label").select("text_id", "class_id", F.col("m.text_id").alias("class_text"))
