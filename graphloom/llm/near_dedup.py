@@ -2,7 +2,7 @@
 
 1. Document frequencies of five-word shingles are counted over all documents in 2**20 hash buckets. A bucket's other shingles add a share
    of the documents that does not depend on how many there are, so the weights mean the same at every size.
-2. A shingle weighs its count times a damped inverse document frequency. The damping (weights fall by a quarter at most) keeps a large
+2. A shingle weighs its count times a damped inverse document frequency. The damping (weights fall by a tenth at most) keeps a large
    family of copies from pushing its own members apart. 48 consistent weighted samples make a signature, 12 bands of 4 the buckets.
 3. Exact copies are one text from here on. In each bucket every text is compared with the one of the least doc_id (a star, so no bucket
    emits its pairs), by the weighted Jaccard similarity of the whole texts; links of 0.8 or more join texts into classes.
@@ -33,7 +33,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
 BUCKETS, CHUNK = 1 << 20, 1 << 12
-DAMPING = 0.25
+DAMPING = 0.1
 #: Entries of the tables of random variables for each sample.
 DRAWS = 1 << 15
 #: Texts on either side of a block in the second look.
