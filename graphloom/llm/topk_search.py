@@ -27,6 +27,8 @@ from graphloom.llm.common import cut, table
 #: Rows of a shard, about; rows of a leaf; queries of a block.
 SHARD_ROWS, LEAF_ROWS, BLOCK = 8192, 64, 512
 SCALE, MOST = 1024, 1 << 26
+#: Below every score, and safe to negate.
+NOTHING = -(1 << 62)
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -84,15 +86,15 @@ def _keep(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 def probe(tree: dict[str, np.ndarray], qids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
-    """For each query the k-th best score in its best leaf, or the least integer where the leaf has fewer rows: a bound from below."""
+    """For each query the k-th best score in its best leaf, or NOTHING where the leaf has fewer rows: a bound from below."""
     leaves = np.flatnonzero(tree["child"][:, 0] < 0)
     best = leaves[np.argmax(bounds(tree, q)[:, leaves], 1)]
-    out = np.full(len(q), np.iinfo(np.int64).min)
+    out = np.full(len(q), NOTHING)
     for node in np.unique(best):
         own = np.flatnonzero(best == node)
         a, b = tree["span"][node]
         score = exact_product(q[own], tree["v"][a:b])
-        score[qids[own][:, None] == tree["ids"][a:b][None]] = np.iinfo(np.int64).min
+        score[qids[own][:, None] == tree["ids"][a:b][None]] = NOTHING
         if b - a >= k:
             out[own] = -np.partition(-score, k - 1, axis=1)[:, k - 1]
     return out
@@ -178,7 +180,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in search(t, a["ids"], a["q"], a["floor"], k)], names=["query_id", "vec_id", "score"])
 
     asking = own.withColumn("block", F.pmod(F.xxhash64("vec_id"), count).cast("int"))
-    least = F.lit(int(np.iinfo(np.int64).min)).cast("long")
+    least = F.lit(NOTHING).cast("long")
     floors = paired(asking.withColumn("floor", least)).mapInArrow(first_round, "vec_id long, floor long").groupBy("vec_id").agg(F.max("floor").alias("floor"))
     found = paired(asking.join(floors, "vec_id")).mapInArrow(second_round, "query_id long, vec_id long, score long")
     # at most k rows a query and shard arrive; the k best are kept by one sort of each query's array
