@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.registry import repository
 
 #: Names a changelog goes by, in the order they are tried.
-CHANGELOGS = ("CHANGELOG.md", "CHANGELOG", "CHANGELOG.txt", "HISTORY.md", "HISTORY", "CHANGES.md", "CHANGES", "RELEASES.md", "NEWS.md", "NEWS")
+CHANGELOGS = ("CHANGELOG.md", "CHANGELOG", "CHANGES.md", "CHANGES", "HISTORY.md", "HISTORY", "NEWS.md", "NEWS", "RELEASES.md", "RELEASES")
 
 
 def latest(answers: DataFrame) -> DataFrame:  # A21
