@@ -233,6 +233,23 @@ def statistics_row(t):
     return findings.statistics(t("finding"), t("module"), t("import"))
 
 
+@query("SELECT finding_id, CASE WHEN type = 'circular_dependency' THEN 'm' || module_id WHEN type NOT IN ('framework', 'unused_npm_dependency') THEN path END AS filter_path FROM {finding}")
+def finding_filter_path(t):
+    members = F.concat(F.lit("m"), F.col("module_id"), F.lit(",m"), F.col("module_id") + 1)
+    return t("finding").select("finding_id", findings.filter_path(F.col("type"), F.col("path"), members).alias("filter_path"))
+
+
+@query("SELECT module_id, name, CASE WHEN is_type_only THEN 'TypeOnly' WHEN kind = 'Default' THEN 'Default' ELSE 'Named' END AS shown FROM {export}")
+def export_kinds(t):
+    return t("export").select("module_id", "name", findings.export_kind(F.col("kind"), F.col("is_type_only")).alias("shown"))
+
+
+@query("SELECT 'unknown' AS file, 'error ' || event_id AS message, 'Error' AS severity FROM events WHERE event_type = 'error' UNION ALL SELECT 'unknown', 'slow ' || event_id, 'Warning' FROM events WHERE value > 90")
+def errors_and_warnings(t):
+    said = lambda test, word: t("events").where(test).select(F.concat(F.lit(word), F.col("event_id")).alias("message"))
+    return findings.errors_and_warnings(said("event_type = 'error'", "error "), said("value > 90", "slow "))
+
+
 @query(f"SELECT finding_id, path, matched_pattern IS NULL AS kept FROM ({MATCHED})")
 def ignore_split(t):
     return findings.split_ignored(t("finding"), IGNORES).select("finding_id", "path", F.col("matched_pattern").isNull().alias("kept"))
@@ -393,6 +410,11 @@ def export_framework(t):
     return detection.export_framework(_rule_rows(t), rule_files.builtin()).select("module_id", "name", "framework")
 
 
+@query(f"SELECT DISTINCT framework FROM ({EVIDENCE}) WHERE framework <> 'React'")
+def frameworks_detected(t):
+    return detection.detect(t("import"), t("module"), rule_files.builtin()).where("framework <> 'React'")
+
+
 # --- dependencies ------------------------------------------------------------------------------
 
 PACKAGE = "CASE WHEN starts_with(source, '@') THEN array_to_string(list_slice(string_split(source, '/'), 1, 2), '/') ELSE string_split(source, '/')[1] END"
@@ -463,6 +485,11 @@ def member_enabled(t):
     return t("customer").select("c_custkey", deps.member_enabled(F.col("c_mktsegment"), allow, F.array(F.lit("BUILDING"))).alias("enabled"))
 
 
+@query("SELECT package, min(dep_type) AS dep_type, arg_min(version_req, (dep_type, version_req)) AS version_req, count(*) AS declarations FROM {dependency} GROUP BY package")
+def dependency_lookup(t):
+    return deps.first_declarations(t("dependency"))
+
+
 # --- scalar functions --------------------------------------------------------------------------
 
 

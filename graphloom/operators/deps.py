@@ -86,3 +86,13 @@ def nearest_manifest(paths: DataFrame, manifests: DataFrame) -> DataFrame:  # E1
 def member_enabled(name: Column, enabled: Column, disabled: Column) -> Column:  # D35
     """A member named in disabled is off; else an allow-list, if there is one, decides."""
     return F.when(F.array_contains(disabled, name), False).when(F.size(enabled) > 0, F.array_contains(enabled, name)).otherwise(True)
+
+
+def find_dependency(declared: DataFrame, name: str) -> DataFrame:  # C14
+    """The first declaration of a package, by dependency type."""
+    return declared.where(F.col("package") == name).orderBy("dep_type", "version_req").limit(1)
+
+
+def first_declarations(declared: DataFrame) -> DataFrame:  # C14
+    """find_dependency() for every package at once."""
+    return declared.groupBy("package").agg(F.min(F.struct("dep_type", "version_req")).alias("d"), F.count("*").alias("declarations")).select("package", "d.*", "declarations")

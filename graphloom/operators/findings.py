@@ -48,6 +48,22 @@ def category(kind: Column, is_type_only: Column) -> Column:  # C8
     return F.when((kind == "unused_export") & is_type_only, "types").otherwise(F.coalesce(F.try_element_at(table, kind), F.lit("framework")))
 
 
+def filter_path(kind: Column, path: Column, members: Column) -> Column:  # C9
+    """The path that ignore patterns see: a cycle's or chain's first member, nothing for frameworks and packages, else the path."""
+    return F.when(kind.isin("circular_dependency", "dependency_chain"), F.try_element_at(F.split(members, ","), F.lit(1))).when(~kind.isin("framework", "unused_npm_dependency"), path)
+
+
+def export_kind(kind: Column, is_type_only: Column) -> Column:  # C2
+    """Kinds of exports in findings: type-only ones first, then as declared, Named by default."""
+    return F.when(is_type_only, "TypeOnly").when(kind.isin("Named", "Default", "ReExport", "StarReExport"), kind).otherwise("Named")
+
+
+def errors_and_warnings(errors: DataFrame, warnings: DataFrame) -> DataFrame:  # C13
+    """One frame of (file, message, severity); messages (message) carry no file."""
+    tagged = lambda df, severity: df.select(F.lit("unknown").alias("file"), "message", F.lit(severity).alias("severity"))
+    return tagged(errors, "Error").unionByName(tagged(warnings, "Warning"))
+
+
 def with_category(findings: DataFrame) -> DataFrame:
     return findings.withColumn("category", category(F.col("type"), F.col("is_type_only")))
 
