@@ -6,8 +6,8 @@ shard answer each query from its best leaf; the largest of the k-th scores found
 round walks each tree best first, by the largest inner product that a node's box allows, and stops once no box beats the bound that
 travels with the query. What is left, at most k rows a query and shard, is ranked. Arithmetic is exact.
 
-Defined cases: a vector that is null, empty, or holds a null or non-finite component, or one whose scaled integer passes 2**26,
-takes no part, nor does a row with a null vec_id; vectors of different length are not compared; the same vec_id in several rows: each row
+Defined cases: a vector that is null, empty, or holds a null or non-finite component, or one so large
+that an inner product could pass 2**61 (over 185,000 with 64 dimensions), takes no part, nor does a row with a null vec_id; vectors of different length are not compared; the same vec_id in several rows: each row
 is a candidate for other ids, none for its own, and a query id answers once, for its first vector in array order; ties go to the smaller vec_id.
 """
 
@@ -26,7 +26,7 @@ from graphloom.llm.common import cut, table
 
 #: Rows of a shard, about; rows of a leaf; queries of a block.
 SHARD_ROWS, LEAF_ROWS, BLOCK = 8192, 64, 512
-SCALE, MOST = 1024, 1 << 26
+SCALE, MOST = 1024, 1 << 61
 #: Below every score, and safe to negate.
 NOTHING = -(1 << 62)
 
@@ -34,7 +34,7 @@ NOTHING = -(1 << 62)
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, v array<long>) of the rows that take part: floor(1024 * component), in doubles."""
     x = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
-    fine = (F.size("x") > 0) & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) <= F.lit(MOST / SCALE)))
+    fine = (F.size("x") > 0) & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) * SCALE + 1 <= F.sqrt(F.lit(float(MOST)) / F.size("x"))))
     return x.where("vec_id is not null and x is not null").where(fine).select("vec_id", F.transform("x", lambda c: F.floor(c * SCALE).cast("long")).alias("v"))
 
 
