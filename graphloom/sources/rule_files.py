@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tomllib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from graphloom.operators.rules import MOST_DEPTH, MOST_FILE, Rule
 
@@ -156,14 +156,6 @@ match = { path_pattern = '.*(opengraph-image|twitter-image|icon|apple-icon|sitem
 name = "nextjs-unused-routes"
 priority = 70
 match = { path_pattern = '/(pages|app)/api/.*\.(ts|js)x?$', export_name = ["GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS"], max_usage_count = 0 }
-[[entry_points]]
-name = "next-pages"
-priority = 100
-patterns = ["app/**/page.{ts,tsx,js,jsx}", "src/app/**/page.{ts,tsx,js,jsx}", "pages/**/*.{ts,tsx,js,jsx}", "src/pages/**/*.{ts,tsx,js,jsx}"]
-[[entry_points]]
-name = "next-special"
-priority = 95
-patterns = ["app/**/{layout,template,loading,error,not-found,default,global-error,route}.{ts,tsx,js,jsx}", "src/app/**/{layout,template,loading,error,not-found,default,global-error,route}.{ts,tsx,js,jsx}", "{middleware,proxy}.{ts,js}", "src/{middleware,proxy}.{ts,js}", "next.config.{js,mjs,ts}"]
 """
 VUE = r"""
 [framework]
@@ -196,14 +188,6 @@ match = { import_from = "vue", export_pattern = '^use\w+', export_type = "functi
 name = "vue-sfc-default"
 priority = 90
 match = { path_ends_with = ".vue", export_name = "default" }
-[[entry_points]]
-name = "nuxt-pages"
-priority = 100
-patterns = ["pages/**/*.{vue,ts,tsx,js,jsx}", "src/pages/**/*.{vue,ts,tsx,js,jsx}"]
-[[entry_points]]
-name = "nuxt-layouts"
-priority = 95
-patterns = ["layouts/**/*.{vue,ts,tsx,js,jsx}", "src/layouts/**/*.{vue,ts,tsx,js,jsx}"]
 """
 SVELTE = r"""
 [framework]
@@ -244,16 +228,56 @@ match = { path_ends_with = ".svelte", export_pattern = '^\$\w+' }
 name = "svelte-component-default"
 priority = 90
 match = { path_ends_with = ".svelte", export_name = "default" }
-[[entry_points]]
-name = "sveltekit-pages"
-priority = 100
-patterns = ["src/routes/**/+page.{svelte,ts,js}", "src/routes/**/+page.server.{ts,js}", "src/routes/**/+page.client.{ts,js}"]
-[[entry_points]]
-name = "sveltekit-layouts"
-priority = 95
-patterns = ["src/routes/**/+layout.{svelte,ts,js}", "src/routes/**/+layout.server.{ts,js}"]
 """
 
 
+#: Entry points of the built-in frameworks: name, priority, globs.
+ENTRY_POINTS: dict[str, tuple[tuple[str, int, tuple[str, ...]], ...]] = {
+    "Next.js": (
+        ("app-router-pages", 100, ("**/app/**/page.{ts,tsx,js,jsx}", "**/src/app/**/page.{ts,tsx,js,jsx}")),
+        ("app-router-layouts", 95, ("**/app/**/layout.{ts,tsx,js,jsx}", "**/src/app/**/layout.{ts,tsx,js,jsx}")),
+        ("app-router-loading", 95, ("**/app/**/loading.{ts,tsx,js,jsx}", "**/src/app/**/loading.{ts,tsx,js,jsx}")),
+        ("app-router-error", 95, ("**/app/**/error.{ts,tsx,js,jsx}", "**/app/**/global-error.{ts,tsx,js,jsx}", "**/src/app/**/error.{ts,tsx,js,jsx}", "**/src/app/**/global-error.{ts,tsx,js,jsx}")),
+        ("app-router-not-found", 95, ("**/app/**/not-found.{ts,tsx,js,jsx}", "**/src/app/**/not-found.{ts,tsx,js,jsx}")),
+        ("app-router-route-handlers", 90, ("**/app/**/route.{ts,tsx,js,jsx}", "**/src/app/**/route.{ts,tsx,js,jsx}")),
+        ("pages-router-pages", 90, ("pages/**/*.{ts,tsx,js,jsx}", "src/pages/**/*.{ts,tsx,js,jsx}")),
+        ("nextjs-middleware", 85, ("middleware.{ts,js}", "src/middleware.{ts,js}")),
+        ("nextjs-proxy", 85, ("proxy.{ts,js}", "src/proxy.{ts,js}")),
+        ("app-router-template", 95, ("**/app/**/template.{ts,tsx,js,jsx}", "**/src/app/**/template.{ts,tsx,js,jsx}")),
+        ("app-router-default", 95, ("**/app/**/default.{ts,tsx,js,jsx}", "**/src/app/**/default.{ts,tsx,js,jsx}")),
+        ("nextjs-instrumentation", 85, ("instrumentation.{ts,js}", "src/instrumentation.{ts,js}")),
+        ("nextjs-config", 100, ("next.config.js", "next.config.mjs", "next.config.ts")),
+        ("nextjs-type-declarations", 95, ("next-env.d.ts",)),
+        ("app-router-metadata-images", 90, ("**/app/**/opengraph-image.{ts,tsx,js,jsx}", "**/app/**/twitter-image.{ts,tsx,js,jsx}", "**/src/app/**/opengraph-image.{ts,tsx,js,jsx}", "**/src/app/**/twitter-image.{ts,tsx,js,jsx}")),
+        ("app-router-icons", 90, ("**/app/**/icon.{ts,tsx,js,jsx}", "**/app/**/apple-icon.{ts,tsx,js,jsx}", "**/src/app/**/icon.{ts,tsx,js,jsx}", "**/src/app/**/apple-icon.{ts,tsx,js,jsx}")),
+        ("app-router-seo", 90, ("**/app/**/sitemap.{ts,tsx,js,jsx}", "**/app/**/robots.{ts,tsx,js,jsx}", "**/src/app/**/sitemap.{ts,tsx,js,jsx}", "**/src/app/**/robots.{ts,tsx,js,jsx}")),
+        ("app-router-manifest", 90, ("**/app/**/manifest.{ts,js}", "**/src/app/**/manifest.{ts,js}")),
+        ("pages-router-error-pages", 85, ("pages/404.{ts,tsx,js,jsx}", "pages/500.{ts,tsx,js,jsx}", "src/pages/404.{ts,tsx,js,jsx}", "src/pages/500.{ts,tsx,js,jsx}")),
+        ("pages-router-special-files", 85, ("pages/_app.{ts,tsx,js,jsx}", "pages/_document.{ts,tsx,js,jsx}", "pages/_error.{ts,tsx,js,jsx}", "src/pages/_app.{ts,tsx,js,jsx}", "src/pages/_document.{ts,tsx,js,jsx}", "src/pages/_error.{ts,tsx,js,jsx}")),
+    ),
+    "Vue": (
+        ("nuxt3-pages", 100, ("pages/**/*.{vue,ts,tsx,js,jsx}", "src/pages/**/*.{vue,ts,tsx,js,jsx}")),
+        ("nuxt3-layouts", 95, ("layouts/**/*.{vue,ts,tsx,js,jsx}", "src/layouts/**/*.{vue,ts,tsx,js,jsx}")),
+        ("nuxt3-components", 90, ("components/**/*.{vue,ts,tsx,js,jsx}", "src/components/**/*.{vue,ts,tsx,js,jsx}")),
+        ("nuxt3-middleware", 90, ("middleware/**/*.{ts,js}", "src/middleware/**/*.{ts,js}")),
+        ("nuxt3-server-routes", 90, ("server/api/**/*.{ts,js}", "server/routes/**/*.{ts,js}", "src/server/api/**/*.{ts,js}", "src/server/routes/**/*.{ts,js}")),
+        ("nuxt3-server-middleware", 85, ("server/middleware/**/*.{ts,js}", "src/server/middleware/**/*.{ts,js}")),
+        ("nuxt3-plugins", 85, ("plugins/**/*.{ts,js}", "src/plugins/**/*.{ts,js}")),
+        ("nuxt3-composables", 80, ("composables/**/*.{ts,js}", "src/composables/**/*.{ts,js}")),
+        ("nuxt3-app-config", 75, ("app.config.{ts,js}", "nuxt.config.{ts,js}", "src/app.config.{ts,js}")),
+    ),
+    "Svelte": (
+        ("sveltekit-pages", 100, ("src/routes/**/+page.{svelte,ts,js}", "src/routes/**/+page.server.{ts,js}", "src/routes/**/+page.client.{ts,js}")),
+        ("sveltekit-layouts", 95, ("src/routes/**/+layout.{svelte,ts,js}", "src/routes/**/+layout.server.{ts,js}")),
+        ("sveltekit-server-routes", 90, ("src/routes/**/+server.{ts,js}",)),
+        ("sveltekit-error-pages", 90, ("src/routes/**/+error.{svelte,ts,js}",)),
+        ("sveltekit-hooks", 85, ("src/hooks.{ts,js}", "src/hooks.server.{ts,js}", "src/hooks.client.{ts,js}")),
+        ("sveltekit-app-files", 80, ("src/app.html", "src/app.d.ts")),
+    ),
+}
+
+
 def builtin() -> list[RuleFile]:  # A19
-    return [read_rules(x) for x in (REACT, NEXT, VUE, SVELTE)]
+    found = [read_rules(x) for x in (REACT, NEXT, VUE, SVELTE)]
+    own = lambda f: tuple((name, glob, priority) for name, priority, globs in ENTRY_POINTS.get(f.framework, ()) for glob in globs)
+    return [replace(f, entries=f.entries + own(f)) for f in found]
