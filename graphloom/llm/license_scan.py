@@ -1,10 +1,10 @@
 r"""License scans in DataFrame functions only: TF-IDF cosine of lines and whole files to templates, then inheritance along paths.
 
-Terms are runs of [a-z0-9] after lowering A-Z. A template's and a unit's vectors hold count times inverse document frequency
+Terms are runs of [a-z0-9] after lowering A-Z, without stop words. A template's and a unit's vectors hold count times inverse document frequency
 over the templates (in thousandths, whole numbers, so sums are exact); a term of no template weighs as much as one of a single template
 would at most. Units are every line (a header) and the whole text (a license file); the best cosine of at least THRESHOLD names the license.
 A line or text without any anchor term cannot reach the threshold: anchors are a template's heaviest terms, as many
-as leave the rest too light. So one regular expression spares all other texts the vectors, and nothing is exploded or shuffled.
+as leave the rest too light. So one regular expression spares all other texts the vectors, and scanning explodes and shuffles nothing.
 
 A directory takes the license of the license files in it (whole texts over the threshold; the best cosine, ties by
 name), and a file without a license of its own that of its nearest ancestor directory that has one: distinct directories
@@ -23,7 +23,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import cut, table
 
 #: License notices, by SPDX identifier.
 TEMPLATES = {
@@ -42,11 +42,13 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 THRESHOLD = 0.6
+#: Words without weight.
+STOP = ("a", "an", "and", "as", "by", "for", "in", "into", "is", "it", "of", "or", "that", "the", "this", "to", "under", "use", "with")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def terms(text: str) -> list[str]:
-    return re.findall("[a-z0-9]+", text.translate(str.maketrans(UPPER, LOWER)))
+    return [t for t in re.findall("[a-z0-9]+", text.translate(str.maketrans(UPPER, LOWER))) if t not in STOP]
 
 
 class Model:
@@ -63,7 +65,8 @@ class Model:
         self.anchors: set[str] = set()
         for n, x in self.vectors.items():
             left = sum(v * v for v in x.values())
-            for t, v in sorted(x.items(), key=lambda p: (-p[1], p[0])):
+            # numbers stand in many texts, so they come last
+            for t, v in sorted(x.items(), key=lambda p: (p[0].isdigit(), -p[1], p[0])):
                 if math.sqrt(left) / self.norms[n] < threshold - 1e-6:
                     break
                 self.anchors.add(t)
@@ -72,40 +75,49 @@ class Model:
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, UPPER, LOWER), "[^a-z0-9]+"), lambda x: x != "")
+    return F.filter(F.split(F.translate(text, UPPER, LOWER), "[^a-z0-9]+"), lambda x: (x != "") & ~x.isin(*STOP))
 
 
 def _map(values: dict[str, int]) -> Column:
     return F.create_map(*(F.lit(x) for t, v in values.items() for x in (t, float(v))))
 
 
-def _norm(own: Column, weights: Column, other: float) -> Column:
-    """The length of a unit's vector: runs of equal terms in sorted order."""
-    square = lambda a: F.pow(a.run * F.coalesce(F.try_element_at(weights, a.term), F.lit(other)), F.lit(2.0))
+def _squares(own: Column, weight) -> Column:
+    """The sum of (count * weight(term)) ** 2 over the distinct terms: runs of equal ones in sorted order."""
+    square = lambda a: F.pow(a.run * weight(a.term), F.lit(2.0))
     zero = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
     step = lambda a, x: F.when(x == a.term, F.struct(a.term.alias("term"), (a.run + 1).alias("run"), a["sum"].alias("sum"))).otherwise(F.struct(x.alias("term"), F.lit(1.0).alias("run"), (a["sum"] + square(a)).alias("sum")))
-    return F.sqrt(F.aggregate(F.sort_array(own), zero, step, lambda a: a["sum"] + square(a)))
+    return F.aggregate(F.sort_array(own), zero, step, lambda a: F.when(a.run > 0, a["sum"] + square(a)).otherwise(0.0))
 
 
 def _adder(vector: Column):
     return lambda total, term: total + F.coalesce(F.try_element_at(vector, term), F.lit(0.0))
 
 
+def _bind(value: Column, use) -> Column:
+    """use(value) with the value made once: the lambda of a one-element array names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def best_match(unit: Column, model: Model) -> Column:
     """(score, place) of the unit's best template; place is minus its number, so the greatest struct prefers the first name."""
-    weights = _map(model.weight)
+    weights, words = _map(model.weight), list(model.weight)
+    known = lambda x: F.coalesce(F.try_element_at(weights, x), F.lit(0.0))
+    other = lambda x: F.lit(float(model.other))
+
+    def parted(own: Column) -> Column:
+        """Terms of templates apart from all others; the set test hashes, so long texts stay cheap."""
+        return F.struct(F.filter(own, lambda t: t.isin(*words)).alias("hits"), _squares(F.filter(own, lambda t: ~t.isin(*words)), other).alias("rest"))
 
-    def scored(own: Column) -> Column:
-        norm = _norm(own, weights, float(model.other))
+    def scored(m: Column) -> Column:
         each = []
         for k, n in enumerate(model.names):
-            vector = _map({t: v * model.weight[t] for t, v in model.vectors[n].items()})
-            dot = F.aggregate(own, F.lit(0.0), _adder(vector))
-            each.append(F.struct(F.when(norm > 0, F.round(dot / (norm * model.norms[n]), 6)).otherwise(0.0).alias("score"), F.lit(-k).alias("place")))
+            dot = F.aggregate(m.hits, F.lit(0.0), _adder(_map({t: v * model.weight[t] for t, v in model.vectors[n].items()})))
+            each.append(F.struct(F.when(m.norm > 0, F.round(dot / (m.norm * model.norms[n]), 6)).otherwise(0.0).alias("score"), F.lit(-k).alias("place")))
         return F.greatest(*each)
 
-    # a one-element array binds the unit's terms once
-    return F.element_at(F.transform(F.array(_terms(unit)), scored), 1)
+    with_norm = lambda p: _bind(F.struct(p.hits.alias("hits"), F.sqrt(p.rest + _squares(p.hits, known)).alias("norm")), scored)
+    return _bind(_terms(unit), lambda own: _bind(parted(own), with_norm))
 
 
 def scan(files: DataFrame, model: Model | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -144,7 +156,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.expr("cast(doc_id div 100 as string)"), F.col("doc_id").cast("string"))
     files = docs.select("doc_id", path.alias("path"), "text")
-    return inherit(scan(files)).select("doc_id", "path", "license_own", "own_score", "file_license", "inherited", "inherited_from", "license")
+    return inherit(cut(scan(files).drop("text"), "scanned")).select("doc_id", "path", "license_own", "own_score", "file_license", "inherited", "inherited_from", "license")
 
 
 def sql() -> str:
@@ -158,7 +170,7 @@ f AS (SELECT doc_id, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'no
              concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), CAST(doc_id // 100 AS VARCHAR)) AS folder, coalesce(text, '') AS text FROM documents),
 u AS (SELECT doc_id, 0 AS line, text AS unit FROM f
       UNION ALL SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)), unnest(string_split(text, chr(10))) FROM f),
-t AS (SELECT doc_id, line, term, count(*) AS n FROM (SELECT doc_id, line, unnest(string_split_regex(translate(unit, '{UPPER}', '{LOWER}'), '[^a-z0-9]+')) AS term FROM u) WHERE term <> '' GROUP BY ALL),
+t AS (SELECT doc_id, line, term, count(*) AS n FROM (SELECT doc_id, line, unnest(string_split_regex(translate(unit, '{UPPER}', '{LOWER}'), '[^a-z0-9]+')) AS term FROM u) WHERE term <> '' AND term NOT IN ({', '.join(repr(x) for x in STOP)}) GROUP BY ALL),
 l AS (SELECT doc_id, line, sqrt(sum(CAST(n * coalesce(weight, {m.other}) AS DOUBLE) * (n * coalesce(weight, {m.other})))) AS norm FROM t LEFT JOIN w USING (term) GROUP BY ALL),
 d AS (SELECT doc_id, line, k, name, v.norm AS vnorm, sum(CAST(n * weight AS DOUBLE) * value) AS dot FROM t JOIN w USING (term) JOIN v USING (term) GROUP BY ALL),
 s AS (SELECT doc_id, line, k, name, round(dot / (l.norm * vnorm), 6) AS score FROM d JOIN l USING (doc_id, line)),
