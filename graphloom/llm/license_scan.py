@@ -6,6 +6,11 @@ would at most. Units are every line (a header) and the whole text (a license fil
 A line or text without any anchor term cannot reach the threshold: anchors are a template's heaviest terms, as many
 as leave the rest too light. So one regular expression spares all other texts the vectors, and scanning explodes and shuffles nothing.
 
+Notices (TEMPLATES) have one model, full license texts and standard headers (license_texts()) another, with anchors of its own and
+TEXT_THRESHOLD. Its units are the whole text and runs of at most BLOCK adjacent paragraphs: lines without a letter or digit, and the border
+between comment and code, part paragraphs, so a header wrapped in any way is found. The better score counts, a notice on a tie. An
+SPDX-License-Identifier line names the own license with score 1, before both (its expression; -only, -or-later and + are left out of a single name).
+
 A directory takes the license of the license files in it (whole texts over the threshold; the best cosine, ties by
 name), and a file without a license of its own that of its nearest ancestor directory that has one: distinct directories
 are exploded to their ancestors and joined by path, then files join their directory.
@@ -16,9 +21,12 @@ table gives no rows; columns besides path and text are kept out of the vectors a
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
+from functools import cache
+from importlib.resources import files as resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +50,34 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 THRESHOLD = 0.6
+#: Standard headers, by SPDX identifier; the full texts lie in the folder licenses.
+_GNU = "{0} is free software{3} you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation{4} either version {2} of the License, or (at your option) any later version. "
+_GNU += "{0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details. You should have received a copy of the GNU {1} along with {5}"
+_WRITE = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+_SEE = ". If not, see <https://www.gnu.org/licenses/>."
+HEADERS = {
+    "AGPL-3.0": _GNU.format("This program", "Affero General Public License", "3", ":", ",", "this program") + _SEE,
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "GPL-2.0": _GNU.format("This program", "General Public License", "2", ";", ";", "this program") + _WRITE,
+    "GPL-3.0": _GNU.format("This program", "General Public License", "3", ":", ",", "this program") + _SEE,
+    "LGPL-2.1": _GNU.format("This library", "Lesser General Public License", "2.1", ";", ";", "this library") + _WRITE,
+    "LGPL-3.0": _GNU.format("This library", "Lesser General Public License", "3", ":", ",", "this library") + _SEE,
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+}
+#: The Affero text is version 3 of the GPL with its name and this section 13.
+_AFFERO = """13. Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer
+all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the
+Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software. This Corresponding Source shall include the Corresponding Source for any
+work covered by version 3 of the GNU General Public License that is incorporated pursuant to the following paragraph. Notwithstanding any other provision of this License, you have permission to link or combine
+any covered work with a work licensed under version 3 of the GNU General Public License into a single combined work, and to convey the resulting work. The terms of this License will continue to apply to the
+part which is the covered work, but the work with which it is combined will remain governed by version 3 of the GNU General Public License.
+"""
+TEXT_THRESHOLD, BLOCK = 0.8, 8
+#: Words of licenses that other texts hold too: anchors only where the others are not enough.
+COMMON = ("above", "action", "additional", "all", "any", "apply", "are", "at", "be", "code", "deal", "do", "does", "following", "form", "free", "from", "general", "if", "including", "limited", "list", "make", "may", "mean", "means", "mit", "no", "not", "on", "other", "provided", "public", "rights", "such", "version", "work", "works", "you", "your")
+#: Where a paragraph ends, where comment and code meet, and SPDX lines.
+GAP, MARK, SPDX = r"\n(?:[^A-Za-z0-9\n]*\n)+", r"[ \t]*(?:#|//|/\*|\*|;|--|%|<!--)", r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9.+-]+\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+-]+\)*)*)"
 #: Words without weight.
 STOP = ("a", "an", "and", "as", "by", "for", "in", "into", "is", "it", "of", "or", "that", "the", "this", "to", "under", "use", "with")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,7 +90,7 @@ def terms(text: str) -> list[str]:
 class Model:
     """Weights of terms, vectors of templates, and the anchors that a unit over the threshold must hold one of."""
 
-    def __init__(self, templates: dict[str, str], threshold: float):
+    def __init__(self, templates: dict[str, str], threshold: float, late: tuple[str, ...] = ()):
         self.names = sorted(templates)
         counts = {n: Counter(terms(templates[n])) for n in self.names}
         df = Counter(t for c in counts.values() for t in c)
@@ -65,8 +101,8 @@ class Model:
         self.anchors: set[str] = set()
         for n, x in self.vectors.items():
             left = sum(v * v for v in x.values())
-            # numbers stand in many texts, so they come last
-            for t, v in sorted(x.items(), key=lambda p: (p[0].isdigit(), -p[1], p[0])):
+            # numbers and words of `late` stand in many texts, so they come last
+            for t, v in sorted(x.items(), key=lambda p: (p[0].isdigit() or p[0] in late, -p[1], p[0])):
                 if math.sqrt(left) / self.norms[n] < threshold - 1e-6:
                     break
                 self.anchors.add(t)
@@ -74,6 +110,21 @@ class Model:
         self.pattern = r"(?i)(?:^|[^a-z0-9])(?:" + "|".join(sorted(self.anchors)) + r")(?:$|[^a-z0-9])"
 
 
+def license_texts() -> dict[str, str]:
+    """Full texts and headers, by identifier and '/text' or '/header'."""
+    folder = resources("graphloom.llm") / "licenses"
+    out = {f"{x.name.removesuffix('.txt')}/text": x.read_text(encoding="utf-8") for x in folder.iterdir() if x.name.endswith(".txt")}
+    gpl = out["GPL-3.0/text"]
+    before, after = gpl[: gpl.index("  13. Use with the GNU Affero")], gpl[gpl.index("  14. Revised Versions") :]
+    renamed = [re.sub(r"(?i)(GNU)(\s+)(General\s+Public)", r"\1 Affero\2\3", x) for x in (before, after)]
+    return out | {"AGPL-3.0/text": renamed[0] + _AFFERO + renamed[1]} | {f"{n}/header": x for n, x in HEADERS.items()}
+
+
+@cache
+def text_model() -> Model:
+    return Model(license_texts(), TEXT_THRESHOLD, COMMON)
+
+
 def _terms(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, UPPER, LOWER), "[^a-z0-9]+"), lambda x: (x != "") & ~x.isin(*STOP))
 
@@ -120,17 +171,63 @@ def best_match(unit: Column, model: Model) -> Column:
     return _bind(_terms(unit), lambda own: _bind(parted(own), with_norm))
 
 
+def best_text(unit: Column, model: Model, first: int) -> Column:
+    """(score, place) of the unit's best text or header, null below its threshold; places go on from `first`. One lookup, by a word's beginning and the word, gives its weights in all templates and its own."""
+    grouped: dict[str, dict[str, list[int]]] = {}
+    for t, w in model.weight.items():
+        grouped.setdefault(t[:2], {})[t] = [model.vectors[n].get(t, 0) * w for n in model.names] + [w]
+    weights = F.from_json(F.lit(json.dumps(grouped)), "map<string,map<string,array<double>>>")
+    of = lambda t: F.try_element_at(F.try_element_at(weights, F.substring(t, 1, 2)), t)
+    norms, other = F.array(*(F.lit(model.norms[n]) for n in model.names)), lambda t: F.lit(float(model.other))
+    own = _terms(unit)
+
+    def scored(m: Column) -> Column:
+        dots = F.aggregate(m.hits, F.array(*(F.lit(0.0) for _ in model.names)), lambda total, t: F.zip_with(total, F.slice(of(t), 1, len(model.names)), lambda a, b: a + b))
+        scores = F.zip_with(dots, norms, lambda d, n: F.when(m.norm > 0, F.round(d / (m.norm * n), 6)).otherwise(0.0))
+        return F.array_max(F.transform(scores, lambda s, k: F.when(s >= TEXT_THRESHOLD, F.struct(s.alias("score"), (-first - k).cast("int").alias("place")))))
+
+    def parted(own: Column) -> Column:
+        words = list(model.weight)
+        hits, rest = F.filter(own, lambda t: t.isin(*words)), _squares(F.filter(own, lambda t: ~t.isin(*words)), other)
+        return _bind(F.struct(hits.alias("hits"), F.sqrt(rest + _squares(hits, lambda t: F.coalesce(F.try_element_at(of(t), F.lit(-1)), F.lit(0.0)))).alias("norm")), scored)
+
+    return _bind(own, parted)
+
+
+def anchored(text: Column, model: Model) -> Column:
+    """Whether the text holds an anchor: a set test for each word, as many alternatives make a slow regular expression."""
+    return F.exists(_terms(text), lambda t: t.isin(*sorted(model.anchors)))
+
+
+def blocks(text: Column, model: Model) -> Column:
+    """Runs of at most BLOCK adjacent paragraphs that hold an anchor."""
+    marked = F.regexp_replace(F.regexp_replace(text, rf"(?m)^({MARK}[^\n]*)\n(?!{MARK})", "$1\n\n"), rf"(?m)^(?!{MARK})([^\n]*)\n(?={MARK})", "$1\n\n")
+    runs = lambda p: F.flatten(F.transform(p, lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(BLOCK), F.size(p) - i)), lambda n: F.array_join(F.slice(p, i + 1, n), "\n"))))
+    return F.filter(_bind(F.split(marked, GAP), runs), lambda x: anchored(x, model))
+
+
+def spdx(text: Column) -> Column:
+    """The expression of the first SPDX line, or null."""
+    found = F.trim(F.regexp_extract(text, SPDX, 1))
+    return F.when(found != "", F.when(found.contains(" ") | found.contains("\t"), found).otherwise(F.regexp_replace(found, r"^\(*(.*?)(?:-only|-or-later|\+)?\)*$", "$1")))
+
+
 def scan(files: DataFrame, model: Model | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Adds license_own, own_score (six digits), file_license and file_score to rows with a column text."""
-    model = model or Model(TEMPLATES, threshold)
+    model, long = model or Model(TEMPLATES, threshold), text_model()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    name = lambda m: F.when(m.score >= threshold, F.element_at(F.array(*(F.lit(n) for n in model.names)), 1 - m.place))
-    held = files.withColumn("held__", text.rlike(model.pattern))
+    names = F.array(*(F.lit(n) for n in [*model.names, *(x.split("/")[0] for x in long.names)]))
+    enough = lambda m: _bind(m, lambda x: F.when(x.score >= threshold, x))
+    name = lambda m: F.when(m.score.isNotNull(), F.element_at(names, 1 - m.place))
+    held = files.withColumns({"held__": text.rlike(model.pattern), "long__": anchored(text, long), "spdx__": spdx(text)})
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(model.pattern))
-    whole = F.when(F.col("held__"), best_match(text, model))
-    marked = held.withColumn("file__", whole).withColumn("best__", F.when(F.col("held__"), F.array_max(F.concat(F.array("file__"), F.transform(lines, lambda x: best_match(x, model))))))
-    score = lambda c: F.when(F.col(c).score >= threshold, F.col(c).score)
-    return marked.withColumns({"license_own": name(F.col("best__")), "own_score": score("best__"), "file_license": name(F.col("file__")), "file_score": score("file__")}).drop("held__", "file__", "best__")
+    each = {
+        "notice__": F.when(F.col("held__"), enough(best_match(text, model))), "line__": F.when(F.col("held__"), enough(F.array_max(F.transform(lines, lambda x: best_match(x, model))))),
+        "text__": F.when(F.col("long__"), best_text(text, long, len(model.names))), "block__": F.when(F.col("long__"), F.array_max(F.transform(blocks(text, long), lambda x: best_text(x, long, len(model.names))))),
+    }
+    marked = held.withColumns(each).withColumn("file__", F.greatest("notice__", "text__")).withColumn("best__", F.greatest("file__", "line__", "block__"))
+    out = {"license_own": F.coalesce("spdx__", name(F.col("best__"))), "own_score": F.when(F.col("spdx__").isNotNull(), 1.0).otherwise(F.col("best__.score")), "file_license": name(F.col("file__")), "file_score": F.col("file__.score")}
+    return marked.withColumns(out).drop("held__", "long__", "spdx__", "file__", "best__", *each)
 
 
 def ancestors(folder: Column) -> Column:

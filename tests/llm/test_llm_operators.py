@@ -378,3 +378,23 @@ def test_bpe_query(spark, texts, library):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_license_texts_headers_and_spdx(spark):
+    """LICENSE files with a copyright line, headers wrapped as comments with code around them, SPDX lines."""
+    import textwrap
+
+    def wrapped(text, mark, width):
+        return "#!/bin/x\n" + "\n".join(f"{mark} {x}" for x in textwrap.wrap(text, width)) + "\nimport os\nprint(os.name)\n" + "value = compute(total)\n" * 40
+
+    texts = {k.split("/")[0]: v for k, v in license_scan.license_texts().items() if k.endswith("/text")}
+    rows = [(f"{n}/LICENSE", n, "Copyright (c) 2021 Some Body and others\n\n" + x) for n, x in texts.items()]
+    rows += [(f"{n}/{k}.py", n, wrapped(x, m, w)) for n, x in license_scan.HEADERS.items() for k, (m, w) in enumerate([("#", 40), ("//", 70), (" *", 100)])]
+    mit = texts["MIT"].split("\n\n", 1)[1]
+    rows += [("b/a.c", "MIT", "/*\n" + "\n".join(f" * {x}".rstrip() for x in mit.split("\n")) + "\n */\nint main() { return 0; }\n" * 3)]
+    rows += [("s/a.c", "MIT", "// SPDX-License-Identifier: MIT\nint x;"), ("s/b.c", "GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */\nint x;"), ("s/c.c", "MIT OR Apache-2.0", "# SPDX-License-Identifier: MIT OR Apache-2.0\n")]
+    rows += [("n/a", None, "A software license is a text about software and its copies."), ("MIT/src/x", None, "nothing here")]
+    got = {r["path"]: r for r in license_scan.inherit(license_scan.scan(spark.createDataFrame(rows, "path string, want string, text string"))).collect()}
+    assert {p: r["license_own"] for p, r in got.items()} == {p: w for p, w, _ in rows}
+    assert all(got[f"{n}/LICENSE"]["file_license"] == n for n in texts)
+    assert got["MIT/src/x"]["license"] == "MIT"
