@@ -253,13 +253,22 @@ def dead_modules(modules: DataFrame, edges: DataFrame) -> DataFrame:  # G14
     return modules.where(~F.col("is_entry") & not_virtual(F.col("path"))).join(importers.where("not any_live"), "module_id").select("module_id", "path", "importers")
 
 
-def unused_exports(modules: DataFrame, exports: DataFrame, specifiers: DataFrame, reexports: DataFrame, hops: int = 4) -> DataFrame:  # G3
-    """Exports of non-entry modules that no import takes: neither by name nor by namespace, from the module or from one that re-exports it by star (up to `hops` re-exports apart)."""
-    reach = reexports.select("module_id", "origin")
-    offers = step = reach
-    for _ in range(hops - 1):
-        step = step.join(reach.select(F.col("module_id").alias("origin"), F.col("origin").alias("next")), "origin").select("module_id", F.col("next").alias("origin"))
-        offers = offers.union(step)
+def star_offers(reexports: DataFrame) -> DataFrame:
+    """(module_id, origin): every module whose names module_id passes on by star, over any number of re-exports; rounds of distinct new pairs until none is left."""
+    step = cut(reexports.select("module_id", "origin").distinct(), "reexports")
+    after = step.select(F.col("module_id").alias("origin"), F.col("origin").alias("next"))
+    offers = front = step
+    while True:
+        fresh = front.join(after, "origin").select("module_id", F.col("next").alias("origin")).distinct().join(offers, ["module_id", "origin"], "left_anti")
+        front = cut(fresh, "front")
+        if not front.limit(1).count():
+            return offers
+        offers = cut(offers.union(front), "offers")
+
+
+def unused_exports(modules: DataFrame, exports: DataFrame, specifiers: DataFrame, reexports: DataFrame) -> DataFrame:  # G3
+    """Exports of non-entry modules that no import takes: neither by name nor by namespace, from the module or from one that re-exports it by star, over any number of re-exports."""
+    offers = star_offers(reexports)
     taken = specifiers.where("kind <> 'Dynamic'").select(F.col("resolved_to").alias("module_id"), "specifier", "name")
     star = taken.join(offers, "module_id").select(F.col("origin").alias("module_id"), "specifier", "name").where("name <> 'default'")
     used = taken.union(star)

@@ -54,3 +54,12 @@ def test_bundle(spark):
     rows = spark.createDataFrame([(1000, False), (2000, True), (500, False)], "size long, has_side_effects boolean")
     assert tuple(graph.bundle_impact(rows).first()) == (3, 3500, 1500)
     assert graph.bundle_impact(rows.where("false")).first()["total_bytes"] is None
+
+
+def test_star_reexports_have_no_bound(spark):
+    """a0 passes on a1's names and so on to a6, and a cycle of barrels ends."""
+    modules = spark.createDataFrame([(k, f"a{k}.ts", False) for k in range(9)], "module_id long, path string, is_entry boolean")
+    exports = spark.createDataFrame([(6, "deep", "Named", False), (6, "other", "Named", False), (8, "ring", "Named", False)], "module_id long, name string, kind string, is_type_only boolean")
+    taken = spark.createDataFrame([(8, 0, "Static", "Named", "deep")], "module_id long, resolved_to long, kind string, specifier string, name string")
+    stars = spark.createDataFrame([(k, k + 1) for k in range(6)] + [(7, 8), (8, 7)], "module_id long, origin long")
+    assert sorted(r["name"] for r in graph.unused_exports(modules, exports, taken, stars).collect()) == ["other", "ring"]
