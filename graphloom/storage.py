@@ -31,4 +31,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends there, and lost executors cost no recomputation."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of frames that cut() gave, once nothing reads them any more."""
+    for df in frames:
+        where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
