@@ -3,20 +3,18 @@
 The vocabulary and merges of a tokenizer file (word ends marked by a suffix, white space dropped) become sorted pair keys.
 The distinct new words of a slice are split into symbols in one flat array; each round finds every pair's rank by binary
 search over the sorted keys, takes the lowest rank of each piece and merges it, until no piece has a known pair. Words
-already met in the task come from a bounded cache. Decoding joins the tokens' strings by one space, as the file has no decoder.
+already met come from a bounded cache of arrays, by 64-bit hashes. Words beyond ASCII and U+00C0 to U+00FF are normalised and split by the
+library's own normalizer and splitter, so its Unicode tables hold. Decoding joins the tokens' strings by one space, as the file has no decoder.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; repeated rows each give a row; the file's
-special tokens are matched in the raw text; code points newer than the library's Unicode tables may be split otherwise than it
-splits them; columns besides doc_id and text are ignored.
+special tokens are matched in the raw text; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from functools import cached_property
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import buffers, slices, table
+from graphloom.llm.common import buffers, slices, spans, table, word_hashes
 
 #: Words, and pieces of words, that a worker's cache holds before it lets the half least used go.
-CACHE_WORDS, CACHE_PIECES = 250_000, 400_000
+CACHE_WORDS, CACHE_PIECES = 1 << 19, 1 << 18
 _NONE = np.int64(1) << 40
 
 
@@ -84,11 +82,11 @@ class Vocabulary:
         self.strings = np.frombuffer(b"".join(strings), np.uint8)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("pieces_of", "special_of")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("pieces_of", "special_of", "library")}
 
     @cached_property
     def pieces_of(self):
-        return regex.compile(self.pattern).findall
+        return regex.compile(self.pattern + "|\n").findall
 
     @cached_property
     def special_of(self):
@@ -121,7 +119,10 @@ class Vocabulary:
             moved = np.cumsum(keep) - 1
             symbols, piece, at = symbols[keep], piece[keep], at[keep]
             here = moved[chosen]
-            dirty = np.unique(np.concatenate([here, here[here > 0] - 1]))
+            marked = np.zeros(len(symbols), bool)
+            marked[here] = True
+            marked[here[here > 0] - 1] = True
+            dirty = np.flatnonzero(marked)
             at[dirty] = self._find_at(symbols, piece, dirty)
         if not done_ids:
             return symbols, piece
@@ -139,18 +140,26 @@ class Vocabulary:
         place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[place] == key) & (piece[where] == piece[after]) & (after > where), place, -1)
 
-    def split(self, word: bytes) -> list[bytes]:
-        """The pieces of a word, lowered; a special token is marked by the byte 0xFF, which UTF-8 never has."""
-        if word.isascii() and b"<|" not in word:
-            return [x.encode() for x in self.pieces_of(word.decode().lower())]
+    @cached_property
+    def library(self):
+        """The library's own normalizer and splitter, for words with letters whose rules are in its Unicode tables."""
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        fold = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
+        return fold.normalize_str, pre_tokenizers.Split(Regex(self.pattern), "removed", invert=True).pre_tokenize_str
+
+    def split(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """The pieces of all words, lowered, and how many each has; a special token is marked by the byte 0xFF, which UTF-8 never has."""
+        return split_words(words, self.pieces_of, self.odd_pieces)
+
+    def odd_pieces(self, word: bytes) -> list[bytes]:
         out: list[bytes] = []
-        text = word.decode("utf-8", "replace")
+        text, (fold, split) = word.decode("utf-8", "replace"), self.library
         for part in self.special_of.split(text) if self.special_of else [text]:
             if part in self.special:
                 out.append(b"\xff" + part.encode())
-            else:
-                # per character: no rule for a sigma at a word's end
-                out += [x.encode() for x in self.pieces_of(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())]
+            elif part:
+                out += [x.encode() for x, _ in split(fold(part))]
         return out
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -177,74 +186,150 @@ class Vocabulary:
         return [data[a : b - 1] if b > a else b"" for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
 
+def plain_words(words: list[bytes]) -> np.ndarray:
+    """Which words hold only printing ASCII and U+00C0 to U+00FF, and no mark of a special token: these normalise to themselves but for their case, and split alike under any Unicode tables."""
+    data = np.frombuffer(b"\n".join([*words, b""]), np.uint8)
+    lead = data == 0xC3
+    after = np.concatenate([[False], lead[:-1]])
+    odd = (data < 0x21) | (data == 0x7F) | ((data >= 0x80) & ~lead & ~after)
+    odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124)  # <|
+    upto = np.concatenate([[0], np.cumsum(odd)])
+    ends = np.cumsum(np.array([len(w) + 1 for w in words], np.int64))
+    return np.diff(upto[np.concatenate([[0], ends])]) == 1  # its line feed alone
+
+
+def split_words(words: list[bytes], find, odd) -> tuple[list[bytes], np.ndarray]:
+    """Pieces of words, one after another, and how many each has: runs of plain words by one search (find also matches line feeds), others by odd(word)."""
+    plain = plain_words(words)
+    found = find(b"\n".join([w for w, p in zip(words, plain.tolist(), strict=True) if p]).decode().lower())
+    pieces = [x.encode() for x in found if x != "\n"]
+    ends = np.flatnonzero(np.array([x == "\n" for x in found], bool))
+    counts = np.zeros(len(words), np.int64)
+    some = np.flatnonzero(plain)
+    if len(some):
+        counts[some] = np.diff(np.concatenate([[-1], ends, [len(found)]])) - 1
+    if len(some) < len(words):
+        out, at = [], 0
+        for k, p in enumerate(plain.tolist()):
+            if p:
+                out += pieces[at : at + counts[k]]
+                at += counts[k]
+            else:
+                own = odd(words[k])
+                counts[k] = len(own)
+                out += own
+        pieces = out
+    return pieces, counts
+
+
 class Store:
-    """Ids of byte strings by slot. When full it keeps the half most used."""
+    """Ids of byte strings by the 64-bit hash of their bytes, in arrays alone: some 40 bytes an entry beside its ids. When full it keeps the half most used."""
 
     def __init__(self, most: int):
-        self.most, self.slot = most, {}
-        self.ids, self.starts, self.counts, self.uses = np.zeros(1 << 16, np.int32), *(np.zeros(1 << 14, np.int64) for _ in range(3))
-        self.used = 0
-
-    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
-        """Ids of the keys that slot got since the last call."""
-        n = len(self.slot)
-        old = n - len(counts)
-        room = lambda a, m: a if m <= len(a) else np.concatenate([a, np.zeros(max(m, 2 * len(a)) - len(a), a.dtype)])
+        self.most, self.n, self.used = most, 0, 0
+        self.keys, self.ids = np.zeros(1 << 10, np.uint64), np.zeros(1 << 12, np.int32)
+        self.starts, self.counts, self.uses = (np.zeros(1 << 10, t) for t in (np.int64, np.int32, np.int32))
+        self._place(1 << 12)
+
+    def _place(self, size: int) -> None:
+        """An open-addressed table of `size` places with all keys in it."""
+        self.table = np.full(size, -1, np.int32)
+        self._enter(np.arange(self.n, dtype=np.int32))
+
+    def _enter(self, slots: np.ndarray) -> None:
+        mask = len(self.table) - 1
+        place = (self.keys[slots] & np.uint64(mask)).astype(np.int64)
+        while len(slots):
+            free = self.table[place] < 0
+            self.table[place[free]] = slots[free]  # of several, one stays
+            lost = self.table[place] != slots
+            slots, place = slots[lost], (place[lost] + 1) & mask
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 if it has none."""
+        mask = len(self.table) - 1
+        place = (hashes & np.uint64(mask)).astype(np.int32)
+        out = self.table[place].astype(np.int64)
+        live = np.flatnonzero((out >= 0) & (self.keys[out] != hashes))
+        while len(live):
+            place[live] = (place[live] + 1) & mask
+            out[live] = self.table[place[live]]
+            live = live[(out[live] >= 0) & (self.keys[out[live]] != hashes[live])]
+        return out
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """New, distinct hashes with their ids; they get the next slots."""
+        old, n = self.n, self.n + len(hashes)
+        room = lambda a, m: a if m <= len(a) else np.concatenate([a, np.zeros(max(m, len(a) * 3 // 2) - len(a), a.dtype)])
         self.ids = room(self.ids, self.used + len(ids))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.starts, self.counts, self.uses = (room(x, n) for x in (self.starts, self.counts, self.uses))
-        self.counts[old:n] = counts
+        self.keys, self.starts, self.counts, self.uses = (room(x, n) for x in (self.keys, self.starts, self.counts, self.uses))
+        self.keys[old:n], self.counts[old:n], self.uses[old:n] = hashes, counts, 0
         self.starts[old:n] = self.used + np.cumsum(counts) - counts
-        self.used += len(ids)
+        self.used, self.n = self.used + len(ids), n
+        if 2 * n > len(self.table):
+            self._place(1 << (4 * n - 1).bit_length())
+        else:
+            self._enter(np.arange(old, n, dtype=np.int32))
 
     def take(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        counts = self.counts[slots]
-        self.uses[: len(self.slot)] += np.bincount(slots, minlength=len(self.slot))
+        """The ids of slots, one after another, and how many each has."""
+        counts = self.counts[slots].astype(np.int64)
+        self.uses[: self.n] += np.bincount(slots, minlength=self.n).astype(np.int32)
         return self.ids[gather(self.starts[slots], counts)], counts
 
     def shrink(self) -> None:
-        if len(self.slot) <= self.most:
+        if self.n <= self.most:
             return
-        uses = self.uses[: len(self.slot)]
+        uses = self.uses[: self.n]
         kept = np.sort(np.argsort(-uses, kind="stable")[: self.most // 2])
-        keys = list(self.slot)
-        ids, counts = self.ids[gather(self.starts[kept], self.counts[kept])], self.counts[kept]
-        self.slot = {keys[k]: i for i, k in enumerate(kept.tolist())}
-        self.used = 0
-        self.add(ids, counts)
-        self.uses[: len(kept)] = uses[kept] // 2
+        ids, counts, keys, uses = self.ids[gather(self.starts[kept], self.counts[kept].astype(np.int64))], self.counts[kept], self.keys[kept], uses[kept] // 2
+        self.__init__(self.most)
+        self.add(keys, ids, counts)
+        self.uses[: self.n] = uses
 
 
 class CachedEncoder:
-    """Encodes texts by their words (no token spans ASCII white space) and words by their pieces; each is looked up first."""
+    """Encodes texts by their words (no token spans ASCII white space) and words by their pieces; each is looked up first, by its hash."""
 
     def __init__(self, split, encode_pieces, most: int = CACHE_WORDS, most_pieces: int = CACHE_PIECES):
         self.split, self.encode_pieces, self.words, self.pieces = split, encode_pieces, Store(most), Store(most_pieces)
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after another, and the number of ids before each (one more entry than texts)."""
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column, one after another, and the number of ids before each (one more entry than texts)."""
+        data, ends = buffers(column)
+        starts, stops, before = spans(data, ends)
+        hashes = word_hashes(data, starts, stops)
         self.words.shrink()
-        slot, old = self.words.slot, len(self.words.slot)
-        slots, words_before = [], [0]
-        for text in texts:
-            slots += [slot.setdefault(w, len(slot)) for w in text.split()]
-            words_before.append(len(slots))
-        if len(slot) > old:
-            self._learn(_tail(slot, len(slot) - old))
-        ids, counts = self.words.take(np.array(slots, np.int64))
-        return ids, np.concatenate([[0], np.cumsum(counts)])[words_before]
-
-    def _learn(self, words: list[bytes]) -> None:
+        slots = self.words.find(hashes)
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            fresh, first, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            at = missing[first]
+            raw = data.tobytes()
+            slots[missing] = self.words.n + back
+            self.words.add(fresh, *self._learn([raw[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]))
+        ids, counts = self.words.take(slots)
+        return ids, np.concatenate([[0], np.cumsum(counts)])[before]
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        pieces, counts = self.split(words)
+        distinct: dict[bytes, int] = {}
+        own = np.array([distinct.setdefault(x, len(distinct)) for x in pieces], np.int64)
+        strings = list(distinct)
+        sizes = np.array([len(x) for x in strings], np.int64)
+        stops = np.cumsum(sizes)
+        hashes = word_hashes(np.frombuffer(b"".join(strings), np.uint8), stops - sizes, stops)
         self.pieces.shrink()
-        slot, old = self.pieces.slot, len(self.pieces.slot)
-        own, before = [], [0]
-        for word in words:
-            own += [slot.setdefault(x, len(slot)) for x in self.split(word)]
-            before.append(len(own))
-        if len(slot) > old:
-            self.pieces.add(*self.encode_pieces(_tail(slot, len(slot) - old)))
-        ids, counts = self.pieces.take(np.array(own, np.int64))
-        self.words.add(ids, np.diff(np.concatenate([[0], np.cumsum(counts)])[before]))
+        slots = self.pieces.find(hashes)
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            slots[missing] = self.pieces.n + np.arange(len(missing))
+            self.pieces.add(hashes[missing], *self.encode_pieces([strings[k] for k in missing.tolist()]))
+        ids, each = self.pieces.take(slots[own])
+        upto = np.concatenate([[0], np.cumsum(each)])
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return ids, upto[ends[1:]] - upto[ends[:-1]]
 
 
 #: Encoders that a worker process keeps from task to task, by a name and the tokenizer they belong to.
@@ -258,11 +343,6 @@ def kept_encoder(key: tuple, make) -> CachedEncoder:
     return _KEPT[key]
 
 
-def _tail(slot: dict, n: int) -> list:
-    """The last n keys, in order of insertion."""
-    return list(islice(reversed(slot), n))[::-1]
-
-
 def texts_of(column: pa.Array) -> list[bytes]:
     data, ends = buffers(column)
     raw, ends = data.tobytes(), ends.tolist()
@@ -277,7 +357,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
         own = vocabulary.value
         encoder = kept_encoder(("numpy", own.name), lambda: CachedEncoder(own.split, own.encode_pieces))
         for batch in slices(batches):
-            ids, ends = encoder.encode(texts_of(batch.column("text")))
+            ids, ends = encoder.encode(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(own.decode(ids, ends), pa.binary()).cast(pa.string())], names=["doc_id", "ids", "decoded"])
 

@@ -9,16 +9,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.storage import cut, scratch_path, shared_dir
+from graphloom.storage import cut, release, scratch_path, shared_dir
 
-__all__ = ["buffers", "cut", "mix", "remainder", "row_of", "scratch_path", "shared_dir", "slices", "spans", "table", "windows", "word_hashes"]
+__all__ = ["buffers", "cut", "mix", "release", "remainder", "row_of", "small_batches", "scratch_path", "shared_dir", "slices", "spans", "table", "windows", "word_hashes"]
 
 #: Texts are scanned in slices of about this many bytes, so that scratch arrays stay small.
 SLICE_BYTES = 2 << 20
 
 
+#: Bytes and rows of the Arrow batches in which whole texts pass between the JVM and Python workers.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2048
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small: whole texts are long, and a batch lives several times over in buffers outside the heap. Smaller settings of the session stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, by Spark's own reader."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.bpe import CachedEncoder, default_path, hash_of, kept_encoder, texts_of
+from graphloom.llm.bpe import CachedEncoder, default_path, hash_of, kept_encoder, split_words
 from graphloom.llm.common import scratch_path, slices, table
 
 END_ID = 2
-#: Input bytes of a shard, about; a shard's file is read whole into a task.
-SHARD_BYTES = 16 << 20
+#: Input bytes of a shard, about; a shard's file is read whole into a task. Shards at most, so that the range sampler still sees each.
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 1 << 17
 _HEAD = struct.Struct("<qBBI")
 INDEX = "doc_id long, shard int, offset long, length long, n_tokens long, before long, ids_crc32 long"
 
@@ -69,15 +69,11 @@ class Library:
 
         self.own, self.sentinel = Tokenizer.from_str(spec), sentinel
         self.stop = self.own.token_to_id(sentinel)
-        self.find = regex.compile(json.loads(spec)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        #: Words of these letters are split here as the library splits them; others go to it whole.
-        self.plain = regex.compile("[\x21-\x7e\xc0-\xff]+").fullmatch
+        self.find = regex.compile(json.loads(spec)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\n").findall
 
-    def split(self, word: bytes) -> list[bytes]:
-        text = word.decode("utf-8", "replace")
-        if b"<|" in word or not self.plain(text):
-            return [word]
-        return [x.encode() for x in self.find(text.lower())]
+    def split(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """Plain words are split here as the library splits them; others go to it whole."""
+        return split_words(words, self.find, lambda word: [word])
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         out, counts = [], np.zeros(len(pieces), np.int64)
@@ -104,10 +100,10 @@ def library_encoder(spec: str) -> CachedEncoder:
 
 
 def _shards(docs: DataFrame) -> int:
-    """As many shards as the input has pieces of SHARD_BYTES, by the scan's own splits."""
+    """As many shards as the input has pieces of SHARD_BYTES, by the scan's own splits, and at most MOST_SHARDS, which then are larger."""
     spark = docs.sparkSession
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    return max(1, docs.rdd.getNumPartitions() * max(1, -(-split // SHARD_BYTES)))
+    return min(MOST_SHARDS, max(1, docs.rdd.getNumPartitions() * max(1, -(-split // SHARD_BYTES))))
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
@@ -120,15 +116,18 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
         width = 2 if max(json.loads(spec.value)["model"]["vocab"].values()) < 60_000 else 4
         encoder = kept_encoder(("library", hash_of(spec.value)), lambda: library_encoder(spec.value))
         for batch in slices(batches):
-            ids, ends = encoder.encode(texts_of(batch.column("text")))
+            ids, ends = encoder.encode(batch.column("text"))
             ends = ends.tolist()
             frames = [frame(d, np.append(ids[a:b], end_id), width) for d, a, b in zip(batch.column("doc_id").to_pylist(), ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["value"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = [F.col("doc_id"), F.xxhash64("text")]
+    # the row's place in the scan splits a range of equal rows, which are interchangeable
+    own = own.withColumn("place", F.monotonically_increasing_id())
+    order = [F.col("doc_id"), F.xxhash64("text"), F.col("place")]
     dealt = own.repartitionByRange(_shards(own), *order).sortWithinPartitions(*order)
-    dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
+    dealt.select("doc_id", "text").mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
+    spec.destroy()
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
