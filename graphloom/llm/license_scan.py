@@ -4,7 +4,8 @@ Terms are runs of [a-z0-9] after lowering A-Z, without stop words. A template's
 over the templates (in thousandths, whole numbers, so sums are exact); a term of no template weighs as much as one of a single template
 would at most. Units are every line (a header) and the whole text (a license file); the best cosine of at least THRESHOLD names the license.
 A line or text without any anchor term cannot reach the threshold: anchors are a template's heaviest terms, as many
-as leave the rest too light. So one regular expression spares all other texts the vectors, and scanning explodes and shuffles nothing.
+as leave the rest too light. Of texts with an anchor, those whose terms hold too little of every template are out as well. So both tests, which are
+exact, spare all other texts the vectors, and scanning explodes and shuffles nothing.
 
 Notices (TEMPLATES) have one model, full license texts and standard headers (license_texts()) another, with anchors of its own and
 TEXT_THRESHOLD. Its units are the whole text and runs of at most BLOCK adjacent paragraphs: lines without a letter or digit, and the border
@@ -24,6 +25,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import zlib
 from collections import Counter
 from functools import cache
 from importlib.resources import files as resources
@@ -78,7 +80,7 @@ TEXT_THRESHOLD, BLOCK = 0.8, 8
 COMMON = ("above", "action", "additional", "all", "any", "apply", "are", "at", "be", "code", "deal", "do", "does", "following", "form", "free", "from", "general", "if", "including", "limited", "list", "make", "may", "mean", "means", "mit", "no", "not", "on", "other", "provided", "public", "rights", "such", "version", "work", "works", "you", "your")
 #: Where a paragraph ends, where comment and code meet, and SPDX lines.
 GAP, MARK, SPDX = r"\n(?:[^A-Za-z0-9\n]*\n)+", r"[ \t]*(?:#|//|/\*|\*|;|--|%|<!--)", r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9.+-]+\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+-]+\)*)*)"
-#: Words without weight.
+#: Words without weight: in full texts they would outweigh all others, and lines of nothing else would pass for notices.
 STOP = ("a", "an", "and", "as", "by", "for", "in", "into", "is", "it", "of", "or", "that", "the", "this", "to", "under", "use", "with")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -90,8 +92,8 @@ def terms(text: str) -> list[str]:
 class Model:
     """Weights of terms, vectors of templates, and the anchors that a unit over the threshold must hold one of."""
 
-    def __init__(self, templates: dict[str, str], threshold: float, late: tuple[str, ...] = ()):
-        self.names = sorted(templates)
+    def __init__(self, templates: dict[str, str], threshold: float):
+        self.names, self.threshold = sorted(templates), threshold
         counts = {n: Counter(terms(templates[n])) for n in self.names}
         df = Counter(t for c in counts.values() for t in c)
         self.weight = {t: round(1000 * (math.log((1 + len(counts)) / (1 + d)) + 1)) for t, d in sorted(df.items())}
@@ -101,13 +103,12 @@ class Model:
         self.anchors: set[str] = set()
         for n, x in self.vectors.items():
             left = sum(v * v for v in x.values())
-            # numbers and words of `late` stand in many texts, so they come last
-            for t, v in sorted(x.items(), key=lambda p: (p[0].isdigit() or p[0] in late, -p[1], p[0])):
+            # numbers and words that stand in many texts come last
+            for t, v in sorted(x.items(), key=lambda p: (p[0].isdigit() or p[0] in COMMON, -p[1], p[0])):
                 if math.sqrt(left) / self.norms[n] < threshold - 1e-6:
                     break
                 self.anchors.add(t)
                 left -= v * v
-        self.pattern = r"(?i)(?:^|[^a-z0-9])(?:" + "|".join(sorted(self.anchors)) + r")(?:$|[^a-z0-9])"
 
 
 def license_texts() -> dict[str, str]:
@@ -122,88 +123,70 @@ def license_texts() -> dict[str, str]:
 
 @cache
 def text_model() -> Model:
-    return Model(license_texts(), TEXT_THRESHOLD, COMMON)
+    return Model(license_texts(), TEXT_THRESHOLD)
 
 
-def _terms(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, UPPER, LOWER), "[^a-z0-9]+"), lambda x: (x != "") & ~x.isin(*STOP))
+def _words(values) -> str:
+    return ", ".join(f"'{t}'" for t in values)
 
 
-def _map(values: dict[str, int]) -> Column:
-    return F.create_map(*(F.lit(x) for t, v in values.items() for x in (t, float(v))))
+def _terms(text: str) -> str:
+    """SQL of the array of a text's terms."""
+    return f"filter(split(translate({text}, '{UPPER}', '{LOWER}'), '[^a-z0-9]+'), t -> t <> '' and t not in ({_words(STOP)}))"
 
 
-def _squares(own: Column, weight) -> Column:
-    """The sum of (count * weight(term)) ** 2 over the distinct terms: runs of equal ones in sorted order."""
-    square = lambda a: F.pow(a.run * weight(a.term), F.lit(2.0))
-    zero = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
-    step = lambda a, x: F.when(x == a.term, F.struct(a.term.alias("term"), (a.run + 1).alias("run"), a["sum"].alias("sum"))).otherwise(F.struct(x.alias("term"), F.lit(1.0).alias("run"), (a["sum"] + square(a)).alias("sum")))
-    return F.aggregate(F.sort_array(own), zero, step, lambda a: F.when(a.run > 0, a["sum"] + square(a)).otherwise(0.0))
+def _bind(value: str, name: str, use: str) -> str:
+    """SQL of `use` with the value made once: the lambda of a one-element array names it."""
+    return f"get(transform(array({value}), {name} -> {use}), 0)"
 
 
-def _adder(vector: Column):
-    return lambda total, term: total + F.coalesce(F.try_element_at(vector, term), F.lit(0.0))
+class Lookup:
+    """SQL over a model's terms. A term's entry (t, w: its weight, v: its value in every template) stands in a constant array at its CRC-32, so a look-up costs the same at any vocabulary."""
 
+    def __init__(self, model: Model):
+        self.model, size = model, 1 << (4 * len(model.weight)).bit_length()
+        places: list[list[dict]] = [[] for _ in range(size)]
+        for t, w in model.weight.items():
+            places[zlib.crc32(t.encode()) % size].append({"t": t, "w": w, "v": [model.vectors[n].get(t, 0) for n in model.names]})
+        table = f"from_json('{json.dumps(places, separators=(',', ':'))}', 'array<array<struct<t:string,w:double,v:array<double>>>>')"
+        self.entry = lambda t: f"get(filter(get({table}, cast(crc32({t}) % {size} as int)), e -> e.t = {t}), 0)"
+        self.known = f"t in ({_words(model.weight)})"
+        self.norms = f"array({', '.join(repr(model.norms[n]) + 'D' for n in model.names)})"
+        self.zeros = f"array_repeat(0D, {len(model.names)})"
 
-def _bind(value: Column, use) -> Column:
-    """use(value) with the value made once: the lambda of a one-element array names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    def _total(self, hits: str, step: str) -> str:
+        """For every template the sum of step (x: so far, y: the term's value, e: its entry) over an array of known terms."""
+        return f"aggregate({hits}, {self.zeros}, (a, t) -> {_bind(self.entry('t'), 'e', f'zip_with(a, e.v, (x, y) -> {step})')})"
 
+    def possible(self, own: str) -> str:
+        """Whether a text of these terms, or a part of it, can reach the threshold: it has an anchor and, by the inequality of Cauchy and Schwarz, no cosine is
+        above the share that the template's terms in the text have of its length."""
+        held = self._total(f"array_distinct(filter({own}, t -> {self.known}))", "x + y * y")
+        least = (self.model.threshold - 1e-6) ** 2
+        return f"exists({own}, t -> t in ({_words(sorted(self.model.anchors))})) and exists(zip_with({held}, {self.norms}, (h, m) -> h >= {least!r}D * m * m), z -> z)"
 
-def best_match(unit: Column, model: Model) -> Column:
-    """(score, place) of the unit's best template; place is minus its number, so the greatest struct prefers the first name."""
-    weights, words = _map(model.weight), list(model.weight)
-    known = lambda x: F.coalesce(F.try_element_at(weights, x), F.lit(0.0))
-    other = lambda x: F.lit(float(model.other))
+    def _squares(self, own: str, weight: str) -> str:
+        """The sum of (count * weight) ** 2 over the distinct terms: runs of equal ones in sorted order."""
+        square = f"pow(a.run * ({weight}), 2D)"
+        step = f"case when t = a.term then named_struct('term', a.term, 'run', a.run + 1D, 'total', a.total) else named_struct('term', t, 'run', 1D, 'total', a.total + {square}) end"
+        return f"aggregate(sort_array({own}), named_struct('term', '', 'run', 0D, 'total', 0D), (a, t) -> {step}, a -> a.total + {square})"
 
-    def parted(own: Column) -> Column:
-        """Terms of templates apart from all others; the set test hashes, so long texts stay cheap."""
-        return F.struct(F.filter(own, lambda t: t.isin(*words)).alias("hits"), _squares(F.filter(own, lambda t: ~t.isin(*words)), other).alias("rest"))
+    def best(self, unit: str, first: int = 0) -> str:
+        """(score, place) of the unit's best template, null below the threshold; place is minus its number from `first` on, so the greatest struct prefers the first name."""
+        dots = self._total("p.hits", "x + y * e.w")
+        scores = f"zip_with({dots}, {self.norms}, (d, m) -> case when norm > 0 then round(d / (norm * m), 6) else 0D end)"
+        chosen = f"array_max(transform({scores}, (s, k) -> case when s >= {self.model.threshold}D then named_struct('score', s, 'place', -{first} - k) end))"
+        own_weight = f"case when a.run > 0 then {self.entry('a.term')}.w else 0D end"
+        norm = f"sqrt({self._squares('p.hits', own_weight)} + {self._squares('p.rest', f'{float(self.model.other)}D')})"
+        parted = f"named_struct('hits', filter(own, t -> {self.known}), 'rest', filter(own, t -> not ({self.known})))"
+        return _bind(_terms(unit), "own", _bind(parted, "p", _bind(norm, "norm", chosen)))
 
-    def scored(m: Column) -> Column:
-        each = []
-        for k, n in enumerate(model.names):
-            dot = F.aggregate(m.hits, F.lit(0.0), _adder(_map({t: v * model.weight[t] for t, v in model.vectors[n].items()})))
-            each.append(F.struct(F.when(m.norm > 0, F.round(dot / (m.norm * model.norms[n]), 6)).otherwise(0.0).alias("score"), F.lit(-k).alias("place")))
-        return F.greatest(*each)
 
-    with_norm = lambda p: _bind(F.struct(p.hits.alias("hits"), F.sqrt(p.rest + _squares(p.hits, known)).alias("norm")), scored)
-    return _bind(_terms(unit), lambda own: _bind(parted(own), with_norm))
-
-
-def best_text(unit: Column, model: Model, first: int) -> Column:
-    """(score, place) of the unit's best text or header, null below its threshold; places go on from `first`. One lookup, by a word's beginning and the word, gives its weights in all templates and its own."""
-    grouped: dict[str, dict[str, list[int]]] = {}
-    for t, w in model.weight.items():
-        grouped.setdefault(t[:2], {})[t] = [model.vectors[n].get(t, 0) * w for n in model.names] + [w]
-    weights = F.from_json(F.lit(json.dumps(grouped)), "map<string,map<string,array<double>>>")
-    of = lambda t: F.try_element_at(F.try_element_at(weights, F.substring(t, 1, 2)), t)
-    norms, other = F.array(*(F.lit(model.norms[n]) for n in model.names)), lambda t: F.lit(float(model.other))
-    own = _terms(unit)
-
-    def scored(m: Column) -> Column:
-        dots = F.aggregate(m.hits, F.array(*(F.lit(0.0) for _ in model.names)), lambda total, t: F.zip_with(total, F.slice(of(t), 1, len(model.names)), lambda a, b: a + b))
-        scores = F.zip_with(dots, norms, lambda d, n: F.when(m.norm > 0, F.round(d / (m.norm * n), 6)).otherwise(0.0))
-        return F.array_max(F.transform(scores, lambda s, k: F.when(s >= TEXT_THRESHOLD, F.struct(s.alias("score"), (-first - k).cast("int").alias("place")))))
-
-    def parted(own: Column) -> Column:
-        words = list(model.weight)
-        hits, rest = F.filter(own, lambda t: t.isin(*words)), _squares(F.filter(own, lambda t: ~t.isin(*words)), other)
-        return _bind(F.struct(hits.alias("hits"), F.sqrt(rest + _squares(hits, lambda t: F.coalesce(F.try_element_at(of(t), F.lit(-1)), F.lit(0.0)))).alias("norm")), scored)
-
-    return _bind(own, parted)
-
-
-def anchored(text: Column, model: Model) -> Column:
-    """Whether the text holds an anchor: a set test for each word, as many alternatives make a slow regular expression."""
-    return F.exists(_terms(text), lambda t: t.isin(*sorted(model.anchors)))
-
-
-def blocks(text: Column, model: Model) -> Column:
-    """Runs of at most BLOCK adjacent paragraphs that hold an anchor."""
-    marked = F.regexp_replace(F.regexp_replace(text, rf"(?m)^({MARK}[^\n]*)\n(?!{MARK})", "$1\n\n"), rf"(?m)^(?!{MARK})([^\n]*)\n(?={MARK})", "$1\n\n")
-    runs = lambda p: F.flatten(F.transform(p, lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(BLOCK), F.size(p) - i)), lambda n: F.array_join(F.slice(p, i + 1, n), "\n"))))
-    return F.filter(_bind(F.split(marked, GAP), runs), lambda x: anchored(x, model))
+def blocks(text: str) -> str:
+    """SQL of the runs of at most BLOCK adjacent paragraphs."""
+    marked = f"regexp_replace(regexp_replace({text}, r'(?m)^({MARK}[^\n]*)\n(?!{MARK})', '$1\n\n'), r'(?m)^(?!{MARK})([^\n]*)\n(?={MARK})', '$1\n\n')"
+    runs = f"flatten(transform(p, (x, i) -> transform(sequence(1, least({BLOCK}, size(p) - i)), n -> array_join(slice(p, i + 1, n), '\n'))))"
+    return _bind(f"split({marked}, r'{GAP}')", "p", runs)
 
 
 def spdx(text: Column) -> Column:
@@ -212,22 +195,29 @@ def spdx(text: Column) -> Column:
     return F.when(found != "", F.when(found.contains(" ") | found.contains("\t"), found).otherwise(F.regexp_replace(found, r"^\(*(.*?)(?:-only|-or-later|\+)?\)*$", "$1")))
 
 
-def scan(files: DataFrame, model: Model | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds license_own, own_score (six digits), file_license and file_score to rows with a column text."""
-    model, long = model or Model(TEMPLATES, threshold), text_model()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    names = F.array(*(F.lit(n) for n in [*model.names, *(x.split("/")[0] for x in long.names)]))
-    enough = lambda m: _bind(m, lambda x: F.when(x.score >= threshold, x))
-    name = lambda m: F.when(m.score.isNotNull(), F.element_at(names, 1 - m.place))
-    held = files.withColumns({"held__": text.rlike(model.pattern), "long__": anchored(text, long), "spdx__": spdx(text)})
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(model.pattern))
+@cache
+def lookups() -> tuple[Lookup, Lookup]:
+    return Lookup(Model(TEMPLATES, THRESHOLD)), Lookup(text_model())
+
+
+def scan(files: DataFrame) -> DataFrame:
+    """Adds license_own, own_score (six digits), file_license and file_score to rows with a column text. All of a row's own columns travel in one struct, so none can clash."""
+    short, long = lookups()
+    rows = files.select(F.struct(*(F.col(f"`{c}`") for c in files.columns)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumns({"own": F.expr(_terms("text")), "spdx": spdx(F.col("text"))})
+    rows = rows.select("row", "text", "spdx", F.expr(short.possible("own")).alias("short"), F.expr(long.possible("own")).alias("long"))
+    # only a line, or a run of paragraphs, that can reach the threshold by itself is scored
+    apart = lambda look, parts: f"array_max(transform(filter({parts}, u -> {_bind(_terms('u'), 'own', look.possible('own'))}), u -> {look.best('u', first[look])}))"
+    first = {short: 0, long: len(short.model.names)}
     each = {
-        "notice__": F.when(F.col("held__"), enough(best_match(text, model))), "line__": F.when(F.col("held__"), enough(F.array_max(F.transform(lines, lambda x: best_match(x, model))))),
-        "text__": F.when(F.col("long__"), best_text(text, long, len(model.names))), "block__": F.when(F.col("long__"), F.array_max(F.transform(blocks(text, long), lambda x: best_text(x, long, len(model.names))))),
+        "notice": f"case when short then {short.best('text')} end", "line": f"case when short then {apart(short, f'split(text, {chr(39)}{chr(92)}n{chr(39)})')} end",
+        "full": f"case when long then {long.best('text', first[long])} end", "block": f"case when long then {apart(long, blocks('text'))} end",
     }
-    marked = held.withColumns(each).withColumn("file__", F.greatest("notice__", "text__")).withColumn("best__", F.greatest("file__", "line__", "block__"))
-    out = {"license_own": F.coalesce("spdx__", name(F.col("best__"))), "own_score": F.when(F.col("spdx__").isNotNull(), 1.0).otherwise(F.col("best__.score")), "file_license": name(F.col("file__")), "file_score": F.col("file__.score")}
-    return marked.withColumns(out).drop("held__", "long__", "spdx__", "file__", "best__", *each)
+    names = F.array(*(F.lit(n) for n in [*short.model.names, *(x.split("/")[0] for x in long.model.names)]))
+    name = lambda m: F.when(m.score.isNotNull(), F.element_at(names, 1 - m.place))
+    marked = rows.withColumns({k: F.expr(x) for k, x in each.items()}).withColumn("file", F.greatest("notice", "full")).withColumn("best", F.greatest("file", "line", "block"))
+    out = {"license_own": F.coalesce("spdx", name(F.col("best"))), "own_score": F.when(F.col("spdx").isNotNull(), 1.0).otherwise(F.col("best.score")), "file_license": name(F.col("file")), "file_score": F.col("file.score")}
+    return marked.select(*(F.col(f"row.`{c}`").alias(c) for c in files.columns if c not in out), *(x.alias(c) for c, x in out.items()))
 
 
 def ancestors(folder: Column) -> Column:
@@ -267,7 +257,7 @@ f AS (SELECT doc_id, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'no
              concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), CAST(doc_id // 100 AS VARCHAR)) AS folder, coalesce(text, '') AS text FROM documents),
 u AS (SELECT doc_id, 0 AS line, text AS unit FROM f
       UNION ALL SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)), unnest(string_split(text, chr(10))) FROM f),
-t AS (SELECT doc_id, line, term, count(*) AS n FROM (SELECT doc_id, line, unnest(string_split_regex(translate(unit, '{UPPER}', '{LOWER}'), '[^a-z0-9]+')) AS term FROM u) WHERE term <> '' AND term NOT IN ({', '.join(repr(x) for x in STOP)}) GROUP BY ALL),
+t AS (SELECT doc_id, line, term, count(*) AS n FROM (SELECT doc_id, line, unnest(string_split_regex(translate(unit, '{UPPER}', '{LOWER}'), '[^a-z0-9]+')) AS term FROM u) WHERE term <> '' AND term NOT IN ({_words(STOP)}) GROUP BY ALL),
 l AS (SELECT doc_id, line, sqrt(sum(CAST(n * coalesce(weight, {m.other}) AS DOUBLE) * (n * coalesce(weight, {m.other})))) AS norm FROM t LEFT JOIN w USING (term) GROUP BY ALL),
 d AS (SELECT doc_id, line, k, name, v.norm AS vnorm, sum(CAST(n * weight AS DOUBLE) * value) AS dot FROM t JOIN w USING (term) JOIN v USING (term) GROUP BY ALL),
 s AS (SELECT doc_id, line, k, name, round(dot / (l.norm * vnorm), 6) AS score FROM d JOIN l USING (doc_id, line)),
