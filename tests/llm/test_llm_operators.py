@@ -1,9 +1,11 @@
 """Operators against brute force, round trips and SQL."""
 
 import collections
+import heapq
 import math
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -131,7 +133,7 @@ def test_damage_is_found():
 
 
 @quiet
-@given(st.lists(st.integers(1, 500), min_size=1, max_size=9), st.integers(0, 60))
+@given(st.lists(st.integers(1, 500) | st.integers(1, 9) | st.sampled_from([1000, 50_000]), min_size=1, max_size=300), st.integers(0, 400))
 def test_highest_quotients(weights, seats):
     held = [0] * len(weights)
     for _ in range(seats):
@@ -143,6 +145,17 @@ def test_highest_quotients(weights, seats):
     assert min(quotient(got), default=0) >= max((w / (2 * n + 1) for w, n in zip(weights, got, strict=True)), default=0) - 1e-9 or not seats
 
 
+def test_highest_quotients_of_skewed_weights():
+    for weights, seats in (([1000.0] + [0.6] * 1000, 1600), ([50_000.0] + [30.0] * 200, 1120)):
+        held, heap = [0] * len(weights), [(-w, i) for i, w in enumerate(weights)]
+        heapq.heapify(heap)
+        for _ in range(seats):
+            _, i = heapq.heappop(heap)
+            held[i] += 1
+            heapq.heappush(heap, (-weights[i] / (2 * held[i] + 1), i))
+        assert source_mix.highest_quotients(np.array(weights), seats).tolist() == held
+
+
 def test_targets():
     got = source_mix.targets([("b", 100), ("a", 10), (None, 1000)])
     assert got["a"] == 20  # weight 3, but at most twice its words
@@ -151,6 +164,35 @@ def test_targets():
     assert math.isclose(got[None], 1.5 * 1110 - 220)
 
 
+def brute_targets(sizes):
+    """Shares by weight, with the excess of full sources shared again, in exact fractions."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, left, out = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, Fraction(3 * sum(sizes.values()), 2), {}
+    while len(out) < len(order):
+        free = [s for s in order if s not in out]
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        full = [s for s in free if share[s] > 2 * sizes[s]]
+        for s in full or free:
+            out[s] = Fraction(2 * sizes[s]) if full else share[s]
+        left -= sum(out[s] for s in full)
+    return {s: float(x) for s, x in out.items()}
+
+
+def test_targets_of_the_query(spark, texts):
+    sizes = collections.Counter()
+    rows = source_mix.query(spark, SF).collect()
+    for r in rows:
+        sizes[r["source"]] += len(WORD.findall(texts[r["doc_id"]]))
+    want = brute_targets(sizes)
+    assert all(r["source_size"] == sizes[r["source"]] and math.isclose(r["target"], want[r["source"]]) for r in rows)
+
+
+def test_small_sources_are_not_lost(spark):
+    rows = [(k, "w " * 20, f"s{k:04}") for k in range(300)] + [(1000 + k, "x " * 500, "t") for k in range(20)]
+    got = source_mix.mix(source_mix.sized(d := spark.createDataFrame(rows, "doc_id long, text string, source string")), source_mix.by_source(source_mix.sized(d))).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 1 for r in got if r["source"] != "t")
+
+
 def test_mix(spark, texts):
     rows = source_mix.query(spark, SF).collect()
     again = {r["doc_id"]: r["taken"] for r in source_mix.query(spark, SF).collect()}
