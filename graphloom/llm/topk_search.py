@@ -4,10 +4,12 @@ Vectors are quantised to integers, hashed into shards of bounded size, and each
 widest dimension down to small leaves, with the tight box of every node. Queries are packed in blocks. A first round lets every
 shard answer each query from its best leaf; the largest of the k-th scores found there bounds the answer from below. The second
 round walks each tree best first, by the largest inner product that a node's box allows, and stops once no box beats the bound that
-travels with the query. What is left, at most k rows a query and shard, is ranked. Arithmetic is exact.
+travels with the query. What is left, at most k rows a query and shard, is ranked. Arithmetic is exact: products go through doubles or
+64-bit integers where no partial sum can pass them, through Python's integers elsewhere.
 
-Defined cases: a vector that is null, empty, or holds a null or non-finite component, or one so large
-that an inner product could pass 2**61 (over 185,000 with 64 dimensions), takes no part, nor does a row with a null vec_id; vectors of different length are not compared; the same vec_id in several rows: each row
+Defined cases: a vector that is null, empty, or holds a null or non-finite component takes no part, nor does a row with a null vec_id; every other
+vector does. A component beyond 2**62 after scaling, or a score among the k best that no long holds, raises an error instead of a wrong
+answer. Vectors of different length are not compared; the same vec_id in several rows: each row
 is a candidate for other ids, none for its own, and a query id answers once, for its first vector in array order; ties go to the smaller vec_id.
 """
 
@@ -26,16 +28,17 @@ from graphloom.llm.common import cut, table
 
 #: Rows of a shard, about; rows of a leaf; queries of a block.
 SHARD_ROWS, LEAF_ROWS, BLOCK = 8192, 64, 512
-SCALE, MOST = 1024, 1 << 61
-#: Below every score, and safe to negate.
-NOTHING = -(1 << 62)
+SCALE, MOST = 1024, float(1 << 62)
+#: Below every score, and safe to negate; scores beyond a long stand at plus or minus END until they are ranked.
+NOTHING, END = -((1 << 63) - 1), (1 << 63) - 2
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, v array<long>) of the rows that take part: floor(1024 * component), in doubles."""
     x = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
-    fine = (F.size("x") > 0) & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) * SCALE + 1 <= F.sqrt(F.lit(float(MOST)) / F.size("x"))))
-    return x.where("vec_id is not null and x is not null").where(fine).select("vec_id", F.transform("x", lambda c: F.floor(c * SCALE).cast("long")).alias("v"))
+    fine = (F.size("x") > 0) & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    whole = lambda c: F.when(F.abs(c * SCALE) < MOST, F.floor(c * SCALE).cast("long")).otherwise(F.raise_error(F.lit("a component does not fit a long after scaling")).cast("long"))
+    return x.where("vec_id is not null and x is not null").where(fine).select("vec_id", F.transform("x", whole).alias("v"))
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -69,15 +72,31 @@ def build_tree(ids: np.ndarray, v: np.ndarray, leaf: int = LEAF_ROWS) -> dict[st
 
 
 def exact_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products of rows; through doubles while every partial sum fits them."""
-    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[-1] < 2**53:
+    """Integer inner products of rows: through doubles while every partial sum fits them, then through longs, and row by row through Python's integers for what could pass them (cut off at END)."""
+    sums = np.abs(a.astype(np.float64)).sum(-1)
+    peaks = np.abs(b.astype(np.float64)).max(-1, initial=0)
+    top = float(sums.max(initial=0)) * float(peaks.max(initial=0))
+    if top < 2**53:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
+    if top < 2**62:
+        return a @ b.T
+    out = np.zeros((len(a), len(b)), np.int64)
+    for i in range(len(a)):
+        fits = sums[i] * peaks < 2**62
+        out[i, fits] = b[fits] @ a[i]
+        for j in np.flatnonzero(~fits):
+            out[i, j] = max(-END, min(END, sum(x * y for x, y in zip(a[i].tolist(), b[j].tolist(), strict=True))))
+    return out
 
 
 def bounds(tree: dict[str, np.ndarray], q: np.ndarray) -> np.ndarray:
     """The largest inner product that each node's box allows with each query: negative components meet the low corner."""
-    return exact_product(np.maximum(q, 0), tree["high"]) + exact_product(np.minimum(q, 0), tree["low"])
+    parts = exact_product(np.maximum(q, 0), tree["high"]), exact_product(np.minimum(q, 0), tree["low"])
+    if max(np.abs(x).max(initial=0) for x in parts) < 2**62:
+        return parts[0] + parts[1]
+    whole = parts[0].astype(np.float64) + parts[1].astype(np.float64)
+    # beyond a long every bound counts as the highest, so that nothing is left out
+    return np.where(np.abs(whole) < 2**62, parts[0] + parts[1], np.where(whole < 0, -(1 << 62), END))
 
 
 def _keep(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,6 +143,8 @@ def search(tree: dict[str, np.ndarray], qids: np.ndarray, q: np.ndarray, floor:
                 ids, scores = _keep(np.concatenate([ids, tree["ids"][a:b][fit]]), np.concatenate([scores, score[fit]]), k)
                 if len(ids) == k:
                     kth = max(kth, int(scores[-1]))
+        if len(scores) and max(abs(int(scores[0])), abs(int(scores[-1]))) >= END:
+            raise OverflowError(f"a score of query {qids[i]} does not fit a long")
         out[0].append(np.full(len(ids), qids[i]))
         out[1].append(ids)
         out[2].append(scores)
