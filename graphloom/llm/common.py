@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.storage import cut, release, scratch_path, shared_dir
 
-__all__ = ["buffers", "cut", "mix", "release", "remainder", "row_of", "small_batches", "scratch_path", "shared_dir", "slices", "spans", "table", "windows", "word_hashes"]
+__all__ = ["buffers", "cut", "mix", "numbered", "quoted", "release", "restored", "remainder", "row_of", "small_batches", "scratch_path", "shared_dir", "slices", "spans", "table", "windows", "word_hashes"]
 
 #: Texts are scanned in slices of about this many bytes, so that scratch arrays stay small.
 SLICE_BYTES = 2 << 20
@@ -35,6 +35,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as one part of a path."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The columns renamed c0, c1, ... in order, so that no name of a caller's column can clash or need quoting; text becomes a string."""
+    out = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return out.withColumn(text_column(docs), F.col(text_column(docs)).cast("string"))
+
+
+def text_column(docs: DataFrame) -> str:
+    """What numbered() calls the column text."""
+    return f"c{docs.columns.index('text')}"
+
+
+def restored(own: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, by their own names, of a frame that numbered() began."""
+    return own.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
+
+
 def remainder(col: str, modulus: int):
     """crc32(doc_id as text) mod modulus; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % modulus

@@ -33,7 +33,7 @@ from importlib.resources import files as resources
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, table
+from graphloom.llm.common import cut, quoted, table
 
 #: License notices, by SPDX identifier.
 TEMPLATES = {
@@ -203,7 +203,7 @@ def lookups() -> tuple[Lookup, Lookup]:
 def scan(files: DataFrame) -> DataFrame:
     """Adds license_own, own_score (six digits), file_license and file_score to rows with a column text. All of a row's own columns travel in one struct, so none can clash."""
     short, long = lookups()
-    rows = files.select(F.struct(*(F.col(f"`{c}`") for c in files.columns)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = files.select(F.struct(*(F.col(quoted(c)) for c in files.columns)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"own": F.expr(_terms("text")), "spdx": spdx(F.col("text"))})
     rows = rows.select("row", "text", "spdx", F.expr(short.possible("own")).alias("short"), F.expr(long.possible("own")).alias("long"))
     # only a line, or a run of paragraphs, that can reach the threshold by itself is scored
@@ -217,7 +217,7 @@ def scan(files: DataFrame) -> DataFrame:
     name = lambda m: F.when(m.score.isNotNull(), F.element_at(names, 1 - m.place))
     marked = rows.withColumns({k: F.expr(x) for k, x in each.items()}).withColumn("file", F.greatest("notice", "full")).withColumn("best", F.greatest("file", "line", "block"))
     out = {"license_own": F.coalesce("spdx", name(F.col("best"))), "own_score": F.when(F.col("spdx").isNotNull(), 1.0).otherwise(F.col("best.score")), "file_license": name(F.col("file")), "file_score": F.col("file.score")}
-    return marked.select(*(F.col(f"row.`{c}`").alias(c) for c in files.columns if c not in out), *(x.alias(c) for c, x in out.items()))
+    return marked.select(*(F.col(f"row.{quoted(c)}").alias(c) for c in files.columns if c not in out), *(x.alias(c) for c, x in out.items()))
 
 
 def ancestors(folder: Column) -> Column:

@@ -2,7 +2,8 @@
 
 A document is a bag of passages of 64 words. Every passage of the whole text is encoded (rates of characters and words,
 a hashed bag of words, one tanh layer), a gated attention weighs the passages, and a logistic unit scores the weighted
-sum; only document labels teach it. Training runs in numpy on a bounded sample of labelled rows; scoring is one Arrow pass.
+sum; only document labels teach it. Training runs in numpy on a bounded sample of labelled rows (SAMPLE_ROWS ids, a row each, and of a longer
+text BAG passages at even distances); scoring is one Arrow pass over all passages of every whole text.
 
 Defined cases: a null or empty text is a bag of one zero passage and still gets a score; repeated rows each give a row; a
 null doc_id counts as empty text for the fold; without both labels in the sample every score is the label's mean, or 0.5.
@@ -15,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LOWER, SPACE, buffers, mix, remainder, row_of, slices, spans, table, word_hashes
+from graphloom.llm.common import LOWER, SPACE, buffers, mix, numbered, remainder, restored, row_of, slices, spans, table, text_column, word_hashes
 from graphloom.llm.quality_rules import labelled_sample
 
 #: Words in a passage, buckets of the hashed bag, width of the encoding and of the attention.
 PASSAGE, BUCKETS, WIDTH, GATE = 64, 64, 24, 16
 #: At most so many labelled rows are learned from, the first by hash of the id.
 SAMPLE_ROWS = 6_000
+#: Passages of a text that training sees at most, at even distances.
+BAG = 256
 RATES = 10
 
 _CLASSES = [np.isin(np.arange(256), list(x)) for x in (b"#*$%&|<>@^~{}[]\\/_=+", bytes(range(65, 91)), bytes(range(48, 58)), b"!?", b".,;:")]
@@ -144,7 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS):
     def run(batches):
         for batch in slices(batches):
             x, first = encode_passages(batch.column("text"))
-            bags = pa.array([x[first[i] : first[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary())
+            seen = lambda a, b: x[a:b] if b - a <= BAG else x[np.linspace(a, b - 1, BAG).astype(np.int64)]
+            bags = pa.array([seen(*first[i : i + 2]).tobytes() for i in range(batch.num_rows)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), bags, batch.column("quality")], names=["doc_id", "bag", "quality"])
 
     rows = sample.mapInArrow(run, "doc_id long, bag binary, quality int").toPandas().sort_values(["doc_id", "bag"])
@@ -171,11 +175,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that score at least 0.5. The model learns from the labelled rows of the raw table, as an earlier stage has dropped most bad ones."""
+    """The documents that score at least 0.5, in the columns of docs. The model learns from the labelled rows of the raw table, as an earlier stage has dropped most bad ones.
+
+    Null and empty texts are scored like any other; repeated rows stay or go together; an empty table gives none; without both labels every score is one constant.
+    """
     model = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
+    own, text = numbered(docs), text_column(docs)
+
     def run(batches):
-        for batch in slices(batches):
-            yield batch.filter(pa.array(model.score(*encode_passages(batch.column("text"))) >= 0.5))
+        for batch in slices(batches, text):
+            yield batch.filter(pa.array(model.score(*encode_passages(batch.column(text))) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return restored(own.mapInArrow(run, own.schema), docs)

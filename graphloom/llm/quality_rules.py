@@ -1,11 +1,13 @@
 """Quality rules: a decision list learned by sequential covering, emitted as ordered Spark conditions.
 
-``text_statistics`` measures each whole text in one Arrow pass. ``learn_rules`` grows and prunes threshold conjunctions
-on a bounded sample of labelled rows; ``verdict`` turns them into one CASE expression over the statistics.
+``text_statistics`` measures each whole text in one Arrow pass. ``learn_rules`` grows and prunes threshold conjunctions for both
+verdicts on a bounded sample of labelled rows; ``verdict`` turns them into one CASE expression over the statistics. The first rule
+that covers a document decides, to reject or to keep, so a rule is only right about what those before it left over.
 
 Defined cases: a null or empty text has no words, so the base rule rejects it; a document without labels only takes
-part in scoring; with no labelled rows the list is empty and the base rule alone decides; repeated rows each give a row;
-columns besides doc_id and text are ignored.
+part in scoring; with no labelled rows the list is empty and the base rule alone decides; repeated rows each give a row, and
+one of them (the least hash of the text) stands for a labelled id in the sample; columns besides doc_id and text are ignored by the
+query and given back by the stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from graphloom.llm.common import SPACE, buffers, mix, row_of, slices, spans, table, windows, word_hashes
+from graphloom.llm.common import SPACE, buffers, mix, numbered, restored, row_of, slices, spans, table, text_column, windows, word_hashes
 
 #: Symbols that mark junk.
 SYMBOLS = b"#*$%&|<>"
@@ -25,7 +28,6 @@ SYMBOLS = b"#*$%&|<>"
 SAMPLE_ROWS = 12_000
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_digits", "n_marks", "n_distinct", "n_ends")
-SCHEMA = "doc_id long, " + ", ".join(f"{x} long" for x in STATS)
 
 #: Features of the rules: name and numerator over denominator, in the statistics' columns.
 RATIOS = {
@@ -89,15 +91,17 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and STATS of every row of docs (doc_id, text)."""
+def text_statistics(docs: DataFrame, *beside: str) -> DataFrame:
+    """doc_id, STATS and the columns `beside` of every row of docs (doc_id, text)."""
 
     def run(batches):
         for batch in slices(batches):
             stats = measure(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(stats[x].astype(np.int64)) for x in STATS)], names=["doc_id", *STATS])
+            kept = [*(batch.column(x) for x in beside), *(pa.array(stats[x].astype(np.int64)) for x in STATS)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *kept], names=["doc_id", *beside, *STATS])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *beside, F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, StructType([own.schema["doc_id"], *(own.schema[x] for x in beside), *(StructField(x, LongType()) for x in STATS)]))
 
 
 def base_failed() -> Column:
@@ -114,9 +118,10 @@ def feature(name: str) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """A conjunction of (feature, '<=' or '>=', threshold) that rejects, with its precision and coverage on the pruning rows."""
+    """A conjunction of (feature, '<=' or '>=', threshold) and its verdict, with its precision on the pruning rows and the rows that it decides rightly."""
 
     conditions: tuple[tuple[str, str, float], ...]
+    keep: bool
     precision: float
     covered: int
 
@@ -128,8 +133,33 @@ def _covers(conditions, x: dict[str, np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def learn_rules(x: dict[str, np.ndarray], reject: np.ndarray, least_precision: float = 0.97, least_cover: int = 8, longest: int = 4, most_rules: int = 24, cuts: int = 48) -> list[Rule]:
-    """Sequential covering: grow a conjunction by information gain on two thirds, prune it on the last third, keep it if it is precise on both, drop what it covers, repeat."""
+def _grow(x: dict[str, np.ndarray], grid: dict[str, np.ndarray], wanted: np.ndarray, grow: np.ndarray, longest: int) -> list[tuple[str, str, float]]:
+    """Conditions added one by one by information gain about `wanted` among the rows `grow`."""
+    conditions: list[tuple[str, str, float]] = []
+    inside = grow.copy()
+    while len(conditions) < longest and (inside & ~wanted).any():
+        p0, n0 = (inside & wanted).sum(), (inside & ~wanted).sum()
+        if not p0:
+            break
+        best = (0.0, None)
+        for name, cutpoints in grid.items():
+            v, own = x[name][inside], wanted[inside]
+            for op in ("<=", ">="):
+                hit = v[:, None] <= cutpoints if op == "<=" else v[:, None] >= cutpoints
+                p, q = hit[own].sum(0), hit[~own].sum(0)
+                gain = np.where(p > 0, p * (np.log2(np.maximum(p, 1e-9) / np.maximum(p + q, 1e-9)) - np.log2(p0 / (p0 + n0))), 0)
+                k = int(np.argmax(gain))
+                if gain[k] > best[0] + 1e-9:
+                    best = (float(gain[k]), (name, op, float(cutpoints[k])))
+        if best[1] is None:
+            break
+        conditions.append(best[1])
+        inside &= _covers(conditions[-1:], x, len(wanted))
+    return conditions
+
+
+def learn_rules(x: dict[str, np.ndarray], reject: np.ndarray, least_precision: float = 0.97, least_keep: float = 0.995, slack: float = 0.03, least_cover: int = 8, longest: int = 4, most_rules: int = 24, cuts: int = 48) -> list[Rule]:
+    """Sequential covering over both verdicts: grow a conjunction for each on two thirds of what is left, prune it on the other third, take the one that rejects or, if none is precise enough, the one that keeps, drop what it covers, repeat."""
     n, rules = len(reject), []
     if not reject.any() or reject.all():
         return rules
@@ -137,75 +167,53 @@ def learn_rules(x: dict[str, np.ndarray], reject: np.ndarray, least_precision: f
     live = np.ones(n, bool)
     grid = {name: np.unique(np.quantile(v, np.linspace(0, 1, cuts))) for name, v in x.items()}
     while len(rules) < most_rules and (reject & live).any():
-        grow, prune = live & ~third, live & third
-        conditions: list[tuple[str, str, float]] = []
-        inside = grow.copy()
-        while len(conditions) < longest and (inside & ~reject).any():
-            p0, n0 = (inside & reject).sum(), (inside & ~reject).sum()
-            if not p0:
-                break
-            best = (0.0, None)
-            for name, cutpoints in grid.items():
-                v, bad = x[name][inside], reject[inside]
-                for op in ("<=", ">="):
-                    hit = v[:, None] <= cutpoints if op == "<=" else v[:, None] >= cutpoints
-                    p, q = hit[bad].sum(0), hit[~bad].sum(0)
-                    gain = np.where(p > 0, p * (np.log2(np.maximum(p, 1e-9) / np.maximum(p + q, 1e-9)) - np.log2(p0 / (p0 + n0))), 0)
-                    k = int(np.argmax(gain))
-                    if gain[k] > best[0] + 1e-9:
-                        best = (float(gain[k]), (name, op, float(cutpoints[k])))
-            if best[1] is None:
-                break
-            conditions.append(best[1])
-            inside &= _covers(conditions[-1:], x, n)
-        if not conditions:
+        found = []
+        for keep, wanted, least in ((False, reject, least_precision), (True, ~reject, least_keep)):
+            conditions = _grow(x, grid, wanted, live & ~third, longest)
+            options = []
+            for k in range(1, len(conditions) + 1):
+                hit = live & _covers(conditions[:k], x, n)
+                p, q = (hit & third & wanted).sum(), (hit & third & ~wanted).sum()
+                whole = (hit & wanted).sum() / max(hit.sum(), 1)
+                if p and p / (p + q) >= least - slack and whole >= least and (hit & wanted).sum() >= least_cover:
+                    options.append((p / (p + q), int((hit & wanted).sum()), -k))
+            if options:
+                precision, covered, k = max(options)
+                found.append((not keep, precision, Rule(tuple(conditions[:-k]), keep, float(precision), covered)))
+        if not found:
             break
-
-        def worth(c):
-            hit = prune & _covers(c, x, n)
-            p, q = (hit & reject).sum(), (hit & ~reject).sum()
-            return (p - q) / (p + q) if p + q else -1.0
-
-        keep = max(range(1, len(conditions) + 1), key=lambda k: (worth(conditions[:k]), -k))
-        chosen = tuple(conditions[:keep])
-        hit = live & _covers(chosen, x, n)
-        p, q = (hit & reject).sum(), (hit & ~reject).sum()
-        if p < least_cover or p / (p + q) < least_precision:
-            if tuple(conditions) != chosen:  # the whole conjunction may still be precise enough
-                chosen = tuple(conditions)
-                hit = live & _covers(chosen, x, n)
-                p, q = (hit & reject).sum(), (hit & ~reject).sum()
-            if p < least_cover or p / (p + q) < least_precision:
-                break
-        rules.append(Rule(chosen, float(p / (p + q)), int(p)))
-        live &= ~hit
+        rule = max(found, key=lambda f: f[:2])[2]
+        rules.append(rule)
+        live &= ~_covers(rule.conditions, x, n)
+    while rules and rules[-1].keep:  # the default keeps
+        rules.pop()
     return rules
 
 
 def verdict(rules: list[Rule]) -> Column:
-    """Whether a document is kept: the first rule that covers it rejects it, else it stays."""
+    """Whether a document is kept: as the first rule that covers it says; it stays if none does."""
     out = None
     for rule in rules:
         held = None
         for name, op, at in rule.conditions:
             one = feature(name) <= F.lit(at) if op == "<=" else feature(name) >= F.lit(at)
             held = one if held is None else held & one
-        out = F.when(held, F.lit(False)) if out is None else out.when(held, F.lit(False))
+        out = F.when(held, F.lit(rule.keep)) if out is None else out.when(held, F.lit(rule.keep))
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, keep: Column | None = None) -> DataFrame:
-    """(doc_id, text, quality) of at most `most` labelled documents: the first by hash of the id, so that reruns agree. Their ids are broadcast; `most` bounds them."""
+    """(doc_id, text, quality) of at most `most` labelled documents, a row an id: the first by hash of the id, so that reruns agree. Their ids are broadcast; `most` bounds them."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     own = own.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     own = (own if keep is None else own.where(keep)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(own), "doc_id")
+    return rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> list[Rule]:
-    sample = labelled_sample(docs, labels, most)
-    rows = text_statistics(sample).join(F.broadcast(sample.select("doc_id", "quality").dropDuplicates(["doc_id"])), "doc_id")
-    rows = rows.where(~base_failed()).select("doc_id", "quality", *(feature(x).alias(x) for x in RATIOS)).limit(2 * most).toPandas().sort_values(["doc_id", *RATIOS])
+    rows = text_statistics(labelled_sample(docs, labels, most), "quality").where(~base_failed())
+    rows = rows.select("doc_id", "quality", *(feature(x).alias(x) for x in RATIOS)).toPandas().sort_values("doc_id")  # a row an id, at most `most`
     return learn_rules({x: rows[x].to_numpy(float) for x in RATIOS}, rows["quality"].to_numpy() == 0)
 
 
@@ -220,18 +228,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep. The verdict is made beside the text, in the same Arrow pass, so nothing is joined."""
+    """The documents that the rules keep, in the columns of docs. The verdict is made beside the text, in the same Arrow pass, so nothing is joined.
+
+    Null and empty texts go (the base rule); repeated rows stay or go together; an empty table gives none; without labels the base rule alone decides.
+    """
     rules = fit(docs, table(spark, sf_dir, "labels"))
-    columns = docs.columns
-    wide = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, " + ", ".join(f"`{x}__stat` long" for x in STATS)
+    own, text = numbered(docs), text_column(docs)
 
     def run(batches):
-        for batch in slices(batches):
-            stats = measure(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), *(pa.array(stats[x].astype(np.int64)) for x in STATS)], names=[*columns, *(f"{x}__stat" for x in STATS)])
+        for batch in slices(batches, text):
+            stats = measure(batch.column(text))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(stats[x].astype(np.int64)) for x in STATS)], names=[*batch.schema.names, *STATS])
 
-    both = docs.mapInArrow(run, wide)
-    keep = both.select(*(F.col(c) for c in columns), F.struct(*(F.col(f"{x}__stat").alias(x) for x in STATS)).alias("stats__"))
-    # the conditions name plain statistics; give them the struct's fields
-    flat = keep.select(F.struct(*columns).alias("row__"), "stats__.*")
-    return flat.where(~base_failed() & verdict(rules)).select("row__.*")
+    both = own.mapInArrow(run, StructType([*own.schema, *(StructField(x, LongType()) for x in STATS)]))
+    return restored(both.where(~base_failed() & verdict(rules)), docs)

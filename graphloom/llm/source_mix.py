@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from graphloom.llm.common import buffers, cut, slices, spans, table
+from graphloom.llm.common import buffers, cut, quoted, slices, spans, table
 
 WEIGHTS, SHARE, MOST_REPEATS = (3, 1, 2), 1.5, 2
 #: Words of a block; documents of a shard, about; shards of a source at most.
@@ -85,7 +85,7 @@ def highest_quotients(weights: np.ndarray, seats: int, most: np.ndarray | None =
 def sized(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, source, mark (a hash of the text), size: the words of every whole text; whole: the text and the other columns too, as the struct rest__."""
     keys = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")]
-    own = docs.select(*keys, F.xxhash64("text").alias("mark"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest__")] if whole else []))
+    own = docs.select(*keys, F.xxhash64("text").alias("mark"), *([F.struct(*(F.col(quoted(c)) for c in docs.columns if c != "text")).alias("rest__")] if whole else []))
     kept = ["doc_id", "source", "mark", *(["text", "rest__"] if whole else [])]
 
     def run(batches):
@@ -183,6 +183,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()), batch.column("rest__").take(pa.array(row, pa.int32())), pa.array(part, pa.bool_())], names=["text", "rest__", "part__"])
 
     mixed = own.mapInArrow(run, StructType([own.schema["text"], own.schema["rest__"], StructField("part__", BooleanType())]))
-    field = lambda c: F.col(f"rest__.`{c}`")
+    field = lambda c: F.col(f"rest__.{quoted(c)}")
     value = lambda c: F.col("text") if c == "text" else F.when(F.col("part__"), F.length("text")).otherwise(field(c)).cast(docs.schema[c].dataType) if c == "n_chars" else field(c)
     return mixed.select(*(value(c).alias(c) for c in docs.columns))

@@ -86,3 +86,18 @@ def test_pipeline(spark, odd, empty):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, odd).columns == columns
+
+
+def test_stages_with_clashing_names(spark, odd):
+    """Columns named like the operators' own, and names that need quoting."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    names = ("text_id__", "class_id__", "row__", "rest__", "part__", "n_words__stat", "a.b", "c0", "n_words", "text_id", "mark", "a`b")
+    docs = docs.select("*", *(F.struct(F.lit(k).alias("x")).alias(n) for k, n in enumerate(names)))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, odd)
+        assert out.columns == docs.columns
+        out.collect()
