@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import texts_of
-from graphloom.llm.common import LOWER, buffers, cut, mix, row_of, slices, spans, table, windows, word_hashes
+from graphloom.llm.common import LOWER, buffers, cut, mix, numbered, restored, row_of, slices, spans, table, text_column, windows, word_hashes
 from graphloom.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -36,8 +36,8 @@ BUCKETS, CHUNK = 1 << 20, 1 << 12
 DAMPING = 0.1
 #: Entries of the tables of random variables for each sample.
 DRAWS = 1 << 15
-#: Texts on either side of a block in the second look.
-MEMBERS = 512
+#: Texts, and their bytes, on either side of a block in the second look, about.
+MEMBERS, BLOCK_BYTES = 512, 2 << 20
 _SHIFT, _LOW = np.uint64(50), np.uint64((1 << 50) - 1)
 _TABLES: dict[int, tuple] = {}
 
@@ -77,9 +77,13 @@ def pieces(batches, column: str = "text"):
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents of each bucket, and documents with a shingle. Counts come as dense chunks and are summed in two levels."""
+    """Documents of each bucket, and documents with a shingle. Counts come as the non-zero ones of a chunk and are summed in two levels."""
     width = BUCKETS // CHUNK
 
+    def packed(total: np.ndarray) -> bytes:
+        at = np.flatnonzero(total)
+        return at.astype("<u2").tobytes() + total[at].astype("<i8").tobytes()
+
     def run(batches):
         total, some, part = np.zeros(BUCKETS, np.int64), 0, None
         for batch in pieces(batches):
@@ -87,15 +91,18 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             total += np.bincount(bucket_of(shingle), minlength=BUCKETS)
             some += len(np.unique(row))
             part = part if part is not None or not len(shingle) else int(shingle[0] % 64)
-        if some:
-            data = [total[k * CHUNK : (k + 1) * CHUNK].tobytes() for k in range(width)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array([part] * width, pa.int32()), pa.array(data, pa.binary()), pa.array([some] * width, pa.int64())], names=["chunk", "part", "counts", "docs"])
+        if some:  # chunk -1 counts the documents
+            chunks = [k for k in range(width) if total[k * CHUNK : (k + 1) * CHUNK].any()]
+            data = [packed(total[k * CHUNK : (k + 1) * CHUNK]) for k in chunks]
+            n = len(chunks)
+            yield pa.RecordBatch.from_arrays([pa.array([*chunks, -1], pa.int32()), pa.array([part] * (n + 1), pa.int32()), pa.array([*data, b""], pa.binary()), pa.array([*[0] * n, some], pa.int64())], names=["chunk", "part", "counts", "docs"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CHUNK, np.int64)
         for x in pdf["counts"]:
-            total += np.frombuffer(x, np.int64)
-        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "part": [0], "counts": [total.tobytes()], "docs": [int(pdf["docs"].sum())]})
+            n = len(x) // 10
+            total[np.frombuffer(x, "<u2", n)] += np.frombuffer(x, "<i8", n, 2 * n)
+        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "part": [0], "counts": [packed(total)], "docs": [int(pdf["docs"].sum())]})
 
     schema = "chunk int, part int, counts binary, docs long"
     sums = docs.select("text").mapInArrow(run, schema)
@@ -103,7 +110,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         sums = sums.groupBy(*keys).applyInPandas(add, schema)
     out, n = np.zeros(BUCKETS, np.int64), 0
     for r in sums.toLocalIterator():
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK], n = np.frombuffer(r["counts"], np.int64), r["docs"]
+        m = len(r["counts"]) // 10
+        out[max(r["chunk"], 0) * CHUNK + np.frombuffer(r["counts"], "<u2", m).astype(np.int64)] = np.frombuffer(r["counts"], "<i8", m, 2 * m)
+        n += r["docs"]
     return out, n
 
 
@@ -143,7 +152,7 @@ def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray) -> tupl
 
 
 def sign(docs: DataFrame, weights) -> DataFrame:
-    """doc_id, text_id (MD5 of the whole text) and bands array<long> (null without words) of every row."""
+    """doc_id, text_id (MD5 of the whole text), its bytes, and bands array<long> (null without words) of every row."""
 
     def run(batches):
         for batch in pieces(batches):
@@ -156,10 +165,11 @@ def sign(docs: DataFrame, weights) -> DataFrame:
                     band[:, k // ROWS] = mix(band[:, k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + sig[:, k] + np.uint64(k))
                 for i, b in zip(own.tolist(), band.view(np.int64).tolist(), strict=True):
                     bands[i] = b
-            ids = [hashlib.md5(t).digest() for t in texts_of(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_id", "bands"])
+            texts = texts_of(batch.column("text"))
+            ids, size = [hashlib.md5(t).digest() for t in texts], [len(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_id", "bytes", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, text_id binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_id binary, bytes long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
@@ -212,16 +222,20 @@ def exact_similarities(texts: list[str], asking: np.ndarray, asked: np.ndarray,
 
 
 def second_look(members: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
-    """Links (a, b) across classes within a bucket: of members (bucket, text_id, label, centre, centre_text, n).
+    """Links (a, b) across classes within a bucket: of members (bucket, text_id, bytes, label, centre, centre_text).
 
-    Probes are the texts outside the centre's class, targets all but the centre, which the star has compared. Both are dealt to blocks of
-    at most about MEMBERS by MEMBERS texts, each compared exactly in one task; a block gives no more links than join its classes.
+    Probes are the texts outside the centre's class, targets all but the centre, which the star has compared. Both are dealt to parts of
+    about MEMBERS texts and BLOCK_BYTES, each side by its own number and size, so targets go to as many parts as the probes need. A pair of
+    parts is compared exactly in one task and gives no more links than join its classes.
     """
-    parts = F.ceil(F.col("n") / MEMBERS).cast("int")
-    own = members.where("text_id <> centre_text").withColumn("part", F.pmod(F.xxhash64("text_id"), parts).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), parts - 1))
-    targets = own.withColumn("other", every).select("bucket", F.col("part").alias("target_part"), F.col("other").alias("probe_part"), "text_id", "label", F.lit(False).alias("probe"))
-    probes = own.where("label <> centre").withColumn("other", every).select("bucket", F.col("other").alias("target_part"), F.col("part").alias("probe_part"), "text_id", "label", F.lit(True).alias("probe"))
+    asks = F.col("label") != F.col("centre")
+    sums = members.where("text_id <> centre_text").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), F.count_if(asks).alias("pn"), F.sum(F.when(asks, F.col("bytes"))).alias("pb"))
+    parts = lambda n, b: F.greatest(F.ceil(F.col(n) / MEMBERS), F.ceil(F.col(b) / BLOCK_BYTES), F.lit(1)).cast("int")
+    own = members.where("text_id <> centre_text").join(sums.where("pn > 0").select("bucket", parts("n", "b").alias("target_parts"), parts("pn", "pb").alias("probe_parts")), "bucket")
+    deal = lambda c: F.pmod(F.xxhash64("text_id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    targets = own.select("bucket", deal("target_parts").alias("target_part"), every("probe_parts").alias("probe_part"), "text_id", "label", F.lit(False).alias("probe"))
+    probes = own.where(asks).select("bucket", every("target_parts").alias("target_part"), deal("probe_parts").alias("probe_part"), "text_id", "label", F.lit(True).alias("probe"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["text_id", "probe"])
@@ -256,12 +270,12 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     weights = spark.sparkContext.broadcast(bucket_weights(*document_frequencies(docs)))  # 4 MB at every size
     signed = cut(sign(docs, weights), "signed")
-    each = signed.groupBy("text_id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    each = signed.groupBy("text_id").agg(F.min("doc_id").alias("doc_id"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands"))
     distinct = cut(each, "texts")
-    placed = distinct.where("bands is not null").select("text_id", "doc_id", F.explode("bands").alias("bucket"))
+    placed = distinct.where("bands is not null").select("text_id", "doc_id", "bytes", F.explode("bands").alias("bucket"))
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text_id"))
     centres = placed.groupBy("bucket").agg(F.min(rank).alias("least"), F.count("*").alias("n")).where("n > 1").select("bucket", "n", F.col("least.text_id").alias("centre_text"))
-    shared = cut(placed.join(centres, "bucket").select("bucket", "n", "centre_text", "text_id"), "buckets")
+    shared = cut(placed.join(centres, "bucket").select("bucket", "n", "centre_text", "text_id", "bytes"), "buckets")
     pairs = cut(shared.where("text_id <> centre_text").select(F.col("centre_text").alias("a"), F.col("text_id").alias("b")).distinct(), "pairs")
     needed = shared.select("text_id").distinct()
     whole = docs.select(F.unhex(F.md5("text")).alias("text_id"), "text")
@@ -287,9 +301,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: of the text with the least doc_id, the row with the least one."""
-    found = classes(docs)
-    keep = found.where("text_id = class_text").select(F.col("text_id").alias("text_id__"), F.col("class_id").alias("class_id__")).distinct()
-    own = docs.withColumn("text_id__", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    rows = own.join(keep, "text_id__").where(F.col("doc_id").cast("long").eqNullSafe(F.col("class_id__")))
-    return rows.dropDuplicates(["text_id__"]).select(*docs.columns)
+    """One document of each class stays, in the columns of docs: of the text with the least doc_id, the row with the least one.
+
+    Null and empty texts are one class of exact copies; a class whose ids are all null keeps one of its rows; of rows that are alike in id and text one stays; an empty table gives none.
+    """
+    keep = classes(docs).where("text_id = class_text").select("text_id", "class_id").distinct()
+    own, text, doc_id = numbered(docs), text_column(docs), f"c{docs.columns.index('doc_id')}"
+    own = own.withColumn("text_id", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
+    rows = own.join(keep, "text_id").where(F.col(doc_id).cast("long").eqNullSafe(F.col("class_id")))
+    return restored(rows.dropDuplicates(["text_id"]), docs)
