@@ -33,6 +33,8 @@ WEIGHTS, SHARE, MOST_REPEATS = (3, 1, 2), 1.5, 2
 BLOCK_WORDS, SHARD_ROWS, MOST_SHARDS = 64, 256, 65_536
 #: A source of fewer blocks than this is apportioned in words.
 SMALL = 8
+#: Sources of which the plan is broadcast at most.
+BROADCAST_SOURCES = 50_000
 #: Primes above any number of blocks: multipliers of the permutations of block numbers.
 STEPS = (2_147_483_647, 2_147_483_629, 2_147_483_587, 2_147_483_579, 2_147_483_563, 2_147_483_549, 2_147_483_543, 2_147_483_497)
 
@@ -116,8 +118,8 @@ def mix(sizes: DataFrame, source_sizes: DataFrame, seed: int = 5, block: int = B
     plan = spark.createDataFrame(plan, "source_no int, planned string, source_size long, target double, seats long, unit int, shards int")
     # ids may be null or hot, so the text deals too
     deal = lambda k: F.xxhash64(F.lit(seed + k), F.col("doc_id"), F.col("size"), F.col("mark"))
-    # the plan has a row a source and comes from the driver
-    dealt = sizes.join(plan, F.col("source").eqNullSafe(F.col("planned"))).drop("planned")
+    # the plan has a row a source; beyond BROADCAST_SOURCES of them it is no longer small
+    dealt = sizes.join(F.broadcast(plan) if len(order) <= BROADCAST_SOURCES else plan, F.col("source").eqNullSafe(F.col("planned"))).drop("planned")
     dealt = dealt.withColumn("shard", F.pmod(deal(0), F.col("shards")).cast("int")).withColumn("draw", deal(1))
     totals = dealt.groupBy("source_no", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats"), F.first("unit").alias("unit"))
 
