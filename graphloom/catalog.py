@@ -46,6 +46,11 @@ def unreachable_modules(t):
     return graph.with_safety(_unreachable(t), t("import")).select("path", "size", "verdict", "reason")
 
 
+@query(f"WITH RECURSIVE {REACH} SELECT path, size FROM {{module}} WHERE module_id NOT IN (SELECT n FROM r) AND NOT starts_with(path, 'virtual:')")
+def unreachable_by_rounds(t):
+    return graph.unreachable_modules(t("module"), t("edge"), limit=0).select("path", "size")
+
+
 @query(f"SELECT path, verdict, reason FROM (SELECT path, {SAFETY} FROM (SELECT *, {DYN} FROM {{module}}) m)")
 def safety_assessment(t):
     return graph.with_safety(t("module"), t("import")).select("path", "verdict", "reason")
@@ -103,7 +108,7 @@ for _which, _test in (("side_effect", "specifier = 'None' AND kind = 'Static'"),
 
 
 @query(
-    """WITH RECURSIVE o(module_id, origin, hop) AS (SELECT module_id, origin, 1 FROM {reexport} UNION ALL SELECT o.module_id, x.origin, hop + 1 FROM o JOIN {reexport} x ON x.module_id = o.origin WHERE hop < 4),
+    """WITH RECURSIVE o(module_id, origin) AS (SELECT module_id, origin FROM {reexport} UNION SELECT o.module_id, x.origin FROM o JOIN {reexport} x ON x.module_id = o.origin),
     u AS (SELECT resolved_to AS module_id, specifier, name FROM {specifier} WHERE kind <> 'Dynamic' UNION SELECT o.origin, s.specifier, s.name FROM {specifier} s JOIN o ON o.module_id = s.resolved_to WHERE s.kind <> 'Dynamic' AND s.name <> 'default')
     SELECT e.module_id, m.path, e.name, e.kind, e.is_type_only FROM {export} e JOIN {module} m ON m.module_id = e.module_id WHERE NOT m.is_entry AND NOT starts_with(m.path, 'virtual:')
     AND NOT EXISTS (SELECT 1 FROM u WHERE u.module_id = e.module_id AND (u.specifier = 'Namespace' OR u.specifier IN ('Named', 'Default') AND u.name = e.name))"""
@@ -122,6 +127,11 @@ def cycles(t):
     return graph.components(t("ring"))
 
 
+@query(f"WITH RECURSIVE {CLOSURE} SELECT module_id, scc_id FROM k")
+def cycles_by_rounds(t):
+    return graph.components(t("ring"), limit=0)
+
+
 @query(
     f"""WITH RECURSIVE {REACH}, {CLOSURE} SELECT scc_id, count(*) AS length, CAST(sum(size) AS BIGINT) AS total_size, bool_and(NOT is_entry AND NOT starts_with(path, 'virtual:') AND k.module_id NOT IN (SELECT n FROM r)) AS all_unreachable,
     string_agg(regexp_extract(path, '[^/]*$'), ' -> ' ORDER BY k.module_id) AS members FROM k JOIN {{module}} m ON m.module_id = k.module_id GROUP BY scc_id"""
@@ -131,11 +141,11 @@ def cycle_sizes(t):
 
 
 @query(
-    """WITH RECURSIVE p(node, path, depth) AS (SELECT module_id, [module_id], 0 FROM {module} WHERE is_entry UNION ALL SELECT e.dst, list_append(p.path, e.dst), depth + 1 FROM p JOIN {edge} e ON e.src = p.node WHERE depth < 9 AND NOT list_contains(p.path, e.dst))
+    """WITH RECURSIVE p(node, path, depth) AS (SELECT module_id, [module_id], 0 FROM {module} WHERE is_entry UNION ALL SELECT e.dst, list_append(p.path, e.dst), depth + 1 FROM p JOIN {layer} e ON e.src = p.node WHERE NOT list_contains(p.path, e.dst))
     SELECT node AS module_id, depth, array_to_string(path, '>') AS chain FROM p WHERE depth > 5"""
 )
 def dependency_chains(t):
-    return graph.chains(t("module").where("is_entry").select("module_id"), t("edge"))
+    return graph.chains(t("module").where("is_entry").select("module_id"), t("layer"))
 
 
 @query(f"WITH RECURSIVE {REACH} SELECT m.module_id, m.path, i.importers FROM {{module}} m JOIN (SELECT dst, count(*) AS importers, bool_or(src IN (SELECT n FROM r)) AS live FROM {{edge}} GROUP BY dst) i ON i.dst = m.module_id WHERE NOT m.is_entry AND NOT i.live AND NOT starts_with(m.path, 'virtual:')")
@@ -329,11 +339,11 @@ CONDITIONS: dict[str, tuple[dict, str]] = {
     "export_type_class": ({"export_type": "class"}, "NOT e.is_type_only AND regexp_matches(e.name, '^[A-Z]')"),
     "path_starts_with": ({"path_starts_with": ["pages/", "app/d1"]}, "(starts_with(e.path, 'pages/') OR starts_with(e.path, 'app/d1'))"),
     "path_ends_with": ({"path_ends_with": [".tsx", ".vue"]}, "(ends_with(e.path, '.tsx') OR ends_with(e.path, '.vue'))"),
-    "path_pattern": ({"path_pattern": "/(pages|app)/d[2-4]/.*[.]tsx?$"}, "regexp_matches('/' || e.path, '/(pages|app)/d[2-4]/.*[.]tsx?$')"),
+    "path_pattern": ({"path_pattern": "^(pages|app)/d[2-4]/.*[.]tsx?$"}, "regexp_matches(e.path, '^(pages|app)/d[2-4]/.*[.]tsx?$')"),
     "not_import_from": ({"not_import_from": "react"}, f"NOT {_IMPORTS} s.source = 'react')"),
     "not_export_name": ({"not_export_name": ["default"]}, "e.name <> 'default'"),
     "not_export_pattern": ({"not_export_pattern": "^(use|helper)"}, "NOT regexp_matches(e.name, '^(use|helper)')"),
-    "not_path_pattern": ({"not_path_pattern": "[.]test[.]"}, "NOT regexp_matches('/' || e.path, '[.]test[.]')"),
+    "not_path_pattern": ({"not_path_pattern": "^src/|[.]test[.]"}, "NOT regexp_matches(e.path, '^src/|[.]test[.]')"),
     "usage_count": ({"min_usage_count": 2, "max_usage_count": 4}, "coalesce(e.usage_count BETWEEN 2 AND 4, FALSE)"),
 }
 EXPORTS = "SELECT x.*, m.path FROM {export} x JOIN {module} m ON m.module_id = x.module_id"
@@ -341,19 +351,20 @@ for _key, (_match, _where) in CONDITIONS.items():
     query(f"SELECT module_id, path, name FROM ({EXPORTS}) e WHERE {_where}", f"rule_{_key}")(lambda t, m=_match, k=_key: _rule_rows(t).where(rules.Rule(k, m).predicate()).select("module_id", "path", "name"))
 
 
-@query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND length(text) <= 10485760 AND regexp_matches(text, 'licensed under|@public')")
+@query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND length(text) <= 10485760 AND regexp_matches(text, 'icensed under|@public')")
 def rule_content_pattern(t):
     rows = t("documents").select("doc_id", F.col("text").alias("content"))
-    return rows.where(rules.Rule("content", {"content_pattern": "licensed under|@public"}).predicate()).select("doc_id")
+    return rows.where(rules.Rule("content", {"content_pattern": "icensed under|@public"}).predicate()).select("doc_id")
 
 
 ORDERED = ("export_name", "path_ends_with", "export_pattern", "path_starts_with", "usage_count")
-_cases = " UNION ALL ".join(f"SELECT module_id, path, name, {k} AS rule_idx, '{n}' AS rule, {'TRUE' if n.startswith('path') else 'FALSE'} AS file_only FROM ({EXPORTS}) e WHERE {CONDITIONS[n][1]}" for k, n in enumerate(ORDERED))
-MATCHES = f"SELECT * FROM (SELECT *, min(CASE WHEN file_only THEN rule_idx END) OVER (PARTITION BY module_id) AS ff FROM ({_cases})) WHERE ff IS NULL OR rule_idx <= ff"
+_hits = lambda files: " UNION ALL ".join(f"SELECT module_id, path, {'NULL' if files else 'name'} AS name, {k} AS rule_idx, '{n}' AS rule, {files} AS file_only FROM ({'SELECT * FROM {module}' if files else EXPORTS}) e WHERE {CONDITIONS[n][1]}" for k, n in enumerate(ORDERED) if n.startswith("path") == files)
+#: Export rules up to a module's first file rule, and that rule once a module.
+MATCHES = f"SELECT x.* FROM ({_hits(False)}) x LEFT JOIN (SELECT module_id, min(rule_idx) AS ff FROM ({_hits(True)}) GROUP BY module_id) f ON f.module_id = x.module_id WHERE ff IS NULL OR rule_idx < ff UNION ALL SELECT * FROM ({_hits(True)}) QUALIFY row_number() OVER (PARTITION BY module_id ORDER BY rule_idx) = 1"
 
 
 def _matches(t) -> DataFrame:
-    return rules.evaluate(_rule_rows(t), [rules.Rule(n, CONDITIONS[n][0]) for n in ORDERED])
+    return rules.evaluate(_rule_rows(t), [rules.Rule(n, CONDITIONS[n][0]) for n in ORDERED], rules.module_rows(t("module"), t("specifier")))
 
 
 @query(f"SELECT module_id, name, CAST(rule_idx AS INTEGER) AS rule_idx, rule FROM ({MATCHES})")
@@ -361,7 +372,7 @@ def rule_first_match(t):
     return _matches(t).select("module_id", "name", "rule_idx", "rule")
 
 
-@query(f"SELECT module_id, path, name, arg_min(rule, rule_idx) AS rule, count(*) AS rules FROM ({MATCHES}) GROUP BY ALL")
+@query(f"SELECT module_id, path, name, arg_min(rule, rule_idx) AS rule, count(*) AS rules FROM ({MATCHES}) WHERE NOT file_only GROUP BY ALL")
 def framework_used_exports(t):
     return rules.marked_used(_matches(t))
 
@@ -565,12 +576,15 @@ def overlap(t):
 
 
 @query(
-    """WITH f AS (SELECT DISTINCT lower(path) AS path, CAST(module_id AS VARCHAR) AS name FROM {finding} WHERE type = 'unused_export'), t AS (SELECT lower(path) AS path, CAST(module_id AS VARCHAR) AS name, module_id % 2 = 0 AS unused FROM {module} WHERE module_id % 5 <> 0),
-    c AS (SELECT count(*) FILTER (WHERE f.path IS NOT NULL AND unused) AS tp, count(*) FILTER (WHERE f.path IS NOT NULL AND NOT unused) AS fp, count(*) FILTER (WHERE f.path IS NULL AND unused) AS fn FROM f FULL JOIN t ON f.path = t.path AND f.name = t.name)
+    """WITH f AS (SELECT DISTINCT lower('/root/' || path) AS path, CASE WHEN module_id % 7 = 0 THEN NULL ELSE CAST(module_id AS VARCHAR) END AS name FROM {finding} WHERE type = 'unused_export'),
+    t AS (SELECT lower(path) AS path, CAST(module_id AS VARCHAR) AS name, module_id % 2 = 0 AS unused FROM {module} WHERE module_id % 5 <> 0),
+    p AS (SELECT f.path, f.name, t.path AS t_path, t.name AS t_name, unused FROM f JOIN t ON regexp_extract(f.path, '[^/]*$') = regexp_extract(t.path, '[^/]*$') AND (contains(f.path, t.path) OR contains(t.path, f.path)) AND coalesce(f.name = t.name, TRUE)),
+    e AS (SELECT path, name, bool_or(unused) AS hit FROM p GROUP BY path, name),
+    c AS (SELECT (SELECT count(*) FROM e WHERE hit) AS tp, (SELECT count(*) FROM e WHERE NOT hit) AS fp, (SELECT count(*) FROM t WHERE unused) - (SELECT count(*) FROM (SELECT DISTINCT t_path, t_name FROM p WHERE unused)) AS fn)
     SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM c"""
 )
 def accuracy(t):
-    found = t("finding").where("type = 'unused_export'").select(F.upper("path").alias("path"), F.col("module_id").cast("string").alias("name"))
+    found = t("finding").where("type = 'unused_export'").select(F.upper(F.concat(F.lit("\\root\\"), F.replace("path", F.lit("/"), F.lit("\\")))).alias("path"), F.when(F.col("module_id") % 7 != 0, F.col("module_id").cast("string")).alias("name"))
     truth = t("module").where("module_id % 5 <> 0").select("path", F.col("module_id").cast("string").alias("name"), (F.col("module_id") % 2 == 0).alias("is_unused"))
     return report.accuracy(found, truth)
 

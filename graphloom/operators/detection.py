@@ -18,7 +18,7 @@ def _condition(d: Detection, value: Column) -> Column:
     if d.type == "package_dependency":
         return value == d.pattern
     if d.type == "file_extension":
-        return value.endswith(d.pattern)
+        return F.regexp_extract(value, r"\.([^./]+)$", 1) == d.pattern.removeprefix(".")
     return value.rlike(glob_to_regex(d.pattern if d.pattern.startswith("**/") else f"**/{d.pattern}", star_crosses=False))
 
 

@@ -8,6 +8,7 @@ checked, run on the driver; larger graphs run as rounds of joins whose lineage i
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from graphloom.storage import cut
 
 #: Graphs up to this many edges are solved on the driver.
 LOCAL_EDGES = 200_000
+#: Fronts of a search that are read side by side before they are written together.
+MOST_FRONTS = 24
 
 #: Fragments that make a file name a configuration file's.
 CONFIG_FRAGMENTS = ("package.json", "tsconfig.json", "jsconfig.json", ".eslintrc", ".prettierrc", "next.config", "vite.config", "rollup.config")
@@ -64,18 +67,19 @@ def reachable(entries: DataFrame, edges: DataFrame, limit: int = LOCAL_EDGES) ->
         found = spark.createDataFrame([(x,) for x in seen], f"module_id {kind}")
         return entries.select("module_id").union(found).distinct()
     edges = cut(edges, "edges")
-    seen = cut(entries.select("module_id").distinct(), "seen")
-    front = seen
+    front = cut(entries.select("module_id").distinct(), "front")
+    fronts = [front]
     while True:
+        seen = reduce(DataFrame.union, fronts)
         fresh = front.join(edges, front["module_id"] == edges["src"]).select(F.col("dst").alias("module_id")).distinct().join(seen, "module_id", "left_anti")
         front = cut(fresh, "front")
         if not front.limit(1).count():
             return seen
-        seen = cut(seen.union(front), "seen")
+        fronts = [*fronts, front] if len(fronts) < MOST_FRONTS else [cut(seen, "seen"), front]
 
 
-def unreachable_modules(modules: DataFrame, edges: DataFrame) -> DataFrame:  # G2
-    seen = reachable(modules.where("is_entry").select("module_id"), edges)
+def unreachable_modules(modules: DataFrame, edges: DataFrame, limit: int = LOCAL_EDGES) -> DataFrame:  # G2
+    seen = reachable(modules.where("is_entry").select("module_id"), edges, limit)
     return modules.where(not_virtual(F.col("path"))).join(seen, "module_id", "left_anti")
 
 
@@ -233,17 +237,23 @@ def cycle_summary(cycles: DataFrame, modules: DataFrame, unreachable: DataFrame)
     )
 
 
-def chains(entries: DataFrame, edges: DataFrame, most: int = 9, over: int = 5) -> DataFrame:  # G15, D36
-    """Simple import paths from entries of more than `over` and at most `most` edges: (module_id, depth, chain of ids joined by '>')."""
-    step = edges.select("src", "dst").distinct()
-    paths = entries.select(F.col("module_id").alias("node"), F.array("module_id").alias("path"))
-    out = None
-    for depth in range(1, most + 1):
-        paths = paths.join(step, paths["node"] == step["src"]).where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
+def chains(entries: DataFrame, edges: DataFrame, over: int = 5) -> DataFrame:  # G15, D36
+    """All simple import paths from entries of more than `over` edges, however long: (module_id, depth, chain of ids joined by '>').
+
+    Rounds of one edge until none is left, each written to the shared folder. The paths themselves are the result, and a graph of many
+    branches has exponentially many; nothing is cut.
+    """
+    step = cut(edges.select("src", "dst").distinct(), "edges")
+    paths, found, depth = entries.select(F.col("module_id").alias("node"), F.array("module_id").alias("path")).distinct(), [], 0
+    while True:
+        depth += 1
+        paths = cut(paths.join(step, paths["node"] == step["src"]).where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path")), "paths")
+        if not paths.limit(1).count():
+            break
         if depth > over:
-            own = paths.select(F.col("node").alias("module_id"), F.lit(depth).alias("depth"), F.array_join(F.col("path").cast("array<string>"), ">").alias("chain"))
-            out = own if out is None else out.union(own)
-    return out
+            found.append(paths.select(F.col("node").alias("module_id"), F.lit(depth).alias("depth"), F.array_join(F.col("path").cast("array<string>"), ">").alias("chain")))
+    kind = entries.schema["module_id"].dataType.simpleString()
+    return reduce(DataFrame.union, found) if found else entries.sparkSession.createDataFrame([], f"module_id {kind}, depth int, chain string")
 
 
 def dead_modules(modules: DataFrame, edges: DataFrame) -> DataFrame:  # G14

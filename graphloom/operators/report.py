@@ -42,16 +42,22 @@ def normalized(path):  # J21
 
 
 def accuracy(findings: DataFrame, truth: DataFrame, compat: bool = False) -> DataFrame:  # F20, E15
-    """Precision, recall and F1 of findings (path, name) against truth (path, name, is_unused), matched by normalised path and name.
+    """Precision, recall and F1 of findings (path, name) against truth (path, name, is_unused).
 
-    A finding without a label is left out; with compat it counts as a true positive.
+    Paths match if one, normalised, holds the other and both end in the same file name, which blocks the join; names must be equal, or missing on
+    a side. A finding that matches an unused item is right, else one that matches a used item is wrong; one without a match is left out, and
+    with compat it is right. Unused items that nothing matches are missed.
     """
-    f = findings.select(normalized(F.col("path")).alias("path"), "name").distinct().withColumn("found", F.lit(True))
-    t = truth.select(normalized(F.col("path")).alias("path"), "name", "is_unused")
-    rows = f.join(t, ["path", "name"], "full")
-    found, unused = F.col("found").isNotNull(), F.col("is_unused")
-    hit = found & (F.coalesce(unused, F.lit(True)) if compat else F.coalesce(unused, F.lit(False)))
-    out = rows.agg(F.count_if(hit).alias("tp"), F.count_if(found & ~unused).alias("fp"), F.count_if(~found & unused).alias("fn"))
+    last = lambda p: F.element_at(F.split(p, "/"), -1)
+    f = findings.select(normalized(F.col("path")).alias("path"), "name").distinct().withColumn("file", last(F.col("path")))
+    t = truth.select(normalized(F.col("path")).alias("t_path"), F.col("name").alias("t_name"), "is_unused").distinct().withColumn("file", last(F.col("t_path")))
+    same = (F.col("path").contains(F.col("t_path")) | F.col("t_path").contains(F.col("path"))) & F.coalesce(F.col("name") == F.col("t_name"), F.lit(True))
+    pairs = f.join(t, "file").where(same)
+    each = f.drop("file").join(pairs.groupBy("path", "name").agg(F.bool_or("is_unused").alias("unused")).withColumnsRenamed({"path": "p", "name": "n"}), F.col("path").eqNullSafe(F.col("p")) & F.col("name").eqNullSafe(F.col("n")), "left")
+    right = F.coalesce(F.col("unused"), F.lit(compat))
+    met = pairs.where("is_unused").select("t_path", "t_name").distinct().agg(F.count("*").alias("met"))
+    out = each.agg(F.count_if(right).alias("tp"), F.count_if(~F.col("unused")).alias("fp")).crossJoin(met).crossJoin(t.agg(F.count_if("is_unused").alias("all")))  # one row each
+    out = out.withColumn("fn", F.col("all") - F.col("met"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     out = out.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
     f1 = ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Limits of rule files and patterns.
@@ -24,12 +24,16 @@ EXPORT_KEYS = ("export_name", "export_pattern", "export_type", "not_export_name"
 
 
 def check_regex(pattern: str) -> str:  # D18
-    """The pattern, if it is short, compiles and nests no unbounded quantifier."""
+    """The pattern, if it is short, compiles, nests no unbounded quantifier and repeats no alternatives of which one begins another."""
     if len(pattern) > MOST_REGEX:
         raise ValueError(f"pattern longer than {MOST_REGEX}")
     re.compile(pattern)
     if re.search(r"\((?:[^()\\]|\\.)*[+*](?:[^()\\]|\\.)*\)[+*{]", pattern):
         raise ValueError(f"nested quantifiers: {pattern}")
+    for body in re.findall(r"\(((?:[^()\\]|\\.)*\|(?:[^()\\]|\\.)*)\)(?:[+*]|\{\d+,\})", pattern):
+        ways = sorted(body.removeprefix("?:").split("|"))
+        if any(b.startswith(a) for a, b in zip(ways[:-1], ways[1:], strict=True)):
+            raise ValueError(f"repeated alternatives overlap: {pattern}")
     return pattern
 
 
@@ -57,6 +61,7 @@ class Rule:
     match: dict
     priority: int = 0
     action: dict = field(default_factory=lambda: {"mark_used": True})
+    reason: str = ""
 
     def __post_init__(self):
         unknown = set(self.match) - set(KEYS)
@@ -115,7 +120,7 @@ class Rule:
                     any_ = any_ | test(x)
                 held = held & any_
         if "path_pattern" in m:  # D11
-            held = held & F.concat(F.lit("/"), path).rlike(m["path_pattern"])
+            held = held & path.rlike(m["path_pattern"])
         if "not_import_from" in m:  # D13
             held = held & ~F.exists("imports", lambda i: i.source.isin(*_many(m["not_import_from"])))
         if "not_export_name" in m:  # D14
@@ -123,14 +128,14 @@ class Rule:
         if "not_export_pattern" in m:  # D15
             held = held & ~name.rlike(m["not_export_pattern"])
         if "not_path_pattern" in m:  # D16
-            held = held & ~F.concat(F.lit("/"), path).rlike(m["not_path_pattern"])
+            held = held & ~path.rlike(m["not_path_pattern"])
         count = F.col("usage_count")
         if "min_usage_count" in m:  # D17: a null count never matches
             held = held & F.coalesce(count >= m["min_usage_count"], F.lit(False))
         if "max_usage_count" in m:
             held = held & F.coalesce(count <= m["max_usage_count"], F.lit(False))
         if "content_pattern" in m:  # D12
-            held = held & F.coalesce((F.length("content") <= MOST_CONTENT) & F.col("content").rlike(m["content_pattern"]), F.lit(False))
+            held = held & F.coalesce((F.octet_length("content") <= MOST_CONTENT) & F.col("content").rlike(m["content_pattern"]), F.lit(False))
         return held
 
 
@@ -150,19 +155,35 @@ def rule_rows(modules: DataFrame, exports: DataFrame, specifiers: DataFrame) ->
     return rows.withColumn("imports", F.coalesce("imports", empty))
 
 
-def evaluate(rows: DataFrame, rules: list[Rule]) -> DataFrame:  # E8, L2
-    """A row for each export and rule that matches: rule_idx, rule, verb, file_only. One scan tests all rules; a module's first file rule ends its list."""
-    hits = F.filter(F.array(*(F.when(r.predicate(), F.struct(F.lit(k).alias("rule_idx"), F.lit(r.name).alias("rule"), F.lit(r.verb).alias("verb"), F.lit(r.file_only).alias("file_only"))) for k, r in enumerate(rules))), lambda x: x.isNotNull())
-    found = rows.select("module_id", "path", "name", F.explode(hits).alias("hit")).select("module_id", "path", "name", "hit.*")
-    first = F.min(F.when(F.col("file_only"), F.col("rule_idx"))).over(Window.partitionBy("module_id"))  # H6
-    return found.withColumn("first_file", first).where(F.col("first_file").isNull() | (F.col("rule_idx") <= F.col("first_file"))).drop("first_file")
+def module_rows(modules: DataFrame, specifiers: DataFrame) -> DataFrame:
+    """Modules with their imports, as file rules read them: like an export without a name."""
+    empty = F.array().cast("array<struct<source:string,names:array<string>,has_default:boolean,has_namespace:boolean>>")
+    rows = modules.join(import_arrays(specifiers), "module_id", "left").withColumn("imports", F.coalesce("imports", empty))
+    return rows.withColumns({"name": F.lit(None).cast("string"), "is_type_only": F.lit(False), "usage_count": F.lit(None).cast("long")})
+
+
+def evaluate(rows: DataFrame, rules: list[Rule], modules: DataFrame) -> DataFrame:  # E8, L2, H6
+    """rule_idx, rule, verb, file_only of every match: a row for each export and export rule, and one with a null name for each module's first file rule, which ends its list.
+
+    rows: exports as rule_rows() gives them; modules: module_rows(). What a file rule tests stands in an export's row too, so nothing is joined.
+    """
+    said = lambda k, r: F.struct(F.lit(k).alias("rule_idx"), F.lit(r.name).alias("rule"), F.lit(r.verb).alias("verb"), F.lit(r.file_only).alias("file_only"))
+    files = [(k, r) for k, r in enumerate(rules) if r.file_only]
+    first = F.coalesce(*(F.when(r.predicate(), said(k, r)) for k, r in files), F.lit(None)) if files else F.lit(None).cast("struct<rule_idx:int,rule:string,verb:string,file_only:boolean>")
+    hits = [F.when(r.predicate(), said(k, r)) for k, r in enumerate(rules) if not r.file_only]
+    names = ("module_id", "path", "name")
+    found = modules.select(*names, first.alias("hit")).where("hit is not null")
+    if hits:
+        own = rows.withColumn("last", first["rule_idx"]).withColumn("hit", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())))
+        found = own.where("last is null or hit.rule_idx < last").select(*names, "hit").union(found)
+    return found.select(*names, "hit.*")
 
 
 def marked_used(matches: DataFrame) -> DataFrame:  # G4, L4
     """Exports that at least one mark_used rule holds for, with the first such rule."""
-    return matches.where("verb = 'mark_used'").groupBy("module_id", "path", "name").agg(F.min_by("rule", "rule_idx").alias("rule"), F.count("*").alias("rules"))
+    return matches.where("verb = 'mark_used' and not file_only").groupBy("module_id", "path", "name").agg(F.min_by("rule", "rule_idx").alias("rule"), F.count("*").alias("rules"))
 
 
 def rule_stats(matches: DataFrame) -> DataFrame:  # F16
-    """Matches of each rule; every export match counts as marked and every file match as skipped, whatever the action."""
+    """Matches of each rule; every export match counts as marked and every module that a file rule ends as skipped, whatever the action."""
     return matches.groupBy("rule_idx", "rule").agg(F.count_if(~F.col("file_only")).alias("marked"), F.count_if("file_only").alias("skipped"))

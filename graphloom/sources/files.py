@@ -94,10 +94,8 @@ def extract_imports(files: DataFrame) -> DataFrame:  # A24
 def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Adds resolved_path: a relative source beside its importer, as it stands, with an extension, or as a folder's index; null for packages."""
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
-    joined = F.regexp_replace(F.concat_ws("/", folder, F.col("source")), r"(^|/)\./", "$1")
-    for _ in range(8):  # each pass takes one '..' with its folder away
-        joined = F.regexp_replace(joined, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    joined = F.regexp_replace(joined, "^/+", "")
+    up = lambda a, x: F.when(x.isin("", "."), a).when((x == "..") & (F.size(a) > 0), F.slice(a, 1, F.size(a) - 1)).otherwise(F.array_append(a, x))
+    joined = F.array_join(F.aggregate(F.split(F.concat_ws("/", folder, F.col("source")), "/"), F.array().cast("array<string>"), up), "/")
     rows = imports.withColumn("key", F.when(F.col("source").startswith("."), joined))
     plain = F.regexp_replace("path", r"\.[^./]+$", "")
     keys = files.select("path", F.explode(F.array_distinct(F.array(F.col("path"), plain, F.regexp_replace(plain, "/index$", "")))).alias("key"))

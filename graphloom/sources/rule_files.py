@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tomllib
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from functools import cache
+from importlib.resources import files as resources
 
 from graphloom.operators.rules import MOST_DEPTH, MOST_FILE, Rule
 
@@ -39,8 +41,8 @@ def read_rules(text: str) -> RuleFile:  # A17
         raise ValueError("rule file nested too deeply")
     head = spec.get("framework", {})
     name, priority = head.get("name", "custom"), head.get("priority", 50)
-    detections = tuple(Detection(name, priority, d["type"], d["pattern"], float(d.get("weight", 1.0))) for d in spec.get("detection", []))
-    rules = tuple(Rule(r["name"], r.get("match", {}), r.get("priority", 0), r.get("action", {"mark_used": True})) for r in spec.get("rules", []))
+    detections = tuple(Detection(name, priority, d["type"], d["pattern"], float(d.get("weight", 1.0))) for d in head.get("detection", []))
+    rules = tuple(Rule(r["name"], r.get("match", {}), r.get("priority", 0), r.get("action", {"mark_used": True}), r.get("reason") or r.get("description") or "") for r in spec.get("rules", []))
     entries = tuple((e["name"], p, e.get("priority", 0)) for e in spec.get("entry_points", []) for p in e["patterns"])
     return RuleFile(name, priority, tuple(head.get("suppresses", ())), detections, rules, entries)
 
@@ -50,234 +52,15 @@ def by_precedence(*levels: list[Rule]) -> list[Rule]:  # A18, H2
     return sorted((r for level in levels for r in level), key=lambda r: (-(r.priority or 0), r.name))
 
 
-#: The built-in rule files.
-REACT = r"""
-[framework]
-name = "React"
-[[detection]]
-type = "import"
-pattern = "^react$"
-weight = 1.0
-[[detection]]
-type = "import"
-pattern = "^react-dom$"
-weight = 0.8
-[[detection]]
-type = "package_dependency"
-pattern = "react"
-weight = 1.0
-[[rules]]
-name = "react-hooks"
-priority = 100
-match = { import_from = "react", export_pattern = '^use[A-Z]\w+', export_type = "function" }
-[[rules]]
-name = "react-components"
-priority = 90
-match = { import_from = "react", export_pattern = '^[A-Z]\w+', path_ends_with = [".jsx", ".tsx"] }
-[[rules]]
-name = "react-fc-components"
-priority = 80
-match = { export_pattern = '^[A-Z]\w+', export_type = "const", path_ends_with = ".tsx" }
-[[rules]]
-name = "react-unused-hooks"
-priority = 70
-match = { import_from = "react", export_pattern = '^use[A-Z]\w+', export_type = "function", max_usage_count = 0 }
-[[rules]]
-name = "react-rarely-used-hooks"
-priority = 60
-match = { import_from = "react", export_pattern = '^use[A-Z]\w+', export_type = "function", min_usage_count = 1, max_usage_count = 2 }
-[[rules]]
-name = "react-popular-hooks"
-priority = 50
-match = { import_from = "react", export_pattern = '^use[A-Z]\w+', export_type = "function", min_usage_count = 10 }
-"""
-NEXT = r"""
-[framework]
-name = "Next.js"
-priority = 100
-suppresses = ["React"]
-[[detection]]
-type = "import"
-pattern = "^next$"
-weight = 1.0
-[[detection]]
-type = "import"
-pattern = "^next/"
-weight = 0.9
-[[detection]]
-type = "package_dependency"
-pattern = "next"
-weight = 1.0
-[[detection]]
-type = "file_path"
-pattern = "**/app/**"
-weight = 0.7
-[[detection]]
-type = "file_path"
-pattern = "**/pages/**"
-weight = 0.7
-[[detection]]
-type = "file_path"
-pattern = "middleware.{ts,js}"
-weight = 0.8
-[[rules]]
-name = "nextjs-exports"
-priority = 100
-match = { path_starts_with = ["pages/", "app/", "src/pages/", "src/app/"], export_name = ["getStaticProps", "getStaticPaths", "getServerSideProps", "generateMetadata", "generateStaticParams", "generateViewport", "metadata", "viewport", "config", "dynamic", "dynamicParams", "revalidate", "fetchCache", "runtime", "preferredRegion"] }
-[[rules]]
-name = "nextjs-api-routes"
-priority = 90
-match = { path_pattern = '/(pages|src/pages)/api/.*\.(ts|js)x?$', export_name = ["GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS", "default"] }
-[[rules]]
-name = "nextjs-route-handlers"
-priority = 90
-match = { path_pattern = '/(app|src/app)/.*/route\.(ts|js)x?$', export_name = ["GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS"] }
-[[rules]]
-name = "nextjs-middleware"
-priority = 90
-match = { path_ends_with = ["middleware.ts", "middleware.js", "proxy.ts", "proxy.js"], export_name = ["middleware", "config", "default"] }
-[[rules]]
-name = "nextjs-app-router-files"
-priority = 95
-match = { path_pattern = '/(app|src/app)/.*(layout|template|loading|error|not-found|default|global-error)\.(tsx?|jsx?)$', export_name = ["default"] }
-[[rules]]
-name = "nextjs-special-pages"
-priority = 95
-match = { path_pattern = '/(pages|src/pages)/(_app|_document|_error)\.(tsx?|jsx?)$', export_name = ["default"] }
-[[rules]]
-name = "nextjs-page-components"
-priority = 85
-match = { path_pattern = '/(pages|app|src/pages|src/app)/.*\.(tsx?|jsx?)$', not_path_pattern = '.*(layout|loading|error|not-found|default|global-error|_app|_document|_error|route)\.(tsx?|jsx?)$', export_name = ["default"] }
-[[rules]]
-name = "nextjs-metadata-files"
-priority = 90
-match = { path_pattern = '.*(opengraph-image|twitter-image|icon|apple-icon|sitemap|robots)\.(tsx?|jsx?)$', export_name = ["default", "size", "contentType", "alt", "runtime"] }
-[[rules]]
-name = "nextjs-unused-routes"
-priority = 70
-match = { path_pattern = '/(pages|app)/api/.*\.(ts|js)x?$', export_name = ["GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS"], max_usage_count = 0 }
-"""
-VUE = r"""
-[framework]
-name = "Vue"
-[[detection]]
-type = "import"
-pattern = "^vue$"
-weight = 1.0
-[[detection]]
-type = "import"
-pattern = "^@vue/"
-weight = 0.9
-[[detection]]
-type = "package_dependency"
-pattern = "vue"
-weight = 1.0
-[[detection]]
-type = "file_extension"
-pattern = ".vue"
-weight = 0.8
-[[detection]]
-type = "file_path"
-pattern = "nuxt.config.{ts,js}"
-weight = 0.9
-[[rules]]
-name = "vue-composables"
-priority = 100
-match = { import_from = "vue", export_pattern = '^use\w+', export_type = "function" }
-[[rules]]
-name = "vue-sfc-default"
-priority = 90
-match = { path_ends_with = ".vue", export_name = "default" }
-"""
-SVELTE = r"""
-[framework]
-name = "Svelte"
-[[detection]]
-type = "import"
-pattern = "^svelte$"
-weight = 1.0
-[[detection]]
-type = "import"
-pattern = "^svelte/"
-weight = 0.9
-[[detection]]
-type = "package_dependency"
-pattern = "svelte"
-weight = 1.0
-[[detection]]
-type = "file_extension"
-pattern = ".svelte"
-weight = 0.8
-[[detection]]
-type = "file_path"
-pattern = "**/+page.{svelte,ts,js}"
-weight = 0.7
-[[detection]]
-type = "file_path"
-pattern = "**/+layout.{svelte,ts,js}"
-weight = 0.7
-[[rules]]
-name = "svelte-stores-suffix"
-priority = 100
-match = { import_from = "svelte/store", export_pattern = '\w+Store$' }
-[[rules]]
-name = "svelte-stores-dollar"
-priority = 100
-match = { path_ends_with = ".svelte", export_pattern = '^\$\w+' }
-[[rules]]
-name = "svelte-component-default"
-priority = 90
-match = { path_ends_with = ".svelte", export_name = "default" }
-"""
+#: The built-in rule files, in the folder rules.
+BUILTIN = ("react", "nextjs", "vue", "svelte")
 
 
-#: Entry points of the built-in frameworks: name, priority, globs.
-ENTRY_POINTS: dict[str, tuple[tuple[str, int, tuple[str, ...]], ...]] = {
-    "Next.js": (
-        ("app-router-pages", 100, ("**/app/**/page.{ts,tsx,js,jsx}", "**/src/app/**/page.{ts,tsx,js,jsx}")),
-        ("app-router-layouts", 95, ("**/app/**/layout.{ts,tsx,js,jsx}", "**/src/app/**/layout.{ts,tsx,js,jsx}")),
-        ("app-router-loading", 95, ("**/app/**/loading.{ts,tsx,js,jsx}", "**/src/app/**/loading.{ts,tsx,js,jsx}")),
-        ("app-router-error", 95, ("**/app/**/error.{ts,tsx,js,jsx}", "**/app/**/global-error.{ts,tsx,js,jsx}", "**/src/app/**/error.{ts,tsx,js,jsx}", "**/src/app/**/global-error.{ts,tsx,js,jsx}")),
-        ("app-router-not-found", 95, ("**/app/**/not-found.{ts,tsx,js,jsx}", "**/src/app/**/not-found.{ts,tsx,js,jsx}")),
-        ("app-router-route-handlers", 90, ("**/app/**/route.{ts,tsx,js,jsx}", "**/src/app/**/route.{ts,tsx,js,jsx}")),
-        ("pages-router-pages", 90, ("pages/**/*.{ts,tsx,js,jsx}", "src/pages/**/*.{ts,tsx,js,jsx}")),
-        ("nextjs-middleware", 85, ("middleware.{ts,js}", "src/middleware.{ts,js}")),
-        ("nextjs-proxy", 85, ("proxy.{ts,js}", "src/proxy.{ts,js}")),
-        ("app-router-template", 95, ("**/app/**/template.{ts,tsx,js,jsx}", "**/src/app/**/template.{ts,tsx,js,jsx}")),
-        ("app-router-default", 95, ("**/app/**/default.{ts,tsx,js,jsx}", "**/src/app/**/default.{ts,tsx,js,jsx}")),
-        ("nextjs-instrumentation", 85, ("instrumentation.{ts,js}", "src/instrumentation.{ts,js}")),
-        ("nextjs-config", 100, ("next.config.js", "next.config.mjs", "next.config.ts")),
-        ("nextjs-type-declarations", 95, ("next-env.d.ts",)),
-        ("app-router-metadata-images", 90, ("**/app/**/opengraph-image.{ts,tsx,js,jsx}", "**/app/**/twitter-image.{ts,tsx,js,jsx}", "**/src/app/**/opengraph-image.{ts,tsx,js,jsx}", "**/src/app/**/twitter-image.{ts,tsx,js,jsx}")),
-        ("app-router-icons", 90, ("**/app/**/icon.{ts,tsx,js,jsx}", "**/app/**/apple-icon.{ts,tsx,js,jsx}", "**/src/app/**/icon.{ts,tsx,js,jsx}", "**/src/app/**/apple-icon.{ts,tsx,js,jsx}")),
-        ("app-router-seo", 90, ("**/app/**/sitemap.{ts,tsx,js,jsx}", "**/app/**/robots.{ts,tsx,js,jsx}", "**/src/app/**/sitemap.{ts,tsx,js,jsx}", "**/src/app/**/robots.{ts,tsx,js,jsx}")),
-        ("app-router-manifest", 90, ("**/app/**/manifest.{ts,js}", "**/src/app/**/manifest.{ts,js}")),
-        ("pages-router-error-pages", 85, ("pages/404.{ts,tsx,js,jsx}", "pages/500.{ts,tsx,js,jsx}", "src/pages/404.{ts,tsx,js,jsx}", "src/pages/500.{ts,tsx,js,jsx}")),
-        ("pages-router-special-files", 85, ("pages/_app.{ts,tsx,js,jsx}", "pages/_document.{ts,tsx,js,jsx}", "pages/_error.{ts,tsx,js,jsx}", "src/pages/_app.{ts,tsx,js,jsx}", "src/pages/_document.{ts,tsx,js,jsx}", "src/pages/_error.{ts,tsx,js,jsx}")),
-    ),
-    "Vue": (
-        ("nuxt3-pages", 100, ("pages/**/*.{vue,ts,tsx,js,jsx}", "src/pages/**/*.{vue,ts,tsx,js,jsx}")),
-        ("nuxt3-layouts", 95, ("layouts/**/*.{vue,ts,tsx,js,jsx}", "src/layouts/**/*.{vue,ts,tsx,js,jsx}")),
-        ("nuxt3-components", 90, ("components/**/*.{vue,ts,tsx,js,jsx}", "src/components/**/*.{vue,ts,tsx,js,jsx}")),
-        ("nuxt3-middleware", 90, ("middleware/**/*.{ts,js}", "src/middleware/**/*.{ts,js}")),
-        ("nuxt3-server-routes", 90, ("server/api/**/*.{ts,js}", "server/routes/**/*.{ts,js}", "src/server/api/**/*.{ts,js}", "src/server/routes/**/*.{ts,js}")),
-        ("nuxt3-server-middleware", 85, ("server/middleware/**/*.{ts,js}", "src/server/middleware/**/*.{ts,js}")),
-        ("nuxt3-plugins", 85, ("plugins/**/*.{ts,js}", "src/plugins/**/*.{ts,js}")),
-        ("nuxt3-composables", 80, ("composables/**/*.{ts,js}", "src/composables/**/*.{ts,js}")),
-        ("nuxt3-app-config", 75, ("app.config.{ts,js}", "nuxt.config.{ts,js}", "src/app.config.{ts,js}")),
-    ),
-    "Svelte": (
-        ("sveltekit-pages", 100, ("src/routes/**/+page.{svelte,ts,js}", "src/routes/**/+page.server.{ts,js}", "src/routes/**/+page.client.{ts,js}")),
-        ("sveltekit-layouts", 95, ("src/routes/**/+layout.{svelte,ts,js}", "src/routes/**/+layout.server.{ts,js}")),
-        ("sveltekit-server-routes", 90, ("src/routes/**/+server.{ts,js}",)),
-        ("sveltekit-error-pages", 90, ("src/routes/**/+error.{svelte,ts,js}",)),
-        ("sveltekit-hooks", 85, ("src/hooks.{ts,js}", "src/hooks.server.{ts,js}", "src/hooks.client.{ts,js}")),
-        ("sveltekit-app-files", 80, ("src/app.html", "src/app.d.ts")),
-    ),
-}
+@cache
+def _builtin() -> tuple[RuleFile, ...]:
+    folder = resources("graphloom.sources") / "rules"
+    return tuple(read_rules((folder / f"{x}.toml").read_text(encoding="utf-8")) for x in BUILTIN)
 
 
 def builtin() -> list[RuleFile]:  # A19
-    found = [read_rules(x) for x in (REACT, NEXT, VUE, SVELTE)]
-    own = lambda f: tuple((name, glob, priority) for name, priority, globs in ENTRY_POINTS.get(f.framework, ()) for glob in globs)
-    return [replace(f, entries=f.entries + own(f)) for f in found]
+    return list(_builtin())

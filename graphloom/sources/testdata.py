@@ -19,26 +19,31 @@ ADAPTERS = {
                          || CASE p_partkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' WHEN 2 THEN '.js' ELSE '.vue' END END AS path,
                CAST(floor(p_retailprice * 10) AS BIGINT) AS size, p_size % 3 = 0 AS has_side_effects, p_partkey % 50 = 0 AS is_entry
         FROM {part}""",
+    # every pair of neighbouring line items; parts of another brand are another package, so their imports stay unresolved
     "import": """
-        SELECT a.l_partkey AS module_id, b.l_partkey AS resolved_to, CASE a.l_returnflag WHEN 'R' THEN 'Dynamic' WHEN 'A' THEN 'TypeOnly' ELSE 'Static' END AS kind,
-               min(b.l_linenumber) AS line, max(CASE WHEN p.p_size > 45 THEN 1 ELSE 0 END) = 1 AS is_external,
-               CASE WHEN max(p.p_size) > 45 THEN CASE b.l_partkey % 3 WHEN 0 THEN '@scope/pkg' || CAST(b.l_partkey % 40 AS STRING) || '/sub' WHEN 1 THEN 'react' ELSE 'pkg' || CAST(b.l_partkey % 60 AS STRING) || '/x' END
-                    ELSE './m' || CAST(b.l_partkey AS STRING) END AS source
-        FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 JOIN {part} p ON p.p_partkey = b.l_partkey
-        WHERE a.l_quantity >= 48 AND a.l_partkey <> b.l_partkey
-        GROUP BY a.l_partkey, b.l_partkey, a.l_returnflag""",
+        SELECT module_id, CASE WHEN same THEN target END AS resolved_to, target, kind, line, is_external,
+               CASE WHEN is_external THEN CASE target % 3 WHEN 0 THEN '@scope/pkg' || CAST(target % 40 AS STRING) || '/sub' WHEN 1 THEN 'react' ELSE 'pkg' || CAST(target % 60 AS STRING) || '/x' END
+                    ELSE './m' || CAST(target AS STRING) END AS source
+        FROM (SELECT a.l_partkey AS module_id, b.l_partkey AS target, CASE a.l_returnflag WHEN 'R' THEN 'Dynamic' WHEN 'A' THEN 'TypeOnly' ELSE 'Static' END AS kind,
+                     min(b.l_linenumber) AS line, max(CASE WHEN p.p_size > 45 OR p.p_brand <> o.p_brand THEN 1 ELSE 0 END) = 1 AS is_external, min(CASE WHEN p.p_brand = o.p_brand THEN 1 ELSE 0 END) = 1 AS same
+              FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 JOIN {part} p ON p.p_partkey = b.l_partkey JOIN {part} o ON o.p_partkey = a.l_partkey
+              WHERE a.l_partkey <> b.l_partkey
+              GROUP BY a.l_partkey, b.l_partkey, a.l_returnflag) x""",
     "specifier": """
         SELECT module_id, resolved_to, kind, source, line, is_external,
                CASE WHEN kind = 'Dynamic' OR line % 4 = 0 THEN 'None' WHEN line % 4 = 1 THEN 'Default' WHEN line % 4 = 2 THEN 'Named' ELSE 'Namespace' END AS specifier,
-               CASE line % 4 WHEN 1 THEN 'default' WHEN 2 THEN 'useThing' || CAST(resolved_to AS STRING) WHEN 3 THEN '*' ELSE '' END AS name
+               CASE line % 4 WHEN 1 THEN 'default' WHEN 2 THEN 'useThing' || CAST(target AS STRING) WHEN 3 THEN '*' ELSE '' END AS name
         FROM {import}""",
     "edge": """
-        SELECT DISTINCT module_id AS src, resolved_to AS dst FROM {import}""",
+        SELECT DISTINCT module_id AS src, resolved_to AS dst FROM {import} WHERE resolved_to IS NOT NULL""",
     "ring": """
         SELECT src, dst FROM {edge}
         UNION SELECT p_partkey, p_partkey + 1 FROM {part} WHERE p_partkey % 97 = 0 AND p_partkey + 2 < (SELECT count(*) FROM {part})
         UNION SELECT p_partkey + 1, p_partkey + 2 FROM {part} WHERE p_partkey % 97 = 0 AND p_partkey + 2 < (SELECT count(*) FROM {part})
         UNION SELECT p_partkey + 2, p_partkey FROM {part} WHERE p_partkey % 97 = 0 AND p_partkey + 2 < (SELECT count(*) FROM {part})""",
+    "layer": """
+        SELECT p_partkey AS src, CAST(floor(p_partkey / 2) AS BIGINT) AS dst FROM {part} WHERE p_partkey > 1
+        UNION SELECT p_partkey, CAST(floor(p_partkey / 3) AS BIGINT) FROM {part} WHERE p_partkey > 2 AND p_size > 40""",
     "export": """
         SELECT l_partkey AS module_id, l_linenumber AS line,
                CASE l_linenumber WHEN 1 THEN 'default' WHEN 2 THEN 'useThing' || CAST(l_partkey AS STRING) WHEN 3 THEN 'Widget' || CAST(l_partkey AS STRING) WHEN 4 THEN 'GET'
@@ -47,7 +52,7 @@ ADAPTERS = {
                CASE WHEN l_partkey % 13 = 0 THEN CAST(NULL AS BIGINT) ELSE count(*) - 1 END AS usage_count
         FROM {lineitem} WHERE l_linenumber <= 7 GROUP BY l_partkey, l_linenumber""",
     "reexport": """
-        SELECT p_partkey AS module_id, p_partkey + 1 AS origin FROM {part} WHERE p_partkey % 29 IN (0, 1) AND p_partkey + 1 < (SELECT count(*) FROM {part})""",
+        SELECT p_partkey AS module_id, p_partkey + 1 AS origin FROM {part} WHERE p_partkey % 29 < 7 AND p_partkey + 1 < (SELECT count(*) FROM {part})""",
     "symbol": """
         SELECT o_orderkey AS symbol_id, o_orderkey % n AS module_id, CASE WHEN o_orderkey % 9 = 0 THEN '_s' ELSE 's' END || CAST(o_orderkey AS STRING) AS name,
                CASE o_orderstatus WHEN 'F' THEN 'Function' WHEN 'O' THEN 'Class' ELSE 'Decorator' END AS raw_kind, o_orderkey % 4 = 0 AS is_exported, o_orderkey % 3 <> 0 AS is_used,
@@ -64,7 +69,7 @@ ADAPTERS = {
                c_custkey % 17 = 3 AS workspace
         FROM {customer}""",
     "latest": """
-        SELECT c_custkey AS dep_no, CAST((c_custkey * 3 + 1) % 4 AS STRING) || '.' || CAST((c_custkey * 5) % 7 AS STRING) || '.' || CAST((c_custkey + 2) % 11 AS STRING) || CASE WHEN c_custkey % 19 = 4 THEN '-beta.' || CAST(c_custkey % 3 AS STRING) ELSE '' END AS version
+        SELECT c_custkey AS dep_no, CAST(CASE c_custkey % 3 WHEN 0 THEN (c_custkey * 3 + 1) % 4 ELSE c_custkey % 4 END AS STRING) || '.' || CAST(CASE c_custkey % 3 WHEN 2 THEN c_custkey % 7 ELSE (c_custkey * 5) % 7 END AS STRING) || '.' || CAST((c_custkey + 2) % 11 AS STRING) || CASE WHEN c_custkey % 19 = 4 THEN '-beta.' || CAST(c_custkey % 3 AS STRING) ELSE '' END AS version
         FROM {customer}""",
     "finding": """
         SELECT 'unused_export' AS type, module_id, path, module_id * 10 + 1 AS finding_id, module_id % 4 = 0 AS is_type_only, size FROM {module} WHERE module_id % 3 = 0

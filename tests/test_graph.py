@@ -43,6 +43,11 @@ def test_chain_over_five(spark):
     assert [tuple(r) for r in graph.chains(entries, e).collect()] == [(6, 6, "0>1>2>3>4>5>6")]
 
 
+def test_chains_have_no_bound(spark):
+    e, entries = frames(spark, [(k, k + 1) for k in range(12)] + [(3, 1)], [0])
+    assert sorted(r["depth"] for r in graph.chains(entries, e).collect()) == list(range(6, 13))
+
+
 def test_safety_order(spark):
     rows = [("a", True, True), ("x/next.config.js", False, True), ("b", False, True), ("c", False, False)]
     df = spark.createDataFrame(rows, "path string, is_entry boolean, has_side_effects boolean")

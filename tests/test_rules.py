@@ -42,14 +42,32 @@ def test_limits():
         rules.check_regex("a" * 501)
     with pytest.raises(ValueError, match="nested"):
         rules.check_regex("(a+)+b")
+    with pytest.raises(ValueError, match="overlap"):
+        rules.check_regex("(a|a)*b")
+    rules.check_regex(r"(ts|js)x?$")
     with pytest.raises(ValueError, match="unknown"):
         rules.Rule("r", {"import_fro": "x"})
 
 
 def test_file_rule_ends_the_list(spark):
     df = spark.createDataFrame([(1, "a.ts", "x", False, 0, []), (1, "a.ts", "y", False, 0, [])], ROW)
-    found = rules.evaluate(df, [rules.Rule("n", {"export_name": "x"}), rules.Rule("f", {"path_ends_with": ".ts"}), rules.Rule("late", {"export_name": "y"})])
-    assert sorted((r["name"], r["rule"]) for r in found.collect()) == [("x", "f"), ("x", "n"), ("y", "f")]
+    listed = [rules.Rule("n", {"export_name": "x"}), rules.Rule("f", {"path_ends_with": ".ts"}), rules.Rule("late", {"export_name": "y"})]
+    modules, imports = spark.createDataFrame([(1, "a.ts"), (2, "b.ts")], "module_id long, path string"), spark.createDataFrame([], "module_id long, source string, specifier string, name string")
+    found = rules.evaluate(df, listed, rules.module_rows(modules, imports))
+    # a module without exports is ended too, and each one once
+    assert sorted((r["module_id"], r["name"] or "", r["rule"]) for r in found.collect()) == [(1, "", "f"), (1, "x", "n"), (2, "", "f")]
+    assert sorted(tuple(r) for r in rules.rule_stats(found).collect()) == [(0, "n", 1, 0), (1, "f", 0, 2)]
+
+
+def test_own_sections_of_a_rule_file():
+    read = rule_files.read_rules('[framework]\nname = "X"\n[[framework.detection]]\ntype = "import"\npattern = "^x$"\n[[rules]]\nname = "r"\nmatch = { path_pattern = "^src/" }\n')
+    assert [d.pattern for d in read.detections] == ["^x$"]
+    assert read.rules[0].file_only
+
+
+def test_paths_are_searched_as_they_are(spark):
+    assert matches(spark, {"path_pattern": "^src/"}, path="src/a.ts")
+    assert not matches(spark, {"not_path_pattern": "^src/"}, path="src/a.ts")
 
 
 def test_builtin_files():
