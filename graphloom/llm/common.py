@@ -93,10 +93,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and row offsets of a string column; null counts as empty."""
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
+    """Bytes and row offsets of a string or binary column; null counts as empty."""
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"")
     _, offsets, data = column.buffers()
     ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and data.size else np.zeros(0, np.uint8)

@@ -1,14 +1,19 @@
 """Language-model scoring: a log-bilinear model trained by noise-contrastive estimation, beside an add-0.1 unigram base.
 
-Tokens are the words of the text with A-Z lowered, then one end. All training rows' tokens are counted (combined in each task before the
-shuffle). The MODEL_WORDS commonest words, the end and one class for all other words are the model's vocabulary; a word of that class has
-its smoothed share of the class. The context is the two tokens before: their vectors, each scaled by its position's vector, add up to
-the prediction, whose inner products with the target vectors plus a bias are the scores. Every task trains on all its training tokens with
-shared noise samples from the same start, the parameters are averaged by weight in a tree, and the next round starts there.
+Tokens are the words of the text with A-Z lowered, then one end, and stand for themselves by 64-bit hashes. All training rows' tokens are
+counted (combined in each task before the shuffle). The model's symbols are the end, the commonest words, and buckets that share out all
+other words by hash, an eighth of the symbols; their number grows with the training tokens up to MOST_SYMBOLS, the bound of the model's memory. Within its bucket a word has its
+smoothed share of the bucket's count. The context is the two symbols before: their vectors, each scaled by its position's vector,
+add up to the prediction h.
 
-Normalised probabilities: one batched matrix product for each first context word gives the normaliser of all pairs of context words; after that a
-token's log-probability is four lookups. Words outside a bounded table of the KNOWN commonest join the counts by word, so no vocabulary that
-grows with the corpus is broadcast.
+Symbols stand in classes by rank, small ones first: P(symbol) = P(class | h) P(symbol | class, h), both softmaxes of inner products with h plus
+a bias, so every probability is normalised exactly at the cost of one class and all class scores, in batched matrix products. Both levels
+are trained by noise-contrastive estimation, with noise from the unigram distribution of the classes and of the class's symbols.
+
+Training rows are dealt by a hash of id and text to groups of about GROUP_TOKENS, whose number depends on the corpus alone, and are sorted in
+them. A pass is two rounds, of the even and of the odd groups: in a round each group trains from the same start, the parameters are averaged by weight in order, and
+the next round starts there. So the scan's splits do not matter, and a group's training does not shrink as the corpus grows. A slice of the rows (one in VALIDATION by hash) is kept out of it;
+the round after which they are likeliest gives the model.
 
 Defined cases: null or empty text is one end token; a null doc_id counts as empty text for the fold; with no training rows all counts are 0 and
 the formulas still hold; repeated rows each give a row; columns besides doc_id and text are ignored.
@@ -16,7 +21,7 @@ the formulas still hold; repeated rows each give a row; columns besides doc_id a
 
 from __future__ import annotations
 
-from collections import Counter
+import copy
 
 import numpy as np
 import pandas as pd
@@ -24,48 +29,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.bpe import texts_of
-from graphloom.llm.common import cut, remainder, slices, table
+from graphloom.llm.common import LOWER, buffers, cut, remainder, slices, spans, table, word_hashes
 
-#: Words of the model's vocabulary; words of the table that tasks hold; distinct words of a task before it passes its counts on.
-MODEL_WORDS, KNOWN, FLUSH = 1022, 1 << 17, 200_000
-END, OTHER = 0, 1
-WIDTH, NOISE, SHARED, BATCH, RATE, ROUNDS = 24, 16, 64, 4096, 0.08, 2
-#: Tokens that a task gathers before it trains on their distinct triples.
-GATHER = 1 << 20
+#: Symbols of the model at most; words whose counts tasks hold; distinct words of a task before it passes its counts on.
+MOST_SYMBOLS, KNOWN, FLUSH = 1 << 15, 1 << 17, 500_000
+#: Hash of the end token; training tokens a symbol.
+END, TOKENS_A_SYMBOL = np.uint64(0), 64
+WIDTH, NOISE, SHARED, WITHIN, RATE = 16, 16, 32, 2, 0.12
+#: Tokens of a training group, about; of them taken at once; one row in so many is for validation. A corpus is gone through once, a smaller one
+#: until PASS_TOKENS have been seen, MOST_PASSES times at most.
+GROUP_TOKENS, GATHER, VALIDATION, PASS_TOKENS, MOST_PASSES = 1 << 21, 1 << 20, 32, 1 << 23, 4
+#: Positions scored at once.
+CHUNK = 1 << 11
 
 
 def training(docs: DataFrame) -> DataFrame:
     return docs.where(remainder("doc_id", 10) != 0)
 
 
+def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' tokens, each text with its end, and the number of tokens before each text (one more entry)."""
+    data, ends = buffers(column)
+    data = LOWER[data]
+    starts, stops, before = spans(data, ends)
+    rows = len(ends) - 1
+    upto = before + np.arange(rows + 1)
+    out = np.full(len(starts) + rows, END)
+    out[np.arange(len(starts)) + np.repeat(np.arange(rows), np.diff(before))] = word_hashes(data, starts, stops)
+    return out, upto
+
+
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word binary, c) over every row of docs; the end token is the empty word."""
+    """(word long, c) over every row of docs; a word is the hash of its bytes, the end is 0."""
 
     def run(batches):
-        counts: Counter = Counter()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
-            counts.clear()
-            return out
+        def merged():
+            words, back = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+            return words, np.bincount(back, np.concatenate([c for _, c in held])).astype(np.int64)
 
         for batch in slices(batches):
-            for text in texts_of(batch.column("text")):
-                counts.update(text.lower().split())
-                counts[b""] += 1
-            if len(counts) > FLUSH:
-                yield flush()
-        if counts:
-            yield flush()
+            held.append(np.unique(tokens_of(batch.column("text"))[0], return_counts=True))
+            if sum(len(w) for w, _ in held) > 2 * FLUSH:
+                held[:] = [merged()]
+                if len(held[0][0]) > FLUSH:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["word", "c"])
+                    held.clear()
+        if held:
+            words, counts = merged()
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "c"])
 
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def common_words(counts: DataFrame) -> DataFrame:
     """The commonest words, at most KNOWN: those above a count that a histogram of at most a few thousand steps of 1.1 % gives, so that no task sorts them and the driver gets no others."""
     step = F.floor(F.log2(F.col("c").cast("double")) * 64).cast("long")
-    words = counts.where(F.col("word") != F.lit(b""))
+    words = counts.where(F.col("word") != 0)
     least, held = None, 0
     for r in sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
         held += r["n"]
@@ -75,16 +96,66 @@ def common_words(counts: DataFrame) -> DataFrame:
     return words.where(step >= least) if least is not None else words.where("false")
 
 
+class Symbols:
+    """Counts of the words that tasks hold, and every word's symbol: by rank of counts, buckets among them."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, ends: int, total: int, buckets: list[tuple[int, int, int]], size: int):
+        """words: hashes, commonest first; buckets: (number, tokens, distinct words) over all words but the end."""
+        self.buckets = size // 8
+        most = min(len(words), size - self.buckets - 1)
+        own, held = words[:most], counts[:most]
+        tokens, distinct = np.zeros(self.buckets, np.int64), np.zeros(self.buckets, np.int64)
+        for k, n, v in buckets:
+            tokens[k], distinct[k] = n, v
+        place = (own & np.uint64(self.buckets - 1)).astype(np.int64)
+        np.subtract.at(tokens, place, held)
+        np.subtract.at(distinct, place, 1)
+        raw = np.concatenate([[ends], held, tokens]).astype(np.float64)
+        rank = np.argsort(-raw, kind="stable")
+        number = np.empty(len(raw), np.int32)
+        number[rank] = np.arange(len(raw), dtype=np.int32)
+        self.counts, self.end = raw[rank], int(number[0])
+        self.of_bucket = number[1 + most :]
+        #: log10 of what a bucket's words share out
+        self.bucket_all = np.log10(tokens + 0.1 * (distinct + 1))
+        order = np.argsort(words)
+        self.words, self.word_counts = words[order], counts[order].astype(np.float64)
+        self.of_word = np.full(len(words), -1, np.int32)
+        self.of_word[:most] = number[1 : 1 + most]
+        self.of_word = self.of_word[order]
+        self.ends, self.total = ends, total
+
+    def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: its place among the words held (-1: none), its symbol, and its bucket (-1: a symbol of its own)."""
+        if len(self.words):
+            place = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
+            place = np.where((self.words[place] == tokens) & (tokens != END), place, -1)
+            symbol = np.where(place >= 0, self.of_word[place], -1)
+        else:
+            place = symbol = np.full(len(tokens), -1)
+        bucket = np.where((symbol < 0) & (tokens != END), (tokens & np.uint64(self.buckets - 1)).astype(np.int64), -1)
+        symbol = np.where(tokens == END, self.end, np.where(bucket >= 0, self.of_bucket[bucket], symbol))
+        return place, symbol.astype(np.int64), bucket
+
+
 class LogBilinear:
-    """R: context vectors, Q: target vectors, b: biases, C: a scale for each context position."""
+    """R: context vectors, C: a scale for each context position, S and s: class targets and biases, Q and q: symbol targets and biases."""
 
     def __init__(self, counts: np.ndarray, seed: int = 3):
-        rng = np.random.default_rng(seed)
         n = len(counts)
-        self.noise = (counts + 1.0) / (counts + 1.0).sum()
+        rng = np.random.default_rng(seed)
+        classes = max(1, int(np.sqrt(n)))
+        own = np.minimum((classes * np.sqrt(np.arange(n) / n)).astype(np.int64), classes - 1)
+        _, own = np.unique(own, return_inverse=True)
+        self.class_of, self.first = own, np.searchsorted(own, np.arange(own.max() + 2))
+        self.noise = (counts + 0.5) / (counts + 0.5).sum()
+        self.upto = np.concatenate([[0], np.cumsum(self.noise)])
+        self.class_noise = np.add.reduceat(self.noise, self.first[:-1])
+        self.log_class, self.log_within = np.log(self.class_noise), np.log(self.noise / self.class_noise[own])
+        draw = lambda m: rng.normal(0, 0.1, (m, WIDTH)).astype(np.float32)
         self.p = {
-            "R": rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32), "Q": rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32),
-            "b": np.log(self.noise).astype(np.float32), "C": np.tile(np.array([[1.0], [0.5]], np.float32), (1, WIDTH)),
+            "R": draw(n), "C": np.tile(np.array([[1.0], [0.5]], np.float32), (1, WIDTH)), "S": draw(len(self.class_noise)), "s": self.log_class.astype(np.float32),
+            "Q": draw(n), "q": self.log_within.astype(np.float32),
         }
 
     def flat(self) -> np.ndarray:
@@ -96,45 +167,81 @@ class LogBilinear:
             self.p[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
             at += x.size
 
-    def train(self, triples: np.ndarray, counts: np.ndarray, rng: np.random.Generator, memory: dict[str, np.ndarray]) -> None:
+    def predict(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+        return self.p["R"][w1] * self.p["C"][0] + self.p["R"][w2] * self.p["C"][1]
+
+    def log_probabilities(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Natural logarithms of P(w | w2, w1), normalised over all symbols."""
+        p, out = self.p, np.zeros(len(w))
+        for at in range(0, len(w), CHUNK):
+            own = slice(at, at + CHUNK)
+            h, c = self.predict(w1[own], w2[own]), self.class_of[w[own]]
+            out[own] = _log_softmax(h, p["S"], p["s"], c)
+        order = np.argsort(self.class_of[w], kind="stable")
+        ends = np.searchsorted(self.class_of[w][order], np.arange(len(self.first)))
+        for k in range(len(self.first) - 1):
+            a, b = self.first[k], self.first[k + 1]
+            if b - a > 1:
+                for at in range(ends[k], ends[k + 1], CHUNK):
+                    own = order[at : min(at + CHUNK, ends[k + 1])]
+                    out[own] += _log_softmax(self.predict(w1[own], w2[own]), p["Q"][a:b], p["q"][a:b], w[own] - a)
+        return out
+
+    def train(self, triples: np.ndarray, counts: np.ndarray, rng: np.random.Generator, memory: dict[str, np.ndarray], batch: int) -> None:
         """One pass over distinct (before last, last, target) rows with their counts."""
-        p, log_kn = self.p, np.log(NOISE * self.noise).astype(np.float32)
-        draw = np.cumsum(self.noise)
+        p = self.p
+        class_upto = np.cumsum(self.class_noise)
         order = rng.permutation(len(triples))
-        for at in range(0, len(order), BATCH):
-            own = order[at : at + BATCH]
+        for at in range(0, len(order), batch):
+            own = order[at : at + batch]
             w2, w1, w = triples[own].T
             weight = counts[own].astype(np.float32)
             weight /= weight.sum()
-            noise = np.minimum(np.searchsorted(draw, rng.random(SHARED) * draw[-1]), len(draw) - 1)
-            r1, r2 = p["R"][w1], p["R"][w2]
+            r1, r2, c = p["R"][w1], p["R"][w2], self.class_of[w]
             h = r1 * p["C"][0] + r2 * p["C"][1]
-            qw, qn = p["Q"][w], p["Q"][noise]
-            dp = (h * qw).sum(1) + p["b"][w] - log_kn[w]
-            dn = h @ qn.T + (p["b"][noise] - log_kn[noise])
-            gp = -weight / (1 + np.exp(np.clip(dp, -30, 30)))
-            gn = weight[:, None] * (NOISE / SHARED) / (1 + np.exp(-np.clip(dn, -30, 30)))
-            dh = gp[:, None] * qw + gn @ qn
+            # classes: SHARED noise samples for the whole batch
+            noise = np.minimum(np.searchsorted(class_upto, rng.random(SHARED) * class_upto[-1]), len(class_upto) - 1)
+            tc, tn = p["S"][c], p["S"][noise]
+            gp = -weight * _sigmoid(-((h * tc).sum(1) + p["s"][c] - self.log_class[c] - np.log(NOISE)))
+            gn = weight[:, None] * (NOISE / SHARED) * _sigmoid(h @ tn.T + p["s"][noise] - self.log_class[noise] - np.log(NOISE))
+            dh = gp[:, None] * tc + gn @ tn
+            where, sums = _sums(np.concatenate([c, noise]), np.concatenate([np.column_stack([gp[:, None] * h, gp]), np.column_stack([gn.T @ h, gn.sum(0)])]))
+            self._step("S", where, sums[:, :-1], memory)
+            self._step("s", where, sums[:, -1], memory)
+            # symbols: WITHIN noise samples of each target's class
+            low, high = self.upto[self.first[c]], self.upto[self.first[c + 1]]
+            noise = np.searchsorted(self.upto, low[:, None] + rng.random((len(w), WITHIN)) * (high - low)[:, None], "right") - 1
+            noise = np.clip(noise, self.first[c][:, None], self.first[c + 1][:, None] - 1)
+            tw, tn = p["Q"][w], p["Q"][noise]
+            gp = -weight * _sigmoid(-((h * tw).sum(1) + p["q"][w] - self.log_within[w] - np.log(WITHIN)))
+            gn = weight[:, None] * _sigmoid(np.einsum("nd,nkd->nk", h, tn) + p["q"][noise] - self.log_within[noise] - np.log(WITHIN))
+            dh += gp[:, None] * tw + np.einsum("nk,nkd->nd", gn, tn)
+            where, sums = _sums(np.concatenate([w, noise.ravel()]), np.concatenate([np.column_stack([gp[:, None] * h, gp]), np.column_stack([(gn[:, :, None] * h[:, None]).reshape(-1, WIDTH), gn.ravel()])]))
+            self._step("Q", where, sums[:, :-1], memory)
+            self._step("q", where, sums[:, -1], memory)
             self._step("C", slice(None), np.stack([(dh * r1).sum(0), (dh * r2).sum(0)]), memory)
             self._step("R", *_sums(np.concatenate([w1, w2]), np.concatenate([dh * p["C"][0], dh * p["C"][1]])), memory)
-            where, both = _sums(np.concatenate([w, noise]), np.concatenate([np.column_stack([gp[:, None] * h, gp]), np.column_stack([gn.T @ h, gn.sum(0)])]))
-            self._step("Q", where, both[:, :-1], memory)
-            self._step("b", where, both[:, -1], memory)
 
     def _step(self, name: str, where, gradient: np.ndarray, memory: dict[str, np.ndarray]) -> None:
         memory[name][where] += gradient * gradient
-        self.p[name][where] -= RATE * gradient / (np.sqrt(memory[name][where]) + 1e-6)
+        self.p[name][where] -= (RATE * gradient / (np.sqrt(memory[name][where]) + 1e-6)).astype(np.float32)
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """Natural log-probabilities by lookup: pair[i][context word, target] for positions 1 and 2 (the bias is in the first), normaliser[w1, w2]."""
-        p = self.p
-        first, second = (p["R"] * p["C"][0]) @ p["Q"].T + p["b"], (p["R"] * p["C"][1]) @ p["Q"].T
-        normaliser = np.empty_like(first)
-        for w1 in range(len(first)):
-            logits = first[w1] + second  # a row for each w2
-            top = logits.max(1)
-            normaliser[w1] = top + np.log(np.exp(logits - top[:, None]).sum(1))
-        return np.stack([first, second]), normaliser
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return (1 / (1 + np.exp(-np.clip(x, -30, 30)))).astype(np.float32)
+
+
+def _log_softmax(h: np.ndarray, targets: np.ndarray, biases: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The logarithm of the chosen target's share for each prediction."""
+    scores = h @ targets.T
+    scores += biases
+    own = scores[np.arange(len(scores)), chosen].astype(np.float64)
+    bound = np.sqrt((h * h).sum(1).max() * (targets * targets).sum(1).max()) + np.abs(biases).max()
+    if bound < 60:  # no exponential can overflow, nor all of them vanish
+        return own - np.log(np.exp(scores, out=scores).sum(1))
+    top = scores.max(1)
+    scores -= top[:, None]
+    return own - top - np.log(np.exp(scores, out=scores).sum(1))
 
 
 def _sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,75 +252,101 @@ def _sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own[first], np.add.reduceat(rows[order], first, axis=0)
 
 
-def sequences(texts: list[bytes], ids: dict[bytes, int], other: int) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers of all texts, each with its end (number 0), and the number of tokens before each text (one more entry)."""
-    out, before = [], [0]
-    for text in texts:
-        out += [ids.get(w, other) for w in text.lower().split()]
-        out.append(END)
-        before.append(len(out))
-    return np.array(out, np.int64), np.array(before)
-
-
-def contexts(tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The last and the last but one token before each; the end stands before a text's beginning."""
-    w1, w2 = np.full(len(tokens), END), np.full(len(tokens), END)
+def contexts(tokens: np.ndarray, before: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last and the last but one symbol before each; the end stands before a text's beginning."""
+    w1, w2 = np.full(len(tokens), end), np.full(len(tokens), end)
     w1[1:], w2[2:] = tokens[:-1], tokens[:-2]
     starts = before[:-1]
-    w1[starts] = w2[starts] = END
+    w1[starts] = w2[starts] = end
     after = starts[starts + 1 < before[1:]] + 1
-    w2[after] = END
+    w2[after] = end
     return w1, w2
 
 
-def fit(docs: DataFrame, words: list[bytes], counts: np.ndarray, rounds: int = ROUNDS) -> LogBilinear:
-    """words: the model's words from number 2 on; counts: tokens of every number. Trains on every row of docs in every round."""
-    spark, model = docs.sparkSession, LogBilinear(counts)
-    ids = {w: k + 2 for k, w in enumerate(words)}
+def distinct_triples(symbols: np.ndarray, before: np.ndarray, end: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (before last, last, target) rows, the place of each position among them, and their counts."""
+    w1, w2 = contexts(symbols, before, end)
+    keys, back, counts = np.unique((w2 * n + w1) * n + symbols, return_inverse=True, return_counts=True)
+    return np.stack([keys // (n * n), keys // n % n, keys % n], 1), back, counts
+
+
+def fit(docs: DataFrame, symbols: Symbols) -> LogBilinear:
+    """Trains on every row of docs (doc_id, text) but for the validation rows: each pass in two rounds, of the even and of the odd groups."""
+    spark, model, n = docs.sparkSession, LogBilinear(symbols.counts), len(symbols.counts)
+    shared = spark.sparkContext.broadcast(symbols)
+    groups = 2 * max(1, -(-symbols.total // (2 * GROUP_TOKENS)))
+    passes = int(np.clip(PASS_TOKENS // max(symbols.total, 1), 1, MOST_PASSES))
+
+    def encode(batches):
+        for batch in slices(batches):
+            tokens, before = tokens_of(batch.column("text"))
+            ids = shared.value.find(tokens)[1].astype("<u2")
+            data = [ids[a:b].tobytes() for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(data, pa.binary())], names=["place", "symbols"])
+
+    placed = docs.select(F.xxhash64("doc_id", "text").alias("place"), "text").mapInArrow(encode, "place long, symbols binary")
+    placed = cut(placed.withColumns({"part": F.pmod("place", F.lit(groups)).cast("int"), "kept_out": F.pmod(F.shiftright("place", 40), F.lit(VALIDATION)) == 0}), "symbols")
     schema = "part int, weight double, parameters binary"
 
+    def sequences(data) -> tuple[np.ndarray, np.ndarray]:
+        texts = [np.frombuffer(x, "<u2").astype(np.int64) for x in data]
+        return np.concatenate(texts), np.cumsum([0, *(len(t) for t in texts)])
+
+    def likelihood(start):
+        def run(batches):
+            for batch in slices(batches, "symbols"):
+                triples, _, counts = distinct_triples(*sequences(batch.column("symbols").to_pylist()), shared.value.end, n)
+                yield pa.RecordBatch.from_arrays([pa.array([float(start.value.log_probabilities(*triples.T) @ counts)]), pa.array([int(counts.sum())])], names=["value", "scored"])
+
+        found = placed.where("kept_out").select("symbols").mapInArrow(run, "value double, scored long").agg(F.sum("value").alias("value"), F.sum("scored").alias("scored")).first()
+        return found["value"] / found["scored"] if found["scored"] else None
+
+    def training_round(start, number: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["place", "symbols"])
+            part, own = int(pdf["part"].iloc[0]), copy.deepcopy(start.value)
+            rng, memory = np.random.default_rng([number, part]), {k: np.full_like(x, 1e-8) for k, x in own.p.items()}
+            data = pdf["symbols"].tolist()
+            total = sum(map(len, data)) // 2
+            batch = int(np.clip(total // 256, 256, 4096))
+            held, size = [], 0
+            for k, x in enumerate(data):
+                held.append(x)
+                size += len(x) // 2
+                if size >= GATHER or k == len(data) - 1:
+                    triples, _, counts = distinct_triples(*sequences(held), shared.value.end, n)
+                    own.train(triples, counts, rng, memory, batch)
+                    held, size = [], 0
+            return pd.DataFrame({"part": [part], "weight": [float(total)], "parameters": [own.flat().tobytes()]})
+
+        return run
+
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(pdf["parameters"].iloc[0]) // 8)
-        for x in pdf["parameters"]:
-            total += np.frombuffer(x, np.float64)
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "weight": [pdf["weight"].sum()], "parameters": [total.tobytes()]})
-
-    for number in range(rounds):
-        start = spark.sparkContext.broadcast((model, ids))
-
-        def run(batches, start=start, number=number):
-            import copy
-
-            base, own = start.value
-            mine, rng = copy.deepcopy(base), np.random.default_rng([number, 17])
-            memory = {k: np.full_like(x, 1e-8) for k, x in mine.p.items()}
-            n, total, kept, gathered = len(base.noise), 0, [], 0
-
-            def learn():
-                keys, counts = np.unique(np.concatenate(kept), return_counts=True)
-                mine.train(np.stack([keys // (n * n), keys // n % n, keys % n], 1), counts, rng, memory)
-
-            for batch in slices(batches):
-                tokens, before = sequences(texts_of(batch.column("text")), own, OTHER)
-                w1, w2 = contexts(tokens, before)
-                kept.append((w2 * n + w1) * n + tokens)
-                total, gathered = total + len(tokens), gathered + len(tokens)
-                if gathered >= GATHER:
-                    learn()
-                    kept, gathered = [], 0
-            if gathered:
-                learn()
-            if total:
-                part = int(abs(float(mine.p["b"].sum())) * 1e6) % 4096
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([float(total)]), pa.array([(mine.flat().astype(np.float64) * total).tobytes()], pa.binary())], names=["part", "weight", "parameters"])
-
-        sums = docs.select("text").mapInArrow(run, schema)
-        for parts in (4096, 64, 1):
-            sums = sums.withColumn("part", F.col("part") % parts).groupBy("part").applyInPandas(add, schema)
+        pdf = pdf.sort_values("part")
+        total, weight = np.zeros(len(pdf["parameters"].iloc[0]) // 4), pdf["weight"].sum()
+        for x, w in zip(pdf["parameters"], pdf["weight"], strict=True):
+            total += np.frombuffer(x, np.float32) * (w / weight)
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "weight": [weight], "parameters": [total.astype(np.float32).tobytes()]})
+
+    start = spark.sparkContext.broadcast(model)
+    best, value = model, likelihood(start)
+    for number in range(2 * passes):
+        sums = placed.where(~F.col("kept_out") & (F.col("part") % 2 == number % 2)).select("part", "place", "symbols").groupBy("part").applyInPandas(training_round(start, number), schema)
+        for width in (64, 64 * 64, 0):  # a tree, so that no task gets the parameters of many groups
+            sums = sums.groupBy((F.floor(F.col("part") / width).cast("int") if width else F.lit(0)).alias("next")).applyInPandas(add, schema)
+            if width >= groups:
+                break
         found = sums.collect()  # one row of parameters
-        if found:
-            model.load(np.frombuffer(found[0]["parameters"], np.float64) / found[0]["weight"])
-    return model
+        if not found:
+            continue
+        model = copy.deepcopy(model)
+        model.load(np.frombuffer(found[0]["parameters"], np.float32))
+        start.destroy()
+        start = spark.sparkContext.broadcast(model)
+        now = likelihood(start)
+        if now is None or value is None or now >= value:
+            best, value = model, now
+    return best
 
 
 def score(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
@@ -222,51 +355,47 @@ def score(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     learned = training(own) if learn_from is None else learn_from
     counts = cut(count_words(learned), "word_counts")
-    size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, distinct = int(size["n"]), int(size["v"])
-    top = sorted(((-r["c"], bytes(r["word"])) for r in common_words(counts).collect()))
-    known = {w: (k, -c) for k, (c, w) in enumerate(top)}
-    ends = int(counts.where(F.col("word") == F.lit(b"")).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-    common = list(known)[:MODEL_WORDS]
-    model_counts = np.array([ends, 0, *(known[w][1] for w in common)], np.float64)
-    model_counts[OTHER] = total - model_counts.sum()
-    model = fit(learned, common, model_counts)
-    pair, normaliser = model.tables()
-    log_c = np.log10(np.array([ends, 0, *(c for _, c in known.values())], np.float64) + 0.1)
+    size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == 0, F.col("c"))), F.lit(0)).alias("ends")).first()
+    total, distinct, ends = int(size["n"]), int(size["v"]), int(size["ends"])
+    top = sorted((-r["c"], r["word"]) for r in common_words(counts).collect())
+    known, known_counts = np.array([w for _, w in top], np.int64).view(np.uint64), np.array([-c for c, _ in top], np.int64)
+    n_symbols = int(np.clip(1 << int(np.log2(max(total // TOKENS_A_SYMBOL, 1))), 256, MOST_SYMBOLS))
+    shares = counts.where("word <> 0").groupBy(F.pmod("word", F.lit(n_symbols // 8)).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # a row a bucket
+    symbols = Symbols(known, known_counts, ends, total, [tuple(r) for r in shares], n_symbols)
+    model = fit(learned, symbols)
     base_all = np.log10(total + 0.1 * (distinct + 1))
-    other_all = np.log10(model_counts[OTHER] + 0.1 * (max(distinct - len(common) - (ends > 0), 0) + 1))
-    shared = spark.sparkContext.broadcast(({w: k + 2 for w, (k, _) in known.items()}, log_c, pair, normaliser))
-    n_model = len(model_counts)
+    shared = spark.sparkContext.broadcast((symbols, model))
 
     def run(batches):
-        ids, logs, pairs, normal = shared.value
+        table, own = shared.value
+        logs = np.log10(np.append(table.word_counts, 0) + 0.1)
+        end_log = np.log10(table.ends + 0.1)
         for batch in slices(batches):
-            texts = texts_of(batch.column("text"))
-            tokens, before = sequences(texts, ids, OTHER)
-            classes = np.where(tokens < n_model, tokens, OTHER)
-            w1, w2 = contexts(classes, before)
-            model_log = (pairs[0][w1, classes] + pairs[1][w2, classes] - normal[w1, w2]).astype(np.float64) / np.log(10)
-            rare = tokens == OTHER
-            unigram = np.where(rare, 0.0, logs[tokens])
+            tokens, before = tokens_of(batch.column("text"))
+            place, symbol, bucket = table.find(tokens)
+            triples, back, _ = distinct_triples(symbol, before, table.end, len(table.counts))
+            model_log = own.log_probabilities(*triples.T)[back] / np.log(10)
+            ended, rare = tokens == END, (place < 0) & (tokens != END)
+            unigram = np.where(ended, end_log, np.where(rare, 0.0, logs[place]))
             sums = lambda x: np.add.reduceat(x, before[:-1])
             n_tokens, n_rare = np.diff(before), sums(rare.astype(np.int64))
             base = sums(unigram) - n_tokens * base_all
-            full = sums(model_log + np.where(classes == OTHER, unigram - other_all, 0.0))
-            at, words, times, upto = np.flatnonzero(rare), [], [], [0]
-            ends_at = np.searchsorted(at, before)
-            for i, text in enumerate(texts):
-                if n_rare[i]:
-                    split = text.lower().split()
-                    found = Counter([split[k] for k in (at[ends_at[i] : ends_at[i + 1]] - before[i]).tolist()])
-                    words += found.keys()
-                    times += found.values()
-                upto.append(len(words))
-            lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "n"]))
-            known_here = n_tokens - n_rare - (0 if ends else 1)
+            full = sums(model_log + np.where(bucket >= 0, unigram - table.bucket_all[bucket], 0.0))
+            at = np.flatnonzero(rare)
+            row = np.searchsorted(before, at, "right") - 1
+            # rare words of each row with how often they stand there
+            keys = np.lexsort((tokens[at], row))
+            words, rows = tokens[at][keys], row[keys]
+            first = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (rows[1:] != rows[:-1])])[: len(words)])
+            times = np.diff(np.append(first, len(words)))
+            upto = np.searchsorted(rows[first], np.arange(len(before)))
+            lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.StructArray.from_arrays([pa.array(words[first].view(np.int64)), pa.array(times, pa.int64())], ["word", "n"]))
+            known_here = n_tokens - n_rare - (0 if table.ends else 1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_tokens), pa.array(known_here), pa.array(n_rare), pa.array(base), pa.array(full), lists], names=["doc_id", "n_tokens", "n_known", "n_rare", "base", "full", "rare"])
 
-    first = own.mapInArrow(run, "doc_id long, n_tokens long, n_known long, n_rare long, base double, full double, rare array<struct<word binary, n long>>")
+    first = own.mapInArrow(run, "doc_id long, n_tokens long, n_known long, n_rare long, base double, full double, rare array<struct<word long, n long>>")
     first = cut(first.withColumn("row", F.monotonically_increasing_id()), "first_pass")  # the row's number is fixed by writing it
+    shared.destroy()
     # counts over all training rows of the words that the table lacks; a word that training lacks finds none
     found = first.where("n_rare > 0").select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(counts, "word")
     found = found.groupBy("row").agg(F.sum(F.col("n") * (F.log10(F.col("c") + 0.1) - F.log10(F.lit(0.1)))).alias("gain"), F.sum("n").alias("n_found"))
