@@ -151,11 +151,11 @@ class LogBilinear:
         self.noise = (counts + 0.5) / (counts + 0.5).sum()
         self.upto = np.concatenate([[0], np.cumsum(self.noise)])
         self.class_noise = np.add.reduceat(self.noise, self.first[:-1])
-        self.log_class, self.log_within = np.log(self.class_noise), np.log(self.noise / self.class_noise[own])
+        self.log_class, self.log_within = np.log(self.class_noise).astype(np.float32), np.log(self.noise / self.class_noise[own]).astype(np.float32)
         draw = lambda m: rng.normal(0, 0.1, (m, WIDTH)).astype(np.float32)
         self.p = {
-            "R": draw(n), "C": np.tile(np.array([[1.0], [0.5]], np.float32), (1, WIDTH)), "S": draw(len(self.class_noise)), "s": self.log_class.astype(np.float32),
-            "Q": draw(n), "q": self.log_within.astype(np.float32),
+            "R": draw(n), "C": np.tile(np.array([[1.0], [0.5]], np.float32), (1, WIDTH)), "S": draw(len(self.class_noise)), "s": self.log_class.copy(),
+            "Q": draw(n), "q": self.log_within.copy(),
         }
 
     def flat(self) -> np.ndarray:
@@ -205,9 +205,13 @@ class LogBilinear:
             gp = -weight * _sigmoid(-((h * tc).sum(1) + p["s"][c] - self.log_class[c] - np.log(NOISE)))
             gn = weight[:, None] * (NOISE / SHARED) * _sigmoid(h @ tn.T + p["s"][noise] - self.log_class[noise] - np.log(NOISE))
             dh = gp[:, None] * tc + gn @ tn
-            where, sums = _sums(np.concatenate([c, noise]), np.concatenate([np.column_stack([gp[:, None] * h, gp]), np.column_stack([gn.T @ h, gn.sum(0)])]))
-            self._step("S", where, sums[:, :-1], memory)
-            self._step("s", where, sums[:, -1], memory)
+            where, sums, alone = _scatter(c, gp, h)
+            both, both_alone = np.zeros_like(p["S"]), np.zeros_like(p["s"])
+            both[where], both_alone[where] = sums, alone
+            np.add.at(both, noise, gn.T @ h)
+            np.add.at(both_alone, noise, gn.sum(0))
+            self._step("S", slice(None), both, memory)
+            self._step("s", slice(None), both_alone, memory)
             # symbols: WITHIN noise samples of each target's class
             low, high = self.upto[self.first[c]], self.upto[self.first[c + 1]]
             noise = np.searchsorted(self.upto, low[:, None] + rng.random((len(w), WITHIN)) * (high - low)[:, None], "right") - 1
@@ -216,15 +220,17 @@ class LogBilinear:
             gp = -weight * _sigmoid(-((h * tw).sum(1) + p["q"][w] - self.log_within[w] - np.log(WITHIN)))
             gn = weight[:, None] * _sigmoid(np.einsum("nd,nkd->nk", h, tn) + p["q"][noise] - self.log_within[noise] - np.log(WITHIN))
             dh += gp[:, None] * tw + np.einsum("nk,nkd->nd", gn, tn)
-            where, sums = _sums(np.concatenate([w, noise.ravel()]), np.concatenate([np.column_stack([gp[:, None] * h, gp]), np.column_stack([(gn[:, :, None] * h[:, None]).reshape(-1, WIDTH), gn.ravel()])]))
-            self._step("Q", where, sums[:, :-1], memory)
-            self._step("q", where, sums[:, -1], memory)
+            where, sums, alone = _scatter(np.concatenate([w, noise.T.ravel()]), np.concatenate([gp, gn.T.ravel()]), h)
+            self._step("Q", where, sums, memory)
+            self._step("q", where, alone, memory)
             self._step("C", slice(None), np.stack([(dh * r1).sum(0), (dh * r2).sum(0)]), memory)
-            self._step("R", *_sums(np.concatenate([w1, w2]), np.concatenate([dh * p["C"][0], dh * p["C"][1]])), memory)
+            where, sums, _ = _scatter(np.concatenate([w1, w2]), None, np.concatenate([dh * p["C"][0], dh * p["C"][1]]))
+            self._step("R", where, sums, memory)
 
     def _step(self, name: str, where, gradient: np.ndarray, memory: dict[str, np.ndarray]) -> None:
-        memory[name][where] += gradient * gradient
-        self.p[name][where] -= (RATE * gradient / (np.sqrt(memory[name][where]) + 1e-6)).astype(np.float32)
+        square = memory[name][where] + gradient * gradient
+        memory[name][where] = square
+        self.p[name][where] -= np.float32(RATE) * gradient / (np.sqrt(square) + np.float32(1e-6))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -244,12 +250,17 @@ def _log_softmax(h: np.ndarray, targets: np.ndarray, biases: np.ndarray, chosen:
     return own - top - np.log(np.exp(scores, out=scores).sum(1))
 
 
-def _sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct indexes and the sum of their rows."""
-    order = np.argsort(index, kind="stable")
+def _scatter(index: np.ndarray, factor: np.ndarray | None, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """The distinct indexes, the sum of factor times row of each, and the sum of its factors. Rows repeat over and over if there are more indexes."""
+    order = np.argsort(index.astype(np.uint16), kind="stable")  # symbols fit 16 bits, which sort by counting
     own = index[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    return own[first], np.add.reduceat(rows[order], first, axis=0)
+    if factor is None:
+        return own[first], np.add.reduceat(rows[order], first, axis=0), None
+    sorted_factor = factor[order]
+    products = rows[order % len(rows)]
+    products *= sorted_factor[:, None]
+    return own[first], np.add.reduceat(products, first, axis=0), np.add.reduceat(sorted_factor, first)
 
 
 def contexts(tokens: np.ndarray, before: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
