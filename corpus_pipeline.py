@@ -1,4 +1,9 @@
-"""From raw documents to token ids: quality rules, quality classifier, near-duplicates, source mix, BPE."""
+"""From raw documents to token ids: quality rules, quality classifier, near-duplicates, source mix, BPE.
+
+Defined cases, of the stages one after another: null and empty texts go with the quality rules; of repeated rows one stays; a null doc_id
+is kept like any other; without labels the rules keep what the base rule passes and the classifier scores all alike; an empty table gives
+no rows; other columns travel along, whatever their names, up to the last stage, which returns doc_id, n_tokens, ids and decoded_sha256.
+"""
 
 from __future__ import annotations
 
