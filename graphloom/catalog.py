@@ -232,11 +232,11 @@ def category_counts(t):
     return findings.category_counts(t("finding"))
 
 
-_COUNTED = ("unused_export", "unreachable_module", "unreachable_file", "circular_dependency", "dynamic_import", "code_smell", "framework_export", "unused_npm_dependency", "type_only_import")
+_COUNTED = findings.COUNTED
 
 
 @query(
-    f"""SELECT {', '.join(f"count(*) FILTER (WHERE type = '{x}') AS {x}" for x in _COUNTED)}, count(*) AS findings, (SELECT count(*) FROM {{module}}) AS modules, (SELECT count(*) FROM {{module}} WHERE NOT starts_with(path, 'virtual:')) AS real_modules,
+    f"""SELECT {', '.join(f"count(*) FILTER (WHERE type = '{x}') AS {x}" for x in _COUNTED)}, count(*) FILTER (WHERE type = 'unused_export' AND is_type_only) AS type_only_unused_export, count(*) AS findings, (SELECT count(*) FROM {{module}}) AS modules, (SELECT count(*) FROM {{module}} WHERE NOT starts_with(path, 'virtual:')) AS real_modules,
     (SELECT count(*) FROM {{import}}) AS dependencies, (SELECT count(DISTINCT source) FROM {{import}} WHERE is_external) AS external FROM {{finding}}"""
 )
 def statistics_row(t):
@@ -622,6 +622,192 @@ def event_sessions(t):
     return polling.sessions(t("events")).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
+@query(f"SELECT category, CAST(rank AS INTEGER) AS rank, finding_id, type, greatest(n - 10, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY size DESC, finding_id) AS rank, count(*) OVER (PARTITION BY category) AS n FROM (SELECT finding_id, type, size, {CATEGORY} AS category FROM {{finding}})) WHERE rank <= 10")
+def report_sections(t):
+    return findings.report_sections(t("finding"), tie="finding_id").select("category", "rank", "finding_id", "type", "more")
+
+
+# --- files and saved answers -------------------------------------------------------------------
+# The texts are made of table rows in Spark, and read back by the library; the SQL says what must come out.
+
+
+def _texts(t, table: str, key: str, sql: str, path: str = "path") -> DataFrame:
+    return t(table).select(key, F.expr(f"'f' || {key}").alias(path), F.expr(sql).alias("content"))
+
+
+@query(
+    """SELECT 'f' || c_custkey AS path, 'n' || c_custkey AS name, '1.' || (c_custkey % 5) || '.0' AS version, package, version_req, dep_type FROM (
+    SELECT c_custkey, 'a' || c_custkey AS package, '^1.0.0' AS version_req, 'Runtime' AS dep_type FROM customer UNION ALL SELECT c_custkey, 'b', '2', 'Development' FROM customer WHERE c_custkey % 3 <> 0
+    UNION ALL SELECT c_custkey, '@s/c', '*', 'Peer' FROM customer WHERE c_custkey % 3 <> 0) WHERE c_custkey % 7 <> 0"""
+)
+def manifest_rows(t):
+    text = """'{' || CASE WHEN c_custkey % 7 <> 0 THEN '"name":"n' || c_custkey || '",' ELSE '' END || '"version":"1.' || (c_custkey % 5) || '.0","dependencies":{"a' || c_custkey || '":"^1.0.0"}'
+        || CASE WHEN c_custkey % 3 <> 0 THEN ',"devDependencies":{"b":"2"},"peerDependencies":{"@s/c":"*"}' ELSE '' END || '}'"""
+    return deps.manifest_rows(_texts(t, "customer", "c_custkey", text))
+
+
+@query("SELECT 'f' || c_custkey AS lockfile, CASE c_custkey % 3 WHEN 0 THEN '@s/p' || c_custkey ELSE 'p' || c_custkey END AS name, '1.' || (c_custkey % 5) || '.0' AS version, CASE WHEN c_custkey % 2 = 0 THEN 'sha' || c_custkey END AS checksum FROM customer")
+def lockfile_pnpm(t):
+    from graphloom.sources.lockfiles import pnpm_lock
+
+    text = "'packages:\\n  ' || CASE c_custkey % 3 WHEN 0 THEN '/@s/p' || c_custkey || '/1.' WHEN 1 THEN '/p' || c_custkey || '/1.' ELSE 'p' || c_custkey || '@1.' END || (c_custkey % 5) || '.0:' || CASE WHEN c_custkey % 2 = 0 THEN '\\n    resolution: {integrity: sha' || c_custkey || '}\\n' ELSE ' {}\\n' END"
+    return pnpm_lock(_texts(t, "customer", "c_custkey", text)).drop("resolved")
+
+
+@query("SELECT 'f' || c_custkey AS lockfile, 'p' || c_custkey AS name, '0.' || (c_custkey % 9) || '.1' AS version, CASE WHEN c_custkey % 2 = 0 THEN 'c' || c_custkey END AS checksum, 'registry+x' AS resolved FROM customer UNION ALL SELECT 'f' || c_custkey, 'q', '1.0.0', NULL, NULL FROM customer WHERE c_custkey % 5 = 0")
+def lockfile_cargo(t):
+    from graphloom.sources.lockfiles import cargo_lock
+
+    text = """'[[package]]\\nname = "p' || c_custkey || '"\\nversion = "0.' || (c_custkey % 9) || '.1"\\nsource = "registry+x"\\n' || CASE WHEN c_custkey % 2 = 0 THEN 'checksum = "c' || c_custkey || '"\\n' ELSE '' END
+        || CASE WHEN c_custkey % 5 = 0 THEN '[[package]]\\nname = "q"\\nversion = "1.0.0"\\n' ELSE '' END"""
+    return cargo_lock(_texts(t, "customer", "c_custkey", text))
+
+
+@query(
+    """SELECT 'f' || c_custkey AS path, CASE WHEN c_custkey % 4 = 0 THEN 'workspace' ELSE 'n' || c_custkey END AS name, package, version_req, dep_type, workspace FROM (
+    SELECT c_custkey, 's' || c_custkey AS package, '1.' || (c_custkey % 3) AS version_req, 'Runtime' AS dep_type, FALSE AS workspace FROM customer UNION ALL SELECT c_custkey, 'u', '*', 'Development', TRUE FROM customer
+    UNION ALL SELECT c_custkey, 'v', '2', 'Build', FALSE FROM customer WHERE c_custkey % 2 = 0)"""
+)
+def cargo_manifest(t):
+    from graphloom.sources.lockfiles import cargo_manifest as read
+
+    text = """CASE WHEN c_custkey % 4 = 0 THEN '' ELSE '[package]\\nname = "n' || c_custkey || '"\\nversion = "0.1.0"\\n' END || '[dependencies]\\ns' || c_custkey || ' = "1.' || (c_custkey % 3) || '"\\nbad = 3\\n[dev-dependencies]\\nu = {workspace = true}\\n'
+        || CASE WHEN c_custkey % 2 = 0 THEN '[build-dependencies]\\nv = {version = "2"}\\n' ELSE '' END"""
+    return read(_texts(t, "customer", "c_custkey", text)).select("path", "name", "package", "version_req", "dep_type", "workspace")
+
+
+@query("SELECT 'f' || c_custkey AS path, 'crates/a' || c_custkey AS member FROM customer UNION ALL SELECT 'f' || c_custkey, 'x/**' FROM customer")
+def cargo_members(t):
+    from graphloom.sources.lockfiles import cargo_members as read
+
+    return read(_texts(t, "customer", "c_custkey", "'[workspace]\\nmembers = [\"crates/a' || c_custkey || '\", \"x/**\"]\\n'"))
+
+
+@query(
+    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '1.0.' || c_custkey WHEN 1 THEN '2.0.' || c_custkey WHEN 2 THEN 'unknown' END AS version, CASE WHEN c_custkey % 4 = 0 AND c_custkey % 3 = 0 THEN 'MIT' WHEN c_custkey % 4 = 0 THEN 'ISC' END AS license,
+    CASE WHEN c_custkey % 4 IN (0, 1) THEN 'o' || c_custkey END AS owner FROM customer"""
+)
+def registry_latest(t):
+    from graphloom.sources.snapshots import latest
+
+    body = """CASE c_custkey % 4 WHEN 0 THEN '{"dist-tags":{"latest":"1.0.' || c_custkey || '"},"license":' || CASE WHEN c_custkey % 3 = 0 THEN '{"type":"MIT"}' ELSE '"ISC"' END || ',"repository":' || CASE WHEN c_custkey % 8 = 0 THEN '{"url":"git+https://github.com/o' || c_custkey || '/r.git"}' ELSE '"git@github.com:o' || c_custkey || '/r"' END || '}'
+        WHEN 1 THEN '{"crate":{"max_version":"2.0.' || c_custkey || '","repository":"https://github.com/o' || c_custkey || '/r"}}' WHEN 2 THEN '{}' END"""
+    answers = t("customer").select(F.expr("CASE c_custkey % 4 WHEN 1 THEN 'crates.io' WHEN 2 THEN 'jsr' ELSE 'npm' END").alias("registry"), F.col("c_custkey").cast("string").alias("package"), F.expr(body).alias("body"))
+    return latest(answers).select(F.col("package").cast("long").alias("c_custkey"), "version", "license", "owner")
+
+
+@query("SELECT 'r' || user_id AS repo, CASE min(k) WHEN 0 THEN 'CHANGELOG.md' WHEN 1 THEN 'HISTORY.md' ELSE 'RELEASES' END AS name FROM (SELECT user_id, event_id % 4 AS k FROM events WHERE event_id % 4 < 3) GROUP BY user_id")
+def changelog_choice(t):
+    from graphloom.sources.snapshots import changelog
+
+    name = "CASE event_id % 4 WHEN 0 THEN 'CHANGELOG.md' WHEN 1 THEN 'HISTORY.md' WHEN 2 THEN 'RELEASES' ELSE 'README.md' END"
+    return changelog(t("events").select(F.expr("'r' || user_id").alias("repo"), F.expr(name).alias("name"), F.lit("x").alias("content"))).select("repo", "name")
+
+
+@query("SELECT c_custkey AS repo, 'v1.' || c_custkey AS tag, 'one' AS name, c_custkey % 2 = 0 AS prerelease FROM customer UNION ALL SELECT c_custkey, 'v2', NULL, FALSE FROM customer WHERE c_custkey % 3 = 0")
+def release_rows(t):
+    from graphloom.sources.snapshots import releases
+
+    body = """'[{"tag_name":"v1.' || c_custkey || '","name":"one","prerelease":' || CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END || '}' || CASE WHEN c_custkey % 3 = 0 THEN ',{"tag_name":"v2"}' ELSE '' END || ']'"""
+    return releases(t("customer").select(F.col("c_custkey").alias("repo"), F.expr(body).alias("body"))).drop("published_at")
+
+
+@query("SELECT 'unused_export' AS type, 'm' || c_custkey AS path, 'e' || c_custkey AS name FROM customer UNION ALL SELECT 'unreachable_file', 'u' || c_custkey, NULL FROM customer WHERE c_custkey % 2 = 0")
+def own_report(t):
+    from graphloom.sources.snapshots import own_output
+
+    text = """'{"findings":[{"type":"unused_export","module":"m' || c_custkey || '","export_name":"e' || c_custkey || '"}' || CASE WHEN c_custkey % 2 = 0 THEN ',{"type":"unreachable_file","path":"u' || c_custkey || '"}' ELSE '' END || ']}'"""
+    return own_output(_texts(t, "customer", "c_custkey", text))
+
+
+@query("SELECT 'unreachable_file' AS type, 'u' || c_custkey AS path, NULL AS name FROM customer UNION ALL SELECT 'unused_export', 'i' || c_custkey, 'e' FROM customer UNION ALL SELECT 'unused_npm_dependency', 'i' || c_custkey, 'd' || c_custkey FROM customer WHERE c_custkey % 2 = 0")
+def other_report(t):
+    from graphloom.sources.snapshots import other_output
+
+    text = """'{"files":["u' || c_custkey || '"],"issues":[{"file":"i' || c_custkey || '","exports":[{"name":"e"}],"dependencies":[' || CASE WHEN c_custkey % 2 = 0 THEN '{"name":"d' || c_custkey || '"}' ELSE '' END || ']}]}'"""
+    return other_output(_texts(t, "customer", "c_custkey", text))
+
+
+@query("SELECT 'line ' || event_id || CASE event_id % 3 WHEN 0 THEN ' Unused export' ELSE ' DEAD code' END AS value FROM events WHERE event_id % 3 < 2")
+def text_report(t):
+    from graphloom.sources.snapshots import text_output
+
+    return text_output(t("events").select(F.expr("'line ' || event_id || CASE event_id % 3 WHEN 0 THEN ' Unused export' WHEN 1 THEN ' DEAD code' ELSE ' fine' END").alias("value")))
+
+
+# --- scripts -----------------------------------------------------------------------------------
+
+
+@query("SELECT m.path, i.source, i.kind, CASE i.kind WHEN 'Static' THEN 'useThing,default' WHEN 'TypeOnly' THEN 'T' ELSE '' END AS names FROM {import} i JOIN {module} m ON m.module_id = i.module_id")
+def script_imports(t):
+    from graphloom.sources.files import extract_imports
+
+    line = "CASE kind WHEN 'Static' THEN 'import D, { useThing as u } from \"' || source || '\"' WHEN 'TypeOnly' THEN 'import type { T } from \"' || source || '\"' ELSE 'const x = () => import(\"' || source || '\") // import \"no\"' END"
+    texts = t("import").groupBy("module_id").agg(F.array_join(F.collect_list(F.expr(line)), "\n").alias("content")).join(t("module").select("module_id", "path"), "module_id")
+    return extract_imports(texts).withColumn("names", F.array_join("names", ","))
+
+
+@query(f"SELECT path, name, CASE WHEN kind = 'Class' THEN 'Class' ELSE 'Function' END AS raw_kind, CAST(row_number() OVER (PARTITION BY path ORDER BY symbol_id) AS INTEGER) AS line, is_exported, CASE WHEN kind <> 'Class' THEN CAST(parameter_count AS INTEGER) END AS parameter_count, CASE WHEN kind <> 'Class' THEN 1 + CAST(complexity AS INTEGER) END AS complexity, CASE WHEN kind <> 'Class' THEN 1 END AS max_nesting_depth FROM ({SYM})")
+def script_symbols(t):
+    from graphloom.sources.symbols import scripts
+
+    body = "CASE WHEN kind = 'Class' THEN 'class ' || name || ' { run() { return 1 } }' ELSE 'function ' || name || '(' || array_join(transform(sequence(0, parameter_count), x -> 'a' || x), ', ', '') || ') { {} ' || repeat('if (a0) x(); ', complexity) || '}' END"
+    body = body.replace("sequence(0, parameter_count)", "slice(sequence(0, parameter_count), 1, parameter_count)")
+    rows = _symbols(t).withColumn("text", F.expr(f"CASE WHEN is_exported THEN 'export ' ELSE '' END || {body}"))
+    texts = rows.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("symbol_id", "text"))), lambda x: x.text), "\n").alias("content"))
+    return scripts(texts).select("path", F.explode("symbols").alias("s")).select("path", "s.*").select("path", "name", "raw_kind", "line", "is_exported", "parameter_count", "complexity", "max_nesting_depth")
+
+
+@query(
+    """WITH k AS (SELECT regexp_replace(path, '\\.[^./]+$', '') AS key, arg_min(path, (length(path), path)) AS resolved_path FROM {module} GROUP BY 1)
+    SELECT path, k.resolved_path FROM {module} m JOIN k ON k.key = regexp_replace(path, '\\.[^./]+$', '') WHERE NOT starts_with(path, 'virtual:')"""
+)
+def path_resolution(t):
+    from graphloom.sources.files import resolve
+
+    paths = t("module").select("path")
+    up = F.expr("'.././' || element_at(split(path, '/'), 2) || '/x/../' || regexp_replace(element_at(split(path, '/'), -1), '\\\\.[^./]+$', '')")
+    return resolve(paths.where("not startswith(path, 'virtual:')").withColumn("source", up), paths).select("path", "resolved_path")
+
+
+@query(r"SELECT path, regexp_matches(path, '^pages/(.*/)?[^/]*\.tsx?$') OR regexp_matches(path, '^conf/[^/]*/next\.config\.js$') AS is_entry FROM {module}")
+def entry_patterns(t):
+    from graphloom.plans import entries
+
+    own = rule_files.RuleFile("own", 1, (), (), (), (("pages", "**/pages/**/*.{ts,tsx}", 5), ("conf", "conf/*/next.config.js", 9)))
+    return entries.mark_entries(t("module").select("path"), [], entries.entry_patterns([own]))
+
+
+# --- names, checksums and ranges ---------------------------------------------------------------
+
+
+@query("SELECT item_id, item_id % 3 <> 2 AS fits FROM benchmark WHERE text IS NOT NULL")
+def checksum_verify(t):
+    given = F.when(F.col("item_id") % 3 == 0, registry.sha512_sri(F.col("text"))).when(F.col("item_id") % 3 == 1, F.regexp_replace(registry.sha512_sri(F.col("text")), "^sha512-", "")).otherwise(F.lit("sha512-AAAA"))
+    return t("benchmark").where("text is not null").select("item_id", registry.verify_sri(F.col("text"), given).alias("fits"))
+
+
+@query("SELECT dep_no, CASE WHEN starts_with(package, '@') THEN replace(package, '/', '%2f') ELSE package END AS encoded FROM {dependency}")
+def registry_names(t):
+    return t("dependency").select("dep_no", text.registry_name(F.col("package")).alias("encoded"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Next.js' WHEN 1 THEN 'Vue' WHEN 2 THEN 'Svelte' WHEN 3 THEN 'React' END AS framework FROM part")
+def framework_by_content(t):
+    content = F.expr("CASE p_partkey % 5 WHEN 0 THEN '{\"react\":1,\"next\":2}' WHEN 1 THEN '{\"@vue/x\":1,\"svelte\":1}' WHEN 2 THEN '{\"svelte\":1}' WHEN 3 THEN '{\"react\":1}' ELSE p_name END")
+    return t("part").select("p_partkey", text.framework_by_content(content).alias("framework"))
+
+
+@query(
+    f"""SELECT dep_no, NOT contains(version, '-') AND CASE dep_no % 4 WHEN 0 THEN l1 = 1 OR l1 >= 3 WHEN 1 THEN (l1, l2, l3) >= (0, 2, 0) AND (l1, l2, l3) <= (2, 3, 4) WHEN 2 THEN (l1, l2, l3) >= (1, 3, 0) AND l1 < 3 ELSE TRUE END AS inside
+    FROM (SELECT *, {', '.join(f"{_triple('version', k)} AS l{k}" for k in (1, 2, 3))} FROM {{latest}})"""
+)
+def version_ranges(t):
+    req = F.expr("CASE dep_no % 4 WHEN 0 THEN '1.x || >=3.0.0' WHEN 1 THEN '0.2.0 - 2.3.4' WHEN 2 THEN '>1.2 <3' ELSE '*' END")
+    return t("latest").select("dep_no", versions.in_range_udf()(F.col("version"), req).alias("inside"))
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

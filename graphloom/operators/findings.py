@@ -38,6 +38,12 @@ DEFAULT_IGNORES = (
 )
 #: The kinds of ignored findings that are counted.
 BREAKDOWN = ("unused_export", "unreachable_module", "unreachable_file", "unused_symbol", "framework_export", "module", "dependency", "pattern")
+#: Types of findings that have a counter in the statistics.
+COUNTED = (
+    "unused_export", "unreachable_module", "unreachable_file", "framework_export", "circular_dependency", "dynamic_import", "code_smell", "unused_symbol",
+    "unused_private_class_member", "unused_public_class_member", "unused_enum_member", "unused_npm_dependency", "side_effect_only_import", "namespace_import",
+    "type_only_import", "dead_code_module", "dependency_chain",
+)
 PACKAGE_MODE = ("files", "exports", "symbols", "types", "imports", "circular", "quality")
 FILES_MODE = ("symbols", "types", "imports", "quality")
 
@@ -80,7 +86,7 @@ def category_counts(findings: DataFrame) -> DataFrame:  # F15
 
 def statistics(findings: DataFrame, modules: DataFrame, imports: DataFrame) -> DataFrame:  # C12, F3, F4, F5
     """One row of counters: modules, imports (virtual modules included), distinct external sources, findings of each type."""
-    counters = [F.count_if(F.col("type") == t).alias(t) for t in ("unused_export", "unreachable_module", "unreachable_file", "circular_dependency", "dynamic_import", "code_smell", "framework_export", "unused_npm_dependency", "type_only_import")]
+    counters = [F.count_if(F.col("type") == t).alias(t) for t in COUNTED] + [F.count_if((F.col("type") == "unused_export") & F.col("is_type_only")).alias("type_only_unused_export")]
     one = F.lit(1).alias("one")
     a = findings.agg(*counters, F.count("*").alias("findings")).withColumn("one", one)
     b = modules.agg(F.count("*").alias("modules"), F.count_if(~F.col("path").startswith("virtual:")).alias("real_modules")).withColumn("one", one)
@@ -180,10 +186,24 @@ def json_rows(findings: DataFrame) -> DataFrame:  # B1
     return own.select("finding_id", F.to_json(F.struct(*sorted(own.columns))).alias("json"))
 
 
-def render_report(findings: DataFrame) -> str:  # B2
-    """The counts of each category as text, from the aggregated rows alone."""
-    rows = category_counts(findings).orderBy("position").collect()
-    return "\n".join(f"{r['name'].capitalize()}: {r['n']}" for r in rows if r["n"]) or "No findings"
+def report_sections(findings: DataFrame, most: int = 10, tie: str = "path") -> DataFrame:  # B5
+    """The largest findings of each category, at most so many, with their rank and how many more there are; ties by `tie`."""
+    best = top_per_group(with_category(findings), "category", "size", most, tie)
+    return best.drop("in_group")
+
+
+def render_report(findings: DataFrame, most: int = 10) -> str:  # B2, B5
+    """The counts of each category and its first findings as text, in the categories' order, from the aggregated rows alone."""
+    rows = {r["name"]: r for r in category_counts(findings).collect()}
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("path", "name", "detail") if c in findings.columns]
+    line = findings.withColumn("shown", F.concat_ws(" ", "type", *(F.when(x != "", x) for x in shown)))
+    sections = report_sections(line, most, "shown").orderBy("rank").collect()  # at most `most` rows a category
+    out = []
+    for name in CATEGORIES:
+        if rows[name]["n"]:
+            own = [r for r in sections if r["category"] == name]
+            out += [f"{name.capitalize()}: {rows[name]['n']}", *(f"  {r['shown']}" for r in own)] + ([f"  and {own[0]['more']} more"] if own[0]["more"] else [])
+    return "\n".join(out) or "No findings"
 
 
 def exit_status(errors: int, entries: int, available: int) -> int:  # B8

@@ -68,10 +68,10 @@ def symbol_stats(symbols: DataFrame) -> DataFrame:  # F9
     return symbols.groupBy("kind").agg(F.count("*").alias("total"), F.count_if(~F.col("is_used")).alias("unused"))
 
 
-def unused_members(symbols: DataFrame) -> DataFrame:  # G7, F6
+def unused_members(symbols: DataFrame, *more: str) -> DataFrame:  # G7, F6
     """Unused members of classes: those with a leading underscore and those of virtual modules are not reported."""
     rows = symbols.where("not is_used").withColumn("member", member_kind(F.col("member_kind")))
-    return rows.where("not startswith(name, '_') and not startswith(path, 'virtual:')").select("path", "owner", "name", "member", "visibility")
+    return rows.where("not startswith(name, '_') and not startswith(path, 'virtual:')").select("path", "owner", "name", "member", "visibility", *more)
 
 
 def member_stats(symbols: DataFrame) -> DataFrame:  # F6
@@ -85,9 +85,9 @@ def enum_value(raw: Column) -> dict[str, Column]:  # C6
     return {"value_kind": F.when(number, "Number").when(text, "String").otherwise("Computed"), "value": F.when(number, raw).when(text, F.substring(raw, F.lit(2), F.length(raw) - 2))}
 
 
-def unused_enum_members(symbols: DataFrame) -> DataFrame:  # G8
+def unused_enum_members(symbols: DataFrame, *more: str) -> DataFrame:  # G8
     rows = symbols.where("not is_used and not startswith(name, '_') and not startswith(path, 'virtual:')")
-    return rows.withColumns(enum_value(F.col("enum_value"))).select("path", "owner", "name", "value_kind", "value")
+    return rows.withColumns(enum_value(F.col("enum_value"))).select("path", "owner", "name", "value_kind", "value", *more)
 
 
 def enum_stats(symbols: DataFrame) -> DataFrame:  # F7

@@ -54,29 +54,49 @@ def check_entry(path: str) -> str:  # D32
     return posixpath.normpath(path)
 
 
-_BLANK = re.compile(r"//[^\n]*|/\*.*?\*/|`(?:\\.|[^`\\])*`", re.S)
+_BLANK = re.compile(r"""(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<template>`(?:\\.|[^`\\])*`)|//[^\n]*|/\*.*?\*/""", re.S)
 _IMPORT = re.compile(r"""\bimport\s+(type\s+)?(?:([\w$]+)\s*,?\s*)?(?:\{([^}]*)\}|\*\s*as\s+([\w$]+))?\s*(?:from\s*)?["']([^"']+)["']""")
 _DYNAMIC = re.compile(r"""\bimport\s*\(\s*["']([^"']+)["']\s*\)""")
-_REEXPORT = re.compile(r"""\bexport\s+(type\s+)?(\*|\{[^}]*\})\s*(?:as\s+[\w$]+\s+)?from\s*["']([^"']+)["']""")
-_EXPORT = re.compile(r"\bexport\s+(default\b)?\s*(?:async\s+)?(?:(function\*?|class|const|let|var|enum|interface|type|abstract\s+class)\s+([\w$]+))?")
+_REEXPORT = re.compile(r"""\bexport\s+(type\s+)?(\*|\{[^}]*\})\s*(?:as\s+([\w$]+)\s+)?from\s*["']([^"']+)["']""")
+_LIST = re.compile(r"\bexport\s+(type\s+)?\{([^}]*)\}(?!\s*from\b)")
+_EXPORT = re.compile(r"\bexport\s+(default\b)?\s*(?:declare\s+)?(?:async\s+)?(?:(function\*?|class|const\s+enum|const|let|var|enum|interface|type|abstract\s+class)\s+([\w$]+))?")
+
+
+def blank(text: str, strings: bool, templates: bool = True) -> str:
+    """The text with comments as blanks, and strings and templates too where asked; every character keeps its place and line."""
+    keep = lambda m: m["string"] and not strings or m["template"] and not templates
+    return _BLANK.sub(lambda m: m[0] if keep(m) else re.sub(r"[^\n]", " ", m[0]), text)
+
+
+def _names(text: str) -> list[tuple[str, str]]:
+    """(own name, outer name) of each part of a braced list."""
+    parts = [re.sub(r"^type\s+", "", x.strip()) for x in text.split(",") if x.strip()]
+    return [(x[0], x[-1]) for x in (re.split(r"\s+as\s+", p) for p in parts)]
 
 
 def parse_script(text: str) -> tuple[list[tuple], list[tuple]]:  # A24
     """Imports (source, kind, names) and exports (name, kind, is_type_only) of a script's text, by tokens: comments and templates are blanked first. Approximate: no scopes, no expressions."""
-    text = _BLANK.sub(lambda m: " " * len(m[0]), text)
+    text = blank(text, strings=False)
     imports, exports = [], []
     for m in _IMPORT.finditer(text):
-        names = [x.strip().split(" as ")[0].strip() for x in (m[3] or "").split(",") if x.strip()]
+        names = [a for a, _ in _names(m[3] or "")]
         names += ["default"] * bool(m[2]) + ["*"] * bool(m[4])
         imports.append((m[5], "TypeOnly" if m[1] else "Static", names))
     imports += [(m[1], "Dynamic", []) for m in _DYNAMIC.finditer(text)]
     for m in _REEXPORT.finditer(text):
-        imports.append((m[3], "ReExport", ["*"] if m[2] == "*" else [x.strip().split(" as ")[0].strip() for x in m[2][1:-1].split(",") if x.strip()]))
+        if m[2] == "*":
+            imports.append((m[4], "Static" if m[3] else "ReExport", ["*"]))  # under a name it is an import of the namespace
+            exports += [(m[3], "ReExport", False)] if m[3] else []
+        else:
+            imports.append((m[4], "ReExport", [a for a, _ in _names(m[2][1:-1])]))
+            exports += [(b, "ReExport", bool(m[1])) for _, b in _names(m[2][1:-1])]
     for m in _EXPORT.finditer(text):
         if m[1]:
             exports.append(("default", "Default", False))
         elif m[3]:
             exports.append((m[3], "TypeOnly" if m[2] in ("interface", "type") else "Named", m[2] in ("interface", "type")))
+    for m in _LIST.finditer(text):
+        exports += [(b, "TypeOnly" if m[1] else "Default" if b == "default" else "Named", bool(m[1])) for _, b in _names(m[2])]
     return imports, exports
 
 

@@ -1,5 +1,6 @@
 import pytest
 
+from graphloom.operators import findings
 from graphloom.plans import analysis, entries
 from graphloom.sources import files, snapshots
 from graphloom.sources.rule_files import builtin
@@ -16,16 +17,72 @@ PROJECT = {
 
 
 def test_whole_analysis(spark):
-    got = analysis.analyze(spark, files.in_memory(spark, PROJECT), analysis.Options(entries=["src/index.ts"]))
+    got = analysis.analyze(spark, files.in_memory(spark, PROJECT), analysis.Options(entries=["src/index.ts"], import_patterns=True))
     assert sorted((r["type"], r["path"], r["verdict"]) for r in got.findings.collect()) == [
         ("circular_dependency", "src/b.ts", None), ("namespace_import", "src/index.ts", None), ("side_effect_only_import", "src/index.ts", None),
-        ("type_only_import", "src/index.ts", None), ("unreachable_module", "src/unused.ts", "SafeToDelete"),
+        ("type_only_import", "src/index.ts", None), ("unreachable_module", "src/unused.ts", "SafeToDelete"), ("unused_export", "src/unused.ts", None),
     ]
     assert [(r["path"], r["matched_pattern"]) for r in got.ignored.collect()] == [("dist/bundle.js", "**/dist/**")]
     assert got.statistics.first()["modules"] == 7
     assert got.errors.count() == 0
 
 
+WHOLE = {
+    "src/index.ts": "import './side'\nimport * as u from './utils'\nimport type { T } from './types'\nimport { a } from './a'\nimport React from 'react'\nconst lazy = () => import('./lazy')\nlazy(React, a, u)",
+    "src/side.ts": "console.log(1)",
+    "src/utils.ts": "export const u = 1",
+    "src/types.ts": "export interface T {}\nexport interface Gone {}",
+    "src/lazy.ts": "export default 1",
+    "src/a.ts": "import { b } from './b'\nexport const a = b\nexport const left = 2\nconst dead = 3\nfunction many(a, b, c, d, e) { return a }\nmany()",
+    "src/b.ts": "import { c } from './c'\nimport { a } from './a'\nexport const b = c + a",
+    "src/c.ts": "export * from './star'\nimport { d } from './d'\nexport const c = d",
+    "src/star.ts": "export const through = 1",
+    "src/d.ts": "import { e } from './e'\nexport const d = e",
+    "src/e.ts": "import { f } from './f'\nexport const e = f",
+    "src/f.ts": "import { g } from './g'\nexport const f = g",
+    "src/g.ts": "import { through } from './c'\nexport const g = 1\nclass Box {\n  private hidden = 1\n  open() { return this.lid }\n  lid = 2\n}\nenum Color { Red, Green = 'g' }\nnew Box(Color.Red, through)",
+    "app/page.tsx": "export default function Page() { return null }\nexport const metadata = {}",
+    "src/orphan.ts": "import './child'\nexport const x = 1",
+    "src/child.ts": "console.log(2)",
+}
+MANIFEST = '{"name": "n", "version": "1.0.0", "dependencies": {"react": "^18.0.0", "left-pad": "^1.0.0"}}'
+
+
+def test_every_kind_of_finding(spark):
+    options = analysis.options_of(dict.fromkeys(analysis.SWITCHES, True), entries=["src/index.ts"])
+    manifests = spark.createDataFrame([("package.json", MANIFEST)], "path string, content string")
+    discovered = spark.createDataFrame([(p,) for p in [*WHOLE, "src/huge.ts"]], "path string")
+    got = analysis.analyze(spark, files.in_memory(spark, WHOLE), options, manifests, discovered)
+    rows = got.findings.collect()
+    of = lambda kind: sorted((r["path"], r["name"]) for r in rows if r["type"] == kind)
+    assert {r["type"] for r in rows} == set(findings.COUNTED)
+    assert of("unused_export") == [("src/a.ts", "left"), ("src/orphan.ts", "x"), ("src/types.ts", "Gone")]
+    assert of("framework_export") == [("app/page.tsx", "default"), ("app/page.tsx", "metadata")]
+    assert ("src/a.ts", "dead") in of("unused_symbol") and ("src/a.ts", "many") not in of("unused_symbol")
+    assert of("unused_private_class_member") == [("src/g.ts", "hidden")]
+    assert of("unused_public_class_member") == [("src/g.ts", "open")]
+    assert of("unused_enum_member") == [("src/g.ts", "Green")]
+    assert [(r["path"], r["reason"], r["detail"]) for r in rows if r["type"] == "code_smell"] == [("src/a.ts", "TooManyParameters", "Function 'many' has 5 parameters (recommended: 4)")]
+    assert [(r["path"], r["name"]) for r in rows if r["type"] == "unused_npm_dependency"] == [(None, "left-pad")]
+    assert of("dead_code_module") == [("src/child.ts", None)]
+    assert ("src/index.ts", "src/g.ts") in of("dependency_chain")
+    assert of("unreachable_file") == [("src/huge.ts", None)]
+    assert of("dynamic_import") == [("src/index.ts", "src/lazy.ts")]
+    counted = got.statistics.first()
+    assert all(counted[k] == sum(r["type"] == k for r in rows) for k in findings.COUNTED)
+    assert counted["type_only_unused_export"] == 1
+    assert sorted(r["framework"] for r in got.tables["frameworks"].collect()) == ["Next.js", "React"]  # suppression works within imports and within paths
+    assert all(t.count() for t in got.tables.values())
+    report = findings.render_report(got.findings, 2)
+    assert "Dependencies: 1\n  unused_npm_dependency left-pad Runtime" in report and "and 3 more" in report
+
+
+def test_switches():
+    got = analysis.options_of({"detect_unused_symbols": True, "symbols": False, "quality": "yes", "detect_enum_members": True, "other": True})
+    assert [k for k in analysis.SWITCHES if getattr(got, k)] == ["enum_members"]
+    assert not any(getattr(analysis.Options(), k) for k in analysis.SWITCHES)
+
+
 def test_an_import_more_never_grows_what_is_unreachable(spark):
     dead = lambda project: {r["path"] for r in analysis.analyze(spark, files.in_memory(spark, project), analysis.Options(["src/index.ts"], categories=["files"])).findings.collect()}
     more = dict(PROJECT) | {"src/side.ts": "import './unused'"}
