@@ -340,7 +340,7 @@ CONDITIONS: dict[str, tuple[dict, str]] = {
     "path_starts_with": ({"path_starts_with": ["pages/", "app/d1"]}, "(starts_with(e.path, 'pages/') OR starts_with(e.path, 'app/d1'))"),
     "path_ends_with": ({"path_ends_with": [".tsx", ".vue"]}, "(ends_with(e.path, '.tsx') OR ends_with(e.path, '.vue'))"),
     "path_pattern": ({"path_pattern": "^(pages|app)/d[2-4]/.*[.]tsx?$"}, "regexp_matches(e.path, '^(pages|app)/d[2-4]/.*[.]tsx?$')"),
-    "not_import_from": ({"not_import_from": "react"}, f"NOT {_IMPORTS} s.source = 'react')"),
+    "not_import_from": ({"not_import_from": ["pkg2/x", "pkg5/x"]}, f"NOT {_IMPORTS} s.source IN ('pkg2/x', 'pkg5/x'))"),
     "not_export_name": ({"not_export_name": ["default"]}, "e.name <> 'default'"),
     "not_export_pattern": ({"not_export_pattern": "^(use|helper)"}, "NOT regexp_matches(e.name, '^(use|helper)')"),
     "not_path_pattern": ({"not_path_pattern": "^src/|[.]test[.]"}, "NOT regexp_matches(e.path, '^src/|[.]test[.]')"),
