@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.storage import cut, release, scratch_path, shared_dir
 
-__all__ = ["buffers", "cut", "mix", "numbered", "quoted", "release", "restored", "remainder", "row_of", "small_batches", "scratch_path", "shared_dir", "slices", "spans", "table", "windows", "word_hashes"]
+__all__ = ["CRC_SQL", "buffers", "crc_sql", "cut", "mix", "numbered", "quoted", "release", "restored", "remainder", "row_of", "small_batches", "scratch_path", "shared_dir", "slices", "spans", "table", "windows", "word_hashes"]
 
 #: Texts are scanned in slices of about this many bytes, so that scratch arrays stay small.
 SLICE_BYTES = 2 << 20
@@ -61,6 +61,15 @@ def remainder(col: str, modulus: int):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % modulus
 
 
+#: crc32 of a decimal text as DuckDB's functions: the table is derived from the polynomial, the fold goes byte by byte.
+CRC_SQL = r"""crc_table AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce([n] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS n)))"""
+
+
+def crc_sql(value: str) -> str:
+    """SQL of crc32(decimal value) in a query that has crc_table (t) beside it; null counts as empty text."""
+    return f"(CASE WHEN {value} IS NULL THEN 0 ELSE xor(4294967295, list_reduce([4294967295] || list_transform(string_split(CAST({value} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda c, b: xor(t[CAST(xor(c, b) & 255 AS BIGINT) + 1], c >> 8))) END)"
+
+
 # --- text scanning -------------------------------------------------------------------------------
 
 SPACE = np.zeros(256, bool)

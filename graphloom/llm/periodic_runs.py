@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import remainder, slices, table, windows
+from graphloom.llm.common import CRC_SQL, crc_sql, remainder, slices, table, windows
 
 #: Least length of a run in words.
 LEAST = 12
@@ -190,15 +190,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: crc32 of a decimal text as DuckDB's functions: the table is derived from the polynomial, the fold goes byte by byte.
-CRC_SQL = r"""crc_table AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce([n] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS n)))"""
-
-
-def crc_sql(value: str) -> str:
-    """SQL of crc32(decimal value) in a query that has crc_table (t) beside it; null counts as empty text."""
-    return f"(CASE WHEN {value} IS NULL THEN 0 ELSE xor(4294967295, list_reduce([4294967295] || list_transform(string_split(CAST({value} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda c, b: xor(t[CAST(xor(c, b) & 255 AS BIGINT) + 1], c >> 8))) END)"
-
-
 #: Every pair of equal words of a text, q apart, in unbroken stretches: what is left of them are the runs, without any search.
 SQL = rf"""
 WITH {CRC_SQL},

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, chat_format, license_scan, lm_scoring, mil_classifier, near_dedup, periodic_runs, quality_rules, source_mix, token_records, topk_search
+from graphloom.llm import bpe, chat_format, license_scan, lm_scoring, merkle_manifest, mil_classifier, near_dedup, periodic_runs, quality_rules, source_mix, token_records, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat_format.query,
         "op9_quality_rules": quality_rules.query,
         "op10_bpe": bpe.query,
+        "op11_merkle_manifest": merkle_manifest.query,
         "op13_periodic_runs": periodic_runs.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": license_scan.sql(), "op6_topk_search": topk_search.SQL, "op8_chat_format": chat_format.SQL, "op13_periodic_runs": periodic_runs.SQL}
+    return {"op5_license_scan": license_scan.sql(), "op6_topk_search": topk_search.SQL, "op8_chat_format": chat_format.SQL, "op11_merkle_manifest": merkle_manifest.SQL, "op13_periodic_runs": periodic_runs.SQL}
