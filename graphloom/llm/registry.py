@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, chat_format, license_scan, lm_scoring, merkle_manifest, mil_classifier, near_dedup, periodic_runs, quality_rules, source_mix, token_records, topk_search
+from graphloom.llm import bpe, chat_format, language_id, license_scan, lm_scoring, merkle_manifest, mil_classifier, near_dedup, periodic_runs, quality_rules, source_mix, token_records, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": quality_rules.query,
         "op10_bpe": bpe.query,
         "op11_merkle_manifest": merkle_manifest.query,
+        "op12_language_id": language_id.query,
         "op13_periodic_runs": periodic_runs.query,
     }
 

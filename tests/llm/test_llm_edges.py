@@ -7,7 +7,7 @@ import pytest
 
 from graphloom.llm import registry
 
-PER_DOCUMENT = ("op1_near_dedup", "op2_token_records", "op3_source_mix", "op4_mil_classifier", "op5_license_scan", "op7_lm_scoring", "op9_quality_rules", "op10_bpe")
+PER_DOCUMENT = ("op1_near_dedup", "op2_token_records", "op3_source_mix", "op4_mil_classifier", "op5_license_scan", "op7_lm_scoring", "op9_quality_rules", "op10_bpe", "op11_merkle_manifest", "op12_language_id", "op13_periodic_runs")
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
