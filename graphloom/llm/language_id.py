@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -175,31 +176,28 @@ def train(rows: DataFrame) -> Model:
     totals = features.groupBy("order", "lang").agg(F.sum("n").alias("total"))
     langs = totals.where("order = 0").count()
     totals = totals.withColumn("least", F.greatest(F.lit(1.0), F.col("total") * langs / F.when(F.col("order") == 0, ENTRIES).otherwise(GRAM_ENTRIES)))
-    kept = features.join(F.broadcast(totals) if langs <= FEW else totals, ["order", "lang"]).where("n >= least")
-    entries = kept.select("order", "lang", "key", "n", "total", "least").toPandas()
-    release(words, features)
-    return model_of(entries)
+    kept = cut(features.join(F.broadcast(totals) if langs <= FEW else totals, ["order", "lang"]).where("n >= least").select("order", "lang", "key", "n"), "entries")
+    entries, shares = kept.toPandas(), totals.join(kept.select("lang").distinct(), "lang").toPandas()
+    release(words, features, kept)
+    return model_of(entries, shares)
 
 
-def model_of(entries) -> Model:
-    """The model of a pandas frame of entries: order, lang, key, n, total and least of the order and language."""
-    own = entries[entries["order"] == 0]
-    langs = sorted(own["lang"].unique())
+def model_of(entries: pd.DataFrame, shares: pd.DataFrame) -> Model:
+    """The model of entries (order, lang, key, n) and of the total and least count of each order and language that has any entry."""
+    langs = sorted(shares["lang"].unique())
     if not langs:
         return Model()
-    totals = own.groupby("lang")["total"].first().reindex(langs).to_numpy(float)
     number = {x: k for k, x in enumerate(langs)}
+    total, least = np.ones((LONGEST + 1, len(langs))), np.ones((LONGEST + 1, len(langs)))
+    place = shares["order"].to_numpy(), shares["lang"].map(number).to_numpy()
+    total[place], least[place] = shares["total"], shares["least"]
     orders = []
     for order in range(LONGEST + 1):
-        e = entries[entries["order"] == order]
-        e = e[e["lang"].isin(number)].sort_values(["key", "lang"])
+        e = entries[entries["order"] == order].sort_values(["key", "lang"])
         keys, begin = np.unique(e["key"].to_numpy(np.int64), return_index=True)
-        floor = np.full(len(langs), -np.log(totals.max() * 2))
-        for x, g in e.groupby("lang"):
-            floor[number[x]] = np.log(g["least"].iloc[0] / 2 / g["total"].iloc[0])
-        log = np.log(e["n"].to_numpy(float) / e["total"].to_numpy(float))
-        orders.append(Order(keys, np.append(begin, len(e)), e["lang"].map(number).to_numpy(np.int32), log, floor))
-    return Model(langs, np.log(totals / totals.sum()), orders)
+        own = e["lang"].map(number).to_numpy(np.int32)
+        orders.append(Order(keys, np.append(begin, len(e)), own, np.log(e["n"].to_numpy(float) / total[order][own]), np.log(least[order] / 2 / total[order])))
+    return Model(langs, np.log(total[0] / total[0].sum()), orders)
 
 
 # --- scores ---------------------------------------------------------------------------------------
