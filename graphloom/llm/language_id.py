@@ -11,7 +11,7 @@ go through a softmax.
 Words are runs of letters, lower-cased. Features are 64-bit hashes, so of 10^6 entries two are mixed up with a chance of 3 in 10^8.
 
 Defined cases: a null text and a text without a letter are `und` with score 0, as is any text if nothing was learned; null languages teach
-nothing; a tie goes to the language of more words, then to the smaller name; a text of unknown characters only gets the commonest language;
+nothing; a tie goes to the smaller name; a text of unknown characters only gets the commonest language;
 repeated rows each count and each give a row; a null doc_id counts as empty text for the fold; other columns are ignored.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, release, remainder, slices, table
+from graphloom.llm.common import cut, mix, release, remainder, slices, table
 
 #: Longest n-gram, and the most entries of the words and of each order of n-grams.
 LONGEST, ENTRIES, GRAM_ENTRIES = 5, 1 << 19, 1 << 17
@@ -56,9 +56,23 @@ def grams(word: str, order: int) -> list[str]:
     return [padded[k : k + order] for k in range(len(padded) - order + 1)]
 
 
-def key(feature: str, order: int) -> int:
-    """A signed 64-bit hash; words have order 0."""
-    return (xxhash.xxh64_intdigest(feature.encode(), order) ^ 1 << 63) - (1 << 63)
+def word_keys(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], np.uint64).view(np.int64)
+
+
+def gram_keys(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the n-grams of all words, by their code points, and the word that each belongs to."""
+    codes = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    begin, n = np.cumsum(size) - size, np.maximum(size - order + 1, 0)
+    if order == 1:
+        begin, n = begin + 1, size - 2
+    owner = np.repeat(np.arange(len(words)), n)
+    first = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    out = np.full(len(first), order, np.uint64)
+    for k in range(order):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + codes[first + k])
+    return out.view(np.int64), owner
 
 
 # --- counts ---------------------------------------------------------------------------------------
@@ -93,29 +107,30 @@ def feature_counts(words: DataFrame) -> DataFrame:
     """(order, lang, key, n) of the n-grams of words (lang, word, n), and of the words themselves as order 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, str], Counter] = defaultdict(Counter)
-        size = 0
+        held, size = [], 0
         for batch in batches:
-            langs, own, counts = (batch.column(x).to_pylist() for x in ("lang", "word", "n"))
-            yield _keyed(0, langs, own, counts)
-            for lang, word, n in zip(langs, own, counts, strict=True):
-                for order in range(1, LONGEST + 1):
-                    mine = held[order, lang]
-                    size -= len(mine)
-                    for x in grams(word, order):
-                        mine[x] += n
-                    size += len(mine)
-                if size >= HELD:
-                    yield from (_keyed(o, [x] * len(c), list(c), list(c.values())) for (o, x), c in held.items() if c)
-                    held, size = defaultdict(Counter), 0
-        yield from (_keyed(o, [x] * len(c), list(c), list(c.values())) for (o, x), c in held.items() if c)
+            held.append(batch)
+            size += batch.num_rows + batch.column("word").nbytes // 16
+            if size >= HELD:
+                yield from _features(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield from _features(pa.Table.from_batches(held))
 
     return words.mapInArrow(run, "order int, lang string, key long, n long").groupBy("order", "lang", "key").agg(F.sum("n").alias("n"))
 
 
-def _keyed(order: int, langs: list[str], features: list[str], counts: list[int]) -> pa.RecordBatch:
-    keys = [key(x, order) for x in features]
-    return pa.RecordBatch.from_arrays([pa.array([order] * len(keys), pa.int32()), pa.array(langs, pa.string()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["order", "lang", "key", "n"])
+def _features(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The features of distinct words, added up by order and language."""
+    lang, counts = rows.column("lang").to_pandas(), rows.column("n").to_numpy()
+    words = np.array(rows.column("word").to_pylist(), object)
+    for x, at in lang.groupby(lang).indices.items():
+        own, n = list(words[at]), counts[at]
+        for order in range(LONGEST + 1):
+            keys, owner = gram_keys(own, order) if order else (word_keys(own), np.arange(len(own)))
+            distinct, place = np.unique(keys, return_inverse=True)
+            total = np.bincount(place, n[owner], len(distinct)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), order, np.int32)), pa.array([x] * len(distinct), pa.string()), pa.array(distinct), pa.array(total)], ["order", "lang", "key", "n"])
 
 
 # --- model ----------------------------------------------------------------------------------------
@@ -140,31 +155,32 @@ class Model:
 
     def add(self, out: np.ndarray, rows: np.ndarray, order: int, keys: np.ndarray) -> np.ndarray:
         """Add the logs of the features that are known to their rows of out; says which are."""
-        o = self.orders[order]
-        if not len(o.keys):
+        o, n = self.orders[order], len(self.langs)
+        if not len(o.keys) or not len(keys):
             return np.zeros(len(keys), bool)
         at = np.minimum(np.searchsorted(o.keys, keys), len(o.keys) - 1)
         known = o.keys[at] == keys
         at, rows = at[known], rows[known]
-        np.add.at(out, rows, o.floor)
+        out += np.bincount(rows, minlength=len(out))[:, None] * o.floor
         size = o.begin[at + 1] - o.begin[at]
-        entry = np.repeat(o.begin[at] - np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64), size) + np.arange(size.sum())
-        np.add.at(out, (np.repeat(rows, size), o.lang[entry]), o.log[entry] - o.floor[o.lang[entry]])
+        entry = np.repeat(o.begin[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        lang = o.lang[entry]
+        out += np.bincount(np.repeat(rows, size) * n + lang, o.log[entry] - o.floor[lang], out.size).reshape(out.shape)
         return known
 
     def vectors(self, words: list[str]) -> np.ndarray:
         """A row of logs a word: its own if it is known, else the mean of its longest known n-grams, else zeros."""
         out = np.zeros((len(words), len(self.langs)))
-        left = np.flatnonzero(~self.add(out, np.arange(len(words)), 0, np.array([key(w, 0) for w in words], np.int64)))
+        left = np.flatnonzero(~self.add(out, np.arange(len(words)), 0, word_keys(words)))
         for order in range(LONGEST, 0, -1):
             if not len(left):
                 break
-            parts = [grams(words[i], order) for i in left]
-            rows = np.repeat(left, [len(p) for p in parts])
-            known = self.add(out, rows, order, np.array([key(x, order) for p in parts for x in p], np.int64))
-            n = np.bincount(rows[known], minlength=len(words))
-            done = n[left] > 0
-            out[left[done]] /= n[left[done], None]
+            keys, owner = gram_keys([words[i] for i in left], order)
+            own = np.zeros((len(left), len(self.langs)))
+            known = self.add(own, owner, order, keys)
+            n = np.bincount(owner[known], minlength=len(left))
+            done = n > 0
+            out[left[done]] = own[done] / n[done, None]
             left = left[~done]
         return out
 
@@ -204,39 +220,52 @@ def model_of(entries: pd.DataFrame, shares: pd.DataFrame) -> Model:
 
 
 class Scorer:
-    """Predictions of texts; the vectors of words are kept in a table of bounded size."""
+    """Predictions of texts; the vectors of words are kept in a table, which begins anew when it holds `room` words."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.room = max(4096, (1 << 22) // max(1, len(model.langs)))
+        self.room = max(4096, (1 << 20) // max(1, len(model.langs)))
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.rows = np.zeros((0, len(self.model.langs)))
-
-    def totals(self, words: list[str]) -> np.ndarray:
-        """The sum of the words' vectors."""
-        counts = Counter(words)
-        distinct, out = list(counts), np.zeros(len(self.model.langs))
-        for at in range(0, len(distinct), self.room // 2):
-            part = distinct[at : at + self.room // 2]
-            fresh = [w for w in part if w not in self.place]
-            if fresh:
-                if len(self.place) + len(fresh) > self.room:
-                    self.forget()
-                    fresh = part
-                self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
-                self.rows = np.concatenate([self.rows, self.model.vectors(fresh)])
+        self.rows = np.zeros((1024, len(self.model.langs)))
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Make the table hold all of these words."""
+        words = list(words)
+        fresh = [w for w in words if w not in self.place]
+        if len(self.place) + len(fresh) > self.room:
+            self.forget()
+            fresh = words
+        if fresh:
+            have, need = len(self.place), len(self.place) + len(fresh)
+            if need > len(self.rows):
+                self.rows = np.concatenate([self.rows[:have], np.zeros((2 * need - have, len(self.model.langs)))])
+            self.rows[have:need] = self.model.vectors(fresh)
+            self.place.update(zip(fresh, range(have, need), strict=True))
+
+    def total(self, counts: Counter) -> np.ndarray:
+        """The sum of the vectors of a text's words."""
+        words, out = list(counts), np.zeros(len(self.model.langs))
+        for at in range(0, len(words), self.room):
+            part = words[at : at + self.room]
+            self.learn(part)
             own = np.fromiter(map(self.place.__getitem__, part), np.int64, len(part))
             out += np.fromiter(map(counts.__getitem__, part), float, len(part)) @ self.rows[own]
         return out
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = letter_words(text) if text else []
-        if not words or not self.model.langs:
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text."""
+        counts = [Counter(letter_words(x)) if x else Counter() for x in texts]
+        if self.model.langs:
+            self.learn(dict.fromkeys(w for c in counts for w in c))  # all at once
+        return [self._best(c) for c in counts]
+
+    def _best(self, counts: Counter) -> tuple[str, float]:
+        if not counts or not self.model.langs:
             return UNKNOWN, 0.0
-        total = self.totals(words) + self.model.prior
+        total = self.total(counts) + self.model.prior
         best = int(total.argmax())
         return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -248,7 +277,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in slices(batches):
-            said = [scorer.predict(x) for x in batch.column("text").to_pylist()]
+            said = scorer.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))

@@ -200,12 +200,22 @@ def test_languages_by_brute_force(spark):
     tests = [say(x, n) for x in syllables for n in (1, 2, 5)] + ["BA bo", "ünknown babati", "日本", "xq", "ööööl"]
     counts = plain_model(rows)
     scorer = language_id.Scorer(model)
-    for text in tests:
-        lang, score = plain_score(counts, list(syllables), text)
-        assert scorer.predict(text)[0] == lang
-        assert scorer.predict(text)[1] == pytest.approx(score, rel=1e-9)
-    scorer.room = 2  # a table that is forgotten all the time gives the same
-    assert scorer.predict(" ".join(tests))[1] == pytest.approx(plain_score(counts, list(syllables), " ".join(tests))[1], rel=1e-9)
+    want = [plain_score(counts, list(syllables), text) for text in tests]
+    for room in (scorer.room, 2):  # a table that is forgotten all the time gives the same
+        scorer.room = room
+        got = scorer.predict(tests)
+        assert [x for x, _ in got] == [x for x, _ in want]
+        assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-9)
+
+
+def test_gram_keys_tell_grams_apart():
+    words = ["ab", "abc", "b", "日本語", "x" * 9, "cab"]
+    for order in range(1, 6):
+        keys, owner = language_id.gram_keys(words, order)
+        texts = [(k, x) for k, w in enumerate(words) for x in language_id.grams(w, order)]
+        assert [k for k, _ in texts] == owner.tolist()
+        assert len(set(keys.tolist())) == len({x for _, x in texts})
+        assert len({(x, i) for (_, x), i in zip(texts, keys.tolist(), strict=True)}) == len({x for _, x in texts})
 
 
 def test_odd_texts_have_no_language(spark, odd, empty):
