@@ -48,7 +48,7 @@ def unreachable_modules(t):
 
 @query(f"WITH RECURSIVE {REACH} SELECT path, size FROM {{module}} WHERE module_id NOT IN (SELECT n FROM r) AND NOT starts_with(path, 'virtual:')")
 def unreachable_by_rounds(t):
-    return graph.unreachable_modules(t("module"), t("edge"), limit=0).select("path", "size")
+    return graph.unreachable_modules(t("module"), t("edge"), jumps=False).select("path", "size")
 
 
 @query(f"SELECT path, verdict, reason FROM (SELECT path, {SAFETY} FROM (SELECT *, {DYN} FROM {{module}}) m)")
@@ -129,7 +129,7 @@ def cycles(t):
 
 @query(f"WITH RECURSIVE {CLOSURE} SELECT module_id, scc_id FROM k")
 def cycles_by_rounds(t):
-    return graph.components(t("ring"), limit=0)
+    return graph.components(t("ring"), trim=False)
 
 
 @query(

@@ -1,24 +1,20 @@
 """Operators over modules and imports: reachability, cycles, chains, dead code, usage.
 
 Frames: modules (module_id, path, size, has_side_effects, is_entry), imports (module_id, resolved_to, kind, source, ...),
-edges (src, dst), exports (module_id, name, ...). Fixpoints over graphs of at most LOCAL_EDGES edges, a size that is
-checked, run on the driver; larger graphs run as rounds of joins whose lineage is cut in the shared folder.
+edges (src, dst), exports (module_id, name, ...). Fixpoints are rounds of joins whose lineage is cut in the shared folder (fixpoints.py).
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.fixpoints import components, reachable
 from graphloom.storage import cut
 
-#: Graphs up to this many edges are solved on the driver.
-LOCAL_EDGES = 200_000
-#: Fronts of a search that are read side by side before they are written together.
-MOST_FRONTS = 24
+__all__ = ["components", "reachable"]
 
 #: Fragments that make a file name a configuration file's.
 CONFIG_FRAGMENTS = ("package.json", "tsconfig.json", "jsconfig.json", ".eslintrc", ".prettierrc", "next.config", "vite.config", "rollup.config")
@@ -39,47 +35,8 @@ def is_config(path: Column) -> Column:  # D30
     return out
 
 
-def _local(edges: DataFrame, limit: int) -> list[tuple] | None:
-    """The edges if they are at most `limit`, else None."""
-    rows = edges.limit(limit + 1).collect()
-    return [tuple(r) for r in rows] if len(rows) <= limit else None
-
-
-def reachable(entries: DataFrame, edges: DataFrame, limit: int = LOCAL_EDGES) -> DataFrame:  # G2
-    """(module_id) of the closure of entries (module_id) over edges (src, dst), entries included."""
-    spark = edges.sparkSession
-    edges = edges.select("src", "dst").distinct()
-    local = _local(edges, limit)
-    if local is not None:
-        after = defaultdict(list)
-        for a, b in local:
-            after[a].append(b)
-        begin = entries.select(F.col("module_id").alias("src")).distinct()
-        heads = begin.join(edges.select("src").distinct(), "src", "left_semi").collect()  # at most as many as edges
-        seen, todo = set(), [r[0] for r in heads]
-        while todo:
-            x = todo.pop()
-            for y in after.get(x, ()):
-                if y not in seen:
-                    seen.add(y)
-                    todo.append(y)
-        kind = edges.schema["dst"].dataType.simpleString()
-        found = spark.createDataFrame([(x,) for x in seen], f"module_id {kind}")
-        return entries.select("module_id").union(found).distinct()
-    edges = cut(edges, "edges")
-    front = cut(entries.select("module_id").distinct(), "front")
-    fronts = [front]
-    while True:
-        seen = reduce(DataFrame.union, fronts)
-        fresh = front.join(edges, front["module_id"] == edges["src"]).select(F.col("dst").alias("module_id")).distinct().join(seen, "module_id", "left_anti")
-        front = cut(fresh, "front")
-        if not front.limit(1).count():
-            return seen
-        fronts = [*fronts, front] if len(fronts) < MOST_FRONTS else [cut(seen, "seen"), front]
-
-
-def unreachable_modules(modules: DataFrame, edges: DataFrame, limit: int = LOCAL_EDGES) -> DataFrame:  # G2
-    seen = reachable(modules.where("is_entry").select("module_id"), edges, limit)
+def unreachable_modules(modules: DataFrame, edges: DataFrame, jumps: bool = True) -> DataFrame:  # G2
+    seen = reachable(modules.where("is_entry").select("module_id"), edges, jumps)
     return modules.where(not_virtual(F.col("path"))).join(seen, "module_id", "left_anti")
 
 
@@ -137,96 +94,6 @@ def specifier_imports(modules: DataFrame, specifiers: DataFrame, which: str) ->
     return rows.where(test).select("path", "source", "name", "line")
 
 
-def _tarjan(edges: list[tuple]) -> list[tuple]:
-    """(module_id, scc_id) of components of two or more, without recursion."""
-    after = defaultdict(list)
-    for a, b in edges:
-        if a != b:
-            after[a].append(b)
-    order, low, on, stack, out, n = {}, {}, set(), [], [], 0
-    for root in list(after):
-        if root in order:
-            continue
-        work = [(root, iter(after[root]))]
-        order[root] = low[root] = n
-        n += 1
-        stack.append(root)
-        on.add(root)
-        while work:
-            x, rest = work[-1]
-            step = next(rest, None)
-            if step is None:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[x])
-                if low[x] == order[x]:
-                    own = []
-                    while True:
-                        y = stack.pop()
-                        on.discard(y)
-                        own.append(y)
-                        if y == x:
-                            break
-                    if len(own) > 1:
-                        least = min(own)
-                        out += [(y, least) for y in own]
-            elif step not in order:
-                order[step] = low[step] = n
-                n += 1
-                stack.append(step)
-                on.add(step)
-                work.append((step, iter(after.get(step, ()))))
-            elif step in on:
-                low[x] = min(low[x], order[step])
-    return out
-
-
-def components(edges: DataFrame, limit: int = LOCAL_EDGES) -> DataFrame:  # G1
-    """(module_id, scc_id) of strongly connected components of two or more; scc_id is the least member. A self-loop is no cycle.
-
-    Beyond the local limit: nodes without an edge in or out are trimmed, the least label that reaches a node over forward edges colours
-    it, and whatever reaches its colour's node backwards within the colour is that node's component; the rest goes round again.
-    """
-    spark = edges.sparkSession
-    live = edges.where("src <> dst").select("src", "dst").distinct()
-    kind = edges.schema["src"].dataType.simpleString()
-    done = spark.createDataFrame([], f"module_id {kind}, scc_id {kind}")
-    while True:
-        local = _local(live, limit)
-        if local is not None:
-            return done.union(spark.createDataFrame(_tarjan(local), f"module_id {kind}, scc_id {kind}"))
-        live = cut(live, "live")
-        before = live.count()
-        while True:  # trim
-            live = cut(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "live")
-            after = live.count()
-            if after == before:
-                break
-            before = after
-        color = cut(live.select(F.col("src").alias("node")).union(live.select("dst")).distinct().withColumn("color", F.col("node")), "color")
-        while True:
-            heard = live.join(color, live["src"] == color["node"]).groupBy("dst").agg(F.min("color").alias("heard"))
-            step = cut(color.join(heard, color["node"] == heard["dst"], "left").select("node", F.least("color", F.coalesce("heard", "color")).alias("next"), "color"), "color")
-            changed = step.where("next <> color").limit(1).count()
-            color = step.select("node", F.col("next").alias("color"))
-            if not changed:
-                break
-        inner = live.join(color.select(F.col("node").alias("src"), F.col("color").alias("cs")), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("cd")), "dst").where("cs = cd")
-        inner = cut(inner.select("src", "dst", F.col("cs").alias("color")), "inner")
-        found = cut(color.where("node = color").select("node", "color"), "found")
-        front = found
-        while True:
-            back = inner.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "color").distinct().join(found, "node", "left_anti")
-            front = cut(back, "front")
-            if not front.limit(1).count():
-                break
-            found = cut(found.union(front), "found")
-        sizes = found.groupBy("color").count().where("count > 1").select("color")
-        done = cut(done.union(found.join(sizes, "color").select(F.col("node").alias("module_id"), F.col("color").alias("scc_id"))), "done")
-        gone = found.select("node")
-        live = inner.select("src", "dst").join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
-
-
 def cycle_summary(cycles: DataFrame, modules: DataFrame, unreachable: DataFrame) -> DataFrame:  # E6, E7, F10
     """Of each cycle: length, total size, whether all members are unreachable, members by basename (J17)."""
     dead = unreachable.select("module_id").withColumn("dead", F.lit(True))

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+#: Orders are modules too, numbered from here.
+ORDER_BASE = 1_000_000_000_000
+
 #: Adapter name -> SQL over {tables} and other adapters.
 ADAPTERS = {
     "module": """
@@ -18,17 +21,23 @@ ADAPTERS = {
                          || '/d' || CAST(p_partkey % 7 AS STRING) || '/m' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 23 = 5 THEN '.test' ELSE '' END
                          || CASE p_partkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' WHEN 2 THEN '.js' ELSE '.vue' END END AS path,
                CAST(floor(p_retailprice * 10) AS BIGINT) AS size, p_size % 3 = 0 AS has_side_effects, p_partkey % 50 = 0 AS is_entry
-        FROM {part}""",
-    # every pair of neighbouring line items; parts of another brand are another package, so their imports stay unresolved
+        FROM {part}
+        UNION ALL SELECT {order_base} + o_orderkey, CASE WHEN o_orderkey % 71 = 11 THEN 'virtual:o' ELSE 'log/c' || CAST(o_custkey AS STRING) || '/o' END || CAST(o_orderkey AS STRING) || '.ts',
+               CAST(floor(o_totalprice) AS BIGINT), o_orderkey % 4 = 0, o_orderkey % 50 = 0
+        FROM {orders}""",
+    # every pair of neighbouring line items, the next order of the same customer, and a package of every order
     "import": """
-        SELECT module_id, CASE WHEN same THEN target END AS resolved_to, target, kind, line, is_external,
-               CASE WHEN is_external THEN CASE target % 3 WHEN 0 THEN '@scope/pkg' || CAST(target % 40 AS STRING) || '/sub' WHEN 1 THEN 'react' ELSE 'pkg' || CAST(target % 60 AS STRING) || '/x' END
-                    ELSE './m' || CAST(target AS STRING) END AS source
-        FROM (SELECT a.l_partkey AS module_id, b.l_partkey AS target, CASE a.l_returnflag WHEN 'R' THEN 'Dynamic' WHEN 'A' THEN 'TypeOnly' ELSE 'Static' END AS kind,
-                     min(b.l_linenumber) AS line, max(CASE WHEN p.p_size > 45 OR p.p_brand <> o.p_brand THEN 1 ELSE 0 END) = 1 AS is_external, min(CASE WHEN p.p_brand = o.p_brand THEN 1 ELSE 0 END) = 1 AS same
-              FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 JOIN {part} p ON p.p_partkey = b.l_partkey JOIN {part} o ON o.p_partkey = a.l_partkey
-              WHERE a.l_partkey <> b.l_partkey
-              GROUP BY a.l_partkey, b.l_partkey, a.l_returnflag) x""",
+        SELECT a.l_partkey AS module_id, b.l_partkey AS resolved_to, b.l_partkey AS target, CASE a.l_returnflag WHEN 'R' THEN 'Dynamic' WHEN 'A' THEN 'TypeOnly' ELSE 'Static' END AS kind,
+               CAST(min(b.l_linenumber) AS BIGINT) AS line, max(CASE WHEN p.p_size > 45 THEN 1 ELSE 0 END) = 1 AS is_external,
+               CASE WHEN max(p.p_size) <= 45 THEN './m' || CAST(b.l_partkey AS STRING) WHEN b.l_partkey % 3 = 0 THEN '@scope/pkg' || CAST(b.l_partkey % 40 AS STRING) || '/sub' WHEN b.l_partkey % 3 = 1 THEN 'react'
+                    ELSE 'pkg' || CAST(b.l_partkey % 60 AS STRING) || '/x' END AS source
+        FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 JOIN {part} p ON p.p_partkey = b.l_partkey
+        WHERE a.l_partkey <> b.l_partkey
+        GROUP BY a.l_partkey, b.l_partkey, a.l_returnflag
+        UNION ALL SELECT {order_base} + o_orderkey, {order_base} + later, later, CASE o_orderstatus WHEN 'F' THEN 'Dynamic' WHEN 'O' THEN 'Static' ELSE 'TypeOnly' END, o_orderkey % 5 + 1, FALSE, './o' || CAST(later AS STRING)
+        FROM (SELECT *, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS later FROM {orders}) o WHERE later IS NOT NULL
+        UNION ALL SELECT {order_base} + o_orderkey, CAST(NULL AS BIGINT), o_custkey, 'Static', o_orderkey % 5 + 1, TRUE, CASE o_custkey % 3 WHEN 0 THEN '@scope/pkg' || CAST(o_custkey % 50 AS STRING) WHEN 1 THEN 'pkg' || CAST(o_custkey % 90 AS STRING) ELSE 'react/jsx' END
+        FROM {orders}""",
     "specifier": """
         SELECT module_id, resolved_to, kind, source, line, is_external,
                CASE WHEN kind = 'Dynamic' OR line % 4 = 0 THEN 'None' WHEN line % 4 = 1 THEN 'Default' WHEN line % 4 = 2 THEN 'Named' ELSE 'Namespace' END AS specifier,
@@ -36,11 +45,11 @@ ADAPTERS = {
         FROM {import}""",
     "edge": """
         SELECT DISTINCT module_id AS src, resolved_to AS dst FROM {import} WHERE resolved_to IS NOT NULL""",
+    # with rings of three orders besides
     "ring": """
         SELECT src, dst FROM {edge}
-        UNION SELECT p_partkey, p_partkey + 1 FROM {part} WHERE p_partkey % 97 = 0 AND p_partkey + 2 < (SELECT count(*) FROM {part})
-        UNION SELECT p_partkey + 1, p_partkey + 2 FROM {part} WHERE p_partkey % 97 = 0 AND p_partkey + 2 < (SELECT count(*) FROM {part})
-        UNION SELECT p_partkey + 2, p_partkey FROM {part} WHERE p_partkey % 97 = 0 AND p_partkey + 2 < (SELECT count(*) FROM {part})""",
+        UNION SELECT {order_base} + o_orderkey, {order_base} + o_orderkey + 1 FROM {orders} WHERE o_orderkey % 97 < 2 AND o_orderkey + 2 < (SELECT count(*) FROM {orders})
+        UNION SELECT {order_base} + o_orderkey + 2, {order_base} + o_orderkey FROM {orders} WHERE o_orderkey % 97 = 0 AND o_orderkey + 2 < (SELECT count(*) FROM {orders})""",
     "layer": """
         SELECT p_partkey AS src, CAST(floor(p_partkey / 2) AS BIGINT) AS dst FROM {part} WHERE p_partkey > 1
         UNION SELECT p_partkey, CAST(floor(p_partkey / 3) AS BIGINT) FROM {part} WHERE p_partkey > 2 AND p_size > 40""",
@@ -85,6 +94,8 @@ ADAPTERS = {
         SELECT event_id AS run_no, 'tool' || CAST(user_id % 5 AS STRING) AS tool, event_type AS project, ts, CAST(floor(value * 100) AS BIGINT) AS micros, event_type <> 'error' AS success FROM {events}""",
 }
 
+ADAPTERS = {name: sql.replace("{order_base}", str(ORDER_BASE)) for name, sql in ADAPTERS.items()}
+
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table, or an adapter over them, as a DataFrame."""

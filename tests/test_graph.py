@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -20,12 +21,47 @@ def test_cycles(spark):
     assert sccs(spark, [(1, 1)]) == []
 
 
-def test_distributed_fixpoints_equal_local_ones(spark):
-    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 1), (7, 8)]
-    assert sccs(spark, edges, limit=0) == sccs(spark, edges)
-    e, entries = frames(spark, edges, [6, 9])
-    near, far = (sorted(r[0] for r in graph.reachable(entries, e, limit=k).collect()) for k in (100, 0))
-    assert near == far == [1, 2, 3, 4, 5, 6, 9]
+def closure(edges, nodes):
+    seen, todo = set(nodes), list(nodes)
+    while todo:
+        x = todo.pop()
+        todo += (fresh := {b for a, b in edges if a == x} - seen)
+        seen |= fresh
+    return sorted(seen)
+
+
+@pytest.mark.parametrize("jumps", [True, False])
+def test_reachable_over_chains_rings_and_hubs(spark, jumps):
+    chain = [(k, k + 1) for k in range(20)]
+    edges = [*chain, (20, 0), (7, 30), (30, 31), (31, 32), (40, 41), (41, 40), (41, 42), (42, 43), (12, 50), (13, 50), (50, 51), (51, 50), (60, 60), (61, 60)]
+    for nodes in ([0], [31], [42], [60, 99], [], [5, 41]):
+        e, entries = frames(spark, edges, nodes)
+        assert sorted(r[0] for r in graph.reachable(entries, e, jumps).collect()) == closure(edges, nodes)
+
+
+def test_a_long_ring_takes_few_rounds(spark, monkeypatch):
+    """Rings and chains of 20,000 nodes: rounds grow with the logarithm, and nothing but counts comes to the driver."""
+    from graphloom.operators import fixpoints
+
+    rounds, cut = [], fixpoints.cut
+    monkeypatch.setattr(fixpoints, "cut", lambda df, name: rounds.append(name) or cut(df, name))
+    ring = spark.range(20_000).select(F.col("id").alias("src"), ((F.col("id") + 1) % 20_000).alias("dst"))
+    assert tuple(graph.components(ring).agg(F.count("*"), F.max("scc_id")).first()) == (20_000, 0)
+    assert len(rounds) < 60
+    rounds.clear()
+    assert graph.reachable(spark.createDataFrame([(7,)], "module_id long"), ring.where("src < 19999")).count() == 19_993
+    assert len(rounds) < 30
+
+
+def test_chain_of_components(spark):
+    """Twelve pairs, each importing the next: every pair is a component of its own, whichever number is least."""
+    edges = [e for k in range(12) for e in ((2 * k, 2 * k + 1), (2 * k + 1, 2 * k), (2 * k + 1, 2 * k + 2))]
+    assert sccs(spark, edges) == [(k, k - k % 2) for k in range(24)]
+
+
+def test_components_of_paths(spark):
+    e = spark.createDataFrame([("b.ts", "a.ts"), ("a.ts", "b.ts"), ("c.ts", "a.ts"), (None, "a.ts")], "src string, dst string")
+    assert sorted(map(tuple, graph.components(e).collect())) == [("a.ts", "a.ts"), ("b.ts", "a.ts")]
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
