@@ -107,14 +107,25 @@ for _which, _test in (("side_effect", "specifier = 'None' AND kind = 'Static'"),
     query(SPEC + _test, f"{_which}_imports")(lambda t, w=_which: graph.specifier_imports(t("module"), t("specifier"), w))
 
 
-@query(
-    """WITH RECURSIVE o(module_id, origin) AS (SELECT module_id, origin FROM {reexport} UNION SELECT o.module_id, x.origin FROM o JOIN {reexport} x ON x.module_id = o.origin),
-    u AS (SELECT resolved_to AS module_id, specifier, name FROM {specifier} WHERE kind <> 'Dynamic' UNION SELECT o.origin, s.specifier, s.name FROM {specifier} s JOIN o ON o.module_id = s.resolved_to WHERE s.kind <> 'Dynamic' AND s.name <> 'default')
-    SELECT e.module_id, m.path, e.name, e.kind, e.is_type_only FROM {export} e JOIN {module} m ON m.module_id = e.module_id WHERE NOT m.is_entry AND NOT starts_with(m.path, 'virtual:')
-    AND NOT EXISTS (SELECT 1 FROM u WHERE u.module_id = e.module_id AND (u.specifier = 'Namespace' OR u.specifier IN ('Named', 'Default') AND u.name = e.name))"""
-)
+#: Uses over named, renamed and star re-exports, as (module, name).
+LIVE = """x AS (SELECT DISTINCT * FROM {reexport}), own AS (SELECT module_id, name FROM {offer}),
+    l(m, n) AS (SELECT resolved_to, unnest(CASE WHEN specifier = 'Namespace' THEN ['*', 'default'] ELSE [name] END) FROM {specifier} WHERE specifier IN ('Named', 'Default', 'Namespace') AND kind <> 'Dynamic' AND resolved_to IS NOT NULL
+    UNION SELECT module_id, unnest(['*', 'default']) FROM {module} WHERE is_entry
+    UNION SELECT x.origin, unnest(CASE WHEN x.name = '*' THEN [l.n] WHEN x.origin_name = '*' THEN ['*', 'default'] ELSE [x.origin_name] END) FROM l JOIN x ON x.module_id = l.m
+    AND CASE WHEN x.name = '*' THEN l.n = '*' OR l.n <> 'default' AND NOT EXISTS (SELECT 1 FROM own o WHERE o.module_id = l.m AND o.name = l.n) ELSE x.name = l.n OR l.n = '*' AND x.name <> 'default' END)"""
+UNUSED = f"WITH RECURSIVE {LIVE} SELECT e.module_id, m.path, e.name, e.kind, e.is_type_only FROM {{offer}} e JOIN {{module}} m ON m.module_id = e.module_id WHERE NOT m.is_entry AND NOT starts_with(m.path, 'virtual:') AND NOT EXISTS (SELECT 1 FROM l WHERE l.m = e.module_id AND (l.n = e.name OR l.n = '*' AND e.name <> 'default'))"
+
+
+@query(UNUSED)
 def unused_exports(t):
-    return graph.unused_exports(t("module"), t("export"), t("specifier"), t("reexport"))
+    return graph.unused_exports(t("module"), t("offer"), t("specifier"), t("reexport"))
+
+
+@query(f"WITH RECURSIVE {LIVE} SELECT m AS module_id, n AS name FROM l")
+def live_exports(t):
+    from graphloom.operators.liveness import live_exports as live
+
+    return live(t("module").where("is_entry").select("module_id"), t("offer"), t("specifier"), t("reexport"))
 
 
 @query("SELECT count(*) FILTER (WHERE NOT is_type_only) AS runtime, count(*) FILTER (WHERE is_type_only) AS type_only FROM {export}")

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.fixpoints import components, reachable
+from graphloom.operators.liveness import unused_exports
 from graphloom.storage import cut
 
-__all__ = ["components", "reachable"]
+__all__ = ["components", "reachable", "unused_exports"]
 
 #: Fragments that make a file name a configuration file's.
 CONFIG_FRAGMENTS = ("package.json", "tsconfig.json", "jsconfig.json", ".eslintrc", ".prettierrc", "next.config", "vite.config", "rollup.config")
@@ -130,30 +131,5 @@ def dead_modules(modules: DataFrame, edges: DataFrame) -> DataFrame:  # G14
     return modules.where(~F.col("is_entry") & not_virtual(F.col("path"))).join(importers.where("not any_live"), "module_id").select("module_id", "path", "importers")
 
 
-def star_offers(reexports: DataFrame) -> DataFrame:
-    """(module_id, origin): every module whose names module_id passes on by star, over any number of re-exports; rounds of distinct new pairs until none is left."""
-    step = cut(reexports.select("module_id", "origin").distinct(), "reexports")
-    after = step.select(F.col("module_id").alias("origin"), F.col("origin").alias("next"))
-    offers = front = step
-    while True:
-        fresh = front.join(after, "origin").select("module_id", F.col("next").alias("origin")).distinct().join(offers, ["module_id", "origin"], "left_anti")
-        front = cut(fresh, "front")
-        if not front.limit(1).count():
-            return offers
-        offers = cut(offers.union(front), "offers")
-
-
-def unused_exports(modules: DataFrame, exports: DataFrame, specifiers: DataFrame, reexports: DataFrame) -> DataFrame:  # G3
-    """Exports of non-entry modules that no import takes: neither by name nor by namespace, from the module or from one that re-exports it by star, over any number of re-exports."""
-    offers = star_offers(reexports)
-    taken = specifiers.where("kind <> 'Dynamic'").select(F.col("resolved_to").alias("module_id"), "specifier", "name")
-    star = taken.join(offers, "module_id").select(F.col("origin").alias("module_id"), "specifier", "name").where("name <> 'default'")
-    used = taken.union(star)
-    named = used.where("specifier in ('Named', 'Default')").select("module_id", "name").distinct()
-    whole = used.where("specifier = 'Namespace'").select("module_id").distinct()
-    open_ = exports.join(modules.where(~F.col("is_entry") & not_virtual(F.col("path"))).select("module_id", "path"), "module_id")
-    return open_.join(named, ["module_id", "name"], "left_anti").join(whole, "module_id", "left_anti").select("module_id", "path", "name", "kind", "is_type_only")
-
-
 def export_split(exports: DataFrame) -> DataFrame:  # F17
     return exports.agg(F.count_if(~F.col("is_type_only")).alias("runtime"), F.count_if("is_type_only").alias("type_only"))

@@ -8,7 +8,9 @@ nest quantifiers are refused when a rule is compiled.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,8 +87,10 @@ class Rule:
                 return k
         return "mark_used"
 
-    def predicate(self) -> Column:
-        """All groups of conditions joined by AND; the content condition stands last."""
+    def predicate(self, paths: Sequence[Column] = ()) -> Column:
+        """All groups of conditions joined by AND; the content condition stands last. Of several spellings of a path one is enough, but a negative condition must hold for all."""
+        paths = paths or (F.col("path"),)
+        some = lambda test: reduce(Column.__or__, (test(p) for p in paths))
         m, held = self.match, F.lit(True)
         source = lambda i: (i.source.isin(*_many(m["import_from"])) if "import_from" in m else i.source.rlike(m["import_from_pattern"]) if "import_from_pattern" in m else F.lit(True))
         if "import_from" in m:  # D1
@@ -106,21 +110,18 @@ class Rule:
                 return ok
 
             held = held & F.exists("imports", one)
-        name, path = F.col("name"), F.col("path")
+        name = F.col("name")
         if "export_name" in m:  # D6
             held = held & name.isin(*_many(m["export_name"]))
         if "export_pattern" in m:  # D7
             held = held & name.rlike(m["export_pattern"])
         if "export_type" in m:  # D8
             held = held & export_type(m["export_type"], name, F.col("is_type_only"))
-        for key, test in (("path_starts_with", path.startswith), ("path_ends_with", path.endswith)):  # D9, D10
+        for key, test in (("path_starts_with", Column.startswith), ("path_ends_with", Column.endswith)):  # D9, D10
             if key in m:
-                any_ = F.lit(False)
-                for x in _many(m[key]):
-                    any_ = any_ | test(x)
-                held = held & any_
+                held = held & reduce(Column.__or__, (some(lambda p, x=x, t=test: t(p, x)) for x in _many(m[key])), F.lit(False))
         if "path_pattern" in m:  # D11
-            held = held & path.rlike(m["path_pattern"])
+            held = held & some(lambda p: p.rlike(m["path_pattern"]))
         if "not_import_from" in m:  # D13
             held = held & ~F.exists("imports", lambda i: i.source.isin(*_many(m["not_import_from"])))
         if "not_export_name" in m:  # D14
@@ -128,7 +129,7 @@ class Rule:
         if "not_export_pattern" in m:  # D15
             held = held & ~name.rlike(m["not_export_pattern"])
         if "not_path_pattern" in m:  # D16
-            held = held & ~path.rlike(m["not_path_pattern"])
+            held = held & ~some(lambda p: p.rlike(m["not_path_pattern"]))
         count = F.col("usage_count")
         if "min_usage_count" in m:  # D17: a null count never matches
             held = held & F.coalesce(count >= m["min_usage_count"], F.lit(False))
@@ -162,15 +163,15 @@ def module_rows(modules: DataFrame, specifiers: DataFrame) -> DataFrame:
     return rows.withColumns({"name": F.lit(None).cast("string"), "is_type_only": F.lit(False), "usage_count": F.lit(None).cast("long")})
 
 
-def evaluate(rows: DataFrame, rules: list[Rule], modules: DataFrame) -> DataFrame:  # E8, L2, H6
+def evaluate(rows: DataFrame, rules: list[Rule], modules: DataFrame, paths: Sequence[Column] = ()) -> DataFrame:  # E8, L2, H6
     """rule_idx, rule, verb, file_only of every match: a row for each export and export rule, and one with a null name for each module's first file rule, which ends its list.
 
-    rows: exports as rule_rows() gives them; modules: module_rows(). What a file rule tests stands in an export's row too, so nothing is joined.
+    rows: exports as rule_rows() gives them; modules: module_rows(); paths: the spellings of a path that conditions see. What a file rule tests stands in an export's row too, so nothing is joined.
     """
     said = lambda k, r: F.struct(F.lit(k).alias("rule_idx"), F.lit(r.name).alias("rule"), F.lit(r.verb).alias("verb"), F.lit(r.file_only).alias("file_only"))
     files = [(k, r) for k, r in enumerate(rules) if r.file_only]
-    first = F.coalesce(*(F.when(r.predicate(), said(k, r)) for k, r in files), F.lit(None)) if files else F.lit(None).cast("struct<rule_idx:int,rule:string,verb:string,file_only:boolean>")
-    hits = [F.when(r.predicate(), said(k, r)) for k, r in enumerate(rules) if not r.file_only]
+    first = F.coalesce(*(F.when(r.predicate(paths), said(k, r)) for k, r in files), F.lit(None)) if files else F.lit(None).cast("struct<rule_idx:int,rule:string,verb:string,file_only:boolean>")
+    hits = [F.when(r.predicate(paths), said(k, r)) for k, r in enumerate(rules) if not r.file_only]
     names = ("module_id", "path", "name")
     found = modules.select(*names, first.alias("hit")).where("hit is not null")
     if hits:

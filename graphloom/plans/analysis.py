@@ -83,27 +83,28 @@ def graph_of(files: DataFrame, entries: list[str]) -> Graph:
     rows = read.select("path", F.explode("imports").alias("i")).select("path", "i.*")
     resolved = sources.resolve(rows, files)
     imports = cut(resolved.select(F.col("path").alias("module_id"), F.col("resolved_path").alias("resolved_to"), "source", "kind", F.col("resolved_path").isNull().alias("is_external"), "names"), "imports")
-    star = "kind = 'ReExport' and array_contains(names, '*')"
-    each = imports.where(f"not ({star})").select("module_id", "resolved_to", "source", "kind", F.explode_outer("names").alias("name"))
+    each = imports.where("kind <> 'ReExport'").select("module_id", "resolved_to", "source", "kind", F.explode_outer("names").alias("name"))
+    passed = sources.resolve(read.select("path", F.explode("reexports").alias("r")).select("path", "r.*"), files)
     specifier = F.when(F.col("name").isNull(), "None").when(F.col("name") == "*", "Namespace").when(F.col("name") == "default", "Default").otherwise("Named")
     out = lambda field: read.select(F.col("path").alias("module_id"), "path", F.explode(field).alias("x")).select("module_id", "path", "x.*")
     return Graph(
         cut(modules, "modules"), imports, each.withColumns({"specifier": specifier, "name": F.coalesce("name", F.lit(""))}),
-        imports.where(star).where("resolved_to is not null").select("module_id", F.col("resolved_to").alias("origin")),
+        cut(passed.select(F.col("path").alias("module_id"), "name", F.col("resolved_path").alias("origin"), "origin_name").where("origin is not null"), "reexports"),
         out("exports").drop("path").withColumn("usage_count", F.lit(None).cast("long")), out("symbols").withColumn("symbol_id", F.concat_ws(":", "path", "line", "name")), out("members"),
         read.select(F.explode("accesses").alias("name")).distinct(),
     )
 
 
-def framework_exports(g: Graph, own: list[rules.Rule]) -> DataFrame:  # G4, G18
-    """(module_id, name, rule, framework) of exports that a rule marks as used: built-in rules in their order, then the given ones. Rules see each path twice, relative to the root and with the root's slash."""
+def framework_exports(g: Graph, own: list[rules.Rule], files: DataFrame) -> DataFrame:  # G4, G18
+    """(module_id, name, rule, framework) of exports that a rule marks as used: built-in rules in their order, then the given ones. Rules know each path relative to the root and with the root's slash; a row stands for one module. Texts are joined only where a rule reads them."""
     every = [r for f in builtin() for r in f.rules] + own
-    if any("content_pattern" in r.match for r in every):
-        raise ValueError("rules on contents need rows with a content column: use rules.evaluate()")
     rooted = F.concat(F.lit("/"), "path")
-    both = lambda df: df.withColumn("path", F.explode(F.array("path", rooted)))
-    rows = rules.rule_rows(g.modules, g.exports, g.specifiers)
-    marked = rules.marked_used(rules.evaluate(both(rows), every, both(rules.module_rows(g.modules, g.specifiers))))
+    rows, modules = rules.rule_rows(g.modules, g.exports, g.specifiers), rules.module_rows(g.modules, g.specifiers)
+    tested = rows
+    if any("content_pattern" in r.match for r in every):  # D12
+        texts = files.select(F.col("path").alias("module_id"), "content")
+        tested, modules = rows.join(texts, "module_id"), modules.join(texts, "module_id")
+    marked = rules.marked_used(rules.evaluate(tested, every, modules, (F.col("path"), rooted)))
     named = detection.export_framework(rows.withColumn("path", rooted), builtin()).select("module_id", "name", "framework").distinct()
     return marked.groupBy("module_id", "name").agg(F.min("rule").alias("rule")).join(named, ["module_id", "name"])
 
@@ -135,7 +136,7 @@ def analyze(spark: SparkSession, files: DataFrame, options: Options | None = Non
 
     whole = F.when(F.col("kind") == "Dynamic", "Namespace").otherwise(F.col("specifier"))
     taken = g.specifiers.withColumns({"specifier": whole, "kind": F.when(F.col("kind") == "Dynamic", "Static").otherwise(F.col("kind"))})
-    framework = cut(framework_exports(g, options.rules), "framework")
+    framework = cut(framework_exports(g, options.rules, files), "framework")
     unused = graph.unused_exports(modules, g.exports, taken, g.reexports).join(framework.select("module_id", "name"), ["module_id", "name"], "left_anti")
     unused = unused.withColumn("detail", findings.export_kind(F.col("kind"), F.col("is_type_only")))
     dynamic = graph.dynamic_imports(modules, imports)

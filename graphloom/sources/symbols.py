@@ -13,13 +13,13 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graphloom.sources.files import blank, parse_script
+from graphloom.sources.files import blank, parse_reexports, parse_script
 
 SYMBOL = "name string, raw_kind string, line int, is_exported boolean, is_used boolean, line_count int, parameter_count int, method_count int, field_count int, complexity int, max_nesting_depth int, return_count int"
 MEMBER = "owner string, owner_kind string, name string, member_kind string, visibility string, enum_value string, line int, used_inside boolean"
 IMPORT = "source string, kind string, names array<string>"
 EXPORT = "name string, kind string, is_type_only boolean"
-SCRIPT = f"path string, imports array<struct<{IMPORT}>>, exports array<struct<{EXPORT}>>, symbols array<struct<{SYMBOL}>>, members array<struct<{MEMBER}>>, accesses array<string>"
+SCRIPT = f"path string, imports array<struct<{IMPORT}>>, exports array<struct<{EXPORT}>>, symbols array<struct<{SYMBOL}>>, members array<struct<{MEMBER}>>, accesses array<string>, reexports array<struct<source:string,name:string,origin_name:string>>"
 
 _DECLARED = re.compile(r"(\bexport\s+(?:default\s+)?)?(?:\bdeclare\s+)?(?:\babstract\s+|\basync\s+)?\b(function\*?|class|const\s+enum|enum|interface|type|const|let|var)\s+([A-Za-z_$][\w$]*)")
 _KIND = {"function": "Function", "function*": "Function", "class": "Class", "enum": "Enum", "interface": "Interface", "type": "TypeAlias"}
@@ -186,11 +186,12 @@ def scripts(files: DataFrame) -> DataFrame:  # A24, G6
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                imports, exports = parse_script(content or "")
+                imports, exports = parse_script(content or "", "ReExport")
                 symbols, members, accesses = parse_symbols(content or "")
                 rows.append({
                     "path": path, "imports": [dict(zip(("source", "kind", "names"), x, strict=True)) for x in imports],
                     "exports": [dict(zip(("name", "kind", "is_type_only"), x, strict=True)) for x in exports], "symbols": symbols, "members": members, "accesses": accesses,
+                    "reexports": [dict(zip(("source", "name", "origin_name"), x, strict=True)) for x in parse_reexports(content or "")],
                 })
             yield pa.RecordBatch.from_pylist(rows, schema=kept)
 

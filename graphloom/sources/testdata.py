@@ -41,7 +41,7 @@ ADAPTERS = {
     "specifier": """
         SELECT module_id, resolved_to, kind, source, line, is_external,
                CASE WHEN kind = 'Dynamic' OR line % 4 = 0 THEN 'None' WHEN line % 4 = 1 THEN 'Default' WHEN line % 4 = 2 THEN 'Named' ELSE 'Namespace' END AS specifier,
-               CASE line % 4 WHEN 1 THEN 'default' WHEN 2 THEN 'useThing' || CAST(target AS STRING) WHEN 3 THEN '*' ELSE '' END AS name
+               CASE line % 4 WHEN 1 THEN 'default' WHEN 2 THEN CASE WHEN target % 11 = 3 AND target % 2 = 0 THEN 're' ELSE 'useThing' END || CAST(target AS STRING) WHEN 3 THEN '*' ELSE '' END AS name
         FROM {import}""",
     "edge": """
         SELECT DISTINCT module_id AS src, resolved_to AS dst FROM {import} WHERE resolved_to IS NOT NULL""",
@@ -60,8 +60,15 @@ ADAPTERS = {
                CASE l_linenumber WHEN 1 THEN 'Default' WHEN 7 THEN 'TypeOnly' ELSE 'Named' END AS kind, l_linenumber = 7 AS is_type_only,
                CASE WHEN l_partkey % 13 = 0 THEN CAST(NULL AS BIGINT) ELSE count(*) - 1 END AS usage_count
         FROM {lineitem} WHERE l_linenumber <= 7 GROUP BY l_partkey, l_linenumber""",
+    # by star, in chains and rings; by name and renamed in chains of up to six; default and whole modules under a name
     "reexport": """
-        SELECT p_partkey AS module_id, p_partkey + 1 AS origin FROM {part} WHERE p_partkey % 29 < 7 AND p_partkey + 1 < (SELECT count(*) FROM {part})""",
+        SELECT p_partkey AS module_id, '*' AS name, p_partkey + 1 AS origin, '*' AS origin_name FROM {part} WHERE p_partkey % 29 < 7 AND p_partkey + 1 < (SELECT count(*) FROM {part})
+        UNION ALL SELECT p_partkey + 1, '*', p_partkey, '*' FROM {part} WHERE p_partkey % 58 = 3 AND p_partkey + 1 < (SELECT count(*) FROM {part})
+        UNION ALL SELECT p_partkey, 're' || CAST(p_partkey AS STRING), p_partkey + CASE WHEN p_partkey % 8 IN (0, 3, 6, 1, 4) THEN 11 ELSE 1 END,
+               CASE p_partkey % 8 WHEN 7 THEN 'helper' || CAST(p_partkey + 1 AS STRING) WHEN 5 THEN 'default' WHEN 2 THEN '*' ELSE 're' || CAST(p_partkey + 11 AS STRING) END
+        FROM {part} WHERE p_partkey % 11 = 3 AND p_partkey + 11 < (SELECT count(*) FROM {part})""",
+    "offer": """
+        SELECT module_id, name, kind, is_type_only FROM {export} UNION ALL SELECT module_id, name, 'ReExport', FALSE FROM {reexport} WHERE name <> '*'""",
     "symbol": """
         SELECT o_orderkey AS symbol_id, o_orderkey % n AS module_id, CASE WHEN o_orderkey % 9 = 0 THEN '_s' ELSE 's' END || CAST(o_orderkey AS STRING) AS name,
                CASE o_orderstatus WHEN 'F' THEN 'Function' WHEN 'O' THEN 'Class' ELSE 'Decorator' END AS raw_kind, o_orderkey % 4 = 0 AS is_exported, o_orderkey % 3 <> 0 AS is_used,

@@ -1,6 +1,7 @@
 import pytest
 
 from graphloom.operators import findings
+from graphloom.operators.rules import Rule
 from graphloom.plans import analysis, entries
 from graphloom.sources import files, snapshots
 from graphloom.sources.rule_files import builtin
@@ -77,6 +78,32 @@ def test_every_kind_of_finding(spark):
     assert "Dependencies: 1\n  unused_npm_dependency left-pad Runtime" in report and "and 3 more" in report
 
 
+def findings_of(spark, project, **options):
+    got = analysis.analyze(spark, files.in_memory(spark, project), analysis.Options(entries=["src/index.ts"], **options)).findings.collect()
+    return {kind: sorted((r["path"], r["name"]) for r in got if r["type"] == kind) for kind in {r["type"] for r in got}}
+
+
+def test_reexports_by_name(spark):
+    project = {
+        "src/index.ts": "import { alive, ns } from './barrel'\nconst c = require('./common')\nalive(ns, c)",
+        "src/barrel.ts": "export { dead } from './x'\nexport { used as alive } from './x'\nexport * as ns from './y'\nexport * from './ring'",
+        "src/ring.ts": "export * from './barrel'\nexport const round = 1", "src/x.ts": "export const dead = 1, used = 2", "src/y.ts": "export const { y1, y2 } = z", "src/common.cjs": "exports.a = 1\nmodule.exports.b = 2",
+    }
+    got = findings_of(spark, project)
+    assert got["unused_export"] == [("src/barrel.ts", "dead"), ("src/ring.ts", "round"), ("src/x.ts", "dead")]
+    assert "unreachable_module" not in got
+
+
+def test_rules_on_paths_and_contents(spark):
+    project = {"src/index.ts": "import './a'\nimport '../lib/b'", "src/a.ts": "export const y = 1", "lib/b.ts": "// @public\nexport const z = 1, w = 2"}
+    rules = [Rule("outside", {"not_path_pattern": "^src/", "export_name": ["y", "z"]}), Rule("marked", {"content_pattern": "@public", "export_name": ["w", "y"]})]
+    got = findings_of(spark, project, rules=rules)
+    assert got["framework_export"] == [("lib/b.ts", "w"), ("lib/b.ts", "z")]
+    assert got["unused_export"] == [("src/a.ts", "y")]
+    skip = Rule("skip lib", {"path_starts_with": "/lib"}, {"skip": True})
+    assert findings_of(spark, project, rules=[skip, *rules])["unused_export"] == [("lib/b.ts", "w"), ("lib/b.ts", "z"), ("src/a.ts", "y")]
+
+
 def test_switches():
     got = analysis.options_of({"detect_unused_symbols": True, "symbols": False, "quality": "yes", "detect_enum_members": True, "other": True})
     assert [k for k in analysis.SWITCHES if getattr(got, k)] == ["enum_members"]

@@ -49,6 +49,71 @@ def test_script():
     assert exports == [("default", "Default", False), ("y", "Named", False), ("P", "TypeOnly", True)]
 
 
+def test_commonjs_and_patterns():
+    text = """const a = require('./a'), z = 1
+const { b, k: l, ...rest } = require("./b")
+const { m } = require("./m").deep
+require('./side')
+foo(require('./c').make, obj.require('no'))
+exports.three = 3
+module.exports.four = () => 4
+module.exports = { one, two: 2, five() {} }
+const t = import(`./tpl`)
+import(`./${no}`)"""
+    imports, exports = files.parse_script(text)
+    assert imports == [("./a", "Static", ["*"]), ("./b", "Static", ["*"]), ("./m", "Static", ["deep"]), ("./side", "Static", []), ("./c", "Static", ["make"]), ("./tpl", "Dynamic", [])]
+    assert [x[0] for x in exports] == ["three", "four", "default"]
+    assert [x[0] for x in files.parse_script("module.exports = { one, two: 2 }")[1]] == ["one", "two", "default"]
+    text = """export const { p, q: r, s = 1, t: { u }, ...rest } = a, after = 2
+export const c: Map<string, number> = new Map(), d = (x, y) => { return [x, y] }
+const hidden = 1
+export let [h, , { i }] = z;
+export namespace N { export const inner = 1 }
+export const long =
+  1 +
+  2, tail = 3"""
+    assert [x[0] for x in files.parse_script(text)[1]] == ["p", "r", "s", "u", "rest", "after", "c", "d", "h", "i", "N", "long", "tail"]
+    assert files.parse_reexports("export { dead as alive, x } from './x'\nexport * as ns from './y'\nexport * from './z' // export * from 'no'") == [("./x", "alive", "dead"), ("./x", "x", "x"), ("./y", "ns", "*"), ("./z", "*", "*")]
+
+
+def test_ignore_lines():
+    from graphloom.sources.ignore_files import git_regex, inside
+
+    cases = [
+        ("gen/", "a/gen", True), ("/gen", "a/gen", False), ("/gen", "gen", True), ("a/b", "x/a/b", False), ("a/**/b", "a/x/y/b", True), ("a/**/b", "a/b", True), ("*.log", "x/y.log", True), ("a/*", "a/b/c", False),
+        ("**/foo", "x/foo", True), ("foo/**", "foo/a/b", True), ("foo/**", "foo", False), ("[!a]x", "bx", True), ("[!a]x", "ax", False), ("\\#x", "#x", True), ("a?c", "a/c", False), ("x.js  ", "x.js", True),
+    ]
+    import re
+
+    assert [bool(re.match(git_regex(line)[0], path)) for line, path, _ in cases] == [want for *_, want in cases]
+    assert [git_regex(x) for x in ("", "  ", "# no", "/", "!")] == [None] * 5
+    assert git_regex("!keep/")[1:] == (True, True)
+    assert [inside(x, "a/b") for x in ("*.js", "/a/b/c", "/x", "a/", "/a/b", "!/a/*/d/", "/a/**/e")] == ["*.js", "/c", None, "a/", None, "!/d/", "/**/e"]
+
+
+def test_discovery_reads_ignore_files(spark, tmp_path):
+    repo = tmp_path / "repo"
+    root = repo / "app"
+    (repo / ".git").mkdir(parents=True)
+    texts = {
+        "repo/.gitignore": "*.gen.ts\n/app/above/\n/other", "repo/app/.gitignore": "gen/\n*.log.js\n!keep.log.js\n/top.ts\nout/*\n!out/kept.ts", "repo/app/src/.gitignore": "!deep.gen.ts\nlocal.ts",
+        "repo/app/src/a.ts": "import './empty'", "repo/app/src/empty.ts": "", "repo/app/gen/x.ts": "1", "repo/app/src/gen/y.ts": "1", "repo/app/a.log.js": "1", "repo/app/keep.log.js": "1", "repo/app/top.ts": "1", "repo/app/src/top.ts": "1",
+        "repo/app/out/b.ts": "1", "repo/app/out/kept.ts": "1", "repo/app/z.gen.ts": "1", "repo/app/src/deep.gen.ts": "1", "repo/app/src/local.ts": "1", "repo/app/local.ts": "1", "repo/app/above/c.ts": "1", "repo/app/gen/.gitignore": "!x.ts",
+        "repo/app/src/sp ace%41.ts": "1", "away/far.ts": "1",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (root / "link.ts").symlink_to(root / "src" / "a.ts")
+    (root / "linked").symlink_to(tmp_path / "away")
+    got = files.discover(spark, str(root))
+    assert sorted(r["path"] for r in got.collect()) == ["keep.log.js", "local.ts", "out/kept.ts", "src/a.ts", "src/deep.gen.ts", "src/empty.ts", "src/sp ace%41.ts", "src/top.ts"]
+    resolved = files.resolve(files.extract_imports(got), got).collect()
+    assert [(r["source"], r["resolved_path"]) for r in resolved] == [("./empty", "src/empty.ts")]
+    everything = sorted(r["path"] for r in files.discover(spark, str(root), git=False).collect())
+    assert "gen/x.ts" in everything and "link.ts" not in everything and "linked/far.ts" not in everything
+
+
 def test_discovery_and_resolution(spark, tmp_path):
     for name, text in {"src/a.ts": "import './b'\nimport '../lib'\nimport 'react'", "src/b.ts": "export {}", "lib/index.js": "export {}", ".hidden/c.ts": "export {}", "notes.md": ""}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
