@@ -187,24 +187,24 @@ def parse_script(text: str, passed_on: str = "Static") -> tuple[list[tuple], lis
     for m in _REEXPORT.finditer(text):
         if m[2] == "*":
             imports.append((m[4], passed_on if m[3] else "ReExport", ["*"]))
-            exports += [(m.start(), m[3], "ReExport", False)] if m[3] else []
+            exports += [(0, m.start(), m[3], "ReExport", False)] if m[3] else []
         else:
             imports.append((m[4], "ReExport", [a for a, _ in _names(m[2][1:-1])]))
-            exports += [(m.start(), b, "ReExport", bool(m[1])) for _, b in _names(m[2][1:-1])]
+            exports += [(0, m.start(), b, "ReExport", bool(m[1])) for _, b in _names(m[2][1:-1])]
     bodies = [(m.end() - 1, _group(plain, m.end() - 1)) for m in _NAMESPACE.finditer(plain)]
     outer = lambda found: [m for m in found if not any(a < m.start() < b for a, b in bodies)]  # noqa: E731  what a namespace exports is its own
     for m in outer(_EXPORT.finditer(plain)):
         if m[1]:
-            exports.append((m.start(), "default", "Default", False))
+            exports.append((1, m.start(), "default", "Default", False))
         elif m[3]:
-            exports.append((m.start(), m[3], "TypeOnly" if m[2] in ("interface", "type") else "Named", m[2] in ("interface", "type")))
-    exports += [(m.start(), name, "Named", False) for m in outer(_VALUES.finditer(plain)) for name in _declared(plain, m.end())]
+            exports.append((1, m.start(), m[3], "TypeOnly" if m[2] in ("interface", "type") else "Named", m[2] in ("interface", "type")))
+    exports += [(1, m.start(), name, "Named", False) for m in outer(_VALUES.finditer(plain)) for name in _declared(plain, m.end())]
     for m in outer(_LIST.finditer(plain)):
-        exports += [(m.start(), b, "TypeOnly" if m[1] else "Default" if b == "default" else "Named", bool(m[1])) for _, b in _names(m[2])]
+        exports += [(2, m.start(), b, "TypeOnly" if m[1] else "Default" if b == "default" else "Named", bool(m[1])) for _, b in _names(m[2])]
     for m in _COMMONJS.finditer(plain):
         own = [m[1]] if m[1] else [x for p in _parts((m[2] or "{}")[1:-1]) if re.fullmatch(r"[\w$]+", x := re.split(r"[:(]", p)[0].strip())]
-        exports += [(m.start(), name, "Named", False) for name in own] + ([] if m[1] else [(m.start(), "default", "Default", False)])
-    return imports, list(dict.fromkeys(x[1:] for x in sorted(exports, key=lambda x: x[0])))
+        exports += [(3, m.start(), name, "Named", False) for name in own] + ([] if m[1] else [(3, m.start(), "default", "Default", False)])
+    return imports, list(dict.fromkeys(x[2:] for x in sorted(exports, key=lambda x: x[:2])))
 
 
 def extract_imports(files: DataFrame) -> DataFrame:  # A24
