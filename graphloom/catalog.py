@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import registry, text, versions
-from graphloom.operators import deps, detection, findings, graph, quality, report, rules
+from graphloom.operators import chains, deps, detection, findings, graph, quality, report, rules
 from graphloom.sources import rule_files
 from graphloom.sources.testdata import frame, with_adapters
 from graphloom.streaming import polling
@@ -151,11 +151,40 @@ def cycle_sizes(t):
     return graph.cycle_summary(graph.components(t("ring")), t("module"), _unreachable(t))
 
 
+#: The whole import graph with its components contracted: groups, edges between them, and every chain from an entry's group.
+GROUPS = CLOSURE.replace("{ring}", "{edge}") + """, g AS (SELECT m.module_id, coalesce(k.scc_id, m.module_id) AS gid FROM {module} m LEFT JOIN k ON k.module_id = m.module_id),
+    ce AS (SELECT DISTINCT a.gid AS a, b.gid AS b FROM {edge} e JOIN g a ON a.module_id = e.src JOIN g b ON b.module_id = e.dst WHERE a.gid <> b.gid),
+    p(node, depth) AS (SELECT DISTINCT gid, 0 FROM g JOIN {module} m ON m.module_id = g.module_id WHERE is_entry UNION ALL SELECT ce.b, depth + 1 FROM p JOIN ce ON ce.a = p.node)"""
+NEAR = "n(node, depth) AS (SELECT module_id, 0 FROM {module} WHERE is_entry UNION SELECT e.dst, depth + 1 FROM n JOIN {edge} e ON e.src = n.node WHERE depth < 40), d AS (SELECT node, min(depth) AS depth FROM n GROUP BY node)"
+
+
+def _chains(t) -> DataFrame:
+    return chains.chain_summary(t("module").where("is_entry").select("module_id"), t("edge"))
+
+
+@query(
+    f"""WITH RECURSIVE {GROUPS}, {NEAR} SELECT g.module_id, d.depth, q.longest, q.chains, v.via FROM g JOIN d ON d.node = g.module_id JOIN (SELECT node, CAST(max(depth) AS BIGINT) AS longest, count(*) AS chains FROM p GROUP BY node) q ON q.node = g.gid
+    LEFT JOIN (SELECT e.dst, string_agg(e.src, ',' ORDER BY e.src) AS via FROM (SELECT e.*, row_number() OVER (PARTITION BY e.dst ORDER BY e.src) AS k FROM {{edge}} e JOIN d a ON a.node = e.src JOIN d b ON b.node = e.dst WHERE a.depth + 1 = b.depth AND e.src <> e.dst) e WHERE k <= 3 GROUP BY e.dst) v ON v.dst = g.module_id"""
+)
+def dependency_chains(t):
+    return _chains(t).select("module_id", F.col("depth").cast("int").alias("depth"), "longest", F.col("chains").cast("long").alias("chains"), F.array_join(F.col("via").cast("array<string>"), ",").alias("via"))
+
+
+@query(
+    f"""WITH RECURSIVE {NEAR}, c(node, chain, depth) AS (SELECT node, [node], depth FROM d WHERE depth = 0 UNION ALL
+    SELECT d.node, list_append(c.chain, d.node), d.depth FROM c JOIN (SELECT e.dst, min(e.src) AS src FROM {{edge}} e JOIN d a ON a.node = e.src JOIN d b ON b.node = e.dst WHERE a.depth + 1 = b.depth GROUP BY e.dst) s ON s.src = c.node JOIN d ON d.node = s.dst)
+    SELECT node AS module_id, array_to_string(chain, '>') AS chain FROM c WHERE depth > 5"""
+)
+def deep_chains(t):
+    summary = _chains(t)
+    return chains.unfold(summary, summary.where("depth > 5")).select("module_id", F.array_join(F.col("chain").cast("array<string>"), ">").alias("chain"))
+
+
 @query(
     """WITH RECURSIVE p(node, path, depth) AS (SELECT module_id, [module_id], 0 FROM {module} WHERE is_entry UNION ALL SELECT e.dst, list_append(p.path, e.dst), depth + 1 FROM p JOIN {layer} e ON e.src = p.node WHERE NOT list_contains(p.path, e.dst))
     SELECT node AS module_id, depth, array_to_string(path, '>') AS chain FROM p WHERE depth > 5"""
 )
-def dependency_chains(t):
+def layer_chains(t):
     return graph.chains(t("module").where("is_entry").select("module_id"), t("layer"))
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import deps, detection, findings, graph, quality, rules
+from graphloom.operators import chains, deps, detection, findings, graph, quality, rules
 from graphloom.plans.entries import entry_patterns, mark_entries
 from graphloom.sources import files as sources
 from graphloom.sources.rule_files import builtin
@@ -179,8 +179,10 @@ def analyze(spark: SparkSession, files: DataFrame, options: Options | None = Non
     if options.dead_code_modules:
         parts.append(base(graph.dead_modules(modules, edges.distinct()), "dead_code_module"))
     if options.dependency_chains:
-        chains = graph.chains(modules.where("is_entry").select("module_id"), edges)
-        parts.append(base(chains.select(F.substring_index("chain", ">", 1).alias("path"), F.col("module_id").alias("name"), F.col("chain").alias("detail")), "dependency_chain"))
+        summary = chains.chain_summary(modules.where("is_entry").select("module_id"), edges)
+        deep = chains.unfold(summary, summary.where("greatest(depth, longest) > 5"))  # D36
+        parts.append(base(deep.select(F.col("chain")[0].alias("path"), F.col("module_id").alias("name"), F.array_join("chain", ">").alias("detail")), "dependency_chain"))
+        tables["chains"] = summary
     found = cut(findings.union_findings(parts), "findings")
     statistics = findings.statistics(found, modules, imports)
     split = findings.split_ignored(found, options.ignores) if options.use_ignores else found.withColumn("matched_pattern", F.lit(None).cast("string"))
