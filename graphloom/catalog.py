@@ -844,9 +844,29 @@ def framework_by_content(t):
 )
 def version_ranges(t):
     req = F.expr("CASE dep_no % 4 WHEN 0 THEN '1.x || >=3.0.0' WHEN 1 THEN '0.2.0 - 2.3.4' WHEN 2 THEN '>1.2 <3' ELSE '*' END")
-    return t("latest").select("dep_no", versions.in_range_udf()(F.col("version"), req).alias("inside"))
+    return t("latest").select("dep_no", versions.admits(F.col("version"), req).alias("inside"))
 
 
+#: Each dependency's requirement in one of seven forms, and the versions published under forty names.
+REQUIRED = """'n' || (dep_no % 40) AS package, CASE dep_no % 7 WHEN 0 THEN '^' || {v} WHEN 1 THEN '~' || {v} WHEN 2 THEN '>=0.' || (dep_no % 5) || ' <2' WHEN 3 THEN '1.x || >=3.2.1' WHEN 4 THEN '0.2.0 - 2.3.4' WHEN 5 THEN '>=' || {v} || '-alpha' ELSE 'latest' END AS req"""
+_V = "(dep_no % 4) || '.' || (dep_no % 7) || '.' || (dep_no % 11)"
+_R = "(dep_no % 4, dep_no % 7, dep_no % 11)"
+
+
+@query(
+    f"""WITH v AS (SELECT DISTINCT 'n' || (dep_no % 40) AS package, version, {', '.join(f"{_triple('version', k)} AS l{k}" for k in (1, 2, 3))}, contains(version, '-') AS pre, regexp_extract(version, '-(.*)$', 1) AS tag FROM {{latest}}),
+    q AS (SELECT DISTINCT dep_no, {REQUIRED.replace('{v}', _V)} FROM {{dependency}}),
+    hit AS (SELECT q.dep_no, v.* FROM q JOIN v ON v.package = q.package AND CASE dep_no % 7
+        WHEN 0 THEN NOT pre AND (l1, l2, l3) >= {_R} AND CASE WHEN dep_no % 4 > 0 THEN l1 = dep_no % 4 WHEN dep_no % 7 > 0 THEN l1 = 0 AND l2 = dep_no % 7 ELSE (l1, l2, l3) = {_R} END
+        WHEN 1 THEN NOT pre AND (l1, l2, l3) >= {_R} AND l1 = dep_no % 4 AND l2 = dep_no % 7 WHEN 2 THEN NOT pre AND (l1, l2, l3) >= (0, dep_no % 5, 0) AND l1 < 2
+        WHEN 3 THEN NOT pre AND (l1 = 1 OR (l1, l2, l3) >= (3, 2, 1)) WHEN 4 THEN NOT pre AND (l1, l2, l3) >= (0, 2, 0) AND (l1, l2, l3) <= (2, 3, 4)
+        WHEN 5 THEN CASE WHEN pre THEN (l1, l2, l3) = {_R} ELSE (l1, l2, l3) >= {_R} END ELSE FALSE END)
+    SELECT q.dep_no, q.package, q.req, b.best FROM q LEFT JOIN (SELECT dep_no, arg_max(version, (l1, l2, l3, NOT pre, tag)) AS best FROM hit GROUP BY dep_no) b ON b.dep_no = q.dep_no"""
+)
+def best_satisfying(t):
+    asked = t("dependency").selectExpr("dep_no", *(x.replace("{v}", _V) for x in REQUIRED.split(", CASE")[:1]), "CASE" + REQUIRED.replace("{v}", _V).split(", CASE")[1])
+    return versions.best_satisfying(asked, t("latest").selectExpr("'n' || (dep_no % 40) AS package", "version")).select("dep_no", "package", "req", "best")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)

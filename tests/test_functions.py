@@ -99,3 +99,23 @@ def test_paths():
 def test_sql_functions(spark):
     registry.register_functions(spark)
     assert spark.sql("select format_bytes(1536L), in_range('1.2.0', '^1.0.0')").first() == ("1.5 KB", True)
+
+
+def test_intervals_admit_what_the_grammar_says(spark):
+    """Every range by columns and by the reader of one range at a time."""
+    ranges = [
+        "1.2.3", "=1.2.3", "^1.2.3", "^0.2.3", "^0.0.3", "^0.0", "^0", "^0.0.0", "~1.2.3", "~1.2", "~1", ">1.2.3", ">1.2", ">1", ">=1.2.3", ">=1", "<1.2.3", "<1.2", "<=1.2.3", "<=1.2", "<=1", "1", "1.2", "1.x", "1.2.*", "*", "", "x", "v1.2.3",
+        "1.2.3 - 2.0", "1.2.3 - 2.3.4", ">=1.2.3 <2 || ^3.1.0-beta.2", "<1 || >2 <2.1", ">2 <1", ">=1.2.3-alpha", "<2.0.0-rc.1", "^1.2.3-beta.10", "=1.2.3-beta.2", "latest", "1.2.3.4", "1.a", ">= 1.2 < 1.3", "~0.0.1 || 5.x",
+    ]
+    tried = ["0.0.0", "0.0.3", "0.0.4", "0.2.3", "0.3.0", "1.0.0", "1.2.2", "1.2.3", "1.2.4", "1.3.0", "2.0.0", "2.0.1", "2.1.0", "2.3.4", "2.3.5", "3.1.0", "5.9.9", "1.2.3-alpha", "1.2.3-beta.2", "1.2.3-beta.10", "1.2.3-rc", "2.0.0-alpha", "2.0.0-rc.1", "3.1.0-beta.3", "1.2.4-alpha", "nope"]
+    rows = [(v, r) for v in tried for r in ranges]
+    got = spark.createDataFrame(rows, "v string, r string").select("v", "r", versions.admits(F.col("v"), F.col("r")).alias("ok")).collect()
+    assert [(r["v"], r["r"]) for r in got if r["ok"] is not versions.in_range(r["v"], r["r"])] == []
+
+
+def test_best_satisfying(spark):
+    asked = spark.createDataFrame([("a", "^1.0.0"), ("a", "<1"), ("a", ">=1.5.0-rc.1 <1.6 || ^3"), ("a", "junk"), ("b", "*"), ("none", "*"), ("a", None), ("a", "^1.0.0")], "package string, req string")
+    have = spark.createDataFrame([("a", x) for x in ("0.9.9", "1.0.0", "1.4.9", "1.5.0-rc.2", "2.0.0", "bad")] + [("b", "0.0.1-x"), ("b", None)], "package string, version string")
+    got = [(r["package"], r["req"], r["best"]) for r in versions.best_satisfying(asked, have).collect()]
+    want = [("a", "^1.0.0", "1.4.9"), ("a", "^1.0.0", "1.4.9"), ("a", "<1", "0.9.9"), ("a", ">=1.5.0-rc.1 <1.6 || ^3", "1.5.0-rc.2"), ("a", "junk", None), ("b", "*", None), ("none", "*", None), ("a", None, None)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
