@@ -615,17 +615,22 @@ def overlap(t):
     return report.overlap(f.where("type = 'unused_export'"), f.where("type = 'code_smell'"), ["path"])
 
 
+FOUND = "SELECT '/root/' || path || CASE WHEN module_id % 2 = 1 THEN '.bak' ELSE '' END AS path, CASE WHEN module_id % 7 <> 0 THEN 'N' || (module_id % 500) END AS name FROM {finding} WHERE type = 'unused_export'"
+TRUTH = "SELECT module_id AS position, CASE module_id % 3 WHEN 0 THEN path WHEN 1 THEN split_part(path, '/', 2) || '/' || split_part(path, '/', 3) ELSE path || '.orig' END AS path, CASE WHEN module_id % 7 <> 0 THEN 'n' || (module_id % 500) END AS name, module_id % 2 = 0 AS unused FROM {module} WHERE module_id % 5 <> 0"
+
+
 @query(
-    """WITH f AS (SELECT DISTINCT lower('/root/' || path) AS path, CASE WHEN module_id % 7 = 0 THEN NULL ELSE CAST(module_id AS VARCHAR) END AS name FROM {finding} WHERE type = 'unused_export'),
-    t AS (SELECT lower(path) AS path, CAST(module_id AS VARCHAR) AS name, module_id % 2 = 0 AS unused FROM {module} WHERE module_id % 5 <> 0),
-    p AS (SELECT f.path, f.name, t.path AS t_path, t.name AS t_name, unused FROM f JOIN t ON regexp_extract(f.path, '[^/]*$') = regexp_extract(t.path, '[^/]*$') AND (contains(f.path, t.path) OR contains(t.path, f.path)) AND coalesce(f.name = t.name, TRUE)),
-    e AS (SELECT path, name, bool_or(unused) AS hit FROM p GROUP BY path, name),
-    c AS (SELECT (SELECT count(*) FROM e WHERE hit) AS tp, (SELECT count(*) FROM e WHERE NOT hit) AS fp, (SELECT count(*) FROM t WHERE unused) - (SELECT count(*) FROM (SELECT DISTINCT t_path, t_name FROM p WHERE unused)) AS fn)
+    f"""WITH f AS (SELECT row_number() OVER () AS k, lower(path) AS path, coalesce(lower(name), '') AS name FROM ({FOUND})), t AS (SELECT position, lower(path) AS path, coalesce(name, '') AS name, unused FROM ({TRUTH})),
+    e AS (SELECT k, min(position) FILTER (WHERE unused) AS met, bool_or(NOT unused) AS used FROM f JOIN t ON f.name = t.name AND f.path <> '' AND t.path <> '' AND (contains(f.path, t.path) OR contains(t.path, f.path)) GROUP BY k),
+    c AS (SELECT count(met) AS tp, count(*) FILTER (WHERE met IS NULL) AS fp, (SELECT count(*) FROM t WHERE unused) - count(DISTINCT met) AS fn FROM e)
     SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM c"""
 )
 def accuracy(t):
-    found = t("finding").where("type = 'unused_export'").select(F.upper(F.concat(F.lit("\\root\\"), F.replace("path", F.lit("/"), F.lit("\\")))).alias("path"), F.when(F.col("module_id") % 7 != 0, F.col("module_id").cast("string")).alias("name"))
-    truth = t("module").where("module_id % 5 <> 0").select("path", F.col("module_id").cast("string").alias("name"), (F.col("module_id") % 2 == 0).alias("is_unused"))
+    found = t("finding").where("type = 'unused_export'").select(
+        F.upper(F.concat(F.lit("\\root\\"), F.replace("path", F.lit("/"), F.lit("\\")), F.when(F.col("module_id") % 2 == 1, ".bak").otherwise(""))).alias("path"),
+        F.when(F.col("module_id") % 7 != 0, F.concat(F.lit("N"), F.col("module_id") % 500)).alias("name"),
+    )
+    truth = t("module").where("module_id % 5 <> 0").selectExpr("module_id as position", "case module_id % 3 when 0 then path when 1 then split_part(path, '/', 2) || '/' || split_part(path, '/', 3) else path || '.orig' end as path", "case when module_id % 7 <> 0 then 'n' || (module_id % 500) end as name", "module_id % 2 = 0 as is_unused")
     return report.accuracy(found, truth)
 
 

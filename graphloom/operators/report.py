@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.storage import cut
+
 
 def bench_stats(runs: DataFrame) -> DataFrame:  # F19
     """Of each tool: runs, least, largest, mean, upper median, population deviation and success rate. Sums are of whole microseconds."""
@@ -41,22 +45,54 @@ def normalized(path):  # J21
     return F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
 
 
+#: Characters of the pieces by which contained paths find what contains them.
+GRAM = 6
+
+
+def grams(text: Column, size: int) -> Column:
+    """The distinct pieces of `size` characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - size + 1)), lambda k: F.substring(text, k, F.lit(size))))
+
+
+def containing(a: DataFrame, b: DataFrame, size: int = GRAM) -> DataFrame:  # E15
+    """(name, a, b): pairs of rows (name, path) of equal name of which one path holds the other.
+
+    What is contained is found by its rarest piece of `size` characters, which whatever contains it has too: an equi-join on (name, piece),
+    then the test itself. A path shorter than that is its own piece, and pieces of its length are only made where there is such a path.
+    """
+    a, b = (cut(x.where("path <> ''").select("name", "path").distinct(), "paths") for x in (a, b))
+    both = a.union(b).distinct()
+    sizes = [size, *(r[0] for r in both.select(F.length("path").alias("n")).where(F.col("n") < size).distinct().collect())]  # at most `size` values
+    pieces = lambda df, k: df.where(F.length("path") >= k).select("name", "path", F.explode(grams(F.col("path"), k)).alias("piece"))
+    common = pieces(both, size).groupBy("name", "piece").count()
+    rare = pieces(both, size).join(common, ["name", "piece"]).groupBy("name", "path").agg(F.min_by("piece", F.struct("count", "piece")).alias("piece"))
+    rare = cut(rare.union(both.where(F.length("path") < size).select("name", "path", F.col("path").alias("piece"))), "rare")
+
+    def within(inner: DataFrame, outer: DataFrame, names: tuple[str, str]) -> DataFrame:
+        own = inner.join(rare, ["name", "path"]).withColumnRenamed("path", "inner")
+        around = reduce(DataFrame.union, (pieces(outer, k) for k in sizes)).withColumnRenamed("path", "outer")
+        hit = own.join(around, ["name", "piece"]).where(F.col("outer").contains(F.col("inner")))
+        return hit.select("name", F.col("inner").alias(names[0]), F.col("outer").alias(names[1])).select("name", "a", "b")
+
+    return cut(within(a, b, ("a", "b")).union(within(b, a, ("b", "a"))).distinct(), "containing")
+
+
 def accuracy(findings: DataFrame, truth: DataFrame, compat: bool = False) -> DataFrame:  # F20, E15
-    """Precision, recall and F1 of findings (path, name) against truth (path, name, is_unused).
+    """Precision, recall and F1 of findings (path, name) against truth (position, path, name, is_unused).
 
-    Paths match if one, normalised, holds the other and both end in the same file name, which blocks the join; names must be equal, or missing on
-    a side. A finding that matches an unused item is right, else one that matches a used item is wrong; one without a match is left out, and
-    with compat it is right. Unused items that nothing matches are missed.
+    Normalised, one path must hold the other, and names be equal or both be missing. A finding meets the first unused item that it matches
+    and is right, else the first used one and is wrong; one that matches nothing is left out, and with compat it is right. Unused items that
+    no finding meets are missed.
     """
-    last = lambda p: F.element_at(F.split(p, "/"), -1)
-    f = findings.select(normalized(F.col("path")).alias("path"), "name").distinct().withColumn("file", last(F.col("path")))
-    t = truth.select(normalized(F.col("path")).alias("t_path"), F.col("name").alias("t_name"), "is_unused").distinct().withColumn("file", last(F.col("t_path")))
-    same = (F.col("path").contains(F.col("t_path")) | F.col("t_path").contains(F.col("path"))) & F.coalesce(F.col("name") == F.col("t_name"), F.lit(True))
-    pairs = f.join(t, "file").where(same)
-    each = f.drop("file").join(pairs.groupBy("path", "name").agg(F.bool_or("is_unused").alias("unused")).withColumnsRenamed({"path": "p", "name": "n"}), F.col("path").eqNullSafe(F.col("p")) & F.col("name").eqNullSafe(F.col("n")), "left")
-    right = F.coalesce(F.col("unused"), F.lit(compat))
-    met = pairs.where("is_unused").select("t_path", "t_name").distinct().agg(F.count("*").alias("met"))
-    out = each.agg(F.count_if(right).alias("tp"), F.count_if(~F.col("unused")).alias("fp")).crossJoin(met).crossJoin(t.agg(F.count_if("is_unused").alias("all")))  # one row each
+    own = lambda df, *more: df.select(normalized(F.col("path")).alias("path"), F.coalesce(F.lower("name"), F.lit("")).alias("name"), *more)
+    f, t = own(findings).groupBy("path", "name").agg(F.count("*").alias("n")), own(truth, "position", "is_unused")
+    first = t.groupBy("path", "name").agg(F.min(F.when(F.col("is_unused"), F.col("position"))).alias("unused"), F.bool_or(~F.col("is_unused")).alias("used"))
+    pairs = containing(f, t).join(first.withColumnRenamed("path", "b"), ["name", "b"]).groupBy(F.col("a").alias("path"), "name").agg(F.min("unused").alias("unused"), F.bool_or("used").alias("used"))
+    each = f.join(pairs, ["path", "name"], "left")
+    right = F.col("unused").isNotNull() | (F.lit(compat) & F.col("used").isNull())
+    wrong = F.col("unused").isNull() & F.coalesce("used", F.lit(False))
+    sum_of = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    out = each.agg(sum_of(right).alias("tp"), sum_of(wrong).alias("fp"), F.countDistinct("unused").alias("met")).crossJoin(truth.agg(F.count_if("is_unused").alias("all")))  # one row each
     out = out.withColumn("fn", F.col("all") - F.col("met"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     out = out.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
