@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import registry, text, versions
-from graphloom.operators import chains, deps, detection, findings, graph, quality, report, rules
+from graphloom.operators import chains, deps, detection, findings, graph, patterns, quality, report, rules
 from graphloom.sources import rule_files
 from graphloom.sources.testdata import frame, with_adapters
 from graphloom.streaming import polling
@@ -315,6 +315,22 @@ def ignored_breakdown(t):
     return findings.ignored_breakdown(findings.split_ignored(t("finding"), IGNORES).where("matched_pattern is not null"))
 
 
+#: A pattern for every part: files of a module, all of a customer's orders, and modules whose number begins with the part's in one of two folders.
+PATTERNS = "SELECT p_partkey AS idx, CASE p_partkey % 3 WHEN 0 THEN '**/m' || p_partkey || '.*' WHEN 1 THEN 'log/c' || p_partkey || '/*' ELSE '**/d' || chr(123) || '1,' || (p_partkey % 9) || chr(125) || '/m' || p_partkey || '*' END AS pattern FROM {part}"
+
+
+@query(
+    f"""WITH p AS ({PATTERNS}), m AS (SELECT path, TRY_CAST(nullif(regexp_extract(path, '/m([0-9]+)[.]', 1), '') AS BIGINT) AS own, TRY_CAST(nullif(regexp_extract(path, '^log/c([0-9]+)/', 1), '') AS BIGINT) AS customer,
+        regexp_extract(path, '/d([0-9]+)/m([0-9]+)', 1) AS folder, regexp_extract(path, '/d([0-9]+)/m([0-9]+)', 2) AS number FROM {{module}} WHERE NOT starts_with(path, 'virtual:')),
+    h AS (SELECT path, idx, pattern FROM m JOIN p ON idx = own WHERE idx % 3 = 0 UNION ALL SELECT path, idx, pattern FROM m JOIN p ON idx = customer WHERE idx % 3 = 1
+        UNION ALL SELECT path, idx, pattern FROM m JOIN p ON starts_with(number, CAST(idx AS VARCHAR)) WHERE idx % 3 = 2 AND folder IN ('1', CAST(idx % 9 AS VARCHAR)))
+    SELECT path, min(idx) AS idx, arg_min(pattern, idx) AS pattern FROM h GROUP BY path"""
+)
+def ignore_many_patterns(t):
+    patterns_ = t("part").selectExpr("p_partkey as idx", PATTERNS.removeprefix("SELECT p_partkey AS idx, ").removesuffix(" AS pattern FROM {part}") + " as pattern")
+    return patterns.first_matches(t("module").where("not startswith(path, 'virtual:')"), patterns.pattern_index(patterns_))
+
+
 _FOUR = ("unused_export", "unreachable_module", "framework_export", "circular_dependency")
 
 
