@@ -14,7 +14,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.storage import cut, release
+from graphloom.storage import cut, cut_counting, release
 
 #: Fronts of a search that are read side by side before they are written together.
 MOST_FRONTS = 24
@@ -83,8 +83,8 @@ def _search(entries: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         seen = reduce(DataFrame.union, fronts)
         fresh = front.join(edges, front["module_id"] == edges["src"]).select(F.col("dst").alias("module_id")).distinct().join(seen, "module_id", "left_anti")
-        front = cut(fresh, "front")
-        if not front.limit(1).count():
+        front, size = cut_counting(fresh, "front", F.lit(True))
+        if not size:
             return seen
         fronts = [*fronts, front] if len(fronts) < MOST_FRONTS else [cut(seen, "seen"), front]
 
@@ -109,17 +109,17 @@ def _least_before(edges: DataFrame) -> DataFrame:
     shortcut over chains and rings), and from the node its label names (a shortcut where edges go both ways).
     """
     ways = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
-    state = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().join(ways, "node", "left").select("node", F.col("node").alias("label"), F.coalesce("up", "node").alias("up")), "labels")
+    state = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().join(ways, "node", "left").select("node", F.col("node").alias("label"), F.coalesce("up", "node").alias("up"), F.lit(True).alias("moved")), "labels")
     while True:
-        heard = edges.join(state.select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
+        heard = edges.join(state.where("moved").select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
         over = state.select(F.col("node").alias("up"), F.col("label").alias("over"), F.col("up").alias("up2"))
         far = state.select(F.col("node").alias("label"), F.col("label").alias("far"))
         new = F.least("label", "far", "over", F.coalesce("heard", "label"))
         step = state.join(heard, "node", "left").join(over, "up").join(far, "label").select("node", new.alias("label"), F.col("up2").alias("up"), (new != F.col("label")).alias("moved"))
-        done = cut(step, "labels")
+        done, moved = cut_counting(step, "labels", F.col("moved"))
         release(state)
         state = done
-        if not done.where("moved").limit(1).count():
+        if not moved:
             return done
 
 
@@ -137,9 +137,9 @@ def components(edges: DataFrame, trim: bool = True) -> DataFrame:  # G1
     size = live.count()
     while size:
         while trim and size:
-            pruned = cut(live.join(live.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(live.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "live")
+            pruned, left = cut_counting(live.join(live.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(live.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "live", F.lit(True))
             release(live)
-            before, live, size = size, pruned, pruned.count()
+            before, live, size = size, pruned, left
             if before - size < before / WORTH:
                 break
         if not size:
@@ -151,9 +151,9 @@ def components(edges: DataFrame, trim: bool = True) -> DataFrame:  # G1
         both = back.join(color.select("node", F.col("label").alias("color")), "node")
         found.append(cut(both.where("label = color").select("node", F.col("color").alias("scc")), "found"))
         rest = side(back.join(found[-1].select("node"), "node", "left_anti"), "a"), side(back.join(found[-1].select("node"), "node", "left_anti"), "b")
-        left = cut(inner.join(rest[0], "a").join(rest[1], "b").where("a_label = b_label").select("a", "b"), "live")
+        left, size = cut_counting(inner.join(rest[0], "a").join(rest[1], "b").where("a_label = b_label").select("a", "b"), "live", F.lit(True))
         release(live, inner, color, back)
-        live, size = left, left.count()
+        live = left
     kind = edges.schema["src"].dataType.simpleString()
     if not found:
         return edges.sparkSession.createDataFrame([], f"module_id {kind}, scc_id {kind}")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +37,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def cut_counting(df: DataFrame, name: str, test: Column) -> tuple[DataFrame, int]:
+    """cut(), and how many of the rows written pass the test: counted in passing, without a job of its own."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count_if(test).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the files of frames that cut() gave, once nothing reads them any more."""
     for df in frames:
