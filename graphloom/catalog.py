@@ -617,6 +617,30 @@ def changelog_segments(t):
     return out.select("user_id", "entry_no", F.when(F.col("body") == "", 0).otherwise(F.size(F.split("body", "\n"))).cast("long").alias("lines"), "body")
 
 
+@query(
+    """WITH l AS (SELECT user_id, event_id, """ + LINES + """ AS line, event_id % 7 IN (0, 1, 2, 3, 6) AS head FROM events),
+    n AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS entry_no FROM l)
+    SELECT user_id, CAST(entry_no AS INTEGER) AS entry_no, any_value(CASE WHEN head THEN regexp_extract(line, '[0-9]+[.][0-9]+[.][0-9]+(-rc[.]1)?') END) AS version,
+    any_value(CASE WHEN head THEN nullif(regexp_extract(line, '20[0-9]+-[0-9]+-[0-9]+'), '') END) AS date, coalesce(string_agg(line, chr(10) ORDER BY event_id) FILTER (WHERE NOT head), '') AS body FROM n GROUP BY user_id, entry_no"""
+)
+def changelog_lateral(t):
+    from graphloom.functions.tables import register_tables
+
+    lines = t("events").select("user_id", F.struct("event_id", F.expr(LINES).alias("line")).alias("l"))
+    logs = lines.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x.line), "\n").alias("body"))
+    register_tables(logs.sparkSession)
+    return logs.sparkSession.sql("SELECT l.user_id, e.* FROM {logs} l, LATERAL changelog_entries(l.body) e", logs=logs)
+
+
+@query("SELECT p_partkey, 'src/' || a || '/x.' || b AS pattern, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY i, j) - 1 AS INTEGER) AS n FROM part, (VALUES (0, 'a'), (1, NULL)) f(i, f), (VALUES (0, 'ts'), (1, 'js'), (2, '')) g(j, b), LATERAL (SELECT coalesce(f, 'm' || p_partkey) AS a)")
+def brace_lateral(t):
+    from graphloom.functions.tables import register_tables
+
+    rows = t("part").select("p_partkey", F.expr("'src/{a,m' || p_partkey || '}/x.{ts,js,}'").alias("glob"))
+    register_tables(rows.sparkSession)
+    return rows.sparkSession.sql("SELECT p.p_partkey, e.* FROM {rows} p, LATERAL brace_expansions(p.glob, true) e", rows=rows)
+
+
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '**/' || p_name WHEN 1 THEN '**/x' || p_partkey WHEN 2 THEN '' ELSE '**/a/b' || p_partkey END AS glob FROM part")
 def gitignore_to_glob(t):
     line = F.expr("CASE p_partkey % 4 WHEN 0 THEN p_name || '/' WHEN 1 THEN '/x' || p_partkey WHEN 2 THEN '!' || p_name ELSE ' a/b' || p_partkey || '// ' END")
@@ -804,6 +828,20 @@ def other_report(t):
     return other_output(_texts(t, "customer", "c_custkey", text))
 
 
+@query(
+    """SELECT * FROM (SELECT 'unused_export' AS type, 'm' || c_custkey AS path, 'e' || c_custkey AS name FROM customer WHERE c_custkey % 5 IN (0, 3) UNION ALL SELECT 'unreachable_file', 'u' || c_custkey, NULL FROM customer WHERE c_custkey % 5 IN (1, 2, 3)
+    UNION ALL SELECT 'unused_export', 'i' || c_custkey, 'e' FROM customer WHERE c_custkey % 5 IN (1, 2) UNION ALL SELECT 'unused_npm_dependency', 'i' || c_custkey, 'd' || c_custkey FROM customer WHERE c_custkey % 5 = 2)"""
+)
+def mixed_reports(t):
+    from graphloom.sources.snapshots import any_output
+
+    text = """CASE c_custkey % 5 WHEN 0 THEN '{"findings":[{"type":"unused_export","module":"m' || c_custkey || '","export_name":"e' || c_custkey || '","line":[1,{"a":null}]},7,{"type":3}]}'
+        WHEN 1 THEN '{"files":["u' || c_custkey || '"],"issues":[{"file":"i' || c_custkey || '","exports":[{"name":"e","pos":1}],"dependencies":null}],"extra":{"x":[]}}'
+        WHEN 2 THEN '{"files":[{"path":"u' || c_custkey || '","size":3}],"issues":[{"file":"i' || c_custkey || '","exports":["e"],"dependencies":["d' || c_custkey || '"]},"odd"]}'
+        WHEN 3 THEN '{"findings":[{"type":"unused_export","path":"m' || c_custkey || '","name":"e' || c_custkey || '"}],"files":[null,"u' || c_custkey || '",4]}' ELSE '{"findings":[' || c_custkey END"""
+    return any_output(_texts(t, "customer", "c_custkey", text))
+
+
 @query("SELECT 'line ' || event_id || CASE event_id % 3 WHEN 0 THEN ' Unused export' ELSE ' DEAD code' END AS value FROM events WHERE event_id % 3 < 2")
 def text_report(t):
     from graphloom.sources.snapshots import text_output

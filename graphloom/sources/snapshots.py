@@ -53,6 +53,22 @@ def other_output(documents: DataFrame) -> DataFrame:  # A27
     return files.unionByName(named("unused_export", "exports")).unionByName(named("unused_npm_dependency", "dependencies"))
 
 
+def any_output(documents: DataFrame) -> DataFrame:  # A27
+    """(type, path, name) of reports (content) of either tool and of shapes in between, read as variants; texts that are no JSON give nothing.
+
+    Findings, files, issues and their exports and dependencies may each be missing, or lists of names or of objects.
+    """
+    docs = documents.select(F.try_parse_json("content").alias("v")).where("v is not null")
+    text = lambda v, path="$": F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+    each = lambda df, path, keep=(): df.select(*keep, F.explode(F.try_variant_get("v", path, "array<variant>")).alias("v"))
+    named = lambda field: F.coalesce(text("v"), text("v", f"$.{field}"))
+    own = each(docs, "$.findings").select(text("v", "$.type").alias("type"), F.coalesce(text("v", "$.path"), text("v", "$.module")).alias("path"), F.coalesce(text("v", "$.name"), text("v", "$.export_name")).alias("name"))
+    files = each(docs, "$.files").select(F.lit("unreachable_file").alias("type"), named("path").alias("path"), F.lit(None).cast("string").alias("name"))
+    issues = each(docs, "$.issues").select(text("v", "$.file").alias("path"), "v")
+    parts = [each(issues, f"$.{field}", ("path",)).select(F.lit(kind).alias("type"), "path", named("name").alias("name")) for kind, field in (("unused_export", "exports"), ("unused_npm_dependency", "dependencies"))]
+    return own.union(files).union(parts[0]).union(parts[1]).where("type is not null and (path is not null or name is not null)")
+
+
 def text_output(lines: DataFrame) -> DataFrame:  # A27
     """Lines (value) of any tool's text that speak of something unused or dead."""
     return lines.where(F.lower("value").rlike("unused|dead"))

@@ -119,3 +119,19 @@ def test_best_satisfying(spark):
     got = [(r["package"], r["req"], r["best"]) for r in versions.best_satisfying(asked, have).collect()]
     want = [("a", "^1.0.0", "1.4.9"), ("a", "^1.0.0", "1.4.9"), ("a", "<1", "0.9.9"), ("a", ">=1.5.0-rc.1 <1.6 || ^3", "1.5.0-rc.2"), ("a", "junk", None), ("b", "*", None), ("none", "*", None), ("a", None, None)]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_table_functions(spark):
+    from graphloom.functions.tables import register_tables
+
+    register_tables(spark)
+    body = "intro\n## [1.2.0] - 2024-01-02\n- a\n\n- b\n## v1.1.0-rc.1\n### Fixed\n"
+    rows = spark.sql("SELECT e.* FROM {t} t, LATERAL changelog_entries(t.body) e ORDER BY entry_no", t=spark.createDataFrame([(body,)], "body string")).collect()
+    assert [tuple(r) for r in rows] == [(0, None, None, "intro"), (1, "1.2.0", "2024-01-02", "- a\n\n- b"), (2, "1.1.0-rc.1", None, "### Fixed\n")]
+    logs = spark.createDataFrame([("p", body), ("q", None), ("r", "## 1.0.0\nx")], "key string, text string")
+    by_function = spark.sql("SELECT key, e.* FROM {t} t, LATERAL changelog_entries(t.text) e", t=logs)
+    by_columns = registry.segments(logs, "key", "text").select("key", F.col("entry_no").cast("int"), "version", "date", "body")
+    assert sorted(map(str, by_function.collect())) == sorted(map(str, by_columns.collect()))
+    assert [r[0] for r in spark.sql("SELECT pattern FROM brace_expansions('a.{ts,js}{,x}', false)").collect()] == ["a.ts", "a.tsx", "a.js", "a.jsx"]
+    with pytest.raises(Exception, match="second argument"):
+        spark.sql("SELECT * FROM brace_expansions('a', 1)").collect()
