@@ -1,6 +1,7 @@
 """Token ids as length-delimited binary records, with a separate offset index.
 
-A file holds frames, one a document, in ascending doc_id order; the files' numbers continue that order. A frame is
+A file holds frames, one a document, in ascending doc_id order; the files' numbers (task, then part) continue that order. Files are closed by
+their bytes, so that reading one into a task stays small however large the corpus. A frame is
 
     u64 length of the payload | u32 masked CRC-32 of those 8 bytes | payload | u32 masked CRC-32 of the payload | 0x0A
 
@@ -28,10 +29,14 @@ from graphloom.llm.bpe import CachedEncoder, default_path, hash_of, kept_encoder
 from graphloom.llm.common import scratch_path, slices, table
 
 END_ID = 2
-#: Input bytes of a shard, about; a shard's file is read whole into a task. Shards at most, so that the range sampler still sees each.
+#: Input bytes that a task writes, about, and tasks at most, so that the range sampler still sees each; beyond that a task writes more files.
 SHARD_BYTES, MOST_SHARDS = 16 << 20, 1 << 17
+#: A file is closed after so many pieces, each of at least PIECE_BYTES of frames or the last of its batch: no larger than FILE_PIECES pieces and their last frames.
+PIECE_BYTES, FILE_PIECES = 1 << 20, 16
+#: A shard is a file: its task's number above these bits, its number within the task in them.
+PART_BITS = 24
 _HEAD = struct.Struct("<qBBI")
-INDEX = "doc_id long, shard int, offset long, length long, n_tokens long, before long, ids_crc32 long"
+INDEX = "doc_id long, shard long, offset long, length long, n_tokens long, before long, ids_crc32 long"
 
 
 def masked(data: bytes) -> int:
@@ -119,20 +124,27 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
             ids, ends = encoder.encode(batch.column("text"))
             ends = ends.tolist()
             frames = [frame(d, np.append(ids[a:b], end_id), width) for d, a, b in zip(batch.column("doc_id").to_pylist(), ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["value"])
+            pieces, size = [[]], 0
+            for x in frames:
+                if size >= PIECE_BYTES:
+                    pieces, size = [*pieces, []], 0
+                pieces[-1].append(x)
+                size += len(x)
+            yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(x) for x in pieces], pa.binary())], names=["value"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the row's place in the scan splits a range of equal rows, which are interchangeable
     own = own.withColumn("place", F.monotonically_increasing_id())
     order = [F.col("doc_id"), F.xxhash64("text"), F.col("place")]
     dealt = own.repartitionByRange(_shards(own), *order).sortWithinPartitions(*order)
-    dealt.select("doc_id", "text").mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
+    dealt.select("doc_id", "text").mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_PIECES).text(path)
     spec.destroy()
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """One row a file: its shard number and bytes."""
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"part-(\d+)-[^/]*$", 1).cast("int").alias("shard"), "content")
+    number = lambda k: F.regexp_extract("path", r"part-(\d+)-[^/]*-c(\d+)[^/]*$", k).cast("long")
+    return spark.read.format("binaryFile").load(path).select((F.shiftleft(number(1), PART_BITS) + number(2)).alias("shard"), "content")
 
 
 def index_files(spark: SparkSession, path: str) -> DataFrame:
@@ -148,7 +160,7 @@ def index_files(spark: SparkSession, path: str) -> DataFrame:
                     at, before = to, before + len(ids)
                 doc_id, *rest = zip(*rows, strict=True) if rows else [[]] * 6
                 doc_id, offset, length, n, upto, crc = (pa.array(x, pa.int64()) for x in (doc_id, *rest))
-                yield pa.RecordBatch.from_arrays([doc_id, pa.array([shard.as_py()] * len(rows), pa.int32()), offset, length, n, upto, crc], names=["doc_id", "shard", "offset", "length", "n_tokens", "before", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array([shard.as_py()] * len(rows), pa.int64()), offset, length, n, upto, crc], names=["doc_id", "shard", "offset", "length", "n_tokens", "before", "ids_crc32"])
 
     return read_files(spark, path).mapInArrow(run, INDEX)
 
@@ -159,10 +171,13 @@ def write_index(spark: SparkSession, path: str, index_path: str) -> DataFrame:
 
 
 def with_starts(index: DataFrame) -> DataFrame:
-    """Adds start: the number of ids of all documents before. The window runs over one row a shard."""
-    totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("shard_tokens"))
-    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("shard", F.coalesce(F.sum("shard_tokens").over(earlier), F.lit(0)).alias("base"))
+    """Adds start: the number of ids of all documents before. One window runs over the files of each task, another over one row a task."""
+    task = F.shiftright("shard", PART_BITS)
+    totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("task", task)
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = totals.groupBy("task").agg(F.sum("n").alias("n")).select("task", before(Window.orderBy("task")).alias("task_base"))
+    files = totals.select("task", "shard", before(Window.partitionBy("task").orderBy("shard")).alias("file_base"))
+    bases = files.join(tasks, "task").select("shard", (F.col("task_base") + F.col("file_base")).alias("base"))
     return index.join(bases, "shard").withColumn("start", F.col("base") + F.col("before")).drop("base")
 
 

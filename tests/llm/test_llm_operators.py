@@ -118,6 +118,27 @@ def test_shuffled_reads(spark, library, tmp_path):
     assert sorted(a) == sorted(c) == sorted((r["doc_id"], [*library.encode(r["text"] or "", add_special_tokens=False).ids, 2]) for r in docs.collect())
 
 
+def test_record_files_are_closed_by_bytes(spark, tmp_path, monkeypatch):
+    """A task's frames go to several files, which follow one another; index, starts and reads are those of one file."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    path = lambda x: f"file://{tmp_path}/{x}"
+    token_records.write_records(docs, path("one"))
+    monkeypatch.setattr(token_records, "PIECE_BYTES", 4000)
+    monkeypatch.setattr(token_records, "FILE_PIECES", 2)
+    token_records.write_records(docs, path("many"))
+    one, many = (token_records.write_index(spark, path(x), path(f"{x}_index")) for x in ("one", "many"))
+    files = [f for f in (tmp_path / "many").iterdir() if f.suffix == ".txt"]
+    assert len(files) > 3 * max(1, len(list((tmp_path / "one").glob("*.txt"))))
+    largest = many.agg({"length": "max"}).first()[0]
+    assert max(f.stat().st_size for f in files) <= 2 * (4000 + largest)
+    rows = lambda index: [tuple(r) for r in token_records.with_starts(index).select("start", "doc_id", "n_tokens", "ids_crc32").orderBy("start").collect()]
+    assert rows(one) == rows(many)
+    ids = [r[1] for r in rows(many)]
+    assert ids == sorted(ids)
+    a, b = ([(r["doc_id"], list(r["ids"])) for r in token_records.read_shuffled(spark, path(x), index, 3).collect()] for x, index in (("one", one), ("many", many)))
+    assert a == b
+
+
 def test_damage_is_found():
     data = bytearray(token_records.frame(7, np.array([1, 500, 2]), 2) + b"\n")
     doc_id, ids, end = token_records.parse(data, 0)
