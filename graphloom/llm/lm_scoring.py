@@ -11,9 +11,9 @@ a bias, so every probability is normalised exactly at the cost of one class and
 are trained by noise-contrastive estimation, with noise from the unigram distribution of the classes and of the class's symbols.
 
 Training rows are dealt by a hash of id and text to groups of about GROUP_TOKENS, whose number depends on the corpus alone, and are sorted in
-them. A pass is two rounds, of the even and of the odd groups: in a round each group trains from the same start, the parameters are averaged by weight in order, and
-the next round starts there. So the scan's splits do not matter, and a group's training does not shrink as the corpus grows. A slice of the rows (one in VALIDATION by hash) is kept out of it;
-the round after which they are likeliest gives the model.
+them. A pass goes in rounds of 1, 1, 2, 4, ... groups: in a round each group trains from the same start, the parameters are averaged by weight in order, in a tree, and
+the next round starts there. So a corpus of G groups is averaged some log2(G) times in a pass, the scan's splits do not matter, and a group's training does not shrink as the corpus grows. A slice of the rows (one in VALIDATION by hash) is kept out of it;
+the round after which they are likeliest, of those that end in the second half of the groups, gives the model.
 
 Defined cases: null or empty text is one end token; a null doc_id counts as empty text for the fold; with no training rows all counts are 0 and
 the formulas still hold; repeated rows each give a row; columns besides doc_id and text are ignored.
@@ -281,8 +281,24 @@ def distinct_triples(symbols: np.ndarray, before: np.ndarray, end: int, n: int)
     return np.stack([keys // (n * n), keys // n % n, keys % n], 1), back, counts
 
 
+#: Parameter sets that one task adds up.
+FAN_IN = 64
+
+
+def growing(groups: int) -> list[tuple[int, int]]:
+    """The numbers of the groups in rounds (from, up to): one, then twice as many as before, until none is left."""
+    out, size = [(0, 1)], 1
+    while out[-1][1] < groups:
+        size *= 2 if len(out) > 1 else 1
+        out.append((out[-1][1], min(groups, out[-1][1] + size)))
+    return out
+
+
 def fit(docs: DataFrame, symbols: Symbols) -> LogBilinear:
-    """Trains on every row of docs (doc_id, text) but for the validation rows: each pass in two rounds, of the even and of the odd groups."""
+    """Trains on every row of docs (doc_id, text) but for the validation rows: each pass in rounds of 1, 2, 4, ... groups, each from the average of the round before.
+
+    So the more there is to learn from, the more often groups meet, and each round can use twice the tasks of the last.
+    """
     spark, model, n = docs.sparkSession, LogBilinear(symbols.counts), len(symbols.counts)
     shared = spark.sparkContext.broadcast(symbols)
     groups = 2 * max(1, -(-symbols.total // (2 * GROUP_TOKENS)))
@@ -341,12 +357,12 @@ def fit(docs: DataFrame, symbols: Symbols) -> LogBilinear:
 
     start = spark.sparkContext.broadcast(model)
     best, value = model, likelihood(start)
-    for number in range(2 * passes):
-        sums = placed.where(~F.col("kept_out") & (F.col("part") % 2 == number % 2)).select("part", "place", "symbols").groupBy("part").applyInPandas(training_round(start, number), schema)
-        for width in (64, 64 * 64, 0):  # a tree, so that no task gets the parameters of many groups
-            sums = sums.groupBy((F.floor(F.col("part") / width).cast("int") if width else F.lit(0)).alias("next")).applyInPandas(add, schema)
-            if width >= groups:
-                break
+    for number, (low, high) in enumerate(growing(groups) * passes):
+        sums = placed.where(~F.col("kept_out") & F.col("part").between(low, high - 1)).select("part", "place", "symbols").groupBy("part").applyInPandas(training_round(start, number), schema)
+        width = 1
+        while width < groups:  # a tree of as many levels as it takes, so that no task gets the parameters of many groups
+            width *= FAN_IN
+            sums = sums.groupBy(F.floor(F.col("part") / width).cast("int").alias("next")).applyInPandas(add, schema)
         found = sums.collect()  # one row of parameters
         if not found:
             continue
@@ -354,6 +370,8 @@ def fit(docs: DataFrame, symbols: Symbols) -> LogBilinear:
         model.load(np.frombuffer(found[0]["parameters"], np.float32))
         start.destroy()
         start = spark.sparkContext.broadcast(model)
+        if 2 * high < groups:  # the first half only leads up to the rest
+            continue
         now = likelihood(start)
         if now is None or value is None or now >= value:
             best, value = model, now

@@ -525,3 +525,23 @@ def test_license_texts_headers_and_spdx(spark):
     assert {p: r["license_own"] for p, r in got.items()} == {p: w for p, w, _ in rows}
     assert all(got[f"{n}/LICENSE"]["file_license"] == n for n in texts)
     assert got["MIT/src/x"]["license"] == "MIT"
+
+
+def test_rounds_take_every_group_once():
+    for groups in (1, 2, 3, 14, 60, 2001):
+        rounds = lm_scoring.growing(groups)
+        assert [k for a, b in rounds for k in range(a, b)] == list(range(groups))
+        assert all(b - a <= 2 * max(1, d - c) for (c, d), (a, b) in zip(rounds, rounds[1:], strict=False))
+        assert len(rounds) <= 2 + math.log2(groups)
+
+
+def test_parameters_add_up_over_many_levels(spark, monkeypatch):
+    """Groups of few tokens and a tree that adds three sets at a time: many rounds and levels, on the same rows a model that is still better than none."""
+    monkeypatch.setattr(lm_scoring, "FAN_IN", 3)
+    monkeypatch.setattr(lm_scoring, "GROUP_TOKENS", 2000)
+    monkeypatch.setattr(lm_scoring, "PASS_TOKENS", 1)
+    rows = lm_scoring.score(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")).collect()
+    held = [r for r in rows if r["held_out"]]
+    gain = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+    assert all(math.isfinite(r["score"]) for r in rows)
+    assert gain > -0.05
