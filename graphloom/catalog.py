@@ -61,12 +61,13 @@ def bundle_impact(t):
     return graph.bundle_impact(_unreachable(t))
 
 
-@query("SELECT path, CAST(0 AS BIGINT) AS size FROM {module} m WHERE NOT EXISTS (SELECT 1 FROM {edge} e WHERE e.src = m.module_id OR e.dst = m.module_id) AND NOT is_entry")
+@query(f"WITH RECURSIVE {REACH} SELECT path, CAST(0 AS BIGINT) AS size FROM {{module}} WHERE module_id NOT IN (SELECT n FROM r)")
 def unreachable_files(t):
+    """All files but those of the graph that is built from the entries."""
     from graphloom.sources.files import unreachable_files as files
 
-    known = t("edge").select(F.col("src").alias("module_id")).union(t("edge").select("dst")).union(t("module").where("is_entry").select("module_id"))
-    return files(t("module"), t("module").join(known.distinct(), "module_id"))
+    built = graph.reachable(t("module").where("is_entry").select("module_id"), t("edge"))
+    return files(t("module"), t("module").join(built, "module_id"))
 
 
 @query("SELECT m.path, count(x.target) AS n_targets, coalesce(string_agg(x.target, ',' ORDER BY x.target), '') AS targets FROM {module} m LEFT JOIN (SELECT i.module_id, coalesce(b.path, i.source) AS target FROM {import} i LEFT JOIN {module} b ON b.module_id = i.resolved_to) x ON x.module_id = m.module_id AND NOT starts_with(x.target, 'virtual:') WHERE NOT starts_with(m.path, 'virtual:') GROUP BY m.path")
