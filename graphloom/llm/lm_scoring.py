@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LOWER, buffers, cut, remainder, slices, spans, table, word_hashes
+from graphloom.llm.common import LOWER, buffers, cut, remainder, scratch_path, slices, spans, table, word_hashes
 
 #: Symbols of the model at most; words whose counts tasks hold; distinct words of a task before it passes its counts on.
 MOST_SYMBOLS, KNOWN, FLUSH = 1 << 15, 1 << 17, 500_000
@@ -312,7 +312,13 @@ def fit(docs: DataFrame, symbols: Symbols) -> LogBilinear:
             yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(data, pa.binary())], names=["place", "symbols"])
 
     placed = docs.select(F.xxhash64("doc_id", "text").alias("place"), "text").mapInArrow(encode, "place long, symbols binary")
-    placed = cut(placed.withColumns({"part": F.pmod("place", F.lit(groups)).cast("int"), "kept_out": F.pmod(F.shiftright("place", 40), F.lit(VALIDATION)) == 0}), "symbols")
+    rounds = growing(groups)
+    placed = placed.withColumn("part", F.pmod("place", F.lit(groups)).cast("int"))
+    own_round = sum((F.col("part") >= high).cast("int") for _, high in rounds[:-1]) if groups > 1 else F.lit(0)
+    kept_out = F.pmod(F.shiftright("place", 40), F.lit(VALIDATION)) == 0
+    path = scratch_path(spark, "symbols")  # a folder for each round and one for validation (-1), so that every row is read for its own round alone
+    placed.withColumn("round", F.when(kept_out, -1).otherwise(own_round)).write.partitionBy("round").parquet(path)
+    placed = spark.read.schema("place long, symbols binary, part int, round int").parquet(path)
     schema = "part int, weight double, parameters binary"
 
     def sequences(data) -> tuple[np.ndarray, np.ndarray]:
@@ -325,7 +331,7 @@ def fit(docs: DataFrame, symbols: Symbols) -> LogBilinear:
                 triples, _, counts = distinct_triples(*sequences(batch.column("symbols").to_pylist()), shared.value.end, n)
                 yield pa.RecordBatch.from_arrays([pa.array([float(start.value.log_probabilities(*triples.T) @ counts)]), pa.array([int(counts.sum())])], names=["value", "scored"])
 
-        found = placed.where("kept_out").select("symbols").mapInArrow(run, "value double, scored long").agg(F.sum("value").alias("value"), F.sum("scored").alias("scored")).first()
+        found = placed.where("round = -1").select("symbols").mapInArrow(run, "value double, scored long").agg(F.sum("value").alias("value"), F.sum("scored").alias("scored")).first()
         return found["value"] / found["scored"] if found["scored"] else None
 
     def training_round(start, number: int):
@@ -357,8 +363,8 @@ def fit(docs: DataFrame, symbols: Symbols) -> LogBilinear:
 
     start = spark.sparkContext.broadcast(model)
     best, value = model, likelihood(start)
-    for number, (low, high) in enumerate(growing(groups) * passes):
-        sums = placed.where(~F.col("kept_out") & F.col("part").between(low, high - 1)).select("part", "place", "symbols").groupBy("part").applyInPandas(training_round(start, number), schema)
+    for number, (_, high) in enumerate(rounds * passes):
+        sums = placed.where(F.col("round") == number % len(rounds)).select("part", "place", "symbols").groupBy("part").applyInPandas(training_round(start, number), schema)
         width = 1
         while width < groups:  # a tree of as many levels as it takes, so that no task gets the parameters of many groups
             width *= FAN_IN
