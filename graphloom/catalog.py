@@ -11,7 +11,8 @@ from graphloom.functions import registry, text, versions
 from graphloom.operators import chains, deps, detection, findings, graph, patterns, quality, report, rules
 from graphloom.sources import rule_files
 from graphloom.sources.testdata import frame, with_adapters
-from graphloom.streaming import polling
+from graphloom.storage import scratch_path
+from graphloom.streaming import due_state, polling
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -22,7 +23,7 @@ def query(sql: str | None = None, name: str | None = None):
 
     def add(make):
         key = name or make.__name__.strip("_")
-        _QUERIES[key] = lambda spark, sf_dir: make(lambda t: frame(spark, sf_dir, t))
+        _QUERIES[key] = lambda spark, sf_dir: make(lambda t, stream=False: frame(spark, sf_dir, t, stream))
         if sql:
             _SQL[key] = with_adapters(sql)
         return make
@@ -713,6 +714,15 @@ def due_projects(t):
     return polling.due_projects(t("events"), "2024-01-31 00:00:00")
 
 
+@query("SELECT CAST(user_id AS VARCHAR) AS project, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_checked FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id HAVING max(ts) + INTERVAL 60 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) FROM events WHERE user_id IS NOT NULL) - INTERVAL 2 HOUR")
+def due_by_timers(t):
+    events = t("events", stream=True)
+    checks = events.select(F.col("user_id").alias("project"), F.col("ts").cast("timestamp").alias("at"), F.lit(None).cast("int").alias("minutes"), F.lit(None).cast("boolean").alias("enabled"))
+    log = scratch_path(events.sparkSession, "due-log")
+    due_state.start_log(due_state.due_log(checks), log, scratch_path(events.sparkSession, "due-state")).awaitTermination()
+    return due_state.due_now(events.sparkSession.read.schema(due_state.LOG).parquet(log)).select("project", F.date_format("last_checked", "yyyy-MM-dd HH:mm:ss").alias("last_checked"))
+
+
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_windows(t):
     return polling.event_windows(t("events")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")

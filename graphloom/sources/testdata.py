@@ -104,10 +104,11 @@ ADAPTERS = {
 ADAPTERS = {name: sql.replace("{order_base}", str(ORDER_BASE)) for name, sql in ADAPTERS.items()}
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table, or an adapter over them, as a DataFrame."""
+def frame(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """A test table, or an adapter over them, as a DataFrame; a table also as a stream of its files."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spark.readStream.schema(table.schema).parquet(f"{sf_dir}/{{{name}.parquet}}") if stream else table  # braces: a stream takes a single file only from a glob
     sql = ADAPTERS[name]
     used = sorted(set(re.findall(r"\{(\w+)\}", sql)))
     for x in used:  # keywords can't be names of spark.sql's frames
