@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from graphloom.functions.registry import register_functions
+from graphloom.sources.tree_source import register_source
 
 
 def session(name: str = "graphloom", **conf: str) -> SparkSession:
@@ -14,4 +15,5 @@ def session(name: str = "graphloom", **conf: str) -> SparkSession:
         builder = builder.config(k.replace("__", "."), v)
     spark = builder.getOrCreate()
     register_functions(spark)
+    register_source(spark)
     return spark

@@ -23,6 +23,12 @@ def walked(root: str) -> tuple[list[str], list[str], list[tuple[str, int, str]]]
         empty += [at(x) for x in names if not os.path.islink(p := os.path.join(folder, x)) and os.path.isfile(p) and not os.path.getsize(p)]
         if NAME in names:
             lines += [("" if rel == "." else rel, k, x) for k, x in enumerate(Path(folder, NAME).read_text(errors="replace").splitlines())]
+    return links, empty, lines_above(root) + lines
+
+
+def lines_above(root: str) -> list[tuple[str, int, str]]:
+    """The lines of ignore files in the folders above root, as they read from root and before every line further down; the outermost first, up to the repository's."""
+    lines: list[tuple[str, int, str]] = []
     here, above = os.path.abspath(root), []
     while not os.path.exists(os.path.join(here, ".git")) and os.path.dirname(here) != here:
         below, here = os.path.basename(here), os.path.dirname(here)
@@ -30,8 +36,8 @@ def walked(root: str) -> tuple[list[str], list[str], list[tuple[str, int, str]]]
         if os.path.isfile(p := os.path.join(here, NAME)):
             prefix = "/".join(reversed(above))
             own = [(k, inside(x, prefix)) for k, x in enumerate(Path(p).read_text(errors="replace").splitlines())]
-            lines = [("", k - 1_000_000 * len(above), x) for k, x in own if x] + lines  # before every line further down
-    return links, empty, lines
+            lines = [("", k - 1_000_000 * len(above), x) for k, x in own if x] + lines
+    return lines
 
 
 def inside(line: str, prefix: str) -> str | None:
