@@ -515,6 +515,33 @@ def dependency_coverage(t):
     return deps.coverage(t("dependency"), t("import"))
 
 
+def _listed(table: str, *columns: str) -> str:
+    """The rows of a query as text, in order."""
+    return f"(SELECT coalesce(string_agg({" || ':' || ".join(f"CAST({c} AS VARCHAR)" for c in columns)}, ',' ORDER BY {", ".join(columns)}), '') FROM ({_SQL[table]}))"
+
+
+_SIDE = {"symbol_stats": ("kind", "total", "unused"), "member_stats": ("member", "unused", "private", "classes"), "smell_stats": ("dimension", "value", "n"), "dependency_coverage": ("dep_type", "declared", "used", "unused")}
+_ENUMS, _BUNDLE = ("total_enums", "total_members", "unused_members"), ("modules", "total_bytes", "safe_bytes")
+
+
+@query(
+    f"""SELECT s.findings, s.external, i.*, {', '.join(f"e.{x} AS enum_{x}" for x in _ENUMS)}, {', '.join(f"b.{x} AS bundle_{x}" for x in _BUNDLE)}, {', '.join(f"{_listed('class_member_stats' if n == 'member_stats' else n, *cs)} AS {n}" for n, cs in _SIDE.items())}
+    FROM ({_SQL['statistics_row']}) s, (SELECT count(*) AS ignored_findings, {', '.join(f"count(*) FILTER (WHERE type = '{x}') AS ignored_{x}" for x in findings.BREAKDOWN)} FROM ({MATCHED}) WHERE matched_pattern IS NOT NULL) i, ({_SQL['enum_stats']}) e, ({_SQL['bundle_impact']}) b"""
+)
+def statistics_blocks(t):
+    symbols, ignored = _symbols(t), findings.split_ignored(t("finding"), IGNORES).where("matched_pattern is not null")
+    tables = {
+        "ignored": findings.ignored_block(ignored), "bundle_impact": graph.bundle_impact(_unreachable(t)), "symbol_stats": quality.symbol_stats(symbols), "member_stats": quality.member_stats(symbols), "enum_stats": quality.enum_stats(symbols),
+        "dependency_coverage": deps.coverage(t("dependency"), t("import")), "smell_stats": quality.smell_stats(quality.smells(symbols)),
+    }
+    row = findings.with_blocks(findings.statistics(t("finding"), t("module"), t("import")), tables)
+    listed = lambda name, columns: F.array_join(F.transform(name, lambda x: F.concat_ws(":", *(x[c].cast("string") for c in columns))), ",").alias(name)
+    return row.select(
+        "findings", "external", "ignored.ignored_findings", *(F.col(f"ignored.{x}").alias(f"ignored_{x}") for x in findings.BREAKDOWN), *(F.col(f"enum_stats.{x}").alias(f"enum_{x}") for x in _ENUMS),
+        *(F.col(f"bundle_impact.{x}").alias(f"bundle_{x}") for x in _BUNDLE), *(listed(n, cs) for n, cs in _SIDE.items()),
+    )
+
+
 def _triple(x: str, k: int) -> str:
     return f"TRY_CAST(nullif(regexp_extract({x}, '^([0-9]+)\\.([0-9]+)\\.([0-9]+)(-([0-9A-Za-z.-]+))?$', {k}), '') AS BIGINT)"
 

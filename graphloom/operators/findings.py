@@ -94,6 +94,26 @@ def statistics(findings: DataFrame, modules: DataFrame, imports: DataFrame) -> D
     return a.join(b, "one").join(c, "one").drop("one")  # a row each
 
 
+#: Side tables of the statistics row: name -> whether the table has one row (else a row a kind, type or severity: bounded by those).
+BLOCKS = {"ignored": True, "bundle_impact": True, "symbol_stats": False, "member_stats": False, "enum_stats": True, "dependency_coverage": False, "smell_stats": False}
+
+
+def with_blocks(row: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:  # C12
+    """The statistics row with a column for each side table, as a scalar subquery: a struct, or an array of structs in their order; null where a table is not given.
+
+    An array of an empty table is empty, the struct of a table without rows is null.
+    """
+    out = {}
+    for name, single in BLOCKS.items():
+        if name not in tables:
+            out[name] = F.lit(None)
+            continue
+        table = tables[name]
+        each = F.struct(*table.columns)
+        out[name] = table.agg((F.first(each) if single else F.array_sort(F.collect_list(each))).alias(name)).scalar()
+    return row.withColumns(out)
+
+
 def ignore_table(spark: SparkSession, patterns: list[str], defaults: bool = True) -> DataFrame:  # D22, D23
     """(idx, pattern, regex). Defaults stand before the given patterns, each put in front of the one before it, so the last default is first."""
     order = [*(reversed(DEFAULT_IGNORES) if defaults else ()), *(p for p in patterns if p)]
@@ -115,6 +135,11 @@ def ignored_breakdown(ignored: DataFrame) -> DataFrame:  # F12
     return ignored.agg(*(F.count_if(F.col("type") == t).alias(t) for t in BREAKDOWN))
 
 
+def ignored_block(ignored: DataFrame) -> DataFrame:  # C12, F12
+    """How many findings are ignored, and the breakdown: one row."""
+    return ignored.agg(F.count("*").alias("ignored_findings"), *(F.count_if(F.col("type") == t).alias(t) for t in BREAKDOWN))
+
+
 def recalculated(findings: DataFrame, patterns: list[str]) -> DataFrame:  # F13
     """Counters after the ignore patterns; stale_ columns hold those of before, which a compatible report would still show for circular_dependency."""
     kept = F.col("matched_pattern").isNull()

@@ -47,7 +47,7 @@ def options_of(given: dict, **other) -> Options:  # L7
 
 @dataclass
 class Result:
-    """findings, what the ignore patterns hide, one row of counters, errors, and lazy tables by name in `tables`."""
+    """findings, what the ignore patterns hide, one row of counters and of what the side tables say, errors, and lazy tables by name in `tables`."""
 
     findings: DataFrame
     ignored: DataFrame
@@ -184,8 +184,9 @@ def analyze(spark: SparkSession, files: DataFrame, options: Options | None = Non
         parts.append(base(deep.select(F.col("chain")[0].alias("path"), F.col("module_id").alias("name"), F.array_join("chain", ">").alias("detail")), "dependency_chain"))
         tables["chains"] = summary
     found = cut(findings.union_findings(parts), "findings")
-    statistics = findings.statistics(found, modules, imports)
     split = findings.split_ignored(found, options.ignores) if options.use_ignores else found.withColumn("matched_pattern", F.lit(None).cast("string"))
     kept = findings.retain(split.where("matched_pattern is null").drop("matched_pattern"), options.categories)
+    ignored = split.where("matched_pattern is not null")
+    statistics = findings.with_blocks(findings.statistics(found, modules, imports), {k: v for k, v in (tables | {"ignored": findings.ignored_block(ignored)}).items() if k in findings.BLOCKS})
     errors = spark.createDataFrame([] if options.entries or modules.where("is_entry").limit(1).count() else [("unknown", "no entry points", "Error")], "file string, message string, severity string")
-    return Result(kept, split.where("matched_pattern is not null"), statistics, errors, tables)
+    return Result(kept, ignored, statistics, errors, tables)

@@ -72,6 +72,8 @@ def test_every_kind_of_finding(spark):
     counted = got.statistics.first()
     assert all(counted[k] == sum(r["type"] == k for r in rows) for k in findings.COUNTED)
     assert counted["type_only_unused_export"] == 1
+    assert counted["ignored"]["ignored_findings"] == got.ignored.count() and counted["bundle_impact"] == got.tables["bundle_impact"].first()
+    assert all(counted[k] == sorted(got.tables[k].collect()) for k in ("symbol_stats", "member_stats")) and counted["enum_stats"] == got.tables["enum_stats"].first()
     assert sorted(r["framework"] for r in got.tables["frameworks"].collect()) == ["Next.js", "React"]  # suppression works within imports and within paths
     assert all(t.count() for t in got.tables.values())
     report = findings.render_report(got.findings, 2)
