@@ -42,16 +42,16 @@ def member_kind(raw: Column) -> Column:  # C5
     return F.coalesce(F.try_element_at(table, raw), F.lit("Method"))
 
 
-def smells(symbols: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:  # K1-K8, C10, J20
-    """One row for each metric over its threshold: path, name, line, smell, value, limit, severity, message, advice."""
+def smells(symbols: DataFrame, limits: dict[str, int] | None = None, more: tuple[str, ...] = ()) -> DataFrame:  # K1-K8, C10, J20
+    """One row for each metric over its threshold: path, name, line, smell, value, limit, severity, message, advice, and `more` columns of the symbols."""
     limits = thresholds(limits)
     found = []
     for name, kind, metric, _, _, said, advice in SMELLS:
         message = F.format_string(f"{kind} '%s' {said} (recommended: {limits[name]})", F.col("name"), F.col(metric))
         hit = (F.col("kind") == kind) & (F.col(metric) > limits[name])
         found.append(F.when(hit, F.struct(F.lit(name).alias("smell"), F.col(metric).alias("value"), F.lit(limits[name]).alias("threshold"), message.alias("message"), F.lit(advice).alias("advice"))))
-    each = symbols.where(~F.col("path").startswith("virtual:")).select("path", "symbol_id", "name", "line", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("s"))
-    return each.select("path", "symbol_id", "name", "line", "s.*", F.lit("Warning").alias("severity"))
+    each = symbols.where(~F.col("path").startswith("virtual:")).select("path", "symbol_id", "name", "line", *more, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("s"))
+    return each.select("path", "symbol_id", "name", "line", *more, "s.*", F.lit("Warning").alias("severity"))
 
 
 def smell_stats(found: DataFrame) -> DataFrame:  # F1
@@ -60,8 +60,8 @@ def smell_stats(found: DataFrame) -> DataFrame:  # F1
     return grouped.select(F.when(F.col("by_severity") == 1, "severity").otherwise("smell").alias("dimension"), F.coalesce("smell", "severity").alias("value"), "n")
 
 
-def unused_symbols(symbols: DataFrame) -> DataFrame:  # G5, D21
-    return symbols.where("not is_used and not is_exported and not startswith(name, '_') and not startswith(path, 'virtual:')").select("path", "symbol_id", "name", "kind", "line")
+def unused_symbols(symbols: DataFrame, *more: str) -> DataFrame:  # G5, D21
+    return symbols.where("not is_used and not is_exported and not startswith(name, '_') and not startswith(path, 'virtual:')").select("path", "symbol_id", "name", "kind", "line", *more)
 
 
 def symbol_stats(symbols: DataFrame) -> DataFrame:  # F9

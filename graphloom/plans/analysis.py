@@ -35,6 +35,7 @@ class Options:  # L7
     dependency_chains: bool = False
 
 
+SPAN = ("column", "offset")
 SWITCHES = ("symbols", "quality", "class_members", "enum_members", "npm_dependencies", "import_patterns", "dead_code_modules", "dependency_chains")
 
 
@@ -118,7 +119,7 @@ def member_rows(g: Graph) -> DataFrame:  # G7, G8
 
 
 def analyze(spark: SparkSession, files: DataFrame, options: Options | None = None, manifests: DataFrame | None = None, discovered: DataFrame | None = None) -> Result:
-    """Findings of type, path, name, is_type_only, size, line, verdict, reason and detail.
+    """Findings of type, path, name, is_type_only, size, line (from 1), column (in characters, from 0), offset (in bytes), verdict, reason and detail.
 
     files: (path, length, content). manifests: (path, content) of package manifests, for unused packages. discovered: (path) of source files
     found; those that are not in files are unreachable files. A module that is imported dynamically counts as used whole, since what is
@@ -129,7 +130,7 @@ def analyze(spark: SparkSession, files: DataFrame, options: Options | None = Non
     modules, imports, edges = g.modules, g.imports, g.edges
     inner = imports.where("resolved_to is not null")
     dead = cut(graph.with_safety(graph.unreachable_modules(modules, edges), inner), "unreachable")
-    fields = ("name", "size", "line", "verdict", "reason", "detail")
+    fields = ("name", "size", "line", "column", "offset", "verdict", "reason", "detail")
     base = lambda df, kind: df.select(F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), "path", F.col("is_type_only") if "is_type_only" in df.columns else F.lit(False).alias("is_type_only"), *(c for c in fields if c in df.columns))
     by = lambda test: imports.where(test).select(F.col("module_id").alias("path"), F.col("source").alias("name"))
     cycles = graph.cycle_summary(graph.components(edges), modules, dead).select(F.col("scc_id").alias("path"), F.col("total_size").alias("size"), F.col("members").alias("detail"))
@@ -150,21 +151,21 @@ def analyze(spark: SparkSession, files: DataFrame, options: Options | None = Non
         parts.append(base(sources.unreachable_files(discovered, modules), "unreachable_file"))
     if options.symbols:
         symbols = g.symbols.withColumn("kind", quality.symbol_kind(F.col("raw_kind")))
-        parts.append(base(quality.unused_symbols(symbols).withColumn("detail", F.col("kind")), "unused_symbol"))
+        parts.append(base(quality.unused_symbols(symbols, *SPAN).withColumn("detail", F.col("kind")), "unused_symbol"))
         tables["symbol_stats"] = quality.symbol_stats(symbols)
     if options.quality:
-        smells = quality.smells(g.symbols.withColumn("kind", quality.symbol_kind(F.col("raw_kind"))), options.thresholds)
+        smells = quality.smells(g.symbols.withColumn("kind", quality.symbol_kind(F.col("raw_kind"))), options.thresholds, SPAN)
         parts.append(base(smells.withColumns({"detail": F.col("message"), "reason": F.col("smell"), "verdict": F.col("severity")}), "code_smell"))
         tables["smell_stats"] = quality.smell_stats(smells)
     if options.class_members:
         members = member_rows(g).where("owner_kind = 'class'")
         kind = F.when(F.col("visibility") == "private", "unused_private_class_member").otherwise("unused_public_class_member")
-        parts.append(base(quality.unused_members(members, "line").withColumn("detail", F.concat_ws(" ", "owner", "member")), kind))
+        parts.append(base(quality.unused_members(members, "line", *SPAN).withColumn("detail", F.concat_ws(" ", "owner", "member")), kind))
         tables["member_stats"] = quality.member_stats(members)
     if options.enum_members:
         enums = member_rows(g).where("owner_kind = 'enum'")
         shown = F.concat_ws(" ", "owner", "value_kind", "value")
-        parts.append(base(quality.unused_enum_members(enums, "line").withColumn("detail", shown), "unused_enum_member"))
+        parts.append(base(quality.unused_enum_members(enums, "line", *SPAN).withColumn("detail", shown), "unused_enum_member"))
         tables["enum_stats"] = quality.enum_stats(enums)
     if options.npm_dependencies and manifests is not None:
         declared = cut(deps.manifest_rows(manifests), "declared")

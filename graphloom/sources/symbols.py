@@ -9,14 +9,16 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphloom.sources.files import blank, parse_reexports, parse_script
 
-SYMBOL = "name string, raw_kind string, line int, is_exported boolean, is_used boolean, line_count int, parameter_count int, method_count int, field_count int, complexity int, max_nesting_depth int, return_count int"
-MEMBER = "owner string, owner_kind string, name string, member_kind string, visibility string, enum_value string, line int, used_inside boolean"
+SYMBOL = "name string, raw_kind string, line int, column int, offset long, is_exported boolean, is_used boolean, line_count int, parameter_count int, method_count int, field_count int, complexity int, max_nesting_depth int, return_count int"
+MEMBER = "owner string, owner_kind string, name string, member_kind string, visibility string, enum_value string, line int, column int, offset long, used_inside boolean"
 IMPORT = "source string, kind string, names array<string>"
 EXPORT = "name string, kind string, is_type_only boolean"
 SCRIPT = f"path string, imports array<struct<{IMPORT}>>, exports array<struct<{EXPORT}>>, symbols array<struct<{SYMBOL}>>, members array<struct<{MEMBER}>>, accesses array<string>, reexports array<struct<source:string,name:string,origin_name:string>>"
@@ -102,7 +104,20 @@ def _function(plain: str, end: int, pairs: dict[int, int], is_arrow: bool) -> tu
     return plain[opened + 1 : closed], plain[begin + 1 : pairs[begin]]
 
 
-def _members(plain: str, lines: list[int], owner: str, begin: int, pairs: dict[int, int], words: Counter) -> list[dict]:
+def _places(text: str) -> Callable[[int], dict]:  # C4
+    """A function from a character's position to its line (from 1), its column in that line (in characters, from 0) and its offset in the text (in bytes of UTF-8)."""
+    lines = [m.start() for m in re.finditer("\n", text)]
+    wide = [] if text.isascii() else [k for k, c in enumerate(text) if c > "\x7f"]
+    more = [0, *accumulate(len(text[k].encode("utf-8", "surrogatepass")) - 1 for k in wide)]
+
+    def place(at: int) -> dict:
+        line = bisect_left(lines, at)
+        return {"line": line + 1, "column": at - (lines[line - 1] + 1 if line else 0), "offset": at + more[bisect_left(wide, at)]}
+
+    return place
+
+
+def _members(plain: str, place: Callable[[int], dict], owner: str, begin: int, pairs: dict[int, int], words: Counter) -> list[dict]:
     """Members of the class whose body opens at begin."""
     skeleton, at = _skeleton(plain, begin + 1, pairs[begin], pairs)
     found = []
@@ -112,14 +127,14 @@ def _members(plain: str, lines: list[int], owner: str, begin: int, pairs: dict[i
             continue
         kind = "ClassGetter" if accessor == "get" else "ClassSetter" if accessor == "set" else "ClassConstructor" if name == "constructor" else "ClassMethod" if tail == "(" else "ClassProperty"
         visibility = "private" if "private" in modifiers or name.startswith("#") else "protected" if "protected" in modifiers else "public"
-        found.append({"owner": owner, "owner_kind": "class", "name": name, "member_kind": kind, "visibility": visibility, "enum_value": None, "line": bisect_left(lines, at[m.start(3)]) + 1})
+        found.append({"owner": owner, "owner_kind": "class", "name": name, "member_kind": kind, "visibility": visibility, "enum_value": None, **place(at[m.start(3)])})
     declared = Counter(x["name"] for x in found)
     for x in found:
         x["used_inside"] = x["member_kind"] == "ClassConstructor" or words[x["name"]] > declared[x["name"]]
     return found
 
 
-def _enum(plain: str, text: str, lines: list[int], owner: str, begin: int, pairs: dict[int, int]) -> list[dict]:
+def _enum(plain: str, text: str, place: Callable[[int], dict], owner: str, begin: int, pairs: dict[int, int]) -> list[dict]:
     """Members of the enum whose body opens at begin; one without a value counts on from the one before it."""
     found, following, k, end = [], 0, begin + 1, pairs[begin]
     for part in _skeleton(plain, k, end, pairs)[0].split(","):
@@ -130,7 +145,7 @@ def _enum(plain: str, text: str, lines: list[int], owner: str, begin: int, pairs
             value = given[1].strip() if given else str(following) if following is not None else "computed"
             value = f'"{value[1:-1]}"' if value[:1] == "'" else value
             following = int(value) + 1 if re.fullmatch(r"-?\d+", value) else None
-            found.append({"owner": owner, "owner_kind": "enum", "name": name[1], "member_kind": None, "visibility": "public", "enum_value": value, "line": bisect_left(lines, at) + 1, "used_inside": False})
+            found.append({"owner": owner, "owner_kind": "enum", "name": name[1], "member_kind": None, "visibility": "public", "enum_value": value, **place(at), "used_inside": False})
             k = at + len(name[1])
     return found
 
@@ -138,7 +153,7 @@ def _enum(plain: str, text: str, lines: list[int], owner: str, begin: int, pairs
 def parse_symbols(text: str) -> tuple[list[dict], list[dict], list[str]]:  # G6, G7, G8
     """Symbols and members of a script's text as rows of SYMBOL and MEMBER, and the distinct property names it reads."""
     code, plain = blank(text, strings=False), blank(text, strings=True)
-    lines = [m.start() for m in re.finditer("\n", text)]
+    place = _places(text)
     pairs, words = _pairs(plain), Counter(_WORD.findall(blank(text, strings=True, templates=False)))
     listed = {x.strip().split(" as ")[0].strip() for m in _LISTED.finditer(plain) for x in (m[1] or m[2]).split(",")}
     heads = []
@@ -154,7 +169,7 @@ def parse_symbols(text: str) -> tuple[list[dict], list[dict], list[str]]:  # G6,
     symbols, members = [], []
     for m, word, name in heads:
         kind = _KIND.get(word, "Variable")
-        row = {"name": name, "raw_kind": kind, "line": bisect_left(lines, m.start(3)) + 1, "is_exported": bool(m[1]) or name in listed, "is_used": words[name] > declared[name]}
+        row = {"name": name, "raw_kind": kind, **place(m.start(3)), "is_exported": bool(m[1]) or name in listed, "is_used": words[name] > declared[name]}
         row |= dict.fromkeys(("line_count", "parameter_count", "method_count", "field_count", "complexity", "max_nesting_depth", "return_count"))
         own = _function(plain, m.end(), pairs, kind == "Variable") if kind in ("Function", "Variable") else None
         if own:
@@ -165,12 +180,12 @@ def parse_symbols(text: str) -> tuple[list[dict], list[dict], list[str]]:  # G6,
             }
         begin = plain.find("{", m.end()) if kind in ("Class", "Enum") else -1
         if begin >= 0 and kind == "Class":
-            inside = _members(plain, lines, name, begin, pairs, words)
+            inside = _members(plain, place, name, begin, pairs, words)
             fields = sum(x["member_kind"] == "ClassProperty" for x in inside)
             row |= {"line_count": plain.count("\n", begin, pairs[begin]) + 1, "method_count": len(inside) - fields, "field_count": fields}
             members += inside
         elif begin >= 0:
-            members += _enum(plain, code, lines, name, begin, pairs)
+            members += _enum(plain, code, place, name, begin, pairs)
         symbols.append(row)
     return symbols, members, sorted({a or b for a, b in _ACCESS.findall(blank(text, strings=False, templates=False))})
 

@@ -62,6 +62,8 @@ def test_every_kind_of_finding(spark):
     assert ("src/a.ts", "dead") in of("unused_symbol") and ("src/a.ts", "many") not in of("unused_symbol")
     assert of("unused_private_class_member") == [("src/g.ts", "hidden")]
     assert of("unused_public_class_member") == [("src/g.ts", "open")]
+    placed = [r for r in rows if r["type"] in ("unused_symbol", "code_smell", "unused_private_class_member", "unused_public_class_member", "unused_enum_member")]
+    assert placed and all(r["line"] and r["column"] is not None and r["offset"] >= r["column"] for r in placed)
     assert of("unused_enum_member") == [("src/g.ts", "Green")]
     assert [(r["path"], r["reason"], r["detail"]) for r in rows if r["type"] == "code_smell"] == [("src/a.ts", "TooManyParameters", "Function 'many' has 5 parameters (recommended: 4)")]
     assert [(r["path"], r["name"]) for r in rows if r["type"] == "unused_npm_dependency"] == [(None, "left-pad")]

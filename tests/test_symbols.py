@@ -61,3 +61,14 @@ def test_odd_texts():
     for text in ("", "}}}((", "function", "class X {", "enum E {", "const f = (", "`${", "'", "export {", "function f(", "class A { x = { y: 1 }"):
         parse_symbols(text)
         parse_script(text)
+
+
+def test_places_of_names():
+    text = "// é – 𝔸\nconst über = 'ß', $b = 1\r\n  export function café() { return 1 }\nclass Ö { private ñ = 1; get α() { return 1 } }\nenum E { Ä = 1, B }\n" + TEXT
+    for source in (text, TEXT):
+        symbols, members, _ = parse_symbols(source)
+        lines, data = source.split("\n"), source.encode()
+        assert symbols and members
+        for x in symbols + members:
+            assert lines[x["line"] - 1][x["column"] :].startswith(x["name"]), x
+            assert data[x["offset"] :].startswith(x["name"].encode()), x
