@@ -9,17 +9,21 @@ import re
 import tempfile
 import tomllib
 from dataclasses import asdict, dataclass, field
+from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import expand_braces, gitignore_to_glob, glob_to_regex
 from graphloom.sources.files import EXTENSIONS, check_entry
 from graphloom.sources.rule_files import RuleFile
+from graphloom.streaming.polling import CHECK_MINUTES
 
 #: Most files in files mode, longest id and name.
 MOST_FILES, MOST_ID, MOST_NAME = 1000, 50, 100
+#: Settings that a project may override.
+OWN_SETTINGS = ("fetch_changelogs", "include_dev_deps", "registry_only")
 
 
 def detect_target(paths: list[str]) -> tuple[str, list[str]]:  # L11, D34
@@ -101,6 +105,18 @@ def atomic_write(path: str, text: str, mode: int = 0o600) -> None:  # B7, A25
         raise
 
 
+@dataclass
+class Settings:  # A25
+    """What holds for all projects. Names and defaults."""
+
+    check_interval_minutes: int = CHECK_MINUTES
+    max_concurrent_checks: int = 5
+    enable_notifications: bool = True
+    fetch_changelogs: bool = False
+    include_dev_deps: bool = True
+    registry_only: bool = True
+
+
 @dataclass
 class Project:  # A25, L10
     id: str
@@ -109,6 +125,8 @@ class Project:  # A25, L10
     enabled: bool = True
     members_enabled: list[str] = field(default_factory=list)
     members_disabled: list[str] = field(default_factory=list)
+    last_checked: datetime | None = None
+    settings: dict[str, bool] = field(default_factory=dict)  # overrides of OWN_SETTINGS
 
     def __post_init__(self):  # D33
         if not re.fullmatch(r"[A-Za-z0-9](?:[A-Za-z0-9_-]*[A-Za-z0-9])?", self.id) or len(self.id) > MOST_ID:
@@ -117,6 +135,17 @@ class Project:  # A25, L10
             raise ValueError(f"bad project name: {self.name!r}")
         if ".." in posixpath.normpath(self.path).split("/"):
             raise ValueError(f"bad project path: {self.path!r}")
+        if not set(self.settings) <= set(OWN_SETTINGS):
+            raise ValueError(f"bad project settings: {sorted(self.settings)}")
+
+
+def _toml(value) -> str:
+    """A value as TOML: JSON strings, numbers and lists are TOML too."""
+    if isinstance(value, datetime):
+        return value.isoformat()
+    if isinstance(value, dict):
+        return "{" + ", ".join(f"{k} = {_toml(v)}" for k, v in value.items()) + "}"
+    return json.dumps(value)
 
 
 class Projects:  # L10
@@ -125,13 +154,16 @@ class Projects:  # L10
     def __init__(self, path: str):
         self.path = path
         self.items: dict[str, Project] = {}
+        self.settings = Settings()
         if os.path.isfile(path):
-            for p in tomllib.loads(Path(path).read_text()).get("projects", []):
+            kept = tomllib.loads(Path(path).read_text())
+            self.settings = Settings(**kept.get("settings", {}))
+            for p in kept.get("projects", []):
                 self.items[p["id"]] = Project(**p)
 
     def save(self) -> None:
-        quoted = lambda v: json.dumps(v) if not isinstance(v, bool) else str(v).lower()  # noqa: E731  JSON strings and lists are TOML too
-        text = "".join("[[projects]]\n" + "".join(f"{k} = {quoted(v)}\n" for k, v in asdict(p).items()) + "\n" for p in self.items.values())
+        lines = lambda values: "".join(f"{k} = {_toml(v)}\n" for k, v in values.items() if v is not None)
+        text = f'version = "1.0"\n\n[settings]\n{lines(asdict(self.settings))}\n' + "".join(f"[[projects]]\n{lines(asdict(p))}\n" for p in self.items.values())
         atomic_write(self.path, text)
 
     def add(self, project: Project) -> None:
@@ -148,3 +180,19 @@ class Projects:  # L10
     def validate(self) -> list[str]:
         """Ids of projects whose folder is missing."""
         return [p.id for p in self.items.values() if not os.path.isdir(p.path)]
+
+    def checked(self, id_: str, at: datetime) -> None:
+        """A check of the project; an earlier one than the last changes nothing."""
+        last = self.items[id_].last_checked
+        self.items[id_].last_checked = at if last is None else max(last, at)
+
+    def setting(self, id_: str, name: str) -> bool | int:
+        """What holds for one project: its own override, else the setting for all."""
+        return self.items[id_].settings.get(name, getattr(self.settings, name))
+
+    def watched(self, spark: SparkSession, at: datetime | None = None) -> DataFrame:
+        """The registry as rows (project, at, minutes, enabled) for streaming.due_state.due_log: the settings, holding from `at` (now) on, and the last check of each that had one."""
+        since = at or datetime.now(UTC)
+        rows = [(p.id, since, self.settings.check_interval_minutes, p.enabled) for p in self.items.values()]
+        rows += [(p.id, p.last_checked, None, None) for p in self.items.values() if p.last_checked]
+        return spark.createDataFrame(rows, "project string, at timestamp, minutes int, enabled boolean")

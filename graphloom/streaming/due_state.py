@@ -76,7 +76,7 @@ def due_log(checks: DataFrame, minutes: int = CHECK_MINUTES, late: str = "2 hour
 
     A row with neither minutes nor enabled is a check; one with either is a change of settings from `at` on, and of two the later holds.
     Now is the watermark, `late` behind the newest row: a project is due once its last check is its interval behind that, or if it is
-    enabled and was never checked. A row behind the watermark is dropped, so `late` is the longest that a check may be on its way. Rows
+    enabled and was never checked. A row not after the watermark is dropped, so `late` is the longest that a check may be on its way. Rows
     without project or time are left out. State grows with projects, not with checks.
     """
     rows = checks.where("project is not null and at is not null").select(F.col("project").cast("string").alias("project"), F.unix_micros("at").alias("us"), F.col("minutes").cast("long").alias("minutes"), F.col("enabled").cast("boolean").alias("enabled"))

@@ -58,3 +58,24 @@ def test_equals_the_table(spark, tmp_path):
     got = {(r["project"], str(r["last_checked"])) for r in due_state.due_now(spark.read.schema(due_state.LOG).parquet(str(tmp_path / "log"))).collect()}
     want = {(str(r["user_id"]), r["last_checked"]) for r in polling.due_projects(events.withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz")), "2024-01-31 00:00:00").collect()}
     assert {(p, x[:19]) for p, x in got} == want and want
+
+
+def test_the_registry_feeds_the_stream(spark, tmp_path):
+    from graphloom.plans.entries import Project, Projects, Settings
+
+    path = str(tmp_path / "projects.toml")
+    kept = Projects(path)
+    kept.settings.check_interval_minutes = 30
+    for id_ in ("never", "once", "off"):
+        kept.add(Project(id_, id_, str(tmp_path), settings={"registry_only": False} if id_ == "once" else {}))
+    for minute in (5, 1):
+        kept.checked("once", at(minute).replace(tzinfo=dt.UTC))
+    kept.enable("off", False)
+    kept.save()
+    again = Projects(path)
+    assert again.items == kept.items and again.settings == Settings(check_interval_minutes=30)
+    assert [again.setting(x, "registry_only") for x in ("never", "once")] == [True, False]
+    run = Run(spark, tmp_path, late="0 seconds")
+    own = lambda m: [*again.watched(spark, at(0)).collect(), ("clock", at(m), None, None)]
+    assert run.step(own(34)) == {"never": None}
+    assert run.step([("clock", at(35), None, None)]) == {"never": None, "once": at(5)}
