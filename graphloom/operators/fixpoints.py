@@ -18,8 +18,10 @@ from graphloom.storage import cut, cut_counting, release
 
 #: Fronts of a search that are read side by side before they are written together.
 MOST_FRONTS = 24
-#: Contracting and trimming go on while they take away at least this share.
-WORTH = 8
+#: Contracting goes on while it takes away at least this share, trimming (a round costs less than one of the labels, which it saves many of) this one.
+WORTH, TRIM_WORTH = 8, 64
+#: Labels go round over all nodes while at least this share of them moves, else only what moved is followed, for at most so many rounds before all are gone over again.
+FEW, FEW_ROUNDS = 16, 12
 
 
 def simple(edges: DataFrame) -> DataFrame:
@@ -106,10 +108,12 @@ def _least_before(edges: DataFrame) -> DataFrame:
     """(node, label): the least number among the nodes of edges (a, b) that have a path to the node, itself included.
 
     Each round a node hears from every way in, from its pointer, some node with a path to it that doubles its distance each round (a
-    shortcut over chains and rings), and from the node its label names (a shortcut where edges go both ways).
+    shortcut over chains and rings), and from the node its label names (a shortcut where edges go both ways). Once few labels move, rounds
+    only follow those, over edges and pointers, and leave the other nodes unwritten.
     """
     ways = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
     state = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().join(ways, "node", "left").select("node", F.col("node").alias("label"), F.coalesce("up", "node").alias("up"), F.lit(True).alias("moved")), "labels")
+    nodes = None
     while True:
         heard = edges.join(state.where("moved").select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
         over = state.select(F.col("node").alias("up"), F.col("label").alias("over"), F.col("up").alias("up2"))
@@ -119,8 +123,33 @@ def _least_before(edges: DataFrame) -> DataFrame:
         done, moved = cut_counting(step, "labels", F.col("moved"))
         release(state)
         state = done
+        nodes = state.count() if nodes is None else nodes
+        if moved and moved < nodes / FEW:
+            state, moved = _follow(edges, state)
         if not moved:
-            return done
+            return state
+
+
+def _follow(edges: DataFrame, state: DataFrame) -> tuple[DataFrame, int]:
+    """FEW_ROUNDS rounds of labels from the nodes of state that moved, along edges and pointers; the state after them, and how many moved in the last."""
+    ways = edges.union(state.where("up <> node").select("up", "node")).toDF("a", "b")
+    front, size, fronts = state.where("moved").select("node", "label"), 1, []
+    while size and len(fronts) < FEW_ROUNDS:
+        heard = front.select(F.col("node").alias("a"), F.col("label").alias("heard")).join(ways, "a").groupBy(F.col("b").alias("node")).agg(F.min("heard").alias("heard"))
+        less = heard.join(state.select("node", "label"), "node").where("heard < label").select("node", "heard")
+        if fronts:
+            less = less.join(_least_of(fronts), "node", "left").where("newer is null or heard < newer")
+        front, size = cut_counting(less.select("node", F.col("heard").alias("label")), "moved", F.lit(True))
+        fronts.append(front)
+    last = fronts[-1].select("node", F.lit(True).alias("again"))
+    after = state.select("node", "label", "up").join(_least_of(fronts), "node", "left").join(last, "node", "left")
+    done = cut(after.select("node", F.least("label", F.coalesce("newer", "label")).alias("label"), "up", F.coalesce("again", F.lit(False)).alias("moved")), "labels")
+    release(state, *fronts)
+    return done, size
+
+
+def _least_of(fronts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, fronts).groupBy("node").agg(F.min("label").alias("newer"))
 
 
 def components(edges: DataFrame, trim: bool = True) -> DataFrame:  # G1
@@ -131,7 +160,7 @@ def components(edges: DataFrame, trim: bool = True) -> DataFrame:  # G1
     are random, the parts shrink as in quicksort, so a chain of components takes logarithmically many rounds too. Before each round nodes
     without a way in or out are trimmed while that pays.
     """
-    edges = simple(edges)
+    edges = cut(simple(edges), "edges")  # read several times
     live, numbers = _numbered(edges)
     found: list[DataFrame] = []
     size = live.count()
@@ -140,7 +169,7 @@ def components(edges: DataFrame, trim: bool = True) -> DataFrame:  # G1
             pruned, left = cut_counting(live.join(live.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(live.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "live", F.lit(True))
             release(live)
             before, live, size = size, pruned, left
-            if before - size < before / WORTH:
+            if before - size < before / TRIM_WORTH:
                 break
         if not size:
             break

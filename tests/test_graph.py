@@ -105,3 +105,17 @@ def test_star_reexports_have_no_bound(spark):
     taken = spark.createDataFrame([(8, 0, "Static", "Named", "deep")], "module_id long, resolved_to long, kind string, specifier string, name string")
     stars = spark.createDataFrame([(k, k + 1) for k in range(6)] + [(7, 8), (8, 7)], "module_id long, origin long")
     assert sorted(r["name"] for r in graph.unused_exports(modules, exports, taken, stars).collect()) == ["other", "ring"]
+
+
+def test_late_rounds_follow_what_moved(spark, monkeypatch):
+    """A ring of 30 with a second way into every node keeps a few labels moving long after 400 pairs have settled: those rounds write only what moved, and the edges are derived once."""
+    from graphloom.operators import fixpoints
+
+    names, cut, counting = [], fixpoints.cut, fixpoints.cut_counting
+    monkeypatch.setattr(fixpoints, "cut", lambda df, name: names.append(name) or cut(df, name))
+    monkeypatch.setattr(fixpoints, "cut_counting", lambda df, name, test: names.append(name) or counting(df, name, test))
+    ring = [e for k in range(30) for e in ((k, (k + 1) % 30), (100 + k, k), (k, 100 + k))]
+    pairs = [e for k in range(400) for e in ((1000 + 2 * k, 1001 + 2 * k), (1001 + 2 * k, 1000 + 2 * k))]
+    want = [(k, 0) for k in (*range(30), *range(100, 130))] + [(k, k - k % 2) for k in range(1000, 1800)]
+    assert sccs(spark, ring + pairs) == want
+    assert "edges" in names and "moved" in names
