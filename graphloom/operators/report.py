@@ -63,13 +63,13 @@ def containing(a: DataFrame, b: DataFrame, size: int = GRAM) -> DataFrame:  # E1
     sizes = [size, *(r[0] for r in both.select(F.length("path").alias("n")).where(F.col("n") < size).distinct().collect())]  # at most `size` values
     pieces = lambda df, k: df.where(F.length("path") >= k).select("name", "path", F.explode(grams(F.col("path"), k)).alias("piece"))
     common = pieces(both, size).groupBy("name", "piece").count()
-    rare = pieces(both, size).join(common, ["name", "piece"]).groupBy("name", "path").agg(F.min_by("piece", F.struct("count", "piece")).alias("piece"))
+    rare = pieces(both, size).join(common.hint("merge"), ["name", "piece"]).groupBy("name", "path").agg(F.min_by("piece", F.struct("count", "piece")).alias("piece"))
     rare = cut(rare.union(both.where(F.length("path") < size).select("name", "path", F.col("path").alias("piece"))), "rare")
 
     def within(inner: DataFrame, outer: DataFrame, names: tuple[str, str]) -> DataFrame:
-        own = inner.join(rare, ["name", "path"]).withColumnRenamed("path", "inner")
+        own = inner.join(rare.hint("merge"), ["name", "path"]).withColumnRenamed("path", "inner")
         around = reduce(DataFrame.union, (pieces(outer, k) for k in sizes)).withColumnRenamed("path", "outer")
-        hit = own.join(around, ["name", "piece"]).where(F.col("outer").contains(F.col("inner")))
+        hit = own.hint("merge").join(around, ["name", "piece"]).where(F.col("outer").contains(F.col("inner")))
         return hit.select("name", F.col("inner").alias(names[0]), F.col("outer").alias(names[1])).select("name", "a", "b")
 
     return cut(within(a, b, ("a", "b")).union(within(b, a, ("b", "a"))).distinct(), "containing")
@@ -85,8 +85,8 @@ def accuracy(findings: DataFrame, truth: DataFrame, compat: bool = False) -> Dat
     own = lambda df, *more: df.select(normalized(F.col("path")).alias("path"), F.coalesce(F.lower("name"), F.lit("")).alias("name"), *more)
     f, t = own(findings).groupBy("path", "name").agg(F.count("*").alias("n")), own(truth, "position", "is_unused")
     first = t.groupBy("path", "name").agg(F.min(F.when(F.col("is_unused"), F.col("position"))).alias("unused"), F.bool_or(~F.col("is_unused")).alias("used"))
-    pairs = containing(f, t).join(first.withColumnRenamed("path", "b"), ["name", "b"]).groupBy(F.col("a").alias("path"), "name").agg(F.min("unused").alias("unused"), F.bool_or("used").alias("used"))
-    each = f.join(pairs, ["path", "name"], "left")
+    pairs = containing(f, t).hint("merge").join(first.withColumnRenamed("path", "b"), ["name", "b"]).groupBy(F.col("a").alias("path"), "name").agg(F.min("unused").alias("unused"), F.bool_or("used").alias("used"))
+    each = f.join(pairs.hint("merge"), ["path", "name"], "left")
     right = F.col("unused").isNotNull() | (F.lit(compat) & F.col("used").isNull())
     wrong = F.col("unused").isNull() & F.coalesce("used", F.lit(False))
     sum_of = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))

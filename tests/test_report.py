@@ -23,3 +23,12 @@ def test_accuracy_takes_the_first_match(spark):
     row = report.accuracy(*frames).first()
     assert (row["tp"], row["fp"], row["fn"]) == (3, 1, 2)
     assert report.accuracy(*frames, compat=True).first()["tp"] == 5
+
+
+def test_pieces_are_not_broadcast(spark, monkeypatch):
+    """Files of paths are small and their pieces are not, so no join of pieces may be planned by the size of the paths' files."""
+    plans, cut = [], report.cut
+    monkeypatch.setattr(report, "cut", lambda df, name: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or cut(df, name))
+    rows = spark.createDataFrame([("x", "src/foo.ts"), ("x", "foo.ts"), ("y", "src/bar.ts.bak")], "name string, path string")
+    assert report.containing(rows, rows).count() == 5
+    assert sum(x.count("SortMergeJoin") for x in plans) == 5 and not any("BroadcastHashJoin" in x for x in plans)
