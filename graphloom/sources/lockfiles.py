@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.storage import spread
+
 LOCKED = "lockfile string, name string, version string, checksum string, resolved string"
 
 
@@ -22,10 +24,11 @@ def pnpm_lock(files: DataFrame, compat: bool = False) -> DataFrame:  # A12
     def run(batches):
         import yaml
 
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)  # the same results, in C where it is built
         for pdf in batches:
             out = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                for key, p in ((yaml.safe_load(content) or {}).get("packages") or {}).items():
+                for key, p in ((yaml.load(content, loader) or {}).get("packages") or {}).items():
                     text = key.strip("/")
                     if compat:
                         parts = text.split("/")
@@ -42,7 +45,7 @@ def pnpm_lock(files: DataFrame, compat: bool = False) -> DataFrame:  # A12
                     out.append((path, name, version, resolution.get("integrity"), resolution.get("tarball")))
             yield pd.DataFrame(out, columns=["lockfile", "name", "version", "checksum", "resolved"])
 
-    return files.select("path", "content").mapInPandas(run, LOCKED)
+    return spread(files.select("path", "content")).mapInPandas(run, LOCKED)
 
 
 def yarn_lock(files: DataFrame) -> DataFrame:  # A13
@@ -58,7 +61,7 @@ def cargo_lock(files: DataFrame) -> DataFrame:  # A14
             out = [(path, p.get("name"), p.get("version"), p.get("checksum"), p.get("source")) for path, content in zip(pdf["path"], pdf["content"], strict=True) for p in tomllib.loads(content).get("package", [])]
             yield pd.DataFrame(out, columns=["lockfile", "name", "version", "checksum", "resolved"])
 
-    return files.select("path", "content").mapInPandas(run, LOCKED)
+    return spread(files.select("path", "content")).mapInPandas(run, LOCKED)
 
 
 def collapsed(locked: DataFrame) -> DataFrame:
@@ -90,7 +93,7 @@ def cargo_manifest(files: DataFrame) -> DataFrame:  # A10
                             out.append((path, own.get("name"), version if isinstance(version, str) else "0.0.0", package, d.get("version", "*"), kind, list(d.get("features", [])), bool(d.get("workspace", False)), d.get("git") or d.get("path")))
             yield pd.DataFrame(out, columns=columns)
 
-    return files.select("path", "content").mapInPandas(run, "path string, name string, version string, package string, version_req string, dep_type string, features array<string>, workspace boolean, source string")
+    return spread(files.select("path", "content")).mapInPandas(run, "path string, name string, version string, package string, version_req string, dep_type string, features array<string>, workspace boolean, source string")
 
 
 def cargo_members(files: DataFrame) -> DataFrame:  # A16
@@ -103,4 +106,4 @@ def cargo_members(files: DataFrame) -> DataFrame:  # A16
             out = [(path, m) for path, content in zip(pdf["path"], pdf["content"], strict=True) for m in tomllib.loads(content).get("workspace", {}).get("members", [])]
             yield pd.DataFrame(out, columns=["path", "member"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, member string")
+    return spread(files.select("path", "content")).mapInPandas(run, "path string, member string")

@@ -37,6 +37,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as a shuffle has: a table of small rows is one partition, whatever work in Python each row makes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def cut_counting(df: DataFrame, name: str, test: Column) -> tuple[DataFrame, int]:
     """cut(), and how many of the rows written pass the test: counted in passing, without a job of its own."""
     seen = Observation()

@@ -135,3 +135,13 @@ def test_stream(spark, tmp_path):
     whole = polling.sessions(events)
     assert 0 < got.count() <= whole.count()
     assert got.exceptAll(whole).count() == 0
+
+
+def test_parsers_are_spread(spark):
+    """A lockfile a row in one partition is parsed in as many tasks as a shuffle has."""
+    from graphloom.sources import lockfiles
+
+    files = spark.range(0, 40, 1, 1).selectExpr("concat('f', id) as path", "concat('packages:\\n  p', id, '@1.0:\\n    resolution: {integrity: sha', id, '}\\n') as content")
+    rows = lockfiles.pnpm_lock(files)
+    assert sorted(r["checksum"] for r in rows.collect()) == sorted(f"sha{k}" for k in range(40))
+    assert rows.selectExpr("spark_partition_id() as p").distinct().count() > 1
