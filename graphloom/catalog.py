@@ -11,7 +11,7 @@ from graphloom.functions import registry, text, versions
 from graphloom.operators import chains, deps, detection, findings, graph, patterns, quality, report, rules
 from graphloom.sources import rule_files
 from graphloom.sources.testdata import frame, with_adapters
-from graphloom.storage import scratch_path
+from graphloom.storage import scratch_path, spread
 from graphloom.streaming import due_state, polling
 
 _QUERIES: dict[str, Callable] = {}
@@ -665,7 +665,7 @@ def changelog_lateral(t):
 def brace_lateral(t):
     from graphloom.functions.tables import register_tables
 
-    rows = t("part").select("p_partkey", F.expr("'src/{a,m' || p_partkey || '}/x.{ts,js,}'").alias("glob"))
+    rows = spread(t("part")).select("p_partkey", F.expr("'src/{a,m' || p_partkey || '}/x.{ts,js,}'").alias("glob"))
     register_tables(rows.sparkSession)
     return rows.sparkSession.sql("SELECT p.p_partkey, e.* FROM {rows} p, LATERAL brace_expansions(p.glob, true) e", rows=rows)
 

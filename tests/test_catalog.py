@@ -23,3 +23,10 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(catalog.queries()) == set(catalog.oracle_sql())
+
+
+def test_brace_lateral_is_spread(spark):
+    from graphloom import catalog
+
+    rows = catalog.queries()["brace_lateral"](spark, "/root/testdata/sf0.001")
+    assert rows.selectExpr("spark_partition_id() as p").distinct().count() > 1
