@@ -394,8 +394,12 @@ def json_report(t):
 # --- rules and detection -----------------------------------------------------------------------
 
 
-def _rule_rows(t) -> DataFrame:
-    return rules.rule_rows(t("module"), t("export"), t("specifier"))
+def _rule_rows(t, asked: list[rules.Rule] | None = None) -> DataFrame:
+    return rules.rule_rows(t("module"), t("export"), t("specifier"), asked)
+
+
+def _rule_hits(t, rule: rules.Rule) -> DataFrame:
+    return _rule_rows(t, [rule]).where(rule.predicate()).select("module_id", "path", "name")
 
 
 _IMPORTS = "EXISTS (SELECT 1 FROM {specifier} s WHERE s.module_id = e.module_id AND "
@@ -421,7 +425,7 @@ CONDITIONS: dict[str, tuple[dict, str]] = {
 }
 EXPORTS = "SELECT x.*, m.path FROM {export} x JOIN {module} m ON m.module_id = x.module_id"
 for _key, (_match, _where) in CONDITIONS.items():
-    query(f"SELECT module_id, path, name FROM ({EXPORTS}) e WHERE {_where}", f"rule_{_key}")(lambda t, m=_match, k=_key: _rule_rows(t).where(rules.Rule(k, m).predicate()).select("module_id", "path", "name"))
+    query(f"SELECT module_id, path, name FROM ({EXPORTS}) e WHERE {_where}", f"rule_{_key}")(lambda t, m=_match, k=_key: _rule_hits(t, rules.Rule(k, m)))
 
 
 @query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND length(text) <= 10485760 AND regexp_matches(text, 'icensed under|@public')")
@@ -437,7 +441,8 @@ MATCHES = f"SELECT x.* FROM ({_hits(False)}) x LEFT JOIN (SELECT module_id, min(
 
 
 def _matches(t) -> DataFrame:
-    return rules.evaluate(_rule_rows(t), [rules.Rule(n, CONDITIONS[n][0]) for n in ORDERED], rules.module_rows(t("module"), t("specifier")))
+    asked = [rules.Rule(n, CONDITIONS[n][0]) for n in ORDERED]
+    return rules.evaluate(_rule_rows(t, asked), asked, rules.module_rows(t("module"), t("specifier"), asked))
 
 
 @query(f"SELECT module_id, name, CAST(rule_idx AS INTEGER) AS rule_idx, rule FROM ({MATCHES})")

@@ -149,17 +149,35 @@ def import_arrays(specifiers: DataFrame) -> DataFrame:
     return each.groupBy("module_id").agg(F.collect_list(F.struct("source", "names", "has_default", "has_namespace")).alias("imports"))
 
 
-def rule_rows(modules: DataFrame, exports: DataFrame, specifiers: DataFrame) -> DataFrame:
-    """Exports with their module's path and imports, as the rules read them."""
+def import_test(rules: Sequence[Rule]) -> Column:
+    """Whether some condition of the rules can hold for an import's source: an import that fails it changes no predicate. Without conditions on imports none can."""
+    held = F.lit(False)
+    for m in (r.match for r in rules):
+        if "import_from" in m:
+            held = held | F.col("source").isin(*_many(m["import_from"]))
+        if "import_from_pattern" in m:
+            held = held | F.col("source").rlike(m["import_from_pattern"])
+        if "not_import_from" in m:
+            held = held | F.col("source").isin(*_many(m["not_import_from"]))
+        if any(k in m for k in ("import_specifiers", "import_default", "import_namespace")) and not ("import_from" in m or "import_from_pattern" in m):
+            return F.lit(True)
+    return held
+
+
+def _with_imports(rows: DataFrame, specifiers: DataFrame, rules: Sequence[Rule] | None) -> DataFrame:
     empty = F.array().cast("array<struct<source:string,names:array<string>,has_default:boolean,has_namespace:boolean>>")
-    rows = exports.join(modules.select("module_id", "path"), "module_id").join(import_arrays(specifiers), "module_id", "left")
-    return rows.withColumn("imports", F.coalesce("imports", empty))
+    read = specifiers if rules is None else specifiers.where(import_test(rules))
+    return rows.join(import_arrays(read), "module_id", "left").withColumn("imports", F.coalesce("imports", empty))
 
 
-def module_rows(modules: DataFrame, specifiers: DataFrame) -> DataFrame:
+def rule_rows(modules: DataFrame, exports: DataFrame, specifiers: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """Exports with their module's path and imports, as the rules read them; given rules, only the imports that one of them can ask for."""
+    return _with_imports(exports.join(modules.select("module_id", "path"), "module_id"), specifiers, rules)
+
+
+def module_rows(modules: DataFrame, specifiers: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """Modules with their imports, as file rules read them: like an export without a name."""
-    empty = F.array().cast("array<struct<source:string,names:array<string>,has_default:boolean,has_namespace:boolean>>")
-    rows = modules.join(import_arrays(specifiers), "module_id", "left").withColumn("imports", F.coalesce("imports", empty))
+    rows = _with_imports(modules, specifiers, rules)
     return rows.withColumns({"name": F.lit(None).cast("string"), "is_type_only": F.lit(False), "usage_count": F.lit(None).cast("long")})
 
 

@@ -104,3 +104,21 @@ def test_export_types(spark):
     assert got("const") == [True, False, True, False, False]
     assert got("class") == [True, True, False, False, True]
     assert got("type") == [False, False, False, True, False]
+
+
+def test_only_imports_that_a_rule_asks_for(spark):
+    """Arrays hold the imports that some rule can ask for, and every predicate gives what it gives over all of them."""
+    modules = spark.createDataFrame([(k, f"{k}.ts") for k in range(5)], "module_id long, path string")
+    exports = modules.select("module_id", F.lit("x").alias("name"), F.lit(False).alias("is_type_only"), F.lit(0).cast("long").alias("usage_count"))
+    given = [(0, "react", "Default", "default"), (0, "vue", "Named", "a"), (1, "vue", "Namespace", "*"), (2, "preact", "Named", "b"), (3, "vue/x", "Default", "default")]
+    specifiers = spark.createDataFrame(given, "module_id long, source string, specifier string, name string")
+    everything = rules.rule_rows(modules, exports, specifiers)
+    for match, most in [
+        ({"import_from": "react", "import_specifiers": ["default"]}, 1), ({"not_import_from": ["vue", "preact"]}, 1), ({"import_from_pattern": "^vue"}, 1), ({"import_default": True}, 2), ({"export_name": "x"}, 0),
+        ({"import_from": ["react"], "not_import_from": ["vue"]}, 2),
+    ]:
+        rule = rules.Rule("r", match)
+        rows = rules.rule_rows(modules, exports, specifiers, [rule])
+        ids = lambda df, r=rule: sorted(x["module_id"] for x in df.where(r.predicate()).collect())
+        assert ids(rows) == ids(everything)
+        assert rows.agg(F.max(F.size("imports"))).first()[0] == most
