@@ -126,6 +126,7 @@ def chains(entries: DataFrame, edges: DataFrame, over: int = 5) -> DataFrame:  #
 
 def dead_modules(modules: DataFrame, edges: DataFrame) -> DataFrame:  # G14
     """Modules that something imports, and only unreachable modules do: importers of an unreachable module are themselves unreachable, so one pass decides."""
+    edges = cut(edges.select("src", "dst"), "edges")  # read by the search and for the importers
     seen = reachable(modules.where("is_entry").select("module_id"), edges).withColumn("live", F.lit(True))
     importers = edges.join(seen.withColumnRenamed("module_id", "src"), "src", "left").groupBy(F.col("dst").alias("module_id")).agg(F.count("*").alias("importers"), F.bool_or(F.coalesce("live", F.lit(False))).alias("any_live"))
     return modules.where(~F.col("is_entry") & not_virtual(F.col("path"))).join(importers.where("not any_live"), "module_id").select("module_id", "path", "importers")
