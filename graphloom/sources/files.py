@@ -6,7 +6,7 @@ import os
 import posixpath
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +70,7 @@ def check_entry(path: str) -> str:  # D32
 
 
 _BLANK = re.compile(r"""(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<template>`(?:\\.|[^`\\])*`)|//[^\n]*|/\*.*?\*/""", re.S)
+_MARKED = re.compile(r"""["'`]|/[/*]""")
 _IMPORT = re.compile(r"""\bimport\s+(type\s+)?(?:([\w$]+)\s*,?\s*)?(?:\{([^}]*)\}|\*\s*as\s+([\w$]+))?\s*(?:from\s*)?["']([^"']+)["']""")
 _DYNAMIC = re.compile(r"""\bimport\s*\(\s*(["'`])([^"'`$]+)\1\s*\)""")
 _REQUIRE = re.compile(r"""(?:(?P<line>^[ \t]*)|\b(?:const|let|var)\s+(?P<all>[\w$]+|\{[^}]*\})\s*=\s*|(?<![\w$.]))require\s*\(\s*["'](?P<source>[^"']+)["']\s*\)(?:\.(?P<member>[\w$]+))?""", re.M)
@@ -83,6 +84,8 @@ _VALUES = re.compile(r"\bexport\s+(?:declare\s+)?(?:const|let|var)\b(?!\s+enum\b
 
 def blank(text: str, strings: bool, templates: bool = True) -> str:
     """The text with comments as blanks, and strings and templates too where asked; every character keeps its place and line."""
+    if not _MARKED.search(text):
+        return text
     keep = lambda m: m["string"] and not strings or m["template"] and not templates
     return _BLANK.sub(lambda m: m[0] if keep(m) else re.sub(r"[^\n]", " ", m[0]), text)
 
@@ -167,29 +170,37 @@ def parse_reexports(text: str) -> list[tuple]:  # G3
     return out
 
 
-def parse_script(text: str, passed_on: str = "Static") -> tuple[list[tuple], list[tuple]]:  # A24
-    """Imports (source, kind, names) and exports (name, kind, is_type_only) of a script's text, by tokens: comments and templates are blanked first. Approximate: no scopes, no expressions.
-
-    What is required counts as an import: of the names that are bound or read from it at once, else of the whole module. A whole module
-    that is exported under a name is an import of kind `passed_on`.
-    """
-    templates, plain, text = blank(text, strings=False, templates=False), blank(text, strings=True), blank(text, strings=False)
-    imports, exports = [], []
+def parse_imports(raw: str, text: str | None = None, passed_on: str = "Static") -> list[tuple]:  # A24
+    """The imports of parse_script alone; text: what blank() leaves of raw beside strings, where it is known."""
+    text = blank(raw, strings=False) if text is None else text
+    templates = blank(raw, strings=False, templates=False) if "`" in raw else text
+    imports = []
     for m in _IMPORT.finditer(text):
         names = [a for a, _ in _names(m[3] or "")]
         names += ["default"] * bool(m[2]) + ["*"] * bool(m[4])
         imports.append((m[5], "TypeOnly" if m[1] else "Static", names))
-    for m in _REQUIRE.finditer(text):
+    for m in _REQUIRE.finditer(text) if "require" in text else ():
         bound = m["all"] or ""
         names = [m["member"]] if m["member"] else [] if m["line"] is not None else [x.partition(":")[0].partition("=")[0].strip() for x in _parts(bound[1:-1])] if bound[:1] == "{" else ["*"]
         imports.append((m["source"], "Static", ["*"] if any(x.startswith("...") for x in names) else names))
-    imports += [(m[2], "Dynamic", []) for m in _DYNAMIC.finditer(templates)]
+    imports += [(m[2], "Dynamic", []) for m in _DYNAMIC.finditer(templates)] if "import" in templates else []
+    for m in _REEXPORT.finditer(text) if "export" in text else ():
+        imports.append((m[4], passed_on if m[3] else "ReExport", ["*"]) if m[2] == "*" else (m[4], "ReExport", [a for a, _ in _names(m[2][1:-1])]))
+    return imports
+
+
+def parse_script(text: str, passed_on: str = "Static") -> tuple[list[tuple], list[tuple]]:  # A24
+    """Imports (source, kind, names) and exports (name, kind, is_type_only) of a script's text, by tokens: comments and templates are blanked first. Approximate: no scopes, no expressions.
+
+    What is required counts as an import: of the names that are bound or read from it at once, else of the whole module. A whole module
+    that is exported under a name is an import of kind `passed_on`.
+    """
+    plain, raw, text = blank(text, strings=True), text, blank(text, strings=False)
+    imports, exports = parse_imports(raw, text, passed_on), []
     for m in _REEXPORT.finditer(text):
         if m[2] == "*":
-            imports.append((m[4], passed_on if m[3] else "ReExport", ["*"]))
             exports += [(0, m.start(), m[3], "ReExport", False)] if m[3] else []
         else:
-            imports.append((m[4], "ReExport", [a for a, _ in _names(m[2][1:-1])]))
             exports += [(0, m.start(), b, "ReExport", bool(m[1])) for _, b in _names(m[2][1:-1])]
     bodies = [(m.end() - 1, _group(plain, m.end() - 1)) for m in _NAMESPACE.finditer(plain)]
     outer = lambda found: [m for m in found if not any(a < m.start() < b for a, b in bodies)]  # noqa: E731  what a namespace exports is its own
@@ -211,11 +222,12 @@ def extract_imports(files: DataFrame) -> DataFrame:  # A24
     """(path, source, kind, names) of files (path, content), resolved later by joining normalised paths."""
 
     def run(batches):
-        for pdf in batches:
-            out = [(p, s, k, n) for p, c in zip(pdf["path"], pdf["content"], strict=True) for s, k, n in parse_script(c or "")[0]]
-            yield pd.DataFrame(out, columns=["path", "source", "kind", "names"])
+        for batch in batches:
+            out = [(p, *x) for p, c in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True) for x in parse_imports(c or "")]
+            columns = zip(*out, strict=True) if out else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.string(), pa.string(), pa.string(), pa.list_(pa.string())), strict=True)], names=["path", "source", "kind", "names"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, source string, kind string, names array<string>")
+    return files.select("path", "content").mapInArrow(run, "path string, source string, kind string, names array<string>")
 
 
 def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
