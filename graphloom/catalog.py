@@ -915,7 +915,7 @@ def script_symbols(t):
     body = body.replace("sequence(0, parameter_count)", "slice(sequence(0, parameter_count), 1, parameter_count)")
     rows = _symbols(t).withColumn("text", F.expr(f"CASE WHEN is_exported THEN 'export ' ELSE '' END || {body}"))
     texts = rows.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("symbol_id", "text"))), lambda x: x.text), "\n").alias("content"))
-    return scripts(texts).select("path", F.explode("symbols").alias("s")).select("path", "s.*").select("path", "name", "raw_kind", "line", "is_exported", "parameter_count", "complexity", "max_nesting_depth")
+    return scripts(texts, ["symbols"]).select("path", F.explode("symbols").alias("s")).select("path", "s.*").select("path", "name", "raw_kind", "line", "is_exported", "parameter_count", "complexity", "max_nesting_depth")
 
 
 @query(

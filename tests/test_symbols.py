@@ -72,3 +72,21 @@ def test_places_of_names():
         for x in symbols + members:
             assert lines[x["line"] - 1][x["column"] :].startswith(x["name"]), x
             assert data[x["offset"] :].startswith(x["name"].encode()), x
+
+
+def test_parts_alone():
+    """Imports and symbols that are parsed alone are those of the whole."""
+    from graphloom.sources.files import parse_imports
+
+    for text in (TEXT, "import A, { b as c } from 'p'\nexport * as q from 'r'\nexport { s } from 't'\nconst { u } = require('v')\n`import('no')`\nimport(`w`) // import 'no'\n", "", "no marks"):
+        assert parse_imports(text, passed_on="ReExport") == parse_script(text, "ReExport")[0]
+        assert parse_symbols(text, False) == (*parse_symbols(text)[:2], [])
+
+
+def test_only_the_fields_that_are_asked_for(spark):
+    from graphloom.sources.symbols import scripts
+
+    files = spark.createDataFrame([("a", TEXT), ("b", None)], "path string, content string")
+    own = scripts(files, ["symbols"])
+    assert own.columns == ["path", "symbols"]
+    assert sorted(own.collect()) == sorted(scripts(files).select("path", "symbols").collect())
