@@ -30,14 +30,16 @@ def distances(entries: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(near.union(hung), "distances")
 
 
-def counted_chains(entries: DataFrame, edges: DataFrame) -> DataFrame:
+def counted_chains(entries: DataFrame, edges: DataFrame, reached: bool = False) -> DataFrame:
     """(module_id, longest, chains) over edges without a cycle: the longest chain from an entry, and how many there are (exact up to 2^53).
 
-    A node is settled when all its ways in are; only nodes that entries reach take part, so every one is settled in the end.
+    A node is settled when all its ways in are; only nodes that entries reach take part, so every one is settled in the end. reached: entries
+    are known to reach all nodes of edges.
     """
     entries = cut(entries.select("module_id").distinct(), "entries")
-    seen = cut(reachable(entries, edges), "seen")
-    live = simple(edges).join(seen.withColumnRenamed("module_id", "src"), "src", "left_semi")
+    live = simple(edges)
+    if not reached:
+        live = live.join(reachable(entries, edges).withColumnRenamed("module_id", "src"), "src", "left_semi")
     c = contract(entries, live.withColumn("length", F.lit(1).cast("long")))
     ways = cut(c.edges.groupBy("src", "dst").agg(F.max("length").alias("length"), F.count("*").cast("double").alias("n")), "ways")
     missing = ways.groupBy(F.col("dst").alias("module_id")).agg(F.count("*").alias("missing"))
@@ -69,12 +71,17 @@ def _all(frames: list[DataFrame]) -> DataFrame:
 
 
 def chain_summary(entries: DataFrame, edges: DataFrame, best: int = 3) -> DataFrame:  # G15, D36
-    """Of every module that an entry reaches: depth (imports of its shortest chain), longest and chains (over components as single steps), and via, its `best` predecessors on shortest chains, least first."""
-    edges = cut(simple(edges), "edges")
+    """Of every module that an entry reaches: depth (imports of its shortest chain), longest and chains (over components as single steps), and via, its `best` predecessors on shortest chains, least first.
+
+    Distances come first: only edges between nodes that are reached go on to components and counts, as a component is reached whole or not at all.
+    """
+    whole = cut(simple(edges), "edges")
+    near = distances(entries, whole)
+    edges = cut(whole.join(near.select(F.col("module_id").alias("src")), "src", "left_semi"), "edges")
+    release(whole)
     scc = components(edges)
     group = lambda df, c: df.join(scc.select(F.col("module_id").alias(c), F.col("scc_id").alias(f"{c}_scc")), c, "left").withColumn(c, F.coalesce(f"{c}_scc", c)).drop(f"{c}_scc")
-    near = distances(entries, edges)
-    far = counted_chains(group(entries.select("module_id"), "module_id"), group(group(edges, "src"), "dst"))
+    far = counted_chains(group(entries.select("module_id"), "module_id"), group(group(edges, "src"), "dst"), reached=True)
     grouped = near.join(scc, "module_id", "left").withColumn("group", F.coalesce("scc_id", "module_id")).drop("scc_id")
     rows = grouped.join(far.withColumnRenamed("module_id", "group"), "group").drop("group")
     back = edges.join(near.select(F.col("module_id").alias("src"), F.col("depth").alias("before")), "src").join(near.withColumnRenamed("module_id", "dst"), "dst").where("before + 1 = depth")

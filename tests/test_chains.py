@@ -53,3 +53,15 @@ def test_unfolding(spark):
     summary = chains.chain_summary(entries, edges)
     got = {r["module_id"]: r["chain"] for r in chains.unfold(summary, summary.where("module_id in (4, 8, 0)")).collect()}
     assert got == {4: [0, 1, 2, 3, 4], 8: [50, 5, 6, 7, 8], 0: [0]}
+
+
+def test_components_of_what_is_reached_alone(spark, monkeypatch):
+    """Rings and lines that no entry reaches cost no rounds, and change nothing."""
+    given = []
+    own = chains.components
+    monkeypatch.setattr(chains, "components", lambda edges: given.append(edges.count()) or own(edges))
+    near = [(0, 1), (1, 2), (2, 1), (2, 3)]
+    far = [(10, 11), (11, 10), (11, 1), (12, 13), (13, 14), (14, 2)]
+    rows = lambda edges: sorted(chains.chain_summary(*frames(spark, [0], edges)).collect())
+    assert rows(near + far) == rows(near)
+    assert given == [4, 4]
