@@ -537,12 +537,13 @@ _ENUMS, _BUNDLE = ("total_enums", "total_members", "unused_members"), ("modules"
     FROM ({_SQL['statistics_row']}) s, (SELECT count(*) AS ignored_findings, {', '.join(f"count(*) FILTER (WHERE type = '{x}') AS ignored_{x}" for x in findings.BREAKDOWN)} FROM ({MATCHED}) WHERE matched_pattern IS NOT NULL) i, ({_SQL['enum_stats']}) e, ({_SQL['bundle_impact']}) b"""
 )
 def statistics_blocks(t):
+    imports = cut(t("import").select("module_id", "resolved_to", "kind", "source", "is_external"), "imports")
     symbols, ignored = _symbols(t), findings.split_ignored(t("finding"), IGNORES).where("matched_pattern is not null")
     tables = {
-        "ignored": findings.ignored_block(ignored), "bundle_impact": graph.bundle_impact(_unreachable(t)), "symbol_stats": quality.symbol_stats(symbols), "member_stats": quality.member_stats(symbols), "enum_stats": quality.enum_stats(symbols),
-        "dependency_coverage": deps.coverage(t("dependency"), t("import")), "smell_stats": quality.smell_stats(quality.smells(symbols)),
+        "ignored": findings.ignored_block(ignored), "bundle_impact": graph.bundle_impact(_unreachable(t, imports)), "symbol_stats": quality.symbol_stats(symbols), "member_stats": quality.member_stats(symbols), "enum_stats": quality.enum_stats(symbols),
+        "dependency_coverage": deps.coverage(t("dependency"), imports), "smell_stats": quality.smell_stats(quality.smells(symbols)),
     }
-    row = findings.with_blocks(findings.statistics(t("finding"), t("module"), t("import")), tables)
+    row = findings.with_blocks(findings.statistics(t("finding"), t("module"), imports), tables)
     listed = lambda name, columns: F.array_join(F.transform(name, lambda x: F.concat_ws(":", *(x[c].cast("string") for c in columns))), ",").alias(name)
     return row.select(
         "findings", "external", "ignored.ignored_findings", *(F.col(f"ignored.{x}").alias(f"ignored_{x}") for x in findings.BREAKDOWN), *(F.col(f"enum_stats.{x}").alias(f"enum_{x}") for x in _ENUMS),

@@ -30,3 +30,14 @@ def test_brace_lateral_is_spread(spark):
 
     rows = catalog.queries()["brace_lateral"](spark, "/root/testdata/sf0.001")
     assert rows.selectExpr("spark_partition_id() as p").distinct().count() > 1
+
+
+def test_imports_are_derived_once(spark, monkeypatch):
+    from graphloom import catalog
+    from graphloom.sources.testdata import frame
+
+    monkeypatch.setattr(catalog.graph, "unreachable_modules", lambda modules, edges: modules)
+    for make in (catalog.unreachable_modules, catalog.statistics_blocks):
+        read = []
+        make(lambda t, stream=False, read=read: read.append(t) or frame(spark, "/root/testdata/sf0.001", t))
+        assert read.count("import") + read.count("edge") == 1
