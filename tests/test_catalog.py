@@ -41,3 +41,14 @@ def test_imports_are_derived_once(spark, monkeypatch):
         read = []
         make(lambda t, stream=False, read=read: read.append(t) or frame(spark, "/root/testdata/sf0.001", t))
         assert read.count("import") + read.count("edge") == 1
+
+
+def test_dead_modules_read_written_edges(spark, monkeypatch):
+    from graphloom.operators import graph
+
+    given = []
+    monkeypatch.setattr(graph, "reachable", lambda entries, edges: given.append(edges) or entries)
+    modules = spark.createDataFrame([(1, "a", True), (2, "b", False), (3, "c", False)], "module_id long, path string, is_entry boolean")
+    found = graph.dead_modules(modules, spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long"))
+    assert [tuple(r) for r in found.collect()] == [(3, "c", 1)]
+    assert given[0].inputFiles()
