@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.storage import cut, cut_counting, release
@@ -44,30 +44,35 @@ def contract(entries: DataFrame, edges: DataFrame) -> Contraction:
     edges: (src, dst, length); entries: (module_id). A node that hangs is reached if and only if its root is, `length` edges later. Nodes
     whose single ways in go round in a ring hang under nothing: they are dropped, as nothing reaches them from outside.
     """
-    ways = edges.groupBy("dst").agg(F.count("*").alias("ways"), F.min("src").alias("up"), F.min("length").alias("length"))
+    seen = Observation()
+    ways = edges.groupBy("dst").agg(F.count("*").alias("ways"), F.min("src").alias("up"), F.min("length").alias("length")).observe(seen, F.count("*").alias("n"))
     single = ways.where("ways = 1").select(F.col("dst").alias("node"), "up", "length").join(entries.select(F.col("module_id").alias("node")), "node", "left_anti")
-    todo = cut(single.withColumn("open", F.lit(True)), "single")
-    nodes, left = ways.count(), todo.count()
-    hung, before = left, -1
+    single, hung = cut_counting(single, "single", F.lit(True))
+    nodes = seen.get["n"]
+    # what hangs under a node that stays is done; the rest is open, and what it hangs under is among them
+    first = single.join(single.select(F.col("node").alias("up"), F.lit(True).alias("open")), "up", "left").select("node", "up", "length", F.coalesce("open", F.lit(False)).alias("open"))
+    step, left = cut_counting(first, "jumped", F.col("open"))
+    done, open_, before = [step.where("not open")], step.where("open"), -1
     while left and left != before:  # a jump doubles what an open pointer spans; one that settles nothing leaves only rings
-        jump = todo.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("length").alias("more"), F.col("open").alias("open2"))
-        step = todo.join(jump, "up", "left")
-        moved = F.col("open") & F.col("up2").isNotNull()
-        done = cut(step.select("node", F.when(moved, F.col("up2")).otherwise(F.col("up")).alias("up"), F.when(moved, F.col("length") + F.col("more")).otherwise(F.col("length")).alias("length"), (moved & F.col("open2")).alias("open")), "jumped")
-        release(todo)
-        todo, before, left = done, left, done.where("open").count()
-    hanging = todo.where("not open").select("node", F.col("up").alias("root"), "length")
-    rings = todo.where("open").select("node")
-    outer = edges.join(todo.select(F.col("node").alias("dst")), "dst", "left_anti").join(rings.select(F.col("node").alias("src")), "src", "left_anti")
+        jump = reduce(DataFrame.union, [open_, *done]).select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("length").alias("more"), F.col("open").alias("open2"))
+        step, before = open_.join(jump, "up").select("node", F.col("up2").alias("up"), (F.col("length") + F.col("more")).alias("length"), F.col("open2").alias("open")), left
+        step, left = cut_counting(step, "jumped", F.col("open"))
+        done, open_ = [*done, step.where("not open")], step.where("open")
+    hanging = reduce(DataFrame.union, done).select("node", F.col("up").alias("root"), "length")
+    rings = open_.select("node")
+    outer = edges.join(single.select(F.col("node").alias("dst")), "dst", "left_anti").join(rings.select(F.col("node").alias("src")), "src", "left_anti")
     moved = outer.join(hanging.select(F.col("node").alias("src"), "root", F.col("length").alias("more")), "src", "left")
     kept = moved.select(F.coalesce("root", "src").alias("src"), "dst", (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"))
     return Contraction(kept, hanging, hung / max(1, nodes))
 
 
-def reachable(entries: DataFrame, edges: DataFrame, jumps: bool = True) -> DataFrame:  # G2
-    """(module_id) of the closure of entries (module_id) over edges (src, dst), entries included; jumps=False searches edge by edge."""
+def reachable(entries: DataFrame, edges: DataFrame, jumps: bool = True, plain: bool = False) -> DataFrame:  # G2
+    """(module_id) of the closure of entries (module_id) over edges (src, dst), entries included; jumps=False searches edge by edge.
+
+    plain: the edges are distinct, without loops and nulls, and written, so that they need not be again.
+    """
     entries = cut(entries.select("module_id").distinct(), "entries")
-    edges, levels = cut(simple(edges), "edges"), []
+    edges, levels = edges if plain else cut(simple(edges), "edges"), []
     while jumps:
         c = contract(entries, edges.withColumn("length", F.lit(1).cast("long")))
         if c.share < 1 / WORTH:

@@ -2,7 +2,7 @@
 
 import random
 
-from graphloom.operators import graph
+from graphloom.operators import fixpoints, graph
 from graphloom.streaming import live_reach
 
 
@@ -31,3 +31,24 @@ def test_batches_equal_full_runs(spark, tmp_path, monkeypatch):
         assert sorted(map(tuple, live.edges.read(n).collect())) == sorted((a, b) for a, b in edges if a != b)
     live.apply(spark.createDataFrame(batches[-1], "src long, dst long, op string, seq int"), 2)  # a batch that runs again
     assert sorted(r[0] for r in live.after(3).collect()) == want
+
+
+def test_large_batches_take_few_writes(spark, tmp_path, monkeypatch):
+    """A line of 60 modules is added at once and then taken away at its head: neither is followed module by module."""
+    writes = []
+    for module in (live_reach, fixpoints):
+        for name in ("cut", "cut_counting"):
+            monkeypatch.setattr(module, name, lambda df, label, *test, f=getattr(module, name): (writes.append(label), f(df, label, *test))[1])
+    monkeypatch.setattr(live_reach, "FRONT", 0)
+    entries, near = spark.createDataFrame([(0,), (200,)], "module_id long"), [(0, 1), (200, 201), (0, 60)]
+    line = [(k, k + 1) for k in range(1, 60)]
+    live = live_reach.LiveReach(spark, f"file://{tmp_path}/state")
+    live.begin(entries, spark.createDataFrame(near, "src long, dst long"))
+    writes.clear()
+    live.apply(spark.createDataFrame([(*e, "add", 1) for e in line], "src long, dst long, op string, seq int"), 0)
+    assert sorted(r[0] for r in live.after(1).collect()) == [*range(61), 200, 201]
+    live.apply(spark.createDataFrame([(0, 1, "remove", 1)], "src long, dst long, op string, seq int"), 1)
+    assert sorted(r[0] for r in live.after(2).collect()) == [0, 60, 200, 201]
+    assert len(writes) < 60
+    live.apply(spark.createDataFrame([(0, 60, "remove", 1), (200, 59, "add", 1)], "src long, dst long, op string, seq int"), 2)  # both in one batch
+    assert sorted(r[0] for r in live.after(3).collect()) == [0, 59, 60, 200, 201]
