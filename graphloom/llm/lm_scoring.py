@@ -39,8 +39,8 @@ WIDTH, NOISE, SHARED, WITHIN, RATE = 16, 16, 32, 2, 0.12
 #: Tokens of a training group, about; of them taken at once; one row in so many is for validation. A corpus is gone through once, a smaller one
 #: until PASS_TOKENS have been seen, MOST_PASSES times at most.
 GROUP_TOKENS, GATHER, VALIDATION, PASS_TOKENS, MOST_PASSES = 1 << 21, 1 << 20, 32, 1 << 23, 4
-#: Positions scored at once.
-CHUNK = 1 << 11
+#: Positions scored at once, so that their scores over a level stay in a core's cache.
+CHUNK = 1 << 9
 
 
 def training(docs: DataFrame) -> DataFrame:
@@ -173,37 +173,43 @@ class LogBilinear:
     def log_probabilities(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Natural logarithms of P(w | w2, w1), normalised over all symbols."""
         p, out = self.p, np.zeros(len(w))
-        for at in range(0, len(w), CHUNK):
-            own = slice(at, at + CHUNK)
-            h, c = self.predict(w1[own], w2[own]), self.class_of[w[own]]
-            out[own] = _log_softmax(h, p["S"], p["s"], c)
-        order = np.argsort(self.class_of[w], kind="stable")
-        ends = np.searchsorted(self.class_of[w][order], np.arange(len(self.first)))
+        class_of = self.class_of[w]
+        order = np.argsort(class_of.astype(np.uint16), kind="stable")  # by class, so that both levels take the same predictions
+        w1, w2, w, class_of = w1[order], w2[order], w[order], class_of[order]
+        ends = np.searchsorted(class_of, np.arange(len(self.first)))
+        classes = _with_biases(p["S"], p["s"])
         for k in range(len(self.first) - 1):
             a, b = self.first[k], self.first[k + 1]
-            if b - a > 1:
-                for at in range(ends[k], ends[k + 1], CHUNK):
-                    own = order[at : min(at + CHUNK, ends[k + 1])]
-                    out[own] += _log_softmax(self.predict(w1[own], w2[own]), p["Q"][a:b], p["q"][a:b], w[own] - a)
+            within = _with_biases(p["Q"][a:b], p["q"][a:b])
+            for at in range(ends[k], ends[k + 1], CHUNK):
+                own = slice(at, min(at + CHUNK, ends[k + 1]))
+                h = np.ones((own.stop - at, WIDTH + 1), np.float32)
+                h[:, :WIDTH] = self.predict(w1[own], w2[own])
+                found = _log_softmax(h, *classes, class_of[own])
+                out[order[own]] = found + _log_softmax(h, *within, w[own] - a) if b - a > 1 else found
         return out
 
     def train(self, triples: np.ndarray, counts: np.ndarray, rng: np.random.Generator, memory: dict[str, np.ndarray], batch: int) -> None:
         """One pass over distinct (before last, last, target) rows with their counts."""
         p = self.p
-        class_upto = np.cumsum(self.class_noise)
+        class_upto, log_noise, log_few = np.cumsum(self.class_noise), np.float32(np.log(NOISE)), np.float32(np.log(WITHIN))  # float32, or all that they meet is doubled
+        first, last = self.first[:-1], self.first[1:] - 1
+        bottom, top = self.upto[self.first[:-1]], self.upto[self.first[1:]]
         order = rng.permutation(len(triples))
+        columns, counts = np.ascontiguousarray(triples[order].T), counts[order].astype(np.float32)
         for at in range(0, len(order), batch):
-            own = order[at : at + batch]
-            w2, w1, w = triples[own].T
-            weight = counts[own].astype(np.float32)
+            w2, w1, w = columns[:, at : at + batch]
+            weight = counts[at : at + batch].copy()
             weight /= weight.sum()
-            r1, r2, c = p["R"][w1], p["R"][w2], self.class_of[w]
+            r1, r2, c = p["R"].take(w1, 0), p["R"].take(w2, 0), self.class_of.take(w)
             h = r1 * p["C"][0] + r2 * p["C"][1]
             # classes: SHARED noise samples for the whole batch
             noise = np.minimum(np.searchsorted(class_upto, rng.random(SHARED) * class_upto[-1]), len(class_upto) - 1)
-            tc, tn = p["S"][c], p["S"][noise]
-            gp = -weight * _sigmoid(-((h * tc).sum(1) + p["s"][c] - self.log_class[c] - np.log(NOISE)))
-            gn = weight[:, None] * (NOISE / SHARED) * _sigmoid(h @ tn.T + p["s"][noise] - self.log_class[noise] - np.log(NOISE))
+            tc, tn = p["S"].take(c, 0), p["S"][noise]
+            bias = p["s"] - self.log_class - log_noise
+            gp = -weight * _sigmoid(-(_dots(h, tc) + bias.take(c)))
+            gn = _sigmoid(h @ tn.T + bias[noise])
+            gn *= (weight * np.float32(NOISE / SHARED))[:, None]
             dh = gp[:, None] * tc + gn @ tn
             where, sums, alone = _scatter(c, gp, h)
             both, both_alone = np.zeros_like(p["S"]), np.zeros_like(p["s"])
@@ -213,14 +219,21 @@ class LogBilinear:
             self._step("S", slice(None), both, memory)
             self._step("s", slice(None), both_alone, memory)
             # symbols: WITHIN noise samples of each target's class
-            low, high = self.upto[self.first[c]], self.upto[self.first[c + 1]]
-            noise = np.searchsorted(self.upto, low[:, None] + rng.random((len(w), WITHIN)) * (high - low)[:, None], "right") - 1
-            noise = np.clip(noise, self.first[c][:, None], self.first[c + 1][:, None] - 1)
-            tw, tn = p["Q"][w], p["Q"][noise]
-            gp = -weight * _sigmoid(-((h * tw).sum(1) + p["q"][w] - self.log_within[w] - np.log(WITHIN)))
-            gn = weight[:, None] * _sigmoid(np.einsum("nd,nkd->nk", h, tn) + p["q"][noise] - self.log_within[noise] - np.log(WITHIN))
-            dh += gp[:, None] * tw + np.einsum("nk,nkd->nd", gn, tn)
-            where, sums, alone = _scatter(np.concatenate([w, noise.T.ravel()]), np.concatenate([gp, gn.T.ravel()]), h)
+            low = bottom.take(c)
+            noise = rng.random((len(w), WITHIN)).T * (top.take(c) - low) + low
+            noise = np.searchsorted(self.upto, noise, "right") - 1
+            noise = np.clip(noise, first.take(c), last.take(c))
+            bias = p["q"] - self.log_within - log_few
+            tw = p["Q"].take(w, 0)
+            gp = -weight * _sigmoid(-(_dots(h, tw) + bias.take(w)))
+            dh += gp[:, None] * tw
+            factors = [gp]
+            for other in noise:
+                tn = p["Q"].take(other, 0)
+                factors.append(weight * _sigmoid(_dots(h, tn) + bias.take(other)))
+                tn *= factors[-1][:, None]
+                dh += tn
+            where, sums, alone = _scatter(np.concatenate([w, *noise]), np.concatenate(factors), h)
             self._step("Q", where, sums, memory)
             self._step("q", where, alone, memory)
             self._step("C", slice(None), np.stack([(dh * r1).sum(0), (dh * r2).sum(0)]), memory)
@@ -228,26 +241,46 @@ class LogBilinear:
             self._step("R", where, sums, memory)
 
     def _step(self, name: str, where, gradient: np.ndarray, memory: dict[str, np.ndarray]) -> None:
-        square = memory[name][where] + gradient * gradient
+        rows = (lambda x: x) if isinstance(where, slice) else (lambda x: x.take(where, 0))
+        square = rows(memory[name]) + gradient * gradient
         memory[name][where] = square
-        self.p[name][where] -= np.float32(RATE) * gradient / (np.sqrt(square) + np.float32(1e-6))
+        np.sqrt(square, out=square)
+        square += np.float32(1e-6)
+        np.divide(gradient, square, out=square)
+        square *= np.float32(RATE)
+        self.p[name][where] = rows(self.p[name]) - square
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return (1 / (1 + np.exp(-np.clip(x, -30, 30)))).astype(np.float32)
+    """Of float32, changed in place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def _log_softmax(h: np.ndarray, targets: np.ndarray, biases: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """The logarithm of the chosen target's share for each prediction."""
-    scores = h @ targets.T
-    scores += biases
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The inner product of each row of a with the same row of b."""
+    return np.einsum("nd,nd->n", a, b)
+
+
+def _with_biases(targets: np.ndarray, biases: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Targets as columns with their biases below, the largest squared length of a target and the largest bias."""
+    return np.concatenate([targets.T, biases[None]]), float((targets * targets).sum(1).max()), float(np.abs(biases).max())
+
+
+def _log_softmax(h: np.ndarray, targets: np.ndarray, longest: float, bias: float, chosen: np.ndarray) -> np.ndarray:
+    """The logarithm of the chosen target's share for each prediction; h has a last column of ones."""
+    scores = h @ targets
     own = scores[np.arange(len(scores)), chosen].astype(np.float64)
-    bound = np.sqrt((h * h).sum(1).max() * (targets * targets).sum(1).max()) + np.abs(biases).max()
+    ones = np.ones(targets.shape[1], np.float32)
+    bound = np.sqrt(float((h * h).sum(1).max() - 1) * longest) + bias
     if bound < 60:  # no exponential can overflow, nor all of them vanish
-        return own - np.log(np.exp(scores, out=scores).sum(1))
+        return own - np.log(np.exp(scores, out=scores) @ ones)
     top = scores.max(1)
     scores -= top[:, None]
-    return own - top - np.log(np.exp(scores, out=scores).sum(1))
+    return own - top - np.log(np.exp(scores, out=scores) @ ones)
 
 
 def _scatter(index: np.ndarray, factor: np.ndarray | None, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -256,9 +289,9 @@ def _scatter(index: np.ndarray, factor: np.ndarray | None, rows: np.ndarray) ->
     own = index[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     if factor is None:
-        return own[first], np.add.reduceat(rows[order], first, axis=0), None
+        return own[first], np.add.reduceat(rows.take(order, 0), first, axis=0), None
     sorted_factor = factor[order]
-    products = rows[order % len(rows)]
+    products = rows.take(order % len(rows), 0)
     products *= sorted_factor[:, None]
     return own[first], np.add.reduceat(products, first, axis=0), np.add.reduceat(sorted_factor, first)
 

@@ -545,3 +545,20 @@ def test_parameters_add_up_over_many_levels(spark, monkeypatch):
     gain = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
     assert all(math.isfinite(r["score"]) for r in rows)
     assert gain > -0.05
+
+
+def test_lm_training_stays_in_single_precision(monkeypatch):
+    """Training takes no doubles where it draws on float32 parameters, and probabilities are those of the plain softmaxes."""
+    kinds, plain = set(), lm_scoring._sigmoid
+    monkeypatch.setattr(lm_scoring, "_sigmoid", lambda x: (kinds.add(x.dtype), plain(x))[1])
+    rng = np.random.default_rng(5)
+    model, rows = lm_scoring.LogBilinear(rng.integers(1, 50, 300)[np.argsort(rng.random(300))]), rng.integers(0, 300, (2000, 3))
+    model.train(rows, np.ones(len(rows), np.int64), np.random.default_rng(1), {k: np.full_like(x, 1e-8) for k, x in model.p.items()}, 256)
+    assert kinds == {np.dtype(np.float32)} and all(x.dtype == np.float32 for x in model.p.values())
+    w2, w1, w = rows[:50].T
+    h = model.predict(w1, w2).astype(float)
+    share = lambda x, k: x[k] - np.log(np.exp(x).sum())
+    for i, found in enumerate(model.log_probabilities(w2, w1, w)):
+        c = model.class_of[w[i]]
+        a, b = model.first[c], model.first[c + 1]
+        assert abs(found - share(model.p["S"] @ h[i] + model.p["s"], c) - share(model.p["Q"][a:b] @ h[i] + model.p["q"][a:b], w[i] - a)) < 1e-4
