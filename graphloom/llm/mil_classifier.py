@@ -3,7 +3,7 @@
 A document is a bag of passages of 64 words. Every passage of the whole text is encoded (rates of characters and words,
 a hashed bag of words, one tanh layer), a gated attention weighs the passages, and a logistic unit scores the weighted
 sum; only document labels teach it. Training runs in numpy on a bounded sample of labelled rows (SAMPLE_ROWS ids, a row each, and of a longer
-text BAG passages at even distances); scoring is one Arrow pass over all passages of every whole text.
+text BAG passages at even distances), which comes to the driver as counts, a partition at a time (about 160 MB at most); scoring is one Arrow pass over all passages of every whole text.
 
 Defined cases: a null or empty text is a bag of one zero passage and still gets a score; repeated rows each give a row; a
 null doc_id counts as empty text for the fold; without both labels in the sample every score is the label's mean, or 0.5.
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LOWER, SPACE, buffers, mix, numbered, remainder, restored, row_of, slices, spans, table, text_column, word_hashes
+from graphloom.llm.common import LOWER, SPACE, buffers, cut, mix, numbered, release, remainder, restored, row_of, slices, spans, table, text_column, word_hashes
 from graphloom.llm.quality_rules import labelled_sample
 
 #: Words in a passage, buckets of the hashed bag, width of the encoding and of the attention.
@@ -26,13 +26,15 @@ SAMPLE_ROWS = 6_000
 #: Passages of a text that training sees at most, at even distances.
 BAG = 256
 RATES = 10
+#: A passage as it travels and waits to be learned from: a third of the bytes of its features.
+PACKED = np.dtype([("rates", np.float32, RATES), ("words", np.uint8), ("bag", np.uint8, BUCKETS)])
 
 _CLASSES = [np.isin(np.arange(256), list(x)) for x in (b"#*$%&|<>@^~{}[]\\/_=+", bytes(range(65, 91)), bytes(range(48, 58)), b"!?", b".,;:")]
 _HEAD = (np.arange(256) & 0xC0) != 0x80
 
 
-def encode_passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each passage, and the number of passages before each row; a row without words has one passage of zeros."""
+def packed_passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rates and counts (PACKED) of each passage, and the number of passages before each row; a row without words has one passage of zeros."""
     data, ends = buffers(column)
     starts, stops, before = spans(data, ends)
     counts, rows = np.diff(before), len(ends) - 1
@@ -44,10 +46,10 @@ def encode_passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     total = int(first[-1])
     words = np.bincount(passage, minlength=total).astype(np.float32)
     hashes = word_hashes(LOWER[data], starts, stops)
-    x = np.zeros((total, RATES + BUCKETS), np.float32)
-    bag = np.bincount(passage * BUCKETS + (hashes >> np.uint64(58)).astype(np.int64), minlength=total * BUCKETS).reshape(total, BUCKETS)
+    out = np.zeros(total, PACKED)
+    x, out["words"] = out["rates"], words
+    out["bag"] = np.bincount(passage * BUCKETS + (hashes >> np.uint64(58)).astype(np.int64), minlength=total * BUCKETS).reshape(total, BUCKETS)
     some = np.maximum(words, 1)
-    x[:, RATES:] = np.sqrt(bag / some[:, None])
 
     def within(mask: np.ndarray) -> np.ndarray:
         upto = np.concatenate([[0], np.cumsum(mask)])
@@ -66,7 +68,19 @@ def encode_passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     x[:, 7] = np.sqrt(np.maximum(np.bincount(passage, size * size, minlength=total) / some - mean * mean, 0)) / 8
     x[:, 8] = np.bincount(passage, (stops - starts) == 1, minlength=total) / some
     x[:, 9] = np.log1p(words) / 5
-    return x, first
+    return out, first
+
+
+def features(passages: np.ndarray) -> np.ndarray:
+    """Features of each of the passages (PACKED)."""
+    some = np.maximum(passages["words"], 1).astype(np.float32)
+    return np.hstack([passages["rates"], np.sqrt(passages["bag"].astype(np.int64) / some[:, None]).astype(np.float32)])
+
+
+def encode_passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Features of each passage, and the number of passages before each row."""
+    passages, first = packed_passages(column)
+    return features(passages), first
 
 
 def _segments(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -107,6 +121,7 @@ class Model:
         return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "a": (t * g).T @ ds[:, None], "c": z.T @ d[:, None], "c0": d.sum(keepdims=True)}
 
     def train(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 4e-3, decay: float = 1e-4, seed: int = 11) -> Model:
+        """Learn from the passages (PACKED) of each row and its label."""
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(a) for k, a in self.w.items()} for _ in range(2))
         share = y.mean()
@@ -117,7 +132,7 @@ class Model:
             for at in range(0, len(order), batch):
                 own = order[at : at + batch]
                 first = np.concatenate([[0], np.cumsum([len(bags[i]) for i in own])])
-                grads = self.gradients(np.concatenate([bags[i] for i in own]), first, y[own], weight[own])
+                grads = self.gradients(features(np.concatenate([bags[i] for i in own])), first, y[own], weight[own])
                 step += 1
                 for k, gr in grads.items():
                     gr = gr + decay * self.w[k]
@@ -146,16 +161,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS):
 
     def run(batches):
         for batch in slices(batches):
-            x, first = encode_passages(batch.column("text"))
+            x, first = packed_passages(batch.column("text"))
             seen = lambda a, b: x[a:b] if b - a <= BAG else x[np.linspace(a, b - 1, BAG).astype(np.int64)]
             bags = pa.array([seen(*first[i : i + 2]).tobytes() for i in range(batch.num_rows)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), bags, batch.column("quality")], names=["doc_id", "bag", "quality"])
 
-    rows = sample.mapInArrow(run, "doc_id long, bag binary, quality int").toPandas().sort_values(["doc_id", "bag"])
-    y = rows["quality"].to_numpy(np.float32)
+    bags = cut(sample.mapInArrow(run, "doc_id long, bag binary, quality int"), "bags")
+    rows = sorted(bags.toLocalIterator())  # a row an id; a partition of them is in the driver's JVM at a time
+    release(bags)
+    y = np.array([r["quality"] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return Constant(float(y.mean()) if len(y) else 0.5)
-    return Model().train([np.frombuffer(b, np.float32).reshape(-1, RATES + BUCKETS) for b in rows["bag"]], y)
+    return Model().train([np.frombuffer(r["bag"], PACKED) for r in rows], y)
 
 
 def score(docs: DataFrame, model) -> DataFrame:
