@@ -31,14 +31,19 @@ def simple(edges: DataFrame) -> DataFrame:
 
 @dataclass
 class Contraction:
-    """edges between the nodes that stay (length: edges that one stands for), and where the others hang: (node, root, length)."""
+    """edges between the nodes that stay (length: edges that one stands for), and where the others hang: (node, root, length).
+
+    single: (node, up, length) of the nodes with one way in; share: of all nodes with ways in, settled: of those the ones that hang.
+    """
 
     edges: DataFrame
     hanging: DataFrame
+    single: DataFrame
     share: float
+    settled: float
 
 
-def contract(entries: DataFrame, edges: DataFrame) -> Contraction:
+def contract(entries: DataFrame | None, edges: DataFrame) -> Contraction:
     """Hang every node that has one edge in, and is no entry, under the node that its single ways in come from.
 
     edges: (src, dst, length); entries: (module_id). A node that hangs is reached if and only if its root is, `length` edges later. Nodes
@@ -46,7 +51,8 @@ def contract(entries: DataFrame, edges: DataFrame) -> Contraction:
     """
     seen = Observation()
     ways = edges.groupBy("dst").agg(F.count("*").alias("ways"), F.min("src").alias("up"), F.min("length").alias("length")).observe(seen, F.count("*").alias("n"))
-    single = ways.where("ways = 1").select(F.col("dst").alias("node"), "up", "length").join(entries.select(F.col("module_id").alias("node")), "node", "left_anti")
+    single = ways.where("ways = 1").select(F.col("dst").alias("node"), "up", "length")
+    single = single if entries is None else single.join(entries.select(F.col("module_id").alias("node")), "node", "left_anti")
     single, hung = cut_counting(single, "single", F.lit(True))
     nodes = seen.get["n"]
     # what hangs under a node that stays is done; the rest is open, and what it hangs under is among them
@@ -63,7 +69,7 @@ def contract(entries: DataFrame, edges: DataFrame) -> Contraction:
     outer = edges.join(single.select(F.col("node").alias("dst")), "dst", "left_anti").join(rings.select(F.col("node").alias("src")), "src", "left_anti")
     moved = outer.join(hanging.select(F.col("node").alias("src"), "root", F.col("length").alias("more")), "src", "left")
     kept = moved.select(F.coalesce("root", "src").alias("src"), "dst", (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"))
-    return Contraction(kept, hanging, hung / max(1, nodes))
+    return Contraction(kept, hanging, single, hung / max(1, nodes), (hung - left) / max(1, nodes))
 
 
 def reachable(entries: DataFrame, edges: DataFrame, jumps: bool = True, plain: bool = False) -> DataFrame:  # G2
@@ -160,12 +166,48 @@ def _least_of(fronts: list[DataFrame]) -> DataFrame:
 def components(edges: DataFrame, trim: bool = True) -> DataFrame:  # G1
     """(module_id, scc_id) of strongly connected components of two or more; scc_id is the least member. A self-loop is no cycle.
 
+    What goes through a node with a single way in goes through where that comes from, so such nodes are first contracted into their roots
+    while that pays, and edges out of roots that nothing leads to are left out. Of what hangs under a root, the nodes with an edge back
+    into the root's component belong to it, and all between them and the root.
+    """
+    edges = cut(simple(edges), "edges")  # read several times
+    c = contract(None, edges.withColumn("length", F.lit(1).cast("long")))
+    if c.settled < 1 / WORTH:
+        return _coloured(edges, trim)
+    hanging = c.hanging.select("node", "root")
+    outer = edges.join(hanging.select(F.col("node").alias("dst")), "dst", "left_anti").join(hanging.withColumnRenamed("node", "src"), "src", "left")
+    outer = cut(outer.select(F.when(F.col("root").isNotNull(), F.col("src")).alias("node"), F.coalesce("root", "src").alias("src"), "dst").join(outer.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "contracted")
+    return _unfolded(components(outer.select("src", "dst"), trim), outer, hanging, c.single)
+
+
+def _unfolded(found: DataFrame, outer: DataFrame, hanging: DataFrame, single: DataFrame) -> DataFrame:
+    """The components found among the nodes that stay, with what hangs under those; outer: (node, src, dst), edges to nodes that stay, src for the node that hangs under it."""
+    of = lambda c: found.select(F.col("module_id").alias(c), F.col("scc_id").alias(f"{c}_scc"))
+    backs = outer.where("node is not null").join(of("src"), "src", "left").join(of("dst"), "dst", "left").withColumn("scc", F.coalesce("src_scc", "src"))
+    inside, new = cut_counting(backs.where(F.col("scc") == F.coalesce("dst_scc", "dst")).select("node", F.col("src").alias("root"), "scc").distinct(), "inside", F.lit(True))
+    if not new:
+        return found
+    up, news = single.join(hanging.join(inside.select("root").distinct(), "root", "left_semi"), "node").select("node", "up"), [inside]
+    up = cut(up, "ups")
+    while new:  # the pointers double what they span; what adds nothing at one of them adds nothing later
+        inside = reduce(DataFrame.union, news)
+        above = inside.join(up, "node").select(F.col("up").alias("node"), "root", "scc").distinct().join(inside.select("node"), "node", "left_anti")
+        above, new = cut_counting(above, "inside", F.lit(True))
+        news.append(above)
+        up = cut(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("up2")), "up").select("node", F.col("up2").alias("up")), "ups") if new else up
+    members = found.select("module_id", F.col("scc_id").alias("scc")).union(reduce(DataFrame.union, news).select("node", "scc")).distinct()
+    least = members.groupBy("scc").agg(F.min("module_id").alias("scc_id"))
+    return cut(members.join(least, "scc").select("module_id", "scc_id"), "components")
+
+
+def _coloured(edges: DataFrame, trim: bool) -> DataFrame:
+    """components() of edges that are distinct, without loops and nulls, and written.
+
     Nodes become random numbers. The least number that reaches a node is its colour; within a colour, the nodes that also reach the
     colour's node are its component. The rest goes round again, over edges within one colour and one backward label: since the numbers
     are random, the parts shrink as in quicksort, so a chain of components takes logarithmically many rounds too. Before each round nodes
     without a way in or out are trimmed while that pays.
     """
-    edges = cut(simple(edges), "edges")  # read several times
     live, numbers = _numbered(edges)
     found: list[DataFrame] = []
     size = live.count()

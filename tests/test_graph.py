@@ -119,3 +119,31 @@ def test_late_rounds_follow_what_moved(spark, monkeypatch):
     want = [(k, 0) for k in (*range(30), *range(100, 130))] + [(k, k - k % 2) for k in range(1000, 1800)]
     assert sccs(spark, ring + pairs) == want
     assert "edges" in names and "moved" in names
+
+
+def test_what_has_one_way_in_takes_no_labels(spark, monkeypatch):
+    """Long chains with edges back, side branches that come back or not, and chains into other cycles: labels go over the few nodes with several ways in."""
+    from graphloom.operators import fixpoints
+
+    numbered, sizes = fixpoints._numbered, []
+    monkeypatch.setattr(fixpoints, "_numbered", lambda edges: sizes.append(edges.count()) or numbered(edges))
+    line = lambda *nodes: list(zip(nodes, nodes[1:]))
+    edges = [*line(*range(61)), (40, 0), (50, 0), *line(20, *range(100, 131)), (130, 5), *line(10, *range(200, 220)), *line(300, *range(301, 320), 45), *line(219, 400, 401, 400)]
+    edges += [*line(401, 500, *range(501, 530), 500), *line(529, 600, 601), (510, 500)]
+    reach = {k: set(closure(edges, [k])) for k in {x for e in edges for x in e}}
+    want = sorted((k, min(x for x in reach[k] if k in reach[x])) for k in reach if sum(k in reach[x] for x in reach[k]) > 1)
+    assert sccs(spark, edges, trim=False) == want
+    assert len(want) > 110 and max(sizes) < 12
+
+
+def test_components_of_near_forests(spark):
+    """200 graphs beside each other in which almost every node has one way in, so that they are contracted: components are still mutual reachability."""
+    import random
+
+    rng, edges, want = random.Random(5), [], []
+    for base in range(0, 2800, 14):
+        own = [(base + rng.randrange(14), base + k) for k in range(rng.randint(8, 13))] + [(base + rng.randrange(14), base + rng.randrange(14)) for _ in range(rng.randrange(5))]
+        reach = {base + k: set(closure(own, [base + k])) for k in range(14)}
+        want += [(k, min(x for x in reach[k] if k in reach[x])) for k in reach if any(x != k and k in reach[x] for x in reach[k])]
+        edges += own
+    assert sccs(spark, edges, trim=False) == want
