@@ -23,7 +23,7 @@ def query(sql: str | None = None, name: str | None = None):
 
     def add(make):
         key = name or make.__name__.strip("_")
-        _QUERIES[key] = lambda spark, sf_dir: make(lambda t, stream=False: frame(spark, sf_dir, t, stream))
+        _QUERIES[key] = lambda spark, sf_dir: make(lambda t, stream=False, **given: frame(spark, sf_dir, t, stream, **given))
         if sql:
             _SQL[key] = with_adapters(sql)
         return make
@@ -153,7 +153,8 @@ def cycles_by_rounds(t):
     string_agg(regexp_extract(path, '[^/]*$'), ' -> ' ORDER BY k.module_id) AS members FROM k JOIN {{module}} m ON m.module_id = k.module_id GROUP BY scc_id"""
 )
 def cycle_sizes(t):
-    return graph.cycle_summary(graph.components(t("ring")), t("module"), _unreachable(t))
+    edges = cut(t("edge"), "edges")  # derived once for the cycles and the search
+    return graph.cycle_summary(graph.components(t("ring", edge=edges)), t("module"), graph.unreachable_modules(t("module"), edges))
 
 
 #: The whole import graph with its components contracted: groups, edges between them, and every chain from an entry's group.

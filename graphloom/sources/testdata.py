@@ -104,8 +104,10 @@ ADAPTERS = {
 ADAPTERS = {name: sql.replace("{order_base}", str(ORDER_BASE)) for name, sql in ADAPTERS.items()}
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
-    """A test table, or an adapter over them, as a DataFrame; a table also as a stream of its files."""
+def frame(spark: SparkSession, sf_dir: str, name: str, stream: bool = False, **given: DataFrame) -> DataFrame:
+    """A test table, or an adapter over them, as a DataFrame; a table also as a stream of its files. given: adapters that are there already, by name."""
+    if name in given:
+        return given[name]
     if name in TABLES:
         table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         return spark.readStream.schema(table.schema).parquet(f"{sf_dir}/{{{name}.parquet}}") if stream else table  # braces: a stream takes a single file only from a glob
@@ -113,7 +115,7 @@ def frame(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) ->
     used = sorted(set(re.findall(r"\{(\w+)\}", sql)))
     for x in used:  # keywords can't be names of spark.sql's frames
         sql = sql.replace("{" + x + "}", "{t_" + x + "}")
-    return spark.sql(sql, **{f"t_{x}": frame(spark, sf_dir, x) for x in used})
+    return spark.sql(sql, **{f"t_{x}": frame(spark, sf_dir, x, **given) for x in used})
 
 
 def with_adapters(query: str) -> str:

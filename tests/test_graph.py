@@ -147,3 +147,12 @@ def test_components_of_near_forests(spark):
         want += [(k, min(x for x in reach[k] if k in reach[x])) for k in reach if any(x != k and k in reach[x] for x in reach[k])]
         edges += own
     assert sccs(spark, edges, trim=False) == want
+
+
+def test_cycle_sizes_derive_the_edges_once(spark, monkeypatch):
+    from graphloom import catalog
+
+    asked, frame = [], catalog.frame
+    monkeypatch.setattr(catalog, "frame", lambda s, d, name, *more, **given: asked.append((name, "edge" in given)) or frame(s, d, name, *more, **given))
+    assert catalog.queries()["cycle_sizes"](spark, "/root/testdata/sf0.001").count() > 0
+    assert asked.count(("edge", False)) == 1 and ("ring", True) in asked and ("ring", False) not in asked
